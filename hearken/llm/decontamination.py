@@ -1,11 +1,12 @@
 """Benchmark decontamination: a positional inverted index, searched from the rarest terms.
 
 The documents' words are stored once, with their places. From them come the postings
-(term, document, positions) of those terms that the search needs: of every benchmark window its
+(term, document, position) of those terms that the search needs: of every benchmark window its
 ``RAREST`` rarest words by their frequency over all documents. A posting at place p of a word
 that stands at place q of an item lies on the diagonal p - q, which is the offset adjustment; the
-lists meet in a grouping by (item, document, diagonal), and a window is a candidate where all
-its rare words have met. The words between them are compared at last, so matches are exact.
+lists meet in a grouping by (item, document, diagonal), which keeps one bit for each place, and a
+window is a candidate where the bits of all its rare words are set. The words between them are
+compared at last, so matches are exact.
 
 Only DataFrame functions run here. Broadcasts hold benchmark words and are checked by row count;
 beyond the bound the same joins shuffle. Nulls: a null text has no words, a null item text has
@@ -69,18 +70,24 @@ def rare_terms(windows: DataFrame, counts: DataFrame, rarest: int = RAREST) -> D
 
 
 def postings(forward: DataFrame, terms: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """The index: (term, row, positions), positions ascending, for ``terms``."""
-    found = forward.select("row", F.posexplode("words").alias("p", "term")).join(small(terms, most_broadcast), "term")
-    return found.groupBy("row", "term").agg(F.array_sort(F.collect_list("p")).alias("positions"))
+    """The index: (term, row, p), every place p where one of ``terms`` stands in document row ``row``."""
+    return forward.select("row", F.posexplode("words").alias("p", "term")).join(small(terms, most_broadcast), "term")
+
+
+def _bit(place: Column) -> Column:
+    """Places 64 apart share a bit; the words are compared later, so a shared bit costs only work."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
 
 
 def _met(probes: DataFrame, index: DataFrame, most_broadcast: int) -> DataFrame:
-    """(item, row, diagonal, places): the probed item places whose posting lies on the diagonal."""
+    """(item, row, diagonal, met): a bit for each probed item place whose posting lies on the
+    diagonal. A document's postings are in one task, so its groups are summed before the shuffle."""
     return (
         index.join(small(probes, most_broadcast), "term")
-        .select("item", "row", "q", F.explode("positions").alias("p"))
         .groupBy("item", "row", (F.col("p") - F.col("q")).alias("diagonal"))
-        .agg(F.collect_set("q").alias("places"))
+        .agg(F.bit_or(_bit(F.col("q"))).alias("met"), F.min("fewest").alias("fewest"))
+        .filter(F.bit_count("met") >= F.col("fewest"))
+        .drop("fewest")
     )
 
 
@@ -92,14 +99,17 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     terms = stored(windows.select(F.explode("item_words").alias("term")).distinct(), "terms")
     counts = stored(term_counts(forward, terms, most_broadcast), "counts")
     chosen = stored(rare_terms(windows, counts, rarest), "windows")
-    probes = stored(chosen.select("item", "item_words", F.explode("rare").alias("q")).select("item", "q", F.element_at("item_words", F.col("q") + 1).alias("term")).distinct(), "probes")
+    bits = F.aggregate("rare", F.lit(0).cast("long"), lambda bits, q: bits.bitwiseOR(_bit(q)))
+    chosen = chosen.withColumn("bits", bits)
+    probes = chosen.select("item", "item_words", F.explode("rare").alias("q"), F.bit_count("bits").alias("k"))
+    probes = stored(probes.groupBy("item", "q", F.element_at("item_words", F.col("q") + 1).alias("term")).agg(F.min("k").alias("fewest")), "probes")
     index = stored(postings(forward, probes.select("term").distinct(), most_broadcast), "postings")
     # One row an item; a window is a candidate on a diagonal where all its rare places have met.
-    per_item = stored(chosen.groupBy("item", "item_id", "item_words").agg(F.collect_list(F.struct("start", "length", "rare")).alias("windows")), "perItem")
+    per_item = stored(chosen.groupBy("item", "item_id", "item_words").agg(F.collect_list(F.struct("start", "length", "bits")).alias("windows")), "perItem")
     candidates = (
         _met(probes, index, most_broadcast)
         .join(small(per_item, most_broadcast // 10), "item")
-        .withColumn("windows", F.filter("windows", lambda w: (w["start"] + F.col("diagonal") >= 0) & (F.size(F.array_except(w["rare"], F.col("places"))) == 0)))
+        .withColumn("windows", F.filter("windows", lambda w: (w["start"] + F.col("diagonal") >= 0) & (w["bits"].bitwiseAND(F.col("met")) == w["bits"])))
         .filter(F.size("windows") > 0)
         .groupBy("row")
         .agg(F.collect_list(F.struct("item_id", "item_words", "diagonal", "windows")).alias("candidates"))

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.llm import decontamination, jaccard_join, quality, secret_scan, toxicity, url_filters
+from hearken.llm import decontamination, jaccard_join, language_id, quality, secret_scan, toxicity, url_filters
 from hearken.llm.shared import table
 
 URL_RULES = ["allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/"]
@@ -19,6 +19,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    network = language_id.learn(docs.filter(~held_out))
+    return language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), network, ["doc_id", "held_out"])
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), [url_filters.parse_rule(r) for r in URL_RULES])
 
@@ -47,6 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
     "op4_secret_scan": op4_secret_scan,
     "op6_jaccard_join": op6_jaccard_join,

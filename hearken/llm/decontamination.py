@@ -27,6 +27,8 @@ WINDOW = 10
 RAREST = 3
 #: Rows of benchmark terms (a word and a count each) that may be broadcast; about 100 MB at most.
 MOST_BROADCAST = 1_000_000
+#: As much for rows with arrays of windows: an item's, or a document's candidates.
+MOST_ARRAYS = 20_000
 
 
 def words(text: Column) -> Column:
@@ -35,10 +37,10 @@ def words(text: Column) -> Column:
 
 
 def forward_store(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n_words, words), written once: every later pass reads the columns it needs."""
+    """(row, doc_id, text_key, n_words, words), written once: every later pass reads the columns it needs."""
     return stored(
-        docs.select("doc_id", words(F.col("text")).alias("words")).select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), "words"
+        docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("words")).select(
+            F.monotonically_increasing_id().alias("row"), "doc_id", "text_key", F.size("words").cast("long").alias("n_words"), "words"
         ),
         "forward",
     )
@@ -108,7 +110,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     per_item = stored(chosen.groupBy("item", "item_id", "item_words").agg(F.collect_list(F.struct("start", "length", "bits")).alias("windows")), "perItem")
     candidates = (
         _met(probes, index, most_broadcast)
-        .join(small(per_item, most_broadcast // 10), "item")
+        .join(small(per_item, MOST_ARRAYS), "item")
         .withColumn("windows", F.filter("windows", lambda w: (w["start"] + F.col("diagonal") >= 0) & (w["bits"].bitwiseAND(F.col("met")) == w["bits"])))
         .filter(F.size("windows") > 0)
         .groupBy("row")
@@ -118,7 +120,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     at = lambda c, w: c["diagonal"] + w["start"]
     same = lambda c, w: F.slice(F.col("words"), at(c, w) + 1, w["length"]) == F.slice(c["item_words"], w["start"] + 1, w["length"])
     checked = F.flatten(F.transform("candidates", lambda c: F.transform(F.filter(c["windows"], lambda w: same(c, w)), lambda w: F.struct(c["item_id"].alias("item_id"), at(c, w).alias("start"), w["length"].alias("length")))))
-    matches = forward.select("row", "words").join(small(candidates, most_broadcast // 10), "row").select("row", F.explode(checked).alias("m")).select("row", "m.*")
+    matches = forward.select("row", "words").join(small(candidates, MOST_ARRAYS), "row").select("row", F.explode(checked).alias("m")).select("row", "m.*")
     return forward, matches
 
 
@@ -173,3 +175,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         (F.col("n_hit") > 0).alias("contaminated"),
         "items",
     )
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without those that hold a window of the benchmark. What a text holds depends on the
+    text alone, so rows are matched by id and text, and repeated rows fare alike."""
+    forward, matches = phrase_matches(docs, benchmark, window)
+    hit = forward.join(matches.select("row").distinct(), "row", "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    hit = small(stored(hit, "contaminated"), MOST_BROADCAST)
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left_anti")

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.llm import decontamination, html_extraction, jaccard_join, language_id, quality, secret_scan, sentencepiece_codec, toxicity, url_filters
+from hearken.llm import decontamination, html_extraction, jaccard_join, language_id, pii_surrogates, quality, secret_scan, sentencepiece_codec, toxicity, url_filters
 from hearken.llm.shared import table
 
 URL_RULES = ["allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/"]
@@ -36,6 +36,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_scan.as_text(base), 256).alias("base_sha256"), secret_scan.as_text(F.col("found")).alias("spans"), "n_random")
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii_surrogates.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), key="hearken")
+    return replaced.select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -63,16 +68,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(marked, lexicon, ["doc_id", "held_out"])
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
     "op4_secret_scan": op4_secret_scan,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_html_extraction": op7_html_extraction,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "pipeline": pipeline,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"

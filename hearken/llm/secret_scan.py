@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hearken.llm.shared import stored
+from hearken.llm.shared import small, stored
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -46,6 +46,8 @@ VETO = 3.3
 #: Of text: equal pairs of symbols against uniform ones, and changes of character class a step.
 TEXT_COINCIDENCE, TEXT_CHANGES = 1.73, 0.25
 FALSE_DISCOVERIES = 0.01
+#: Texts with spans that may be broadcast to be cut.
+MOST_BROADCAST = 200_000
 
 
 def _matches(text: Column, kind: str, pattern: str, passes: Column | None, group: int = 0) -> Column:
@@ -182,16 +184,18 @@ def as_text(found: Column) -> Column:
 def redact(docs: DataFrame, mark: str = "[SECRET]", q: float = FALSE_DISCOVERIES) -> DataFrame:
     """``docs`` with every found span of ``text`` replaced; overlapping spans become one mark. No row
     goes, and a text without spans stays as it is."""
-    # The texts come again from a stored copy, so that row numbers are the same in both readings.
-    kept = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "toRedact")
-    scanned, spans = secret_spans(kept.select(F.col("_row").alias("doc_id"), "text"), q)
+    # What a text holds depends on the text alone, so rows are matched by id and text.
+    key = F.struct(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"))
+    scanned, spans = secret_spans(docs.select(key.alias("doc_id"), "text"), q)
     order = W.partitionBy("row").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     joined = spans.withColumn("fresh", (reach.isNull() | (F.col("start") >= reach)).cast("int")).withColumn("g", F.sum("fresh").over(order))
     cuts = joined.groupBy("row", "g").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    cuts = cuts.join(scanned.select("row", F.col("doc_id").alias("_row")), "row").select("_row", "cuts")
+    cuts = cuts.join(scanned.select("row", "doc_id.*"), "row").select("_id", "_key", "cuts").dropDuplicates(["_id", "_key"])
+    cuts = small(stored(cuts, "cuts"), MOST_BROADCAST)
     from_ = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.element_at("cuts", i)["end"])
     pieces = F.transform("cuts", lambda c, i: F.substring("text", (from_(i) + 1).cast("int"), (c["start"] - from_(i)).cast("int")))
     last = F.element_at("cuts", -1)["end"].cast("int")
     cleaned = F.concat(F.array_join(F.concat(pieces, F.array(F.lit(""))), mark), F.substring("text", last + 1, F.length("text")))
-    return kept.join(cuts, "_row", "left").withColumn("text", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(cleaned)).select(*docs.columns)
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
+    return docs.join(cuts, same, "left").withColumn("text", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(cleaned)).select(*docs.columns)

@@ -267,13 +267,29 @@ def _large_pairs(large: DataFrame, classes: DataFrame, percent: int) -> DataFram
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         lefts, rights = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        out = []
+        n, cls, comp, short, band = (rights[c].to_numpy() for c in ("n", "cls", "comp", "short", "band"))
+        maps = [np.frombuffer(b, np.uint8) for b in rights["bits"]]
+        folded: dict[int, np.ndarray] = {}
+        out: list[np.ndarray] = []
         for x in lefts.itertuples():
-            near = rights[(rights["comp"] != x.comp) & (100 * np.minimum(rights["n"], x.n) >= percent * np.maximum(rights["n"], x.n)) & np.where(rights["n"] >= x.n, x.short, rights["short"])]
-            out += [(min(x.cls, y.cls), max(x.cls, y.cls)) for y in near.itertuples() if x.cls != y.cls and may_link(x.bits, x.n, y.bits, y.n, percent)]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
-
-    columns = ["shingle", "tile", "i", "j", "side", "cls", "n", "short", "comp", "bits"]
+            near = (comp != x.comp) & (100 * np.minimum(n, x.n) >= percent * np.maximum(n, x.n)) & np.where(n >= x.n, x.short, short) & ((band != x.band) | (cls > x.cls))
+            at = np.flatnonzero(near)
+            if not len(at):
+                continue
+            # Sizes this near have bitmaps of one width or of two, of which the narrower is common.
+            bits = np.frombuffer(x.bits, np.uint8)
+            for width in {min(len(bits), len(maps[i])) for i in at}:
+                some = at[[min(len(bits), len(maps[i])) == width for i in at]]
+                if width not in folded:
+                    folded[width] = np.stack([_fold(m, width) if len(m) >= width else np.zeros(width, np.uint8) for m in maps]).view(np.uint64)
+                a, b = _fold(bits, width).view(np.uint64), folded[width][some]
+                most = np.minimum(x.n - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), n[some] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+                held = some[most >= -(-percent * (x.n + n[some]) // (100 + percent))]
+                out.append(np.column_stack([np.minimum(cls[held], x.cls), np.maximum(cls[held], x.cls)]))
+        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    columns = ["shingle", "tile", "i", "j", "side", "band", "cls", "n", "short", "comp", "bits"]
     return left.select(columns).unionByName(right.select(columns)).groupBy("shingle", "tile", "i", "j").applyInPandas(compare, "a long, b long")
 
 

@@ -11,7 +11,7 @@ Exact, with work that follows the candidates and not all pairs:
    in adjacent bands. First each tile's members are held against one class of each band; what
    links is merged to components, and only members of different components are held against each
    other then. A large tile is cut to blocks, and pairs of blocks are compared as bit matrices
-   within a task, so no list of all pairs arises.
+   within a task that returns links between components only, so no list of all pairs arises.
 4. A pair's bit counts bound its overlap from above; what passes is intersected exactly.
 
 Null or empty texts have no shingles, n_shingles 0, and link with nothing; their component is their
@@ -38,9 +38,9 @@ PERCENT = 80
 #: Documents from which on a shingle goes to the end of the order, and most such shingles broadcast.
 OFTEN = 40
 MOST_OFTEN = 2_000_000
-#: Members from which on a tile is compared in blocks of BLOCK.
-LARGE = 64
-BLOCK = 1024
+#: Members from which on a tile is compared in blocks, of so many members at most and at least.
+LARGE = 24
+BLOCK, LEAST_BLOCK = 1024, 64
 MOST_BROADCAST = 1_000_000
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -227,52 +227,69 @@ def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int,
     joined = pairs.join(bits.withColumnRenamed("cls", "a"), "a").join(bits.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "b")
     left = stored(joined.select("a", "b", "n", "bits", "n2", "bits2").mapInArrow(by_bits, "a long, b long"), "byBits")
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([shingle(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["cls", "shingles"])
-
-    needed = left.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    keys = stored(classes.select("cls", "doc_id", "text_key").join(needed, "cls"), "needed")
-    sets = stored(_of_classes(texts, keys).select("cls", "text").mapInArrow(to_sets, "cls long, shingles binary").dropDuplicates(["cls"]), "sets")
+    sets = stored(_sets(left.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), classes, texts, words), "sets")
 
     def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                kept.append(int((both[1:] == both[:-1]).sum()) >= least_overlap(len(x), len(y), percent))
+            met = [overlap(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            kept = [i >= least_overlap(a, b, percent) for a, b, i in met]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     both = left.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     return stored(both.select("a", "b", "x", "y").mapInArrow(exactly, "a long, b long"), "linked")
 
 
+def _sets(needed: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(cls, shingles) of the classes ``needed``: eight bytes a shingle, ascending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(words)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([shingle(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["cls", "shingles"])
+
+    keys = stored(classes.select("cls", "doc_id", "text_key").join(needed, "cls"), "needed")
+    return _of_classes(texts, keys).select("cls", "text").mapInArrow(run, "cls long, shingles binary").dropDuplicates(["cls"])
+
+
+def overlap(x: bytes, y: bytes) -> tuple[int, int, int]:
+    """Sizes of two sets and of their intersection."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return len(x), len(y), int((both[1:] == both[:-1]).sum())
+
+
 def _of_classes(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of ``texts`` with these (doc_id, text_key), and their cls."""
     k = small(keys.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "cls"), MOST_BROADCAST)
     return texts.join(k, texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["text_key"] == F.col("_key"))).select("cls", "text")
 
 
-def _large_pairs(large: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in large tiles that pass the bit counts, by pairs of blocks."""
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = large.join(classes.select("cls", "bits"), "cls").withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
-    others = F.sequence(F.lit(0), blocks - 1)
+def _large_links(large: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) that link and join components within large tiles, by pairs of blocks. A task compares the
+    bit matrices of two blocks, intersects what passes exactly, merges what links, and skips pairs
+    already merged: it returns fewer links than it has members, whatever the tile."""
+    # Blocks by the tile's sizes too, so that their sets stay within some 16 MB.
+    fits = (F.lit(1 << 20) / F.pow(F.lit(100.0 / percent), F.col("tile") + 2)).cast("int")
+    blocks = F.ceil(F.col("c") / F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(BLOCK), fits))).cast("int")
+    own, others = F.pmod(F.xxhash64("cls"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    sets = stored(_sets(large.select("cls").distinct(), classes, texts, words), "largeSets")
+    rows = large.join(classes.select("cls", "bits"), "cls").join(sets, "cls")
     # A tile holds a band against itself and the next: left are the band's rows, right those of both.
-    left = rows.withColumn("tile", F.col("band")).withColumn("side", F.lit(0)).withColumn("i", F.col("block")).withColumn("j", F.explode(others))
-    right = rows.withColumn("tile", F.explode(F.array("band", F.col("band") - 1))).withColumn("side", F.lit(1)).withColumn("j", F.col("block")).withColumn("i", F.explode(others))
+    left = rows.withColumn("tile", F.col("band")).withColumn("side", F.lit(0)).withColumn("i", own).withColumn("j", others)
+    right = rows.withColumn("tile", F.explode(F.array("band", F.col("band") - 1))).withColumn("side", F.lit(1)).withColumn("j", own).withColumn("i", others)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         lefts, rights = rows[rows["side"] == 0], rows[rows["side"] == 1]
         n, cls, comp, short, band = (rights[c].to_numpy() for c in ("n", "cls", "comp", "short", "band"))
         maps = [np.frombuffer(b, np.uint8) for b in rights["bits"]]
         folded: dict[int, np.ndarray] = {}
-        out: list[np.ndarray] = []
+        roots, out = comp.copy(), []
+        sets = rights["shingles"].tolist()
+        root_of = {c: c for c in rows["comp"]}
         for x in lefts.itertuples():
-            near = (comp != x.comp) & (100 * np.minimum(n, x.n) >= percent * np.maximum(n, x.n)) & np.where(n >= x.n, x.short, short) & ((band != x.band) | (cls > x.cls))
+            mine = root_of[x.comp]
+            near = (roots != mine) & (100 * np.minimum(n, x.n) >= percent * np.maximum(n, x.n)) & np.where(n >= x.n, x.short, short) & ((band != x.band) | (cls > x.cls))
             at = np.flatnonzero(near)
             if not len(at):
                 continue
@@ -284,12 +301,20 @@ def _large_pairs(large: DataFrame, classes: DataFrame, percent: int) -> DataFram
                     folded[width] = np.stack([_fold(m, width) if len(m) >= width else np.zeros(width, np.uint8) for m in maps]).view(np.uint64)
                 a, b = _fold(bits, width).view(np.uint64), folded[width][some]
                 most = np.minimum(x.n - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), n[some] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
-                held = some[most >= -(-percent * (x.n + n[some]) // (100 + percent))]
-                out.append(np.column_stack([np.minimum(cls[held], x.cls), np.maximum(cls[held], x.cls)]))
-        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-    columns = ["shingle", "tile", "i", "j", "side", "band", "cls", "n", "short", "comp", "bits"]
+                for i in some[most >= -(-percent * (x.n + n[some]) // (100 + percent))]:
+                    if roots[i] == mine:
+                        continue
+                    size, other, both = overlap(x.shingles, sets[i])
+                    if both >= least_overlap(size, other, percent):
+                        out.append((min(cls[i], x.cls), max(cls[i], x.cls)))
+                        gone = roots[i]
+                        roots[roots == gone] = mine
+                        for c, r in root_of.items():
+                            if r == gone:
+                                root_of[c] = mine
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    columns = ["shingle", "tile", "i", "j", "side", "band", "cls", "n", "short", "comp", "bits", "shingles"]
     return left.select(columns).unionByName(right.select(columns)).groupBy("shingle", "tile", "i", "j").applyInPandas(compare, "a long, b long")
 
 
@@ -335,10 +360,10 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, often: i
     right = few.select("shingle", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("short").alias("short2"), F.col("comp").alias("comp2"))
     enough = F.when(F.col("n") <= F.col("n2"), F.col("short")).otherwise(F.col("short2"))
     more = few.join(right, "shingle").filter((F.col("cls") < F.col("cls2")) & (F.col("comp") != F.col("comp2")) & _fits(percent) & enough).select(*_pair("cls", "cls2"))
+    rest = _linked(more.distinct().join(pairs, ["a", "b"], "left_anti"), classes, texts, words, percent)
     many = apart.filter(F.col("c") > large)
     if many.limit(1).count():
-        more = more.unionByName(_large_pairs(many, classes, percent))
-    rest = _linked(more.distinct().join(pairs, ["a", "b"], "left_anti"), classes, texts, words, percent)
+        rest = rest.unionByName(stored(_large_links(many, classes, texts, words, percent), "largeLinks"))
     comp = components(linked.unionByName(rest))
     of_class = classes.select("cls", "least").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     ids = of_class.groupBy("comp").agg(F.min("least").alias("component_id"))

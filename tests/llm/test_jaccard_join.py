@@ -64,6 +64,20 @@ def test_groups_match_brute_force(spark, options):
     check(spark, made(1, 80, shared=bool(options)), **options)
 
 
+def test_large_tiles_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 3)
+    monkeypatch.setattr(J, "LEAST_BLOCK", 2)
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        words = ["same"] * 2 + [f"c{k}" for k in range(rng.choice([8, 9, 10, 11, 12, 13]))]
+        if rng.random() < 0.5:
+            words[rng.randrange(len(words))] = f"r{rng.randrange(6)}"
+        rows.append((1000 - i, " ".join(words)))
+    check(spark, rows, often=1, large=2)
+    check(spark, rows, often=100, large=2)
+
+
 def test_query_on_the_small_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
     comp, n = brute([tuple(r) for r in docs])

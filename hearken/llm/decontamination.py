@@ -134,7 +134,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 3, wind
     chosen = stored(rare_terms(windows, stored(term_counts(forward, terms, most_broadcast), "counts"), rarest), "windows")
     probe = chosen.select("item", "item_id", "start", "item_words", F.posexplode("rare").alias("rank", "q"), F.size("rare").alias("k")).withColumn("term", F.element_at("item_words", F.col("q") + 1)).drop("item_words")
     index = stored(postings(forward, probe.select("term").distinct(), most_broadcast), "postings")
-    placed = index.join(small(stored(probe, "probe"), most_broadcast), "term").select("row", "item", "item_id", "start", "rank", "k", F.explode("positions").alias("p"), "q").withColumn("d", F.col("p") - F.col("q"))
+    placed = index.join(small(stored(probe, "probe"), most_broadcast), "term").select("row", "item", "item_id", "start", "rank", "k", "p", "q").withColumn("d", F.col("p") - F.col("q"))
     first = placed.filter("rank = 0").select("row", "item", "start", F.col("d").alias("d0"))
     # The band |d - d0| <= slop as an equi-join: both sides in blocks of slop + 1, one side in three.
     width = slop + 1

@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,9 +128,14 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     pick = lambda t, n: marked.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = stored(pick(1, MOST_TOXIC).unionByName(pick(0, MOST_CLEAN)), "labelled")
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter("text IS NOT NULL").select("text", "toxic")
-    shingles = F.split("text", r"\s+")
-    smallest = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(shingles) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(shingles, i, 5))))
-    return stored(found.withColumn("_first", smallest).dropDuplicates(["_first", "toxic"]).select("text", "toxic"), "sample")
+
+    def first_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [t.encode().split() for t in batch.column("text").to_pylist()]
+            least = [min(xxhash.xxh3_64_intdigest(b" ".join(w[i : i + 5])) for i in range(max(len(w) - 4, 1))) - (1 << 63) for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), pa.array(least, pa.int64())], names=["text", "toxic", "first"])
+
+    return stored(found.mapInArrow(first_shingle, "text string, toxic int, first long").dropDuplicates(["first", "toxic"]).select("text", "toxic"), "sample")
 
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -364,7 +364,7 @@ def _labelled(spark, sf_dir):
     "calibration_report",
     f"""WITH {CALIBRATION}, b AS (SELECT lang, quantile_cont(score, 0.99) FILTER (WHERE NOT positive) AS threshold, avg(score) FILTER (WHERE NOT positive) AS neg_mean, stddev_pop(score) FILTER (WHERE NOT positive) AS neg_std, max(score) FILTER (WHERE NOT positive) AS neg_max,
 avg(score) FILTER (WHERE positive) AS pos_mean, min(score) FILTER (WHERE positive) AS pos_min, count(*) FILTER (WHERE positive) AS n_pos, count(*) FILTER (WHERE NOT positive) AS n_neg FROM p GROUP BY lang),
-r AS (SELECT lang, avg(CASE WHEN score >= threshold THEN 1.0 ELSE 0 END) AS recall FROM p JOIN b USING (lang) WHERE positive GROUP BY lang)
+r AS (SELECT lang, avg(CASE WHEN score >= threshold THEN 1.0 WHEN score < threshold THEN 0 END) AS recall FROM p JOIN b USING (lang) WHERE positive GROUP BY lang)
 SELECT lang, round(threshold, 4) AS threshold, round(neg_mean, 4) AS neg_mean, round(neg_std, 4) AS neg_std, neg_max, round(pos_mean, 4) AS pos_mean, pos_min, n_pos, n_neg, round(recall, 6) AS recall, round(pos_mean - threshold, 4) AS margin, CASE WHEN pos_mean - threshold > 0 THEN 'OK' ELSE 'overlap' END AS verdict FROM b LEFT JOIN r USING (lang)""",
 )
 def calibration_report(spark, sf_dir):
@@ -373,7 +373,7 @@ def calibration_report(spark, sf_dir):
     return found.withColumns(rounded | {"recall": F.round("recall", 6)})
 
 
-@register("calibration_threshold", f"WITH {CALIBRATION} SELECT lang, percent, round(quantile_cont(score, percent), 4) AS threshold FROM p, (VALUES (0.9), (0.95), (0.99), (0.995), (1.0)) t(percent) WHERE NOT positive GROUP BY lang, percent" if False else f"WITH {CALIBRATION} SELECT lang, round(quantile_cont(score, 0.9), 4) AS p90, round(quantile_cont(score, 0.95), 4) AS p95, round(quantile_cont(score, 0.99), 4) AS p99, round(quantile_cont(score, 0.995), 4) AS p995, max(score) AS p100 FROM p WHERE NOT positive GROUP BY lang")
+@register("calibration_threshold", f"WITH {CALIBRATION} SELECT lang, round(quantile_cont(score, 0.9), 4) AS p90, round(quantile_cont(score, 0.95), 4) AS p95, round(quantile_cont(score, 0.99), 4) AS p99, round(quantile_cont(score, 0.995), 4) AS p995, max(score) AS p100 FROM p WHERE NOT positive GROUP BY lang")
 def calibration_threshold(spark, sf_dir):
     negatives = _labelled(spark, sf_dir).filter("NOT positive").groupBy("lang")
     return negatives.agg(*[F.round(F.percentile("score", q), 4).alias(n) for n, q in (("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("p995", 0.995))], F.max("score").alias("p100"))

@@ -39,7 +39,7 @@ PERCENT = 80
 OFTEN = 40
 MOST_OFTEN = 2_000_000
 #: Members from which on a tile is compared in blocks, of so many members at most and at least.
-LARGE = 24
+LARGE = 64
 BLOCK, LEAST_BLOCK = 1024, 64
 MOST_BROADCAST = 1_000_000
 
@@ -283,6 +283,7 @@ def _large_links(large: DataFrame, classes: DataFrame, texts: DataFrame, words:
         lefts, rights = rows[rows["side"] == 0], rows[rows["side"] == 1]
         n, cls, comp, short, band = (rights[c].to_numpy() for c in ("n", "cls", "comp", "short", "band"))
         maps = [np.frombuffer(b, np.uint8) for b in rights["bits"]]
+        widths = np.array([len(m) for m in maps], np.int64)
         folded: dict[int, np.ndarray] = {}
         roots, out = comp.copy(), []
         sets = rights["shingles"].tolist()
@@ -295,8 +296,9 @@ def _large_links(large: DataFrame, classes: DataFrame, texts: DataFrame, words:
                 continue
             # Sizes this near have bitmaps of one width or of two, of which the narrower is common.
             bits = np.frombuffer(x.bits, np.uint8)
-            for width in {min(len(bits), len(maps[i])) for i in at}:
-                some = at[[min(len(bits), len(maps[i])) == width for i in at]]
+            common = np.minimum(len(bits), widths[at])
+            for width in np.unique(common).tolist():
+                some = at[common == width]
                 if width not in folded:
                     folded[width] = np.stack([_fold(m, width) if len(m) >= width else np.zeros(width, np.uint8) for m in maps]).view(np.uint64)
                 a, b = _fold(bits, width).view(np.uint64), folded[width][some]

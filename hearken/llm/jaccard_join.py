@@ -11,7 +11,7 @@ Exact, with work that follows the candidates and not all pairs:
    in adjacent bands. First each tile's members are held against one class of each band; what
    links is merged to components, and only members of different components are held against each
    other then. A large tile is cut to blocks, and pairs of blocks are compared as bit matrices
-   within a task that returns links between components only, so no list of all pairs arises.
+   within a task: first one pair a member and component, which merges dense groups, then the rest.
 4. A pair's bit counts bound its overlap from above; what passes is intersected exactly.
 
 Null or empty texts have no shingles, n_shingles 0, and link with nothing; their component is their
@@ -265,16 +265,15 @@ def _of_classes(texts: DataFrame, keys: DataFrame) -> DataFrame:
     return texts.join(k, texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["text_key"] == F.col("_key"))).select("cls", "text")
 
 
-def _large_links(large: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) that link and join components within large tiles, by pairs of blocks. A task compares the
-    bit matrices of two blocks, intersects what passes exactly, merges what links, and skips pairs
-    already merged: it returns fewer links than it has members, whatever the tile."""
-    # Blocks by the tile's sizes too, so that their sets stay within some 16 MB.
+def _large_pairs(large: DataFrame, classes: DataFrame, percent: int, one_each: bool) -> DataFrame:
+    """Pairs (a, b) of different components within large tiles that pass the bit counts, by pairs of
+    blocks. With ``one_each`` a member is paired once at most with each other component of a block: what
+    links of these merges dense groups, so that few pairs are left for the call without."""
+    # Blocks by the tile's sizes too, so that their bitmaps stay within some megabytes.
     fits = (F.lit(1 << 20) / F.pow(F.lit(100.0 / percent), F.col("tile") + 2)).cast("int")
     blocks = F.ceil(F.col("c") / F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(BLOCK), fits))).cast("int")
     own, others = F.pmod(F.xxhash64("cls"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
-    sets = stored(_sets(large.select("cls").distinct(), classes, texts, words), "largeSets")
-    rows = large.join(classes.select("cls", "bits"), "cls").join(sets, "cls")
+    rows = large.join(classes.select("cls", "bits"), "cls")
     # A tile holds a band against itself and the next: left are the band's rows, right those of both.
     left = rows.withColumn("tile", F.col("band")).withColumn("side", F.lit(0)).withColumn("i", own).withColumn("j", others)
     right = rows.withColumn("tile", F.explode(F.array("band", F.col("band") - 1))).withColumn("side", F.lit(1)).withColumn("j", own).withColumn("i", others)
@@ -285,12 +284,9 @@ def _large_links(large: DataFrame, classes: DataFrame, texts: DataFrame, words:
         maps = [np.frombuffer(b, np.uint8) for b in rights["bits"]]
         widths = np.array([len(m) for m in maps], np.int64)
         folded: dict[int, np.ndarray] = {}
-        roots, out = comp.copy(), []
-        sets = rights["shingles"].tolist()
-        root_of = {c: c for c in rows["comp"]}
+        out: list[np.ndarray] = []
         for x in lefts.itertuples():
-            mine = root_of[x.comp]
-            near = (roots != mine) & (100 * np.minimum(n, x.n) >= percent * np.maximum(n, x.n)) & np.where(n >= x.n, x.short, short) & ((band != x.band) | (cls > x.cls))
+            near = (comp != x.comp) & (100 * np.minimum(n, x.n) >= percent * np.maximum(n, x.n)) & np.where(n >= x.n, x.short, short) & ((band != x.band) | (cls > x.cls))
             at = np.flatnonzero(near)
             if not len(at):
                 continue
@@ -303,20 +299,14 @@ def _large_links(large: DataFrame, classes: DataFrame, texts: DataFrame, words:
                     folded[width] = np.stack([_fold(m, width) if len(m) >= width else np.zeros(width, np.uint8) for m in maps]).view(np.uint64)
                 a, b = _fold(bits, width).view(np.uint64), folded[width][some]
                 most = np.minimum(x.n - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), n[some] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
-                for i in some[most >= -(-percent * (x.n + n[some]) // (100 + percent))]:
-                    if roots[i] == mine:
-                        continue
-                    size, other, both = overlap(x.shingles, sets[i])
-                    if both >= least_overlap(size, other, percent):
-                        out.append((min(cls[i], x.cls), max(cls[i], x.cls)))
-                        gone = roots[i]
-                        roots[roots == gone] = mine
-                        for c, r in root_of.items():
-                            if r == gone:
-                                root_of[c] = mine
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    columns = ["shingle", "tile", "i", "j", "side", "band", "cls", "n", "short", "comp", "bits", "shingles"]
+                held = some[most >= -(-percent * (x.n + n[some]) // (100 + percent))]
+                if one_each:
+                    held = held[np.unique(comp[held], return_index=True)[1]]
+                out.append(np.column_stack([np.minimum(cls[held], x.cls), np.maximum(cls[held], x.cls)]))
+        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    columns = ["shingle", "tile", "i", "j", "side", "band", "cls", "n", "short", "comp", "bits"]
     return left.select(columns).unionByName(right.select(columns)).groupBy("shingle", "tile", "i", "j").applyInPandas(compare, "a long, b long")
 
 
@@ -355,17 +345,28 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, often: i
     pairs = lists.join(near, ["shingle", "band"]).filter(_fits(percent) & (F.col("cls") != F.col("cls2"))).select(*_pair("cls", "cls2")).distinct()
     linked = _linked(pairs, classes, texts, words, percent)
     comp = components(linked)
-    apart = lists.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = apart.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("shingle")
-    apart = stored(apart.join(mixed, "shingle"), "apart")
+
+    def mixed(rows: DataFrame, comp: DataFrame) -> DataFrame:
+        """Tiles that still hold several components, with each member's."""
+        placed = rows.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        several = placed.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("shingle")
+        return stored(placed.join(several, "shingle"), "mixed")
+
+    apart = mixed(lists, comp)
+    many = apart.filter(F.col("c") > large)
+    if many.limit(1).count():
+        found = _linked(_large_pairs(many, classes, percent, one_each=True).distinct(), classes, texts, words, percent)
+        linked = linked.unionByName(found)
+        comp = components(linked)
+        apart = mixed(lists, comp)
+        many = apart.filter(F.col("c") > large)
     few = apart.filter(F.col("c") <= large)
     right = few.select("shingle", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("short").alias("short2"), F.col("comp").alias("comp2"))
     enough = F.when(F.col("n") <= F.col("n2"), F.col("short")).otherwise(F.col("short2"))
     more = few.join(right, "shingle").filter((F.col("cls") < F.col("cls2")) & (F.col("comp") != F.col("comp2")) & _fits(percent) & enough).select(*_pair("cls", "cls2"))
-    rest = _linked(more.distinct().join(pairs, ["a", "b"], "left_anti"), classes, texts, words, percent)
-    many = apart.filter(F.col("c") > large)
     if many.limit(1).count():
-        rest = rest.unionByName(stored(_large_links(many, classes, texts, words, percent), "largeLinks"))
+        more = more.unionByName(_large_pairs(many, classes, percent, one_each=False))
+    rest = _linked(more.distinct().join(pairs, ["a", "b"], "left_anti"), classes, texts, words, percent)
     comp = components(linked.unionByName(rest))
     of_class = classes.select("cls", "least").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     ids = of_class.groupBy("comp").agg(F.min("least").alias("component_id"))

@@ -8,7 +8,8 @@ blocks of a text are scanned, then the chunks of each block, and every chunk is
 between the two states it got. No task holds more than ``FAN`` matrices or one for ``FAN`` chunks.
 
 Other texts are encoded whole. A space piece never follows other characters inside a piece (which
-is checked), so every word is a chunk with one state at either end, and its best path is kept.
+is checked), and a character of no longer piece stands alone, so every word is a chunk with one
+state at either end, and its best path is kept.
 
 The public model file here is of merges, whose scores are only their order. Paths need scores that
 add up, so a piece's is the logarithm of one over its rank, as of Zipf's law (``scores='zipf'``); a
@@ -51,7 +52,6 @@ class Codec:
 
         spec = proto.ModelProto()
         spec.ParseFromString(model)
-        self.text_of = [p.piece for p in spec.pieces]
         self.byte_of = [int(p.piece[3:5], 16) if p.type == p.BYTE else None for p in spec.pieces]
         self.bytes = {b: i for i, b in enumerate(self.byte_of) if b is not None}
         normal = [(i, p) for i, p in enumerate(spec.pieces) if p.type == p.NORMAL]
@@ -60,7 +60,19 @@ class Codec:
         self.longest = max(map(len, self.pieces))
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece has a space inside")
+        #: A trie of the pieces: each node has its children and, where a piece ends, its score and ids.
+        self.root: dict[str, list] = {}
+        for piece, (score, i) in self.pieces.items():
+            children = self.root
+            for char in piece:
+                node = children.setdefault(char, [{}, None, None])
+                children = node[0]
+            node[1:] = score, [i]
+        # Characters of no piece but their own have borders on both sides, whatever the path.
+        joined = "".join(sorted({x for p in self.pieces if len(p) > 1 for x in p} - {SPACE}))
+        self.units = re.compile(f"{SPACE}*[{re.escape(joined)}]+|{SPACE}+|." if joined else f"{SPACE}+|.", re.DOTALL)
         self.known: dict[str, tuple[float, list[int]]] = {}
+        self.spelled = [p.piece.replace(SPACE, " ").encode() if b is None else bytes([b]) for p, b in zip(spec.pieces, self.byte_of, strict=True)]
 
     @staticmethod
     def normal(text: str) -> str:
@@ -69,33 +81,34 @@ class Codec:
     def _bytes(self, char: str) -> list[int]:
         return [self.bytes[b] for b in (SPACE if char == LITERAL else char).encode()]
 
-    def _steps(self, text: str, at: int, end: int) -> Iterator[tuple[int, float, list[int]]]:
-        """What may stand at ``at``: (next place, score, ids); a lone character always may, by bytes."""
-        found = False
-        for to in range(at + 1, min(at + self.longest, end) + 1):
-            hit = self.pieces.get(text[at:to])
-            if hit:
-                found |= to == at + 1
-                yield to, hit[0], [hit[1]]
-        if not found:
-            ids = self._bytes(text[at])
-            yield at + 1, BYTE_SCORE * len(ids), ids
-
-    def _best(self, text: str, start: int, length: int) -> tuple[np.ndarray, list]:
+    def _best(self, text: str, start: int, length: int) -> tuple[list[float], list]:
         """Scores of the best paths from ``start`` to every place up to where pieces that start before
-        ``length`` reach, and each place's last step."""
-        score = np.full(len(text) + 1, NEVER)
-        last: list = [None] * (len(text) + 1)
-        best = score.tolist()
-        if start <= len(text):
+        ``length`` reach, and each place's last step. A lone character without a piece goes by bytes."""
+        n, root, longest = len(text), self.root, self.longest
+        last: list = [None] * (n + 1)
+        best = [NEVER] * (n + 1)
+        if start <= n:
             best[start] = 0.0
         for at in range(start, length):
-            if best[at] > NEVER:
-                for to, s, ids in self._steps(text, at, len(text)):
-                    if best[at] + s > best[to]:
-                        best[to], last[to] = best[at] + s, (at, ids)
-        score[:] = best
-        return score, last
+            here = best[at]
+            if here == NEVER:
+                continue
+            children, to = root, at
+            for char in text[at : at + longest]:
+                node = children.get(char)
+                if node is None:
+                    break
+                to += 1
+                children, score, ids = node
+                if score is not None and here + score > best[to]:
+                    best[to], last[to] = here + score, (at, ids)
+            single = root.get(text[at])
+            if single is None or single[1] is None:
+                ids = self._bytes(text[at])
+                score = here + BYTE_SCORE * len(ids)
+                if score > best[at + 1]:
+                    best[at + 1], last[at + 1] = score, (at, ids)
+        return best, last
 
     @staticmethod
     def _trace(last: list, start: int, end: int) -> list[int]:
@@ -110,38 +123,25 @@ class Codec:
         hit = self.known.get(word)
         if hit is None:
             score, last = self._best(word, 0, len(word))
-            hit = (float(score[len(word)]), self._trace(last, 0, len(word)))
+            hit = (score[len(word)], self._trace(last, 0, len(word)))
             if len(self.known) > 300_000:
                 self.known.clear()
             if len(word) < 64:
                 self.known[word] = hit
         return hit
 
-    WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
         known, out = self.known, []
-        for w in self.WORD.findall(SPACE + self.normal(text)):
+        for w in self.units.findall(SPACE + self.normal(text)):
             hit = known.get(w) or self.word(w)
             out += hit[1]
         return out
 
     def decode(self, ids) -> str:
-        parts, waiting = [], bytearray()
-        for i in ids:
-            byte = self.byte_of[i]
-            if byte is None:
-                if waiting:
-                    parts.append(waiting.decode("utf-8", "replace").replace(SPACE, LITERAL))
-                    waiting.clear()
-                parts.append(self.text_of[i])
-            else:
-                waiting.append(byte)
-        if waiting:
-            parts.append(waiting.decode("utf-8", "replace").replace(SPACE, LITERAL))
-        return "".join(parts).replace(SPACE, " ").replace(LITERAL, SPACE)[1:]
+        spelled = self.spelled
+        return b"".join([spelled[i] for i in ids]).decode("utf-8", "replace")[1:]
 
     def _borders(self, core: str) -> list[int]:
         """Places inside a chunk that every path has."""
@@ -157,7 +157,7 @@ class Codec:
         if borders:
             tail_at = borders[-1]
             middle = sum(self.word(core[a:b])[0] for a, b in zip(borders, borders[1:], strict=False))
-            tail = self._best(text[tail_at:], 0, n - tail_at)[0][n - tail_at :][:m]
+            tail = np.array(self._best(text[tail_at:], 0, n - tail_at)[0][n - tail_at :][:m])
         for s in range(min(m - 1, head) + 1):
             if borders:
                 into = self._best(core[:head], s, head)[0][head]
@@ -293,6 +293,6 @@ def decode(encoded: DataFrame, model: str | None = None, scores: str = "zipf") -
     def text_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path, scores)
         for ids in parts:
-            yield pd.Series([None if x is None else c.decode(x) if len(x) else "" for x in ids], dtype=object)
+            yield pd.Series([None if x is None else c.decode(x.tolist()) for x in ids], dtype=object)
 
     return encoded.withColumn("decoded", text_of("ids"))

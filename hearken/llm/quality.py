@@ -1,6 +1,9 @@
-"""Quality rules: plain counts, and bands on n-gram perplexity under a modified Kneser-Ney model.
+"""Quality rules: plain counts, and bands on n-gram perplexity under modified Kneser-Ney models.
 
-Model. Spark counts 4-grams of character classes (``CLASSES`` of them, over UTF-8 bytes) for each
+Two models: one of words (``word_model``), which sees their order, and one of character classes,
+which sees how words are spelt.
+
+Class model. Spark counts 4-grams of character classes (``CLASSES`` of them, over UTF-8 bytes) for each
 language over all documents; continuation counts, the three discounts, the discounted shares and
 the back-off weights of every order are DataFrame aggregations of those counts. The shares arrive
 as arrays sorted by the packed n-gram (six bits a class), and a task unfolds those of a language to
@@ -12,6 +15,8 @@ per language the median over all texts is the band's middle, and its half-width
 median plus the noise of a text of that length. Texts below are rejected. Those above get a second
 look, as they may change languages: every stretch of ``STRETCH`` n-grams counts under the one of
 the ``MOST_SWITCHED`` largest languages that suits it best, and texts still above are rejected.
+Texts above the band of the word model (nats a pair of words) get a second look likewise, each pair
+under the language that suits it best. The word model has no lower limit: copies make it low.
 
 Null or empty texts have no words and fail the base rule. A null language is a language of its own.
 Languages of fewer than ``LEAST_TEXTS`` texts, and texts too short to score, are not rejected by
@@ -28,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from hearken.llm import word_model
 from hearken.llm.shared import small, stored
 
 CLASSES = 64
@@ -262,24 +268,43 @@ def _second_look(docs: DataFrame, model: dict, above: DataFrame) -> DataFrame:
     return texts.mapInArrow(look, f"doc_id {kind}, lang string, text_key long, switched double").dropDuplicates(["doc_id", "lang", "text_key"])
 
 
+def _bands(scored: DataFrame, value: str) -> DataFrame:
+    """(lang, middle, noise) of a value, for languages of enough texts; stored."""
+    scored = scored.filter(F.col(value).isNotNull() & (F.col("n_words") > 0))
+    middle = scored.groupBy("lang").agg(F.percentile_approx(value, F.lit(0.5), F.lit(10000)).alias("middle"), F.count("*").alias("texts"))
+    off = F.abs(F.col(value) - F.col("middle")) * F.sqrt("n_words")
+    noise = scored.join(small(middle, 100_000), "lang").groupBy("lang").agg(F.percentile_approx(off * 1.4826, F.lit(0.5), F.lit(10000)).alias("noise"))
+    return stored(middle.join(noise, "lang").filter(F.col("texts") >= LEAST_TEXTS).drop("texts"), "bands")
+
+
+def _word_scores(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` with word_nats, and word_failed: above the band also where words may change languages."""
+    texts = word_model.text_of(docs)
+    model = word_model.fit(texts)
+    scored = found.withColumn("key", word_model.key_of("doc_id", "lang", "text_key")).join(word_model.score(texts, model), "key", "left")
+    scored = stored(scored, "wordScores")
+    half = SHARE * F.col("middle") + NOISE * F.col("noise") / F.sqrt(F.greatest("n_words", F.lit(1)))
+    placed = scored.join(small(_bands(scored, "word_nats"), 100_000), "lang", "left").withColumn("high", F.col("middle") + half).drop("middle", "noise")
+    above = stored(placed.filter(F.col("word_nats") > F.col("high")).select("key").distinct(), "wordsAbove")
+    looked = stored(word_model.score_any(texts.join(small(above, 1_000_000), "key", "left_semi"), model), "wordSecondLook")
+    joined = placed.join(small(looked, 1_000_000), "key", "left")
+    return stored(joined.withColumn("word_failed", F.coalesce(F.col("word_switched") > F.col("high"), F.lit(False))).drop("key", "high", "word_switched"), "wordVerdicts")
+
+
 def verdicts(docs: DataFrame, most_entries: int = MOST_ENTRIES) -> DataFrame:
-    """One row a document row: doc_id, lang, text_key, the counts, nats, base_failed, kept."""
+    """One row a document row: doc_id, lang, text_key, the counts, nats, word_nats, base_failed, kept."""
     model = fit(docs, most_entries)
-    found = measured(docs, model)
-    scored = found.filter("nats IS NOT NULL AND n_words > 0")
-    middle = scored.groupBy("lang").agg(F.percentile_approx("nats", F.lit(0.5), F.lit(10000)).alias("middle"), F.count("*").alias("texts"))
-    off = F.abs(F.col("nats") - F.col("middle")) * F.sqrt("n_words")
-    noise = scored.join(small(middle, 100_000), "lang").groupBy("lang").agg(F.percentile_approx(off * 1.4826, F.lit(0.5), F.lit(10000)).alias("noise"))
-    bands = stored(middle.join(noise, "lang").filter(F.col("texts") >= LEAST_TEXTS).drop("texts"), "bands")
+    found = _word_scores(docs, measured(docs, model))
+    bands = _bands(found, "nats")
     half = SHARE * F.col("middle") + NOISE * F.col("noise") / F.sqrt(F.greatest("n_words", F.lit(1)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    columns = ["doc_id", "lang", "text_key", *COUNTS, "nats"]
-    banded = stored(found.join(small(bands, 100_000), "lang", "left").select(*columns, failed.alias("base_failed"), (F.col("middle") - half).alias("low"), (F.col("middle") + half).alias("high")), "banded")
+    columns = ["doc_id", "lang", "text_key", *COUNTS, "nats", "word_nats"]
+    banded = stored(found.join(small(bands, 100_000), "lang", "left").select(*columns, "word_failed", failed.alias("base_failed"), (F.col("middle") - half).alias("low"), (F.col("middle") + half).alias("high")), "banded")
     above = stored(banded.filter(~F.col("base_failed") & (F.col("nats") > F.col("high"))).select("doc_id", "lang", "text_key"), "above")
     looked = stored(_second_look(docs, model, above), "secondLook").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text_key").alias("_key"), "switched")
     joined = banded.join(small(looked, 1_000_000), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("text_key") == F.col("_key")), "left")
     inside = F.coalesce((F.col("nats") >= F.col("low")) & (F.coalesce("switched", "nats") <= F.col("high")), F.lit(True))
-    return joined.select(*columns, "base_failed", (~F.col("base_failed") & inside).alias("kept"))
+    return joined.select(*columns, "base_failed", (~F.col("base_failed") & ~F.col("word_failed") & inside).alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

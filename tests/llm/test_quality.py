@@ -75,3 +75,61 @@ def test_edge_cases(spark):
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and kept.count() == 0
     assert quality.verdicts(docs.limit(0)).count() == 0
+
+
+def prose(seed, words=100):
+    """Words in an order that a language allows, or in any order where ``seed`` is below 0."""
+    rng = np.random.default_rng(abs(seed))
+    names = [a + b for a in ("ba", "de", "fi", "go", "ku", "lam", "mer", "nos", "pil", "rut", "sa", "tev", "vo", "wim", "xe", "yol", "zan", "cor", "hul", "jet") for b in ("", "n", "ra", "st", "lo", "mi", "der", "ka", "po", "tu")]
+    at, out = int(rng.integers(200)), []
+    for _ in range(words):
+        out.append(names[at])
+        at = (at * 7 + int(rng.integers(6)) * 31 + 3) % 200
+    if seed < 0:
+        rng.shuffle(out)
+    return " ".join(out)
+
+
+def test_word_order_counts(spark):
+    rows = [(i, prose(i), "xx") for i in range(1, 301)] + [(i, prose(i), "xx") for i in range(-10, 0)]
+    got = {r["doc_id"]: r for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    # Not one of the shuffled texts passes; the class model alone let them.
+    assert not any(got[i]["kept"] for i in range(-10, 0))
+    assert sum(got[i]["kept"] for i in range(1, 301)) >= 290
+
+
+def test_word_model_matches_direct_formula(spark):
+    from hearken.llm import word_model
+
+    texts = ["the cat sat on the mat and the cat ran to the dog", "the dog sat on the mat", "a cat sat on a log and a dog ran to the log"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    read = word_model.text_of(docs)
+    got = sorted(r["word_nats"] for r in word_model.score(read, word_model.fit(read)).collect())
+    own = [Counter(zip(t.split(), t.split()[1:])) for t in texts]
+    counts = sum(own, Counter())
+    before = Counter(b for _, b in counts)
+
+    def discounts(c):
+        at = {k: sum(v == k for v in c.values()) for k in (1, 2, 3, 4)}
+        y = at[1] / max(at[1] + 2 * at[2], 1)
+        return [max(min(k - (k + 1) * y * at[k + 1] / at[k] if at[k] else 0.5, k - 0.01), 0.01) for k in (1, 2, 3)]
+
+    d, low = discounts(counts), discounts(before)
+    off = lambda c, d: d[min(c, 3) - 1] if c > 0 else 0
+    n = sum(before.values())
+    rest = sum(off(v, low) for v in before.values()) / n
+
+    def nats(mine):
+        total = 0
+        for (a, b), c in mine.items():
+            left = counts[a, b] - c
+            every = sum(v for (x, _), v in counts.items() if x == a)
+            free = every - sum(v for (x, _), v in mine.items() if x == a)
+            p = (before[b] - off(before[b], low)) / n + rest / len(before)
+            if free > 0:
+                p = min(max(left - off(left, d), 0) / free + sum(off(v, d) for (x, _), v in counts.items() if x == a) / every * p, 1)
+            total -= c * math.log(p)
+        return total / sum(mine.values())
+
+    assert np.allclose(got, sorted(map(nats, own)))

@@ -3,18 +3,17 @@
 Two models: one of words (``word_model``), which sees their order, and one of character classes,
 which sees how words are spelt.
 
-Class model. Spark counts 4-grams of character classes (``CLASSES`` of them, over UTF-8 bytes) for each
-language over all documents; continuation counts, the three discounts, the discounted shares and
-the back-off weights of every order are DataFrame aggregations of those counts. The shares arrive
-as arrays sorted by the packed n-gram (six bits a class), and a task unfolds those of a language to
-rows by context. A language has at most 64**4 n-grams however large the corpus, and the arrays are
-broadcast only up to ``MOST_ENTRIES`` in all; beyond it the model keeps one order less, and so on.
+Class model. Spark counts 4-grams of character classes (``CLASSES`` of them, over UTF-8 bytes) for
+each language over all documents; continuation counts, the three discounts, the discounted shares
+and the back-off weights of every order are DataFrame aggregations of those counts. The numbers stay
+in a stored table. Texts are dealt by language and slot of about ``SLOT`` bytes and meet the numbers
+of that language alone, which a task unfolds to rows by context. The order is the same at any size.
 
 Verdict. The nats a word (the logarithm of the perplexity) of each text under its language's model;
 per language the median over all texts is the band's middle, and its half-width is a share of the
 median plus the noise of a text of that length. Texts below are rejected. Those above get a second
 look, as they may change languages: every stretch of ``STRETCH`` n-grams counts under the one of
-the ``MOST_SWITCHED`` largest languages that suits it best, and texts still above are rejected.
+all learned languages that suits it best, and texts still above are rejected.
 Texts above the band of the word model (nats a pair of words) get a second look likewise, each pair
 under the language that suits it best. The word model has no lower limit: copies make it low.
 
@@ -38,11 +37,11 @@ from hearken.llm.shared import small, stored
 
 CLASSES = 64
 ORDER = 4
-MOST_ENTRIES = 4_000_000
 LEAST_TEXTS = 50
 SHARE, NOISE = 0.25, 2.5
 SLICE = 1 << 20
-STRETCH, MOST_SWITCHED = 256, 8
+STRETCH = 256
+SLOT = 8 << 20
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
 
@@ -138,27 +137,28 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return out
 
 
-def fit(docs: DataFrame, most_entries: int = MOST_ENTRIES) -> dict:
-    """{'order', 'arrays': {lang: {(n, part): (sorted n-grams, values)}}}, at most ``most_entries`` numbers."""
-    counts, order = stored(gram_counts(docs), "gramCounts"), ORDER
-    model = stored(kneser_ney(counts, order), "kneserNey")
-    while model.count() > most_entries and order > 1:
-        order -= 1
-        counts = stored(counts.groupBy("lang", F.shiftright("gram", 6).alias("gram")).agg(F.sum("c").alias("c")), "gramCounts")
-        model = stored(kneser_ney(counts, order), "kneserNey")
-    if model.count() > most_entries:
-        raise ValueError("too many languages for one model; give a column of fewer")
-    found = model.select("lang", (2 * F.col("n") + (F.col("part") == "weight").cast("int")).alias("kind"), "gram", F.col("v").cast("float").alias("v")).toArrow()
-    langs = found["lang"].combine_chunks().dictionary_encode()
-    code, kind, gram, v = np.asarray(langs.indices), *(found[c].to_numpy() for c in ("kind", "gram", "v"))
-    arrays: dict = {}
-    for k, lang in enumerate(langs.dictionary.to_pylist()):
-        for n in range(1, order + 1):
-            for w, part in enumerate(("share", "weight")):
-                at = np.flatnonzero((code == k) & (kind == 2 * n + w))
-                at = at[np.argsort(gram[at])]
-                arrays.setdefault(lang, {})[(n, part)] = (gram[at], v[at])
-    return {"order": order, "arrays": arrays}
+def learn(docs: DataFrame) -> DataFrame:
+    """(lang, kind, gram, v), stored: the model's numbers; kind is twice the order, and one more for weights."""
+    model = kneser_ney(stored(gram_counts(docs), "gramCounts"))
+    return stored(model.select("lang", (2 * F.col("n") + (F.col("part") == "weight").cast("int")).alias("kind"), "gram", F.col("v").cast("float").alias("v")), "kneserNey")
+
+
+def _arrays(kind: np.ndarray, gram: np.ndarray, v: np.ndarray) -> dict:
+    """{(n, part): (sorted n-grams, values)} of one language."""
+    found = {}
+    for n in range(1, ORDER + 1):
+        for w, part in enumerate(("share", "weight")):
+            at = np.flatnonzero(kind == 2 * n + w)
+            at = at[np.argsort(gram[at])]
+            found[(n, part)] = (gram[at], v[at])
+    return found
+
+
+def fit(docs: DataFrame) -> dict:
+    """{'order', 'arrays': {lang: {(n, part): (sorted n-grams, values)}}}: a model of a few languages in
+    memory. The verdicts do without it."""
+    found = learn(docs).toPandas()
+    return {"order": ORDER, "arrays": {lang: _arrays(*(rows[c].to_numpy() for c in ("kind", "gram", "v"))) for lang, rows in found.groupby("lang")}}
 
 
 class Scorer:
@@ -222,50 +222,64 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured(docs: DataFrame, model: dict) -> DataFrame:
+KEYS = ("doc_id", "lang", "text_key")
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64("text").alias("text_key"), "text")
+
+
+def _scorer(numbers: pa.Table) -> Scorer | None:
+    return Scorer(_arrays(*(numbers[c].to_numpy() for c in ("kind", "gram", "v"))), ORDER) if numbers.num_rows else None
+
+
+def _meeting(texts: DataFrame, model: DataFrame, by: str, work, schema: str) -> DataFrame:
+    """``work(texts, scorer)`` over the texts of each language, as the column ``by`` has it, in slots of
+    about ``SLOT`` bytes, so that a large language is dealt over many tasks."""
+    slots = stored(texts.groupBy(by).agg(F.ceil(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64) / SLOT).cast("long").alias("slots")), "slots")
+    few = small(slots, 100_000)
+    placed = texts.withColumn("row", F.monotonically_increasing_id()).join(few, by).withColumn("slot", F.expr("row % slots")).drop("row", "slots")
+    numbers = model.withColumnRenamed("lang", by).join(few, by).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots")
+    met = placed.groupBy(by, "slot").cogroup(numbers.groupBy(by, "slot"))
+    return met.applyInArrow(lambda left, right: work(left, _scorer(right)), schema)
+
+
+def measured(docs: DataFrame, model: DataFrame) -> DataFrame:
     """doc_id, lang, text_key, the base counts, nats a word (null where not scored), stored."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers: dict[str, Scorer] = {}
-        for batch in batches:
-            counts, nats = [], []
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                counts.append(base_counts(text or ""))
-                if lang not in scorers:
-                    scorers[lang] = Scorer(shared.value["arrays"][lang], shared.value["order"]) if lang in shared.value["arrays"] else None
-                total, n = scorers[lang].nats((text or "").encode()) if scorers[lang] else (0.0, 0)
-                nats.append(total / counts[-1][0] if n and counts[-1][0] else None)
-            kept = [batch.column(c) for c in ("doc_id", "lang", "text_key")]
-            yield pa.RecordBatch.from_arrays([*kept, *[pa.array([c[i] for c in counts], pa.int64()) for i in range(5)], pa.array(nats, pa.float64())], names=["doc_id", "lang", "text_key", *COUNTS, "nats"])
+
+    def measure(rows: pa.Table, scorer: Scorer | None) -> pa.Table:
+        counts, nats = [], []
+        for text in rows["text"].to_pylist():
+            counts.append(base_counts(text or ""))
+            total, n = scorer.nats((text or "").encode()) if scorer else (0.0, 0)
+            nats.append(total / counts[-1][0] if n and counts[-1][0] else None)
+        return pa.table([*[rows[c] for c in KEYS], *[pa.array([c[i] for c in counts], pa.int64()) for i in range(5)], pa.array(nats, pa.float64())], names=[*KEYS, *COUNTS, "nats"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    read = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64("text").alias("text_key"), "text")
-    return stored(read.mapInArrow(measure, f"doc_id {kind}, lang string, text_key long, {', '.join(f'{c} long' for c in COUNTS)}, nats double"), "measured")
+    schema = f"doc_id {kind}, lang string, text_key long, {', '.join(f'{c} long' for c in COUNTS)}, nats double"
+    return stored(_meeting(_read(docs), model, "lang", measure, schema), "measured")
 
 
-def _second_look(docs: DataFrame, model: dict, above: DataFrame) -> DataFrame:
+def _second_look(docs: DataFrame, model: DataFrame, above: DataFrame) -> DataFrame:
     """(doc_id, lang, text_key, switched): nats a word of the texts ``above`` where each stretch may be
-    in the language that suits it best."""
-    largest = sorted(model["arrays"], key=lambda k: -sum(len(g) for g, _ in model["arrays"][k].values()))[:MOST_SWITCHED]
-    shared = docs.sparkSession.sparkContext.broadcast({"order": model["order"], "arrays": {k: model["arrays"][k] for k in largest}})
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers = [Scorer(a, shared.value["order"]) for a in shared.value["arrays"].values()]
-        for batch in batches:
-            found = []
-            for text in batch.column("text").to_pylist():
-                raw = text.encode()
-                total = sum(float(np.min([s.stretches(g) for s in scorers], axis=0).sum()) for g in _grams(raw, shared.value["order"]))
-                found.append(total / max(len(raw.split()), 1))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "lang", "text_key")], pa.array(found, pa.float64())], names=["doc_id", "lang", "text_key", "switched"])
+    in the language, of all learned, that suits it best."""
+
+    def look(rows: pa.Table, scorer: Scorer | None) -> pa.Table:
+        found, words = [], []
+        for text in rows["text"].to_pylist():
+            raw = text.encode()
+            found.append([float(x) for g in _grams(raw) for x in scorer.stretches(g)] if scorer else [])
+            words.append(max(len(raw.split()), 1))
+        return pa.table([*[rows[c] for c in KEYS], pa.array(words, pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=[*KEYS, "words", "found"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keys = small(above.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text_key").alias("_key")).distinct(), 1_000_000)
-    read = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64("text").alias("text_key"), "text")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("text_key") == F.col("_key"))
-    texts = read.join(keys, same, "left_semi")
-    return texts.mapInArrow(look, f"doc_id {kind}, lang string, text_key long, switched double").dropDuplicates(["doc_id", "lang", "text_key"])
+    texts = stored(_read(docs).join(keys, same, "left_semi").dropDuplicates(list(KEYS)), "textsAbove")
+    asked = texts.crossJoin(F.broadcast(model.select(F.col("lang").alias("under")).distinct()))
+    seen = _meeting(asked, model, "under", look, f"doc_id {kind}, lang string, text_key long, words long, found array<double>")
+    best = seen.select(*KEYS, "words", F.posexplode("found").alias("at", "x")).groupBy(*KEYS, "at").agg(F.min("x").alias("x"), F.first("words").alias("words"))
+    return best.groupBy(*KEYS).agg((F.sum("x") / F.first("words")).alias("switched"))
 
 
 def _bands(scored: DataFrame, value: str) -> DataFrame:
@@ -291,9 +305,9 @@ def _word_scores(docs: DataFrame, found: DataFrame) -> DataFrame:
     return stored(joined.withColumn("word_failed", F.coalesce(F.col("word_switched") > F.col("high"), F.lit(False))).drop("key", "high", "word_switched"), "wordVerdicts")
 
 
-def verdicts(docs: DataFrame, most_entries: int = MOST_ENTRIES) -> DataFrame:
+def verdicts(docs: DataFrame) -> DataFrame:
     """One row a document row: doc_id, lang, text_key, the counts, nats, word_nats, base_failed, kept."""
-    model = fit(docs, most_entries)
+    model = learn(docs)
     found = _word_scores(docs, measured(docs, model))
     bands = _bands(found, "nats")
     half = SHARE * F.col("middle") + NOISE * F.col("noise") / F.sqrt(F.greatest("n_words", F.lit(1)))

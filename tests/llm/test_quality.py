@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from hearken.llm import quality
 from hearken.llm.queries import QUERIES
@@ -133,3 +134,32 @@ def test_word_model_matches_direct_formula(spark):
         return total / sum(mine.values())
 
     assert np.allclose(got, sorted(map(nats, own)))
+
+
+def test_scores_by_slot_match_the_model_in_memory(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SLOT", 50_000)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    arrays = quality.fit(docs)["arrays"]
+    scorers = {lang: quality.Scorer(a, quality.ORDER) for lang, a in arrays.items()}
+    got = {r["doc_id"]: r["nats"] for r in quality.measured(docs, quality.learn(docs)).collect()}
+    for doc in docs.collect():
+        words = len(re.findall(SP, doc["text"] or ""))
+        total, n = scorers[doc["lang"]].nats((doc["text"] or "").encode())
+        assert got[doc["doc_id"]] == (None if not n or not words else total / words) or abs(got[doc["doc_id"]] - total / words) < 1e-9
+
+
+def test_second_look_has_every_language(spark):
+    def text(k, seed, words=120):
+        """Words of the k-th language, of which the ninth and tenth have the fewest."""
+        letters, rng = np.random.default_rng(k), np.random.default_rng(1000 + 100 * k + seed)
+        names = ["".join(chr(97 + int(i)) for i in letters.integers(0, 26, 6)) for _ in range(60 if k < 8 else 20)]
+        return " ".join(names[int(i)] for i in rng.integers(0, len(names), words))
+
+    known = spark.createDataFrame([(100 * k + i, text(k, i), f"l{k}") for k in range(10) for i in range(30)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(800, text(8, 0), "l8"), (5000, text(8, 99) + " " + text(9, 99), "l8")], known.schema)
+    above = docs.filter("doc_id = 5000").select("doc_id", "lang", F.xxhash64("text").alias("text_key"))
+    model = quality.learn(known)
+    nats = {r["doc_id"]: r["nats"] for r in quality.measured(docs, model).collect()}
+    switched = quality._second_look(docs, model, above).first()["switched"]
+    # The stretch where the languages meet is in neither.
+    assert nats[5000] > 4 * nats[800] and switched < nats[5000] / 2

@@ -109,6 +109,38 @@ def infix_similarity(reference: Column, sequence: Column) -> Column:
     return F.when((F.size(reference) == 0) | (F.size(sequence) == 0), 0.0).otherwise(_bound(pair, table))
 
 
+def least_edits(reference: str, text: str) -> int:
+    """Edits between ``reference`` and the best substring of ``text``, a column of the table in the bits
+    of two numbers (Myers)."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(reference):
+        places[c] = places.get(c, 0) | 1 << i
+    every, last = (1 << len(reference)) - 1, 1 << max(len(reference) - 1, 0)
+    up, down, edits = every, 0, len(reference)
+    best = edits
+    for c in text:
+        met = places.get(c, 0)
+        across = (((met & up) + up) ^ up) | met
+        more, less = down | (every & ~(across | up)), up & across
+        edits += bool(more & last) - bool(less & last)
+        best = min(best, edits)
+        more, less = more << 1 & every, less << 1 & every
+        up, down = less | (every & ~(met | down | more)), more & (met | down)
+    return best
+
+
+@F.pandas_udf(DoubleType())
+def infix_in_text(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """``infix_similarity`` over the characters of two texts of any length; null for a null."""
+    for references, texts in parts:
+        done: dict[tuple, float | None] = {}
+        for pair in zip(references, texts, strict=True):
+            if pair not in done:
+                a, b = pair
+                done[pair] = None if a is None or b is None else max(0.0, 1 - least_edits(a, b) / len(a)) if a and b else 0.0
+        yield pd.Series([done[pair] for pair in zip(references, texts, strict=True)], dtype="float64")
+
+
 def ctc_collapse(ids: Column, blank: Column | str = "") -> Column:
     """Drop repeats of the previous frame, then special tokens; a blank parts true repeats."""
     none = blank if isinstance(blank, Column) else F.lit(blank)

@@ -146,10 +146,19 @@ def indel_ratio(spark, sf_dir):
     return scored.groupBy("keyword").agg(F.count("*").alias("n"), F.count_if(F.col("ratio") == 0).alias("n_zero"))
 
 
+@register("indel_ratio_by_token")
+def indel_ratio_by_token(spark, sf_dir):
+    """The ratio itself, of every distinct token of any length."""
+    tokens = M.word_rows(read(spark, sf_dir, "documents")).select("token").distinct()
+    wanted = spark.createDataFrame([("thing",), ("loser",), ("scum",)], "keyword string")
+    return tokens.crossJoin(F.broadcast(wanted)).select("keyword", "token", r6(T.indel_ratio(F.col("token"), F.col("keyword")), "ratio"))
+
+
 @register("infix_similarity")
 def infix_similarity(spark, sf_dir):
-    texts = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.split(F.substring("text", 1, 60), "").alias("phones"))
-    return texts.select("conv_id", "turn", r6(T.infix_similarity(F.split(F.lit("there"), ""), F.col("phones")), "similarity"))
+    """The best match of a keyword anywhere in each turn's whole text."""
+    texts = read(spark, sf_dir, "conversations")
+    return texts.select("conv_id", "turn", r6(T.infix_in_text(F.lit("there"), F.col("text")), "similarity"))
 
 
 @register("loo_similarity")

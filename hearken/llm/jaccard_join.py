@@ -29,7 +29,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from hearken.llm.shared import small, stored
 
@@ -190,21 +189,21 @@ def _postings(texts: DataFrame, often: np.ndarray, words: int, percent: int) ->
 def _lists(postings: DataFrame, percent: int) -> DataFrame:
     """(shingle, cls, n, short, band, c): postings of shingles that two classes or more share, one
     shingle for each different list of members. c counts the members."""
-    w, key = W.partitionBy("shingle"), F.xxhash64("cls", "size")
-    several = postings.select(
-        "*",
-        F.count("*").over(w).alias("c"),
-        F.min("cls").over(w).alias("lo"),
-        F.max("cls").over(w).alias("hi"),
-        F.bit_xor(key).over(w).alias("members"),
-        F.sum(key % (1 << 40)).over(w).alias("members2"),
+    key = F.xxhash64("cls", "size")
+    # Sums that combine before the exchange, so that no task reads the whole list of a hot shingle.
+    several = postings.groupBy("shingle").agg(
+        F.count("*").alias("c"),
+        F.min("cls").alias("lo"),
+        F.max("cls").alias("hi"),
+        F.bit_xor(key).alias("members"),
+        F.sum(key % (1 << 40)).alias("members2"),
     )
-    several = stored(several.filter("lo < hi").drop("lo", "hi"), "several")
+    several = several.filter("lo < hi").drop("lo", "hi")
     # Near copies share most of their prefix; their lists are the same for many shingles.
-    chosen = several.groupBy("c", "members", "members2").agg(F.min("shingle").alias("shingle"))
+    chosen = stored(several.groupBy("c", "members", "members2").agg(F.min("shingle").alias("shingle")).select("shingle", "c"), "chosen")
     n = F.shiftright("size", 1)
     band = F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    return stored(several.join(chosen.select("shingle"), "shingle").select("shingle", "cls", n.alias("n"), (F.col("size") % 2 == 1).alias("short"), band.alias("band"), "c").distinct(), "lists")
+    return stored(postings.join(small(chosen, MOST_BROADCAST), "shingle").select("shingle", "cls", n.alias("n"), (F.col("size") % 2 == 1).alias("short"), band.alias("band"), "c").distinct(), "lists")
 
 
 def _pair(a: str, b: str) -> list:
@@ -327,7 +326,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, often: int = OFTEN, large: int = LARGE, most_often: int = MOST_OFTEN) -> DataFrame:
-    """One row a document row: doc_id, text_key, n_shingles, component_id."""
+    """One row a document row: doc_id, text_key, n_shingles, component_id, and comp, the component itself:
+    ids may be null or repeat. comp is null for rows of no shingle."""
     described = _describe(docs, words)
     sets = described.filter("cls IS NOT NULL")
     first = sets.groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "text_key")).alias("r"))
@@ -370,9 +370,9 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, often: i
     comp = components(linked.unionByName(rest))
     of_class = classes.select("cls", "least").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     ids = of_class.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = of_class.join(ids, "comp").select("cls", "component_id")
+    named = of_class.join(ids, "comp").select("cls", "comp", "component_id")
     out = described.join(named, "cls", "left")
-    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce(F.col("component_id"), F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce(F.col("component_id"), F.col("doc_id")).alias("component_id"), "comp")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -380,10 +380,10 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     of rows that repeat both id and text one stays."""
     found = groups(docs, words, percent)
     # Keys that must go, and keys that several rows have: few beside all rows.
-    keyed = found.filter("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"), F.first("component_id").alias("component_id"))
+    keyed = found.filter("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"), F.first("comp").alias("comp"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    first = keyed.groupBy("component_id").agg(F.min(order).alias("first"))
-    marked = keyed.join(first, keyed["component_id"].eqNullSafe(first["component_id"])).withColumn("gone", order != F.col("first"))
+    first = keyed.groupBy("comp").agg(F.min(order).alias("first"))
+    marked = keyed.join(first, "comp").withColumn("gone", order != F.col("first"))
     odd = small(stored(marked.filter("gone OR rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone")), "goes"), MOST_BROADCAST)
     text_key = F.xxhash64(docs["text"])
     joined = docs.join(odd, docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key == F.col("_key")), "left").filter(~F.coalesce("_gone", F.lit(False)))

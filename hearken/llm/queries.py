@@ -42,7 +42,7 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.groups(table(spark, sf_dir, "documents")).drop("text_key")
+    return jaccard_join.groups(table(spark, sf_dir, "documents")).drop("text_key", "comp")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

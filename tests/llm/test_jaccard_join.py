@@ -110,3 +110,22 @@ def test_bit_counts_bound_the_overlap():
         both = len(set(x.tolist()) & set(y.tolist()))
         if 100 * both >= 80 * (len(x) + len(y) - both):
             assert J.may_link(J.bitmap(x), len(x), J.bitmap(y), len(y))
+
+
+def test_one_of_each_goes_by_component_and_not_by_id(spark):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(50)) for k in "abc")
+    schema = "doc_id long, text string"
+
+    def kept(rows):
+        return sorted((str(r["doc_id"]), r["text"][0]) for r in J.one_of_each(spark.createDataFrame(rows, schema)).collect())
+
+    # Unrelated texts without an id both stay.
+    assert kept([(None, one), (None, two), (None, two)]) == [("None", "a"), ("None", "b")]
+    # So do two texts of one id; the second text's copy under another id goes.
+    assert kept([(7, one), (7, two), (12, two), (9, three)]) == [("7", "a"), ("7", "b"), ("9", "c")]
+
+
+def test_lists_of_members(spark):
+    rows = spark.createDataFrame([(1, c, 20 + c % 2) for c in range(30)] + [(2, c, 20 + c % 2) for c in range(30)] + [(3, 5, 21), (4, 5, 21), (4, 6, 20)], "shingle long, cls long, size long")
+    got = [tuple(r) for r in J._lists(rows, 80).select("shingle", "cls", "n", "short", "c").collect()]
+    assert sorted(got) == sorted([(1, c, 10, c % 2 == 1, 30) for c in range(30)] + [(4, 5, 10, True, 2), (4, 6, 10, False, 2)])

@@ -22,10 +22,12 @@ def raw_words(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """array<struct<raw, token>> of words whose normal form is not empty. A word whose normal form has
-    inner white space keeps the first part; words that normalize to nothing close up."""
-    pairs = F.transform(raw_words(text), lambda w: F.struct(w.alias("raw"), F.element_at(F.split(F.trim(normalized(w)), r"\s+"), 1).alias("token")))
-    return F.filter(pairs, lambda p: p["token"] != "")
+    """array<struct<raw, token>> of words whose normal form is not empty; words that normalize to nothing
+    close up. Both arrays come from one pass over the whole text: words without a letter, digit or
+    underscore are taken out first, so that the others keep their places in the normal form."""
+    whole = F.coalesce(text, F.lit(""))
+    raw = raw_words(F.regexp_replace(whole, r"(?<!\S)[^\p{L}\p{N}_\s]+(?!\S)", ""))
+    return F.arrays_zip(raw.alias("raw"), raw_words(normalized(whole)).alias("token"))
 
 
 def token_set(text: Column) -> Column:
@@ -42,6 +44,13 @@ def chunk_index(path: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(path, r"_(\d+)\.[^./]*$", 1), F.lit("")).cast("int"), F.lit(0))
 
 
+def keyword_of(path: Column) -> Column:
+    """The keyword of a clip's file name: what follows the last hyphen, up to the index or extension. Of a
+    name whose words are joined by hyphens that is the last word."""
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(_\d+)?\.[^.]*$", "")
+    return F.substring_index(name, "-", -1)
+
+
 def snippet(text: Column, most: int = 48) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
 
@@ -293,3 +302,28 @@ def numbers_expanded(text: str) -> str:
         return spelled(n) if n < 10**15 else " ".join(spelled(int(d)) for d in m[0])
 
     return re.sub(r"\d+", integer, text)
+
+
+@F.pandas_udf(StringType())
+def numbers_as_words(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """``numbers_expanded`` of a column; null for null."""
+    for texts in parts:
+        yield texts.map(lambda t: None if t is None else numbers_expanded(t))
+
+
+#: The graphemes of the pronunciation model by id, three signs before the letters.
+GRAPHEMES = ["<pad>", "<unk>", "</s>", *"abcdefghijklmnopqrstuvwxyz"]
+
+
+def grapheme_ids(text: Column) -> Column:
+    """Ids of a text's characters; those that the model does not have get the id of the unknown."""
+    unknown, first = GRAPHEMES.index("<unk>"), GRAPHEMES.index("a")
+    code = lambda c: F.ascii(c) - ord("a") + first
+    return F.transform(F.split(text, ""), lambda c: F.when(c.rlike("^[a-z]$"), code(c)).otherwise(F.lit(unknown)))
+
+
+def homographs(lines: Column) -> Column:
+    """struct<head, first, second, pos> of a line HEAD|PRON1|PRON2|POS; null for comments and others."""
+    parts = F.split(lines, r"\|")
+    entry = F.struct(F.lower(F.trim(parts[0])).alias("head"), F.split(F.trim(parts[1]), " ").alias("first"), F.split(F.trim(parts[2]), " ").alias("second"), F.trim(parts[3]).alias("pos"))
+    return F.when(~F.trim(lines).startswith("#") & (F.size(parts) == 4), entry)

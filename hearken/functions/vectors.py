@@ -35,6 +35,12 @@ def rms(v: Column) -> Column:
     return F.sqrt(dot(v, v) / F.size(v))
 
 
+def rms_change(before: Column, after: Column) -> list[Column]:
+    """RMS before and after, and the change in percent of the first, taken as 1e-9 at least."""
+    first, last = rms(before), rms(after)
+    return [first, last, 100 * (last - first) / F.greatest(first, F.lit(1e-9))]
+
+
 def blend(a: Column, b: Column, alpha: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: alpha * x + (1 - alpha) * y)
 

@@ -26,6 +26,36 @@ def by_class_and_total(rows: DataFrame, by: str, empty_precision: float = 0.0) -
     return counts.select(by, "tp", "fp", "fn", *rates(F.col("tp"), F.col("fp"), F.col("fn"), empty_precision))
 
 
+def micro_macro(counts: DataFrame, empty_precision: float = 0.0) -> DataFrame:
+    """One row: rates of the summed counts, and means of the classes' rates."""
+    each = counts.select("tp", "fp", "fn", *rates(F.col("tp"), F.col("fp"), F.col("fn"), empty_precision))
+    sums = each.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], *[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
+    micro = [c.alias(f"micro_{n}") for c, n in zip(rates(F.col("tp"), F.col("fp"), F.col("fn"), empty_precision), ("precision", "recall", "f1"), strict=True)]
+    return sums.select(*micro, "macro_precision", "macro_recall", "macro_f1")
+
+
+def predictions_on_chunks(chunks: DataFrame, predictions: DataFrame, by: list[str]) -> DataFrame:
+    """chunks + (predicted, best_score): a chunk without a prediction is predicted false. ``predictions``
+    has ``by``, predicted and best_score, one row a chunk at most."""
+    found = predictions.select(*by, F.col("predicted").alias("_p"), F.col("best_score").alias("_s"))
+    return chunks.join(found, by, "left").withColumn("predicted", F.coalesce("_p", F.lit(False))).withColumn("best_score", F.col("_s")).drop("_p", "_s")
+
+
+def repeated_confusion(detections: DataFrame, truth: DataFrame, durations: DataFrame, by: str, piece: int = 5) -> DataFrame:
+    """by + (tp, fp, tn, fn) where detections of one chunk count as often as they were logged. True
+    negatives are of whole pieces only: a short last chunk is none. Tables have (by, chunk_idx),
+    (by, chunk_idx) and (by, duration)."""
+    marked = detections.join(truth.select(by, "chunk_idx", F.lit(True).alias("_t")).distinct(), [by, "chunk_idx"], "left")
+    hits = marked.groupBy(by).agg(F.count_if(F.col("_t")).alias("tp"), F.count_if(F.col("_t").isNull()).alias("fp"))
+    seen = detections.select(by, "chunk_idx").distinct()
+    missed = truth.select(by, "chunk_idx").distinct().join(seen, [by, "chunk_idx"], "left_anti").groupBy(by).agg(F.count("*").alias("fn"))
+    whole = F.floor(F.col("duration") / piece)
+    taken = seen.unionByName(truth.select(by, "chunk_idx")).distinct().join(durations, by).filter((F.col("chunk_idx") >= 0) & (F.col("chunk_idx") < whole)).groupBy(by).agg(F.count("*").alias("_taken"))
+    out = durations.join(hits, by, "left").join(missed, by, "left").join(taken, by, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return out.select(by, zero("tp").alias("tp"), zero("fp").alias("fp"), (whole.cast("long") - zero("_taken")).alias("tn"), zero("fn").alias("fn"))
+
+
 def best_f1(scored: DataFrame, by: list[str]) -> DataFrame:
     """by + threshold, f1, tp, fp: over each distinct score as threshold; of equal F1 the lowest."""
     steps = scored.groupBy(*by, "score").agg(F.count_if("truth").alias("t"), F.count_if(~F.col("truth")).alias("f"))

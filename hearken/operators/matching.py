@@ -1,27 +1,40 @@
-"""Keyword matching over word rows: windows, the match cascade, suppression in time."""
+"""Keyword matching over word streams: windows, the match cascade, suppression in time.
+
+A stream table has a row for each chunk or text: its key columns and ``ws``, the words that a
+recognizer returned, as ``array<struct<raw, token, start_ms, end_ms, score>>`` in order.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hearken.functions import text as T
+from hearken.functions.models import complete_words
+from hearken.operators.sizes import small
 
-#: Targets are configuration: beyond this many they are joined by shuffle.
-MOST_TARGETS = 100_000
+#: Keywords up to which their grams are looked up in the expression, before the join.
+LOOKED_UP = 10_000
 WEIGHTS = {"exact": 1.0, "phonetic": 0.9}
 
 
-def word_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, raw, token, start_ms, end_ms, score_c): a deterministic word stream from texts."""
-    words = docs.select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "w")).select("doc_id", "pos", "w.raw", "w.token")
-    return words.select(
-        "*",
-        (F.col("pos") * 400).alias("start_ms"),
-        (F.col("pos") * 400 + 350).alias("end_ms"),
-        (50 + (F.col("doc_id") * 31 + F.col("pos") * 17) % 50).alias("score_c"),
-    )
+def recognized(chunks: DataFrame, words: str = "words") -> DataFrame:
+    """A stream table from a recognizer's ``array<struct<word, start, end, score>>`` in seconds. Words
+    that lack a field or normalize to nothing go, and the others close up."""
+    token = lambda w: F.element_at(F.split(F.trim(T.normalized(w["word"])), r"\s+"), 1)
+    milli = lambda x: F.round(x * 1000).cast("long")
+    ws = F.transform(complete_words(F.col(words)), lambda w: F.struct(w["word"].alias("raw"), token(w).alias("token"), milli(w["start"]).alias("start_ms"), milli(w["end"]).alias("end_ms"), w["score"].cast("double").alias("score")))
+    return chunks.withColumn("ws", F.filter(ws, lambda w: w["token"] != "")).drop(words)
+
+
+def word_rows(streams: DataFrame) -> DataFrame:
+    """A row for each word: the stream's columns, pos, and the word's."""
+    keys = [c for c in streams.columns if c != "ws"]
+    return streams.select(*keys, F.posexplode("ws").alias("pos", "w")).select(*keys, "pos", "w.*")
 
 
 def targets(spark, keywords: list[str]) -> DataFrame:
@@ -34,71 +47,111 @@ def targets(spark, keywords: list[str]) -> DataFrame:
     return listed.join(codes, "keyword")
 
 
-def windows(words: DataFrame, n: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Every run of ``n`` words of a stream, from per-stream arrays, so without a sort of all words."""
-    columns = ["pos", "raw", "token", "start_ms", "end_ms", "score_c", *extra]
-    per_doc = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("ws")).filter(F.size("ws") >= n)
-    at = per_doc.select("doc_id", "ws", F.explode(F.sequence(F.lit(1), F.size("ws") - n + 1)).alias("i"))
-    return at.select("doc_id", (F.col("i") - 1).alias("pos"), F.slice("ws", F.col("i"), n).alias("w"))
-
-
-def ngrams(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, pos, gram, context) inside each text's row, without any shuffle."""
-    found = docs.select("doc_id", T.tokens(F.col("text")).alias("ws")).filter(F.size("ws") >= n)
-    at = found.select("doc_id", "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - n)).alias("pos"))
-    part = F.slice("ws", F.col("pos") + 1, n)
-    return at.select("doc_id", "pos", F.array_join(part["token"], " ").alias("gram"), F.array_join(part["raw"], " ").alias("context"))
-
-
-def _mean_score(pos: Column, n: int) -> Column:
-    total = F.lit(0)
-    for k in range(n):
-        total = total + 50 + (F.col("doc_id") * 31 + (pos + k) * 17) % 50
-    return total / F.lit(n * 100.0)
-
-
-def exact_matches(docs: DataFrame, keywords: DataFrame, lengths: list[int]) -> DataFrame:
-    """Detections of exact matches: an equi-join on the joined tokens, one pass for each length."""
-    out = None
-    wanted = keywords.select("keyword", F.array_join("tokens", " ").alias("gram"), "n")
-    for n in lengths:
-        grams = ngrams(docs, n)
-        hit = grams.join(F.broadcast(wanted.filter(F.col("n") == n).limit(MOST_TARGETS)), "gram")
-        hit = hit.select("doc_id", "pos", "keyword", (F.col("pos") * 400).alias("start_ms"), ((F.col("pos") + n - 1) * 400 + 350).alias("end_ms"), _mean_score(F.col("pos"), n).alias("confidence"), F.lit("exact").alias("match_type"), "context")
-        out = hit if out is None else out.unionByName(hit)
-    return out
-
-
-def cascade_matches(words: DataFrame, keywords: DataFrame, lengths: list[int], fuzzy_ratio: float = 85.0, least_confidence: float = 0.5) -> DataFrame:
+def _grams(ws: Column, n: int) -> Column:
+    """array<struct<pos, w>>: every run of ``n`` words; none where there are fewer."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.struct((i - 1).alias("pos"), F.slice(ws, i, n).alias("w")))
+    return F.when(F.size(ws) >= n, runs)
+
+
+def ngrams(streams: DataFrame, n: int) -> DataFrame:
+    """keys + (pos, gram, context) inside each stream's row, without any shuffle. Only the runs of words
+    leave the row, not the row's whole array with each of them."""
+    keys = [c for c in streams.columns if c != "ws"]
+    at = streams.select(*keys, F.explode(_grams(F.col("ws"), n)).alias("g"))
+    part = F.col("g.w")
+    return at.select(*keys, "g.pos", F.array_join(part["token"], " ").alias("gram"), F.array_join(part["raw"], " ").alias("context"))
+
+
+def exact_matches(streams: DataFrame, keywords: DataFrame, lengths: list[int]) -> DataFrame:
+    """Detections of exact matches, of all lengths in one pass: runs of words that begin like a keyword,
+    joined to the keywords by their text. Confidence is the mean word score."""
+    keys = [c for c in streams.columns if c != "ws"]
+    wanted = keywords.filter(F.col("n").isin(lengths)).select("keyword", F.array_join("tokens", " ").alias("gram"))
+    listed = [r["gram"] for r in wanted.select("gram").distinct().limit(LOOKED_UP + 1).collect()]
+    starts = sorted({g.split(" ")[0] for g in listed})
+    ws = F.col("ws")
+    if len(listed) <= LOOKED_UP:
+        begins = F.filter(F.transform(ws, lambda w, i: F.when(w["token"].isin(starts), i + 1)), lambda i: i.isNotNull())
+    else:
+        begins = F.when(F.size(ws) > 0, F.sequence(F.lit(1), F.size(ws)))
+    rows = streams.withColumn("_begins", begins).filter(F.size("_begins") > 0)
+
+    def runs(n: int) -> Column:
+        whole = F.filter("_begins", lambda i: i + (n - 1) <= F.size("ws"))
+        return F.transform(whole, lambda i: F.struct((i - 1).alias("pos"), F.slice("ws", i, n).alias("w")))
+
+    at = rows.select(*keys, F.explode(F.concat(*map(runs, lengths))).alias("g")).select(*keys, "g.pos", "g.w").withColumn("gram", F.array_join(F.col("w.token"), " "))
+    hit = at.join(small(wanted), "gram")
+    mean = F.aggregate("w", F.lit(0.0), lambda s, x: s + x["score"]) / F.size("w")
+    return hit.select(*keys, "pos", "keyword", F.element_at("w", 1)["start_ms"].alias("start_ms"), F.element_at("w", -1)["end_ms"].alias("end_ms"), mean.alias("confidence"), F.lit("exact").alias("match_type"), F.array_join(F.col("w.raw"), " ").alias("context"))
+
+
+def _verdict(fuzzy_ratio: float, phonetic: bool):
+    """(tokens, wanted, codes) to the kind of match and the mean ratio of the places."""
+
+    def judged(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        ratios: dict[tuple[str, str], float] = {}
+        codes_of: dict[str, str] = {}
+
+        def ratio(a: str, b: str) -> float:
+            if (a, b) not in ratios:
+                ratios[a, b] = 200.0 * T.common_length(a, b) / (len(a) + len(b))
+            return ratios[a, b]
+
+        def code(token: str) -> str:
+            if token not in codes_of:
+                codes_of[token] = T.metaphone(token)
+            return codes_of[token]
+
+        for tokens, wanted, codes in parts:
+            kinds, means = [], []
+            for have, want, coded in zip(tokens, wanted, codes, strict=True):
+                mean = sum(map(ratio, have, want)) / len(want)
+                if list(have) == list(want):
+                    kind = "exact"
+                elif phonetic and all(code(t) == c for t, c in zip(have, coded, strict=True)):
+                    kind = "phonetic"
+                else:
+                    kind = "fuzzy" if mean >= fuzzy_ratio else None
+                kinds.append(kind)
+                means.append(mean)
+            if len(ratios) + len(codes_of) > 500_000:
+                ratios.clear()
+                codes_of.clear()
+            yield pd.DataFrame({"kind": kinds, "ratio": means})
+
+    return F.pandas_udf(judged, "kind string, ratio double")
+
+
+def cascade_matches(streams: DataFrame, keywords: DataFrame, fuzzy_ratio: float = 85.0, least_confidence: float = 0.5, phonetic: bool = True) -> DataFrame:
     """Exact, else phonetic, else fuzzy matches, with confidence = mean word score x weight.
 
-    ``fuzzy_ratio`` is on the scale of 0 to 100. Codes and similarities are made for distinct tokens
-    that can reach the ratio by length alone, and joined back."""
-    tokens = words.select("token").distinct()
-    coded = tokens.withColumn("code", T.metaphone_code("token"))
-    wanted = keywords.select(F.explode(F.arrays_zip("tokens", "codes")).alias("k")).select(F.col("k.tokens").alias("wanted"), F.col("k.codes").alias("wanted_code")).distinct()
+    ``fuzzy_ratio`` is on the scale of 0 to 100 and holds for the mean over a keyword's words. Where the
+    mean reaches it, so does one word at least; and where all codes are equal, so are one word's. So
+    only windows that have such a word at its place are scored whole: distinct tokens are held against
+    the keywords' words, which are a stated query set, and the few pairs are joined to the streams."""
+    keys = [c for c in streams.columns if c != "ws"]
+    wanted = keywords.select("keyword", "n", F.posexplode(F.arrays_zip("tokens", "codes")).alias("k", "t")).select("keyword", "n", "k", F.col("t.tokens").alias("wanted"), F.col("t.codes").alias("wanted_code"))
+    ahead = keywords.agg(F.max("n")).first()[0] or 1
+    tokens = streams.select(F.explode("ws.token").alias("token")).distinct().withColumn("code", T.metaphone_code("token") if phonetic else F.lit(""))
     a, b = F.length("token"), F.length("wanted")
     reachable = 200.0 * F.least(a, b) / (a + b) >= fuzzy_ratio
-    pairs = coded.join(F.broadcast(wanted), reachable | (F.col("code") == F.col("wanted_code")))
-    scored = pairs.select("token", "wanted", (F.col("token") == F.col("wanted")).alias("exact"), (F.col("code") == F.col("wanted_code")).alias("phonetic"), T.indel_ratio(F.col("token"), F.col("wanted")).alias("ratio"))
-    out = None
-    for n in lengths:
-        placed = windows(words, n).select("doc_id", "pos", "w", F.posexplode("w").alias("k", "x")).select("doc_id", "pos", "w", "k", F.col("x.token").alias("token"))
-        want = keywords.filter(F.col("n") == n).select("keyword", F.posexplode("tokens").alias("k", "wanted"))
-        met = placed.join(F.broadcast(want), "k").join(scored, ["token", "wanted"], "left")
-        grouped = met.groupBy("doc_id", "pos", "keyword").agg(
-            F.first("w").alias("w"),
-            F.min(F.coalesce("exact", F.lit(False))).alias("exact"),
-            F.min(F.coalesce("phonetic", F.lit(False))).alias("phonetic"),
-            F.avg(F.coalesce("ratio", F.lit(0.0))).alias("ratio"),
-        )
-        kind = F.when(F.col("exact"), "exact").when(F.col("phonetic"), "phonetic").when(F.col("ratio") >= fuzzy_ratio, "fuzzy")
-        weight = F.when(kind == "exact", WEIGHTS["exact"]).when(kind == "phonetic", WEIGHTS["phonetic"]).otherwise(F.col("ratio") / 100)
-        score = F.aggregate("w", F.lit(0.0), lambda s, x: s + x["score_c"]) / (100.0 * n)
-        found = grouped.select("doc_id", "pos", "keyword", kind.alias("match_type"), (score * weight).alias("confidence"), F.element_at("w", 1)["start_ms"].alias("start_ms"), F.element_at("w", -1)["end_ms"].alias("end_ms"), F.array_join(F.transform("w", lambda x: x["raw"]), " ").alias("context"))
-        found = found.filter(F.col("match_type").isNotNull() & (F.col("confidence") >= least_confidence))
-        out = found if out is None else out.unionByName(found)
-    return out
+    alike = F.lit(phonetic) & (F.col("code") == F.col("wanted_code"))
+    words = small(wanted.select("wanted", "wanted_code").distinct())
+    pairs = tokens.join(words, reachable | alike).select("token", "wanted", alike.alias("alike"), T.indel_ratio(F.col("token"), F.col("wanted")).alias("r"))
+    anchors = pairs.filter((F.col("r") >= fuzzy_ratio) | F.col("alike")).join(small(wanted.drop("wanted_code")), "wanted").select("token", "keyword", "n", "k")
+    # A word with its neighbours, as far as a keyword that has it at any place may reach.
+    ws = F.col("ws")
+    from_ = lambda i: F.greatest(i - (ahead - 2), F.lit(1))
+    near = F.transform(ws, lambda w, i: F.struct(i.alias("pos"), w["token"].alias("token"), (i + 1 - from_(i)).alias("before"), F.slice(ws, from_(i), 2 * ahead - 1).alias("near")))
+    rows = streams.select(*keys, F.explode(near).alias("x")).select(*keys, "x.*")
+    met = rows.join(anchors, "token").filter((F.col("before") >= F.col("k")) & (F.col("before") - F.col("k") + F.col("n") <= F.size("near")))
+    windows = met.select(*keys, (F.col("pos") - F.col("k")).alias("pos"), "keyword", F.slice("near", F.col("before") - F.col("k") + 1, F.col("n")).alias("w")).dropDuplicates([*keys, "pos", "keyword"])
+    judged = windows.join(small(keywords.select("keyword", "tokens", "codes", "n")), "keyword").withColumn("v", _verdict(fuzzy_ratio, phonetic)(F.col("w.token"), "tokens", "codes")).filter("v.kind IS NOT NULL")
+    weight = F.when(F.col("v.kind") == "exact", WEIGHTS["exact"]).when(F.col("v.kind") == "phonetic", WEIGHTS["phonetic"]).otherwise(F.col("v.ratio") / 100)
+    score = F.aggregate("w", F.lit(0.0), lambda s, x: s + x["score"]) / F.col("n")
+    found = judged.select(*keys, "pos", "keyword", F.col("v.kind").alias("match_type"), (score * weight).alias("confidence"), F.element_at("w", 1)["start_ms"].alias("start_ms"), F.element_at("w", -1)["end_ms"].alias("end_ms"), F.array_join(F.col("w.raw"), " ").alias("context"))
+    return found.filter(F.col("confidence") >= least_confidence)
 
 
 def gap_suppressed(detections: DataFrame, by: list[str], gap_ms: int = 1000, order: tuple[str, ...] = ("keyword",)) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hearken.functions import vectors as V
+from hearken.operators.sizes import small
 
 
 def centroids(vectors: DataFrame, by: str) -> DataFrame:
@@ -21,11 +22,30 @@ def outliers_trimmed(vectors: DataFrame, by: str, least: float = 0.5, most_share
     """(by, n, n_out, trimmed): vectors below ``least`` cosine to their centroid go, if there are any
     and they are under ``most_share`` of the key's."""
     cosine = V.dot(V.as_doubles(F.col("embedding")), F.col("centroid"))
-    per_key = vectors.join(F.broadcast(centroids(vectors, by)), by).withColumn("out", cosine < least)
+    per_key = vectors.join(centroids(vectors, by), by).withColumn("out", cosine < least)
     counts = per_key.groupBy(by).agg(F.count("*").alias("n"), F.count_if("out").alias("n_out"))
     return counts.select(by, "n", "n_out", ((F.col("n_out") > 0) & (F.col("n_out") < most_share * F.col("n"))).alias("trimmed"))
 
 
+def trimmed_centroids(vectors: DataFrame, by: str, least: float = 0.5, most_share: float = 0.3) -> DataFrame:
+    """(by, n, trimmed, centroid): where some vectors lie below ``least`` cosine and these are under
+    ``most_share`` of the key's, they go and the centroid is made of the others."""
+    first = centroids(vectors, by)
+    counts = outliers_trimmed(vectors, by, least, most_share)
+    cosine = V.dot(V.as_doubles(F.col("embedding")), F.col("centroid"))
+    kept = vectors.join(first, by).join(counts.filter("trimmed").select(by), by).filter(cosine >= least).select(by, "embedding")
+    again = centroids(kept, by).withColumnRenamed("centroid", "_again")
+    return first.join(counts, by).join(again, by, "left").select(by, "n", "trimmed", F.coalesce("_again", "centroid").alias("centroid"))
+
+
+def passes(score: Column, threshold: Column | float, strict: bool = False) -> Column:
+    """Whether a score reaches its threshold, or exceeds it where ``strict``. An undefined score does
+    neither, though Spark orders it above all numbers."""
+    threshold = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    reached = score > threshold if strict else score >= threshold
+    return F.coalesce(reached & ~F.isnan(score), F.lit(False))
+
+
 def top_stats(scores: DataFrame, by: list[str], k: int = 50) -> DataFrame:
     """by + mu, sigma: mean and population deviation of the k largest scores, deviations 1e-3 at least."""
     best = W.partitionBy(*by).orderBy(F.desc("score"))
@@ -37,10 +57,10 @@ def adaptive_scores(windows: DataFrame, anchor: DataFrame, cohort: DataFrame, k:
     """(key, window_id, raw, score): 0.5 ((s - mu_a) / sigma_a + (s - mu_w) / sigma_w).
 
     ``anchor`` has (key, anchor), ``cohort`` (key, cohort): a bounded number a key, as configured."""
-    raw = windows.join(F.broadcast(anchor), "key").select("key", "window_id", "embedding", V.dot(F.col("embedding"), F.col("anchor")).alias("raw"))
-    of_anchor = top_stats(anchor.join(F.broadcast(cohort), "key").select("key", V.dot(F.col("cohort"), F.col("anchor")).alias("score")), ["key"], k)
-    of_window = top_stats(windows.join(F.broadcast(cohort), "key").select("key", "window_id", V.dot(F.col("embedding"), F.col("cohort")).alias("score")), ["key", "window_id"], k)
-    both = raw.join(F.broadcast(of_anchor.select("key", F.col("mu").alias("ma"), F.col("sigma").alias("sa"))), "key").join(of_window, ["key", "window_id"])
+    raw = windows.join(anchor, "key").select("key", "window_id", "embedding", V.dot(F.col("embedding"), F.col("anchor")).alias("raw"))
+    of_anchor = top_stats(anchor.join(cohort, "key").select("key", V.dot(F.col("cohort"), F.col("anchor")).alias("score")), ["key"], k)
+    of_window = top_stats(windows.join(cohort, "key").select("key", "window_id", V.dot(F.col("embedding"), F.col("cohort")).alias("score")), ["key", "window_id"], k)
+    both = raw.join(of_anchor.select("key", F.col("mu").alias("ma"), F.col("sigma").alias("sa")), "key").join(of_window, ["key", "window_id"])
     score = 0.5 * ((F.col("raw") - F.col("ma")) / F.col("sa") + (F.col("raw") - F.col("mu")) / F.col("sigma"))
     return both.select("key", "window_id", "raw", score.alias("score"))
 
@@ -58,7 +78,7 @@ def calibration(scores: DataFrame, by: str, percent: float = 0.99) -> DataFrame:
         F.count(pos).alias("n_pos"),
         F.count(neg).alias("n_neg"),
     )
-    reached = scores.join(F.broadcast(base.select(by, "threshold")), by).filter("positive").groupBy(by).agg(F.avg((F.col("score") >= F.col("threshold")).cast("double")).alias("recall"))
+    reached = scores.join(base.select(by, "threshold"), by).filter("positive").groupBy(by).agg(F.avg((F.col("score") >= F.col("threshold")).cast("double")).alias("recall"))
     margin = F.col("pos_mean") - F.col("threshold")
     return base.join(reached, by, "left").select("*", margin.alias("margin"), F.when(margin > 0, "OK").otherwise("overlap").alias("verdict"))
 
@@ -74,6 +94,19 @@ def nearest(queries: DataFrame, frames: DataFrame, k: int = 4) -> DataFrame:
     frames, of which every task keeps its own k best before the shuffle."""
     fq = queries.select("query_id", V.as_doubles(F.col("embedding")).alias("q"))
     ff = frames.select("frame_id", V.as_doubles(F.col("embedding")).alias("f"))
-    scored = ff.join(F.broadcast(fq), F.col("query_id") != F.col("frame_id")).select("query_id", "frame_id", V.dot(F.col("q"), F.col("f")).alias("cosine"))
+    scored = ff.join(small(fq), F.col("query_id") != F.col("frame_id")).select("query_id", "frame_id", V.dot(F.col("q"), F.col("f")).alias("cosine"))
     best = W.partitionBy("query_id").orderBy(F.desc("cosine"), "frame_id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def matched_frames(queries: DataFrame, frames: DataFrame, k: int = 4) -> DataFrame:
+    """(query_id, embedding): the mean of each query's k nearest frames, as a voice conversion takes it."""
+    near = nearest(queries, frames, k).join(frames, "frame_id")
+    placed = near.select("query_id", F.posexplode(V.as_doubles(F.col("embedding"))).alias("i", "x"))
+    means = placed.groupBy("query_id", "i").agg(F.avg("x").alias("x"))
+    return means.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
+
+
+def ranked(scored: DataFrame, by: list[str], ties: list[str]) -> DataFrame:
+    """scored + rank within ``by``, from the highest score; equals in the order of ``ties``."""
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), *ties)))

@@ -57,7 +57,7 @@ def retained(chunks: DataFrame, stream: str, keep: int = 7) -> DataFrame:
 
 def purged(chunks: DataFrame, consumed: DataFrame, stream: str) -> DataFrame:
     """Chunks outside (stream, start, end) ranges consumed; before a start all but chunk 0 go too."""
-    gone = chunks.join(F.broadcast(consumed), stream).filter(((F.col("chunk_idx") > 0) | (F.col("start") == 0)) & (F.col("chunk_idx") <= F.col("end")))
+    gone = chunks.join(consumed, stream).filter(((F.col("chunk_idx") > 0) | (F.col("start") == 0)) & (F.col("chunk_idx") <= F.col("end")))
     return chunks.join(gone.select(stream, "chunk_idx").distinct(), [stream, "chunk_idx"], "left_anti")
 
 
@@ -89,3 +89,50 @@ def rescued(detections: DataFrame, candidates: DataFrame, by: list[str], toleran
     met = keyed.withColumn("cell", F.explode("cells")).join(d, [*by, "scale", "cell"]).filter(F.abs(F.col("time") - F.col("t")) < tolerance).select("_id").distinct()
     fresh = keyed.join(met, "_id", "left_anti").drop("_id", "cells")
     return detections.withColumn("rescued", F.lit(False)).unionByName(fresh.withColumn("rescued", F.lit(True)))
+
+
+def pieces(videos: DataFrame, seconds: str, piece: int = 5) -> DataFrame:
+    """videos + (chunk_idx, start, end): pieces of whole seconds, the last one as long as is left."""
+    length = F.floor(seconds).cast("int")
+    starts = F.when(length > 0, F.sequence(F.lit(0), length - 1, F.lit(piece)))
+    cut = videos.withColumn("start", F.explode(starts))
+    return cut.select(*videos.columns, (F.col("start") / piece).cast("int").alias("chunk_idx"), "start", F.least(F.col("start") + piece, length).alias("end"))
+
+
+def window_records(rows: DataFrame, length: str, size: int, step: int) -> DataFrame:
+    """rows + (skipped, n_windows): a chunk shorter than the window keeps its record, marked as skipped."""
+    short = F.col(length) < size
+    return rows.withColumn("skipped", short).withColumn("n_windows", F.when(short, F.lit(0)).otherwise(F.floor((F.col(length) - size) / step) + 1).cast("long"))
+
+
+def deduplicated_twice(segments: DataFrame, stream: str, address: str, content: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Segments of new address and, among those, of new content; and (stream, n_skipped), how many of a
+    new address repeat a content, which is compared by its md5."""
+    fresh = first_of(segments, [stream, address], order).withColumn("_digest", F.md5(content))
+    kept = first_of(fresh, [stream, "_digest"], order).drop("_digest")
+    skipped = fresh.groupBy(stream).agg((F.count("*") - F.count_distinct("_digest")).alias("n_skipped"))
+    return kept, skipped
+
+
+def first_hits(hits: DataFrame, stream: str, reach: int = 5) -> DataFrame:
+    """stream + (chunk_idx, first, last): each stream's first hit and the chunks to cut out around it. The
+    first by index, whichever task found it earliest."""
+    found = hits.groupBy(stream).agg(F.min("chunk_idx").alias("chunk_idx"))
+    return found.select(stream, "chunk_idx", F.greatest(F.col("chunk_idx") - reach, F.lit(0)).alias("first"), (F.col("chunk_idx") + reach).alias("last"))
+
+
+def padded_span(time: Column, seconds: Column, length: Column, pad: float = 0.08, rate: int = 16000) -> list[Column]:
+    """first, last: samples of a detection with ``pad`` seconds on both sides, within the chunk."""
+    first = F.greatest(F.lit(0), ((time - pad) * rate).cast("int"))
+    return [first.alias("first"), F.least(length, ((time + seconds + pad) * rate).cast("int")).alias("last")]
+
+
+def stamped(time: Column, pattern: str = "yyyyMMdd-HHmmss") -> Column:
+    """A segment's own time as text; not the time of processing."""
+    return F.date_format(time, pattern)
+
+
+def speech_frames(samples: Column, window: int = 12400, shift: int = 1280) -> Column:
+    """Frames of a speech embedding that is padded in front by window less shift. A length that is a
+    multiple of the shift keeps its frames."""
+    return F.greatest(F.floor((samples + (window - shift) - window) / shift) + 1, F.lit(0)).cast("int")

@@ -36,12 +36,13 @@ def threshold(negatives: DataFrame, loo: DataFrame, key: str, percent: float = 0
 
 def verified(detections: DataFrame, tau: DataFrame, key: str) -> DataFrame:
     """detections + phone_verified, by the unrounded similarity; a new table, so a second run finds the same."""
-    return detections.join(F.broadcast(tau), key).withColumn("phone_verified", F.col("phone_sim") >= F.col("tau")).withColumn("phone_sim", F.round("phone_sim", 3))
+    return detections.join(tau, key).withColumn("phone_verified", F.col("phone_sim") >= F.col("tau")).withColumn("phone_sim", F.round("phone_sim", 3))
 
 
-def lengths_guarded(clips: DataFrame, key: str, seconds: str, least: float = 0.15, times: float = 1.8) -> DataFrame:
-    """Clips neither shorter than ``least`` nor longer than ``times`` their key's median."""
-    whole = clips.filter(F.col(seconds) >= least)
+def lengths_guarded(clips: DataFrame, key: str, seconds: str, least: float = 0.15, times: float = 1.8, most: float | None = None) -> DataFrame:
+    """Clips neither shorter than ``least`` nor longer than ``times`` their key's median, nor than
+    ``most`` seconds where that is given."""
+    whole = clips.filter((F.col(seconds) >= least) & (F.lit(True) if most is None else F.col(seconds) <= most))
     median = whole.groupBy(key).agg(F.percentile(seconds, 0.5).alias("_median"))
     return whole.join(median, key).filter(F.col(seconds) <= times * F.col("_median")).drop("_median")
 
@@ -59,8 +60,12 @@ def triplets(clips: DataFrame, label: str, id_: str, seed: int = 0) -> DataFrame
     ring = clips.select(label, id_, h.alias("h"))
     w = W.partitionBy(label).orderBy("h", id_)
     pairs = ring.withColumn("positive", F.lead(id_).over(w)).filter("positive IS NOT NULL")
-    heads = ring.groupBy(label).agg(F.min_by(id_, "h").alias("negative"))
-    classes = W.orderBy(label)  # one row a class
-    after = heads.withColumn("_next", F.coalesce(F.lead(label).over(classes), F.min(label).over(W.partitionBy())))
-    following = after.select(label, "_next").join(heads.select(F.col(label).alias("_next"), "negative"), "_next").filter(F.col(label) != F.col("_next"))
-    return pairs.join(F.broadcast(following.select(label, "negative")), label).select(F.col(id_).alias("anchor"), "positive", "negative")
+    heads = ring.groupBy(label).agg(F.min_by(id_, F.struct("h", id_)).alias("negative"))
+    # The next class round the ring is the smallest label above, or the smallest of all: both are
+    # minima, which combine before the exchange; no task orders all classes.
+    above = heads.select(F.col(label).alias("_next"))
+    following = heads.select(label).join(above, F.col("_next") > F.col(label)).groupBy(label).agg(F.min("_next").alias("_next"))
+    least = above.agg(F.min("_next").alias("_least"))
+    rounded = heads.select(label).join(following, label, "left").crossJoin(least).select(label, F.coalesce("_next", "_least").alias("_next")).filter(F.col(label) != F.col("_next"))
+    negatives = rounded.join(heads.select(F.col(label).alias("_next"), "negative"), "_next").select(label, "negative")
+    return pairs.join(negatives, label).select(F.col(id_).alias("anchor"), "positive", "negative")

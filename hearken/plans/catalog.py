@@ -17,6 +17,8 @@ from hearken.operators import evaluation as E
 from hearken.operators import matching as M
 from hearken.operators import scoring as S
 from hearken.operators import streams as R
+from hearken.operators import verification as VF
+from hearken.operators.sizes import small, spread
 from hearken.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,8 +69,22 @@ def _hits_sql() -> str:
 HITS = WORDS + ", hits AS (" + _hits_sql() + ")"
 
 
+def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, ws): texts as word streams, with times and scores made up from the words' places."""
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    score = lambda i: (50 + (F.col("doc_id") * 31 + i * 17) % 50) / 100.0
+    return docs.select("doc_id", F.transform(T.tokens(F.col("text")), lambda p, i: F.struct(p["raw"].alias("raw"), p["token"].alias("token"), (i * 400).alias("start_ms"), (i * 400 + 350).alias("end_ms"), score(i).alias("score"))).alias("ws"))
+
+
+def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, token), one row a word."""
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.explode(T.raw_words(T.normalized(F.coalesce("text", F.lit(""))))).alias("token"))
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.exact_matches(read(spark, sf_dir, "documents"), M.targets(spark, KEYWORDS), [1, 2, 3])
+    found = M.exact_matches(streams(spark, sf_dir), M.targets(spark, KEYWORDS), [1, 2, 3])
+    return found.withColumn("confidence", r6("confidence"))
 
 
 @register("exact_keyword_match", f"WITH {HITS} SELECT doc_id, keyword, count(*) AS n_hits, min(pos) AS first_pos, round(avg(confidence), 6) AS confidence FROM hits GROUP BY ALL")
@@ -90,12 +106,12 @@ def temporal_nms(spark, sf_dir):
 
 @register("normalize_tokens", f"WITH {WORDS} SELECT doc_id, pos, token FROM words")
 def normalize_tokens(spark, sf_dir):
-    return M.word_rows(read(spark, sf_dir, "documents")).select("doc_id", "pos", "token")
+    return M.word_rows(streams(spark, sf_dir)).select("doc_id", "pos", "token")
 
 
 @register("ngram_windows", f"WITH {WORDS}, g AS (SELECT token || ' ' || lead(token) OVER w || ' ' || lead(token, 2) OVER w AS gram, raw || ' ' || lead(raw) OVER w || ' ' || lead(raw, 2) OVER w AS context FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT gram, count(*) AS n, min(context) AS context FROM g WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) >= 3")
 def ngram_windows(spark, sf_dir):
-    grams = M.ngrams(read(spark, sf_dir, "documents"), 3)
+    grams = M.ngrams(streams(spark, sf_dir), 3)
     return grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("context")).filter("n >= 3")
 
 
@@ -106,68 +122,121 @@ c AS (SELECT word, count(*) AS n, min(doc_id) AS first_doc FROM w WHERE regexp_f
 SELECT word, n FROM c ORDER BY n DESC, first_doc, word LIMIT 20""",
 )
 def word_frequency_topn(spark, sf_dir):
-    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
+    words = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
     counts = words.filter(F.col("word").rlike("^[a-z]{3,}$") & ~F.col("word").isin(STOP)).groupBy("word").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
     return counts.orderBy(F.desc("n"), "first_doc", "word").limit(20).select("word", "n")
 
 
 @register("vocabulary_eligibility", f"WITH {WORDS} SELECT token, count(*) AS n FROM words WHERE regexp_full_match(token, '[a-z]{{3,}}') GROUP BY token HAVING count(*) >= 8")
 def vocabulary_eligibility(spark, sf_dir):
-    words = M.word_rows(read(spark, sf_dir, "documents"))
+    words = token_rows(spark, sf_dir)
     return words.filter(F.col("token").rlike("^[a-z]{3,}$")).groupBy("token").agg(F.count("*").alias("n")).filter("n >= 8")
 
 
-@register("fuzzy_keyword_match")
+def _lcs_sql(a: str, b: str) -> str:
+    """SQL for the longest common subsequence of two texts, the second of at most 60 characters: a row
+    of the table in the bits of a number."""
+    place = f"list_transform(range(1, length({b}) + 1), lambda i: CASE WHEN substr({b}, i, 1) = ch THEN CAST(1 AS BIGINT) << CAST(i - 1 AS INT) ELSE 0 END)"
+    every = f"((CAST(1 AS BIGINT) << CAST(length({b}) AS INT)) - 1)"
+    masks = f"list_transform(string_split({a}, ''), lambda ch: CAST(list_sum({place}) AS BIGINT))"
+    return f"(length({b}) - bit_count(list_reduce(list_prepend({every}, {masks}), lambda row, m: ((row + (row & m)) | (row - (row & m))) & {every})))"
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    return f"200.0 * {_lcs_sql(a, b)} / (length({a}) + length({b}))"
+
+
+def _infix_sql(ref: str, text: str) -> str:
+    """SQL for the infix similarity of a reference of at most 60 characters in a text: a column of the
+    edit table in two numbers. The folded list is [up, down, edits, least edits]; elements are [met]."""
+    place = f"list_transform(range(1, length({ref}) + 1), lambda i: CASE WHEN substr({ref}, i, 1) = ch THEN CAST(1 AS BIGINT) << CAST(i - 1 AS INT) ELSE 0 END)"
+    every, last = f"((CAST(1 AS BIGINT) << CAST(length({ref}) AS INT)) - 1)", f"(CAST(1 AS BIGINT) << CAST(length({ref}) - 1 AS INT))"
+    steps = f"list_transform(string_split({text}, ''), lambda ch: [CAST(list_sum({place}) AS BIGINT)])"
+    across = "(xor((x[1] & s[1]) + s[1], s[1]) | x[1])"
+    more, less = f"(s[2] | ({every} & ~({across} | s[1])))", f"(s[1] & {across})"
+    edits = f"(s[3] + CASE WHEN {more} & {last} <> 0 THEN 1 ELSE 0 END - CASE WHEN {less} & {last} <> 0 THEN 1 ELSE 0 END)"
+    up = f"((({less} << 1) & {every}) | ({every} & ~(x[1] | s[2] | (({more} << 1) & {every}))))"
+    down = f"((({more} << 1) & {every}) & (x[1] | s[2]))"
+    first = f"[{every}, CAST(0 AS BIGINT), CAST(length({ref}) AS BIGINT), CAST(length({ref}) AS BIGINT)]"
+    folded = f"list_reduce(list_prepend({first}, {steps}), lambda s, x: [{up}, {down}, {edits}, least(s[4], {edits})])"
+    return f"CASE WHEN {text} = '' THEN 0.0 ELSE greatest(0.0, 1 - ({folded})[4] / length({ref})) END"
+
+
+FUZZY = ["the", "thing", "loser", "scum", "of the", "is in the"]
+
+
+def _fuzzy_sql() -> str:
+    """Every window against every keyword of its length, without phonetic matches."""
+    wanted = sorted({t for k in FUZZY for t in k.split()})
+    parts = [f"WITH {WORDS}, d AS (SELECT DISTINCT token FROM words), r AS (SELECT token, wanted, {_ratio_sql('token', 'wanted')} AS ratio FROM d, (VALUES {', '.join(f'({t!r})' for t in wanted)}) v(wanted))"]
+    found = []
+    for k in FUZZY:
+        ts = k.split()
+        n = len(ts)
+        leads = ", ".join([f"lead(token, {i}) OVER w AS t{i}" for i in range(n)])
+        score = " + ".join(f"lead(score_c, {i}) OVER w" for i in range(n))
+        joins = " ".join(f"JOIN r AS r{i} ON r{i}.token = t{i} AND r{i}.wanted = '{t}'" for i, t in enumerate(ts))
+        exact = " AND ".join(f"t{i} = '{t}'" for i, t in enumerate(ts))
+        mean = "(" + " + ".join(f"r{i}.ratio" for i in range(n)) + f") / {n}"
+        found.append(f"SELECT '{k}' AS keyword, CASE WHEN {exact} THEN 'exact' ELSE 'fuzzy' END AS match_type, sc / {n * 100}.0 * CASE WHEN {exact} THEN 1.0 ELSE {mean} / 100 END AS confidence FROM (SELECT {leads}, {score} AS sc FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) {joins} WHERE {mean} >= 85")
+    return parts[0] + ", f AS (" + " UNION ALL ".join(found) + ") SELECT keyword, match_type, count(*) AS n, round(avg(confidence), 6) AS confidence FROM f WHERE confidence >= 0.5 GROUP BY ALL"
+
+
+@register("fuzzy_keyword_match", _fuzzy_sql())
 def fuzzy_keyword_match(spark, sf_dir):
-    found = M.cascade_matches(M.word_rows(read(spark, sf_dir, "documents")), M.targets(spark, SINGLE), [1])
+    found = M.cascade_matches(streams(spark, sf_dir), M.targets(spark, FUZZY), phonetic=False)
+    return found.groupBy("keyword", "match_type").agg(F.count("*").alias("n"), r6(F.avg("confidence"), "confidence"))
+
+
+@register("match_cascade")
+def match_cascade(spark, sf_dir):
+    """With phonetic matches, for which SQL has no code."""
+    found = M.cascade_matches(streams(spark, sf_dir), M.targets(spark, FUZZY))
     return found.groupBy("keyword", "match_type").agg(F.count("*").alias("n"), r6(F.avg("confidence"), "confidence"))
 
 
 @register("phonetic_match")
 def phonetic_match(spark, sf_dir):
-    tokens = M.word_rows(read(spark, sf_dir, "documents")).groupBy("token").agg(F.count("*").alias("n"))
+    tokens = token_rows(spark, sf_dir).groupBy("token").agg(F.count("*").alias("n"))
     coded = tokens.withColumn("code", T.metaphone_code("token"))
     wanted = M.targets(spark, SINGLE).select("keyword", F.element_at("codes", 1).alias("code"))
-    return coded.join(F.broadcast(wanted), "code").select("keyword", "token", "code", "n")
+    return coded.join(small(wanted), "code").select("keyword", "token", "code", "n")
 
 
-@register(
-    "indel_ratio",
-    f"""WITH {WORDS}, t AS (SELECT DISTINCT token FROM words WHERE length(token) <= 12), k AS (SELECT * FROM (VALUES ('thing'), ('loser'), ('scum')) v(keyword)),
-p AS (SELECT token, keyword, list_sum([CASE WHEN contains(keyword, c) THEN 1 ELSE 0 END FOR c IN string_split(token, '')]) AS shared FROM t, k)
-SELECT keyword, count(*) AS n, sum(CASE WHEN shared = 0 THEN 1 ELSE 0 END) AS n_zero FROM p GROUP BY keyword""",
-)
+def _wanted(spark):
+    return small(spark.createDataFrame([("thing",), ("loser",), ("scum",)], "keyword string"))
+
+
+RATIOS = f"WITH {WORDS}, t AS (SELECT DISTINCT token FROM words), k AS (SELECT * FROM (VALUES ('thing'), ('loser'), ('scum')) v(keyword)), p AS (SELECT keyword, token, round({_ratio_sql('token', 'keyword')}, 6) AS ratio FROM t, k)"
+
+
+@register("indel_ratio", f"{RATIOS} SELECT keyword, count(*) AS n, count(*) FILTER (WHERE ratio = 0) AS n_zero, count(*) FILTER (WHERE ratio >= 85) AS n_fuzzy FROM p GROUP BY keyword")
 def indel_ratio(spark, sf_dir):
-    """How many distinct short tokens share nothing with a keyword: the ratio is 0 exactly where no
-    letter of the token is in the keyword."""
-    tokens = M.word_rows(read(spark, sf_dir, "documents")).select("token").distinct().filter(F.length("token") <= 12)
-    wanted = spark.createDataFrame([("thing",), ("loser",), ("scum",)], "keyword string")
-    scored = tokens.crossJoin(F.broadcast(wanted)).select("keyword", T.indel_ratio(F.col("token"), F.col("keyword")).alias("ratio"))
-    return scored.groupBy("keyword").agg(F.count("*").alias("n"), F.count_if(F.col("ratio") == 0).alias("n_zero"))
+    """How many of all distinct tokens share nothing with a keyword, and how many reach the ratio of a match."""
+    scored = indel_ratio_by_token(spark, sf_dir)
+    return scored.groupBy("keyword").agg(F.count("*").alias("n"), F.count_if(F.col("ratio") == 0).alias("n_zero"), F.count_if(F.col("ratio") >= 85).alias("n_fuzzy"))
 
 
-@register("indel_ratio_by_token")
+@register("indel_ratio_by_token", f"{RATIOS} SELECT keyword, token, ratio FROM p")
 def indel_ratio_by_token(spark, sf_dir):
-    """The ratio itself, of every distinct token of any length."""
-    tokens = M.word_rows(read(spark, sf_dir, "documents")).select("token").distinct()
-    wanted = spark.createDataFrame([("thing",), ("loser",), ("scum",)], "keyword string")
-    return tokens.crossJoin(F.broadcast(wanted)).select("keyword", "token", r6(T.indel_ratio(F.col("token"), F.col("keyword")), "ratio"))
+    """The ratio of every distinct token of any length and each of a stated set of keywords."""
+    tokens = token_rows(spark, sf_dir).select("token").distinct()
+    return tokens.crossJoin(_wanted(spark)).select("keyword", "token", r6(T.indel_ratio(F.col("token"), F.col("keyword")), "ratio"))
 
 
-@register("infix_similarity")
+@register("infix_similarity", f"SELECT conv_id, turn, round({_infix_sql(repr('there'), 'text')}, 6) AS similarity FROM conversations")
 def infix_similarity(spark, sf_dir):
     """The best match of a keyword anywhere in each turn's whole text."""
     texts = read(spark, sf_dir, "conversations")
     return texts.select("conv_id", "turn", r6(T.infix_in_text(F.lit("there"), F.col("text")), "similarity"))
 
 
-@register("loo_similarity")
+@register("loo_similarity", f"WITH k AS (SELECT DISTINCT event_type FROM events), p AS (SELECT a.event_type, {_infix_sql('a.event_type', 'b.event_type')} AS s FROM k a JOIN k b ON a.event_type <> b.event_type) SELECT 1 AS key, round(avg(m), 6) AS loo_mean FROM (SELECT event_type, max(s) AS m FROM p GROUP BY 1)")
 def loo_similarity(spark, sf_dir):
-    """Each label of the events as a phoneme sequence against the others, best infix similarity."""
+    """The kinds of events as phoneme sequences of one keyword, each against the others."""
     kinds = read(spark, sf_dir, "events").select("event_type").distinct()
-    other = kinds.withColumnRenamed("event_type", "other")
-    pairs = kinds.crossJoin(other).filter("event_type <> other")
-    return pairs.groupBy("event_type").agg(r6(F.max(T.infix_similarity(F.split("event_type", ""), F.split("other", ""))), "loo"))
+    refs = kinds.select(F.lit(1).alias("key"), F.col("event_type").alias("id"), F.split("event_type", "").alias("phones"))
+    return VF.leave_one_out(refs, "key", "id").select("key", r6("loo_mean", "loo_mean"))
 
 
 @register(
@@ -302,7 +371,7 @@ def label_centroid(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings")
-    return vectors.join(F.broadcast(S.centroids(vectors, "label")), "label").select("vec_id", "label", V.dot(V.as_doubles(F.col("embedding")), F.col("centroid")).alias("score"))
+    return vectors.join(S.centroids(vectors, "label"), "label").select("vec_id", "label", V.dot(V.as_doubles(F.col("embedding")), F.col("centroid")).alias("score"))
 
 
 SCORED = CENTROIDS + ", s AS (SELECT vec_id, label, list_inner_product(v, c) AS score FROM e JOIN c USING (label))"
@@ -316,7 +385,7 @@ def cosine_scores(spark, sf_dir):
 @register("l2_distance", f"WITH {CENTROIDS} SELECT vec_id, round(list_distance(v, c), 6) AS distance FROM e JOIN c USING (label)")
 def l2_distance(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings")
-    return vectors.join(F.broadcast(S.centroids(vectors, "label")), "label").select("vec_id", r6(V.l2_distance(V.as_doubles(F.col("embedding")), F.col("centroid")), "distance"))
+    return vectors.join(S.centroids(vectors, "label"), "label").select("vec_id", r6(V.l2_distance(V.as_doubles(F.col("embedding")), F.col("centroid")), "distance"))
 
 
 @register("centroid_outlier_trim", f"WITH {SCORED}, k AS (SELECT label, count(*) AS n, count(*) FILTER (WHERE score < 0.5) AS n_out FROM s GROUP BY label) SELECT *, n_out > 0 AND n_out < 0.3 * n AS trimmed FROM k")
@@ -403,7 +472,16 @@ def knn_topk(spark, sf_dir):
     return S.nearest(queries, vectors.select(F.col("vec_id").alias("frame_id"), "embedding"), 4).select("query_id", "frame_id", "rank", r6("cosine", "cosine"))
 
 
-@register("greedy_nms_topn")
+@register(
+    "greedy_nms_topn",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 86400e6 AS time, value AS score FROM events),
+r AS (SELECT DISTINCT user_id, CAST(-1 AS INT) AS rank, CAST([] AS DOUBLE[]) AS kept, CAST(NULL AS DOUBLE) AS time, CAST(NULL AS DOUBLE) AS score FROM e
+UNION ALL
+SELECT user_id, rank, kept, time, score FROM (
+  SELECT r.user_id, CAST(r.rank + 1 AS INT) AS rank, list_append(r.kept, e.time) AS kept, e.time, e.score, row_number() OVER (PARTITION BY r.user_id ORDER BY e.score DESC, e.time) AS k
+  FROM r JOIN e ON e.user_id = r.user_id AND len(list_filter(r.kept, lambda t: abs(t - e.time) < 0.25)) = 0 WHERE r.rank < 7) x WHERE k = 1)
+SELECT user_id, rank, time, score FROM r WHERE rank >= 0""",
+)
 def greedy_nms_topn(spark, sf_dir):
     """Events of a user as scored windows, time in days."""
     events = read(spark, sf_dir, "events").select("user_id", F.lit(1.0).alias("scale"), (F.unix_micros(F.col("ts").cast("timestamp")) / 86_400e6).alias("time"), F.col("value").alias("score"))
@@ -412,15 +490,26 @@ def greedy_nms_topn(spark, sf_dir):
 
 @register(
     "candidate_rescue_union",
-    """WITH d AS (SELECT user_id, 1.0 AS scale, CAST(event_id AS DOUBLE) AS time FROM events WHERE event_type = 'click'), c AS (SELECT user_id, 1.0 AS scale, CAST(event_id AS DOUBLE) AS time FROM events WHERE value > 100)
+    """WITH d AS (SELECT user_id, 1.0 AS scale, CAST(event_id AS DOUBLE) AS time FROM events WHERE event_type = 'click'), c AS (SELECT user_id, 1.0 AS scale, event_id + CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN CAST(4e-7 AS DOUBLE) ELSE CAST(2e-6 AS DOUBLE) END AS time FROM events WHERE value > 100)
 SELECT user_id, CAST(scale AS DOUBLE) AS scale, time, false AS rescued FROM d UNION ALL SELECT c.user_id, CAST(c.scale AS DOUBLE), c.time, true FROM c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.user_id = c.user_id AND d.scale = c.scale AND abs(d.time - c.time) < 1e-6)""",
 )
 def candidate_rescue_union(spark, sf_dir):
     events = read(spark, sf_dir, "events").select("user_id", F.lit(1.0).alias("scale"), F.col("event_id").cast("double").alias("time"), "event_type", "value")
-    return R.rescued(events.filter("event_type = 'click'").select("user_id", "scale", "time"), events.filter("value > 100").select("user_id", "scale", "time"), ["user_id"])
+    moved = F.col("time") + F.when(F.col("time") % 3 == 0, 0.0).when(F.col("time") % 3 == 1, 4e-7).otherwise(2e-6)
+    return R.rescued(events.filter("event_type = 'click'").select("user_id", "scale", "time"), events.filter("value > 100").select("user_id", "scale", moved.alias("time")), ["user_id"])
 
 
-@register("interval_match_eval")
+@register(
+    "interval_match_eval",
+    f"""WITH RECURSIVE {HITS}, p AS (SELECT doc_id, start_ms / 1000 AS s, row_number() OVER (PARTITION BY doc_id ORDER BY start_ms) AS i FROM hits WHERE keyword = 'the'),
+t AS (SELECT doc_id, start_ms / 1000 AS s, end_ms / 1000 AS e, row_number() OVER (PARTITION BY doc_id ORDER BY start_ms, end_ms) AS j FROM hits WHERE keyword = 'of the'),
+c AS (SELECT p.doc_id, p.i, list(t.j ORDER BY t.j) FILTER (WHERE t.j IS NOT NULL) AS js FROM p LEFT JOIN t ON t.doc_id = p.doc_id AND p.s BETWEEN t.s - 0.5 AND t.e + 0.5 GROUP BY ALL),
+w AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used FROM p
+UNION ALL SELECT w.doc_id, c.i, CASE WHEN len(list_filter(coalesce(c.js, []), lambda j: NOT list_contains(w.used, j))) > 0 THEN list_append(w.used, list_filter(c.js, lambda j: NOT list_contains(w.used, j))[1]) ELSE w.used END FROM w JOIN c ON c.doc_id = w.doc_id AND c.i = w.i + 1),
+m AS (SELECT doc_id, max(len(used)) AS tp FROM w GROUP BY doc_id), np AS (SELECT doc_id, count(*) AS n FROM p GROUP BY 1), nt AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1)
+SELECT doc_id, CAST(coalesce(tp, 0) AS INT) AS tp, CAST(coalesce(np.n, 0) - coalesce(tp, 0) AS INT) AS fp, CAST(coalesce(nt.n, 0) - coalesce(tp, 0) AS INT) AS fn
+FROM np FULL JOIN nt USING (doc_id) LEFT JOIN m USING (doc_id)""",
+)
 def interval_match_eval(spark, sf_dir):
     """Exact hits of 'the' against those of 'of the' as truth, by text."""
     found = hits(spark, sf_dir)
@@ -451,11 +540,9 @@ def prf1_by_class(spark, sf_dir):
     return E.by_class_and_total(_truth(spark, sf_dir), "lang").withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
-@register("micro_macro_avg", f"WITH {TRUTH}, k AS (SELECT lang, {COUNTS4} FROM t GROUP BY lang), r AS (SELECT *, tp / nullif(tp + fp, 0) AS p FROM k) SELECT round(sum(tp) / sum(tp + fp), 6) AS micro_precision, round(avg(coalesce(p, 0)), 6) AS macro_precision FROM r")
+@register("micro_macro_avg", f"WITH {TRUTH}, k AS (SELECT lang, {COUNTS4} FROM t GROUP BY lang), r AS (SELECT *, {RATES} FROM k), a AS (SELECT avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM r) SELECT round(tp / (tp + fp), 5) AS micro_precision, round(tp / (tp + fn), 5) AS micro_recall, round(2 * tp / (2 * tp + fp + fn), 5) AS micro_f1, round(mp, 5) AS macro_precision, round(mr, 5) AS macro_recall, round(mf, 5) AS macro_f1 FROM a")
 def micro_macro_avg(spark, sf_dir):
-    counts = E.confusion(_truth(spark, sf_dir), ["lang"])
-    p = counts.select("tp", "fp", *E.rates(F.col("tp"), F.col("fp"), F.col("fn")))
-    return p.agg(r6(F.try_divide(F.sum("tp"), F.sum("tp") + F.sum("fp")), "micro_precision"), r6(F.avg("precision"), "macro_precision"))
+    return E.micro_macro(E.confusion(_truth(spark, sf_dir), ["lang"])).select(*[F.round(c, 5).alias(c) for c in ("micro_precision", "micro_recall", "micro_f1", "macro_precision", "macro_recall", "macro_f1")])
 
 
 @register(

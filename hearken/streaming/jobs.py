@@ -5,12 +5,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from hearken.functions import text as T
@@ -59,14 +62,69 @@ def keyword_counts(spark: SparkSession, path: str, keyword: str) -> DataFrame:
 
 def running_offsets(spark: SparkSession, path: str, default: float = 5.0) -> DataFrame:
     """(stream, n_chunks, total): chunks and running time of each stream, in keyed state."""
-    events = _source(spark, path).select(F.col("user_id").alias("stream"), F.when(F.col("value") <= 300, F.col("value")).otherwise(F.lit(default)).alias("duration"))
+    last = F.max_by(F.struct(F.col("chunk_idx").alias("i"), F.col("offset").alias("o"), F.col("duration").alias("d")), "chunk_idx")
+    ends = chunk_offsets(spark, path, default).groupBy("stream").agg(last.alias("l"))
+    return ends.select("stream", (F.col("l.i") + 1).cast("long").alias("n_chunks"), (F.col("l.o") + F.col("l.d")).alias("total"))
+
+
+def chunk_offsets(spark: SparkSession, path: str, default: float = 5.0) -> DataFrame:
+    """(stream, chunk_idx, offset, duration): every chunk's number and start, from the count and the time
+    that its stream's state holds. Chunks of a batch are taken in the order of their time."""
+    number = F.col("user_id").alias("stream")
+    events = _source(spark, path).select(number, "event_id", F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("value") <= 300, F.col("value")).otherwise(F.lit(default)).alias("duration"))
 
     def advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, total = state.get if state.exists else (0, 0.0)
-        for part in parts:
-            n, total = n + len(part), total + float(part["duration"].sum())
-        state.update((n, total))
-        yield pd.DataFrame({"stream": [key[0]], "n_chunks": [n], "total": [total]})
+        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        duration = rows["duration"].to_numpy()
+        before = total + duration.cumsum() - duration
+        state.update((n + len(rows), total + float(duration.sum())))
+        yield pd.DataFrame({"stream": key[0], "chunk_idx": range(n, n + len(rows)), "offset": before, "duration": duration})
+
+    schema = "stream long, chunk_idx int, offset double, duration double"
+    stateful = events.groupBy("stream").applyInPandasWithState(advance, schema, "n long, total double", "append", "NoTimeout")
+    return _finished(stateful, "append").drop("batch")
+
+
+def context(spark: SparkSession, path: str, least: float, reach: str) -> DataFrame:
+    """(user_id, hit, near): events over ``least`` and all of their stream within ``reach`` before and after.
+    A join of two streams, so a hit waits for what follows it; watermarks bound what is kept."""
+    events = _source(spark, path).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    hits = events.filter(F.col("value") > least).select(F.col("user_id").alias("stream"), F.col("event_id").alias("hit"), F.col("ts").alias("at")).withWatermark("at", "60 days")
+    chunks = events.select("user_id", F.col("event_id").alias("near"), "ts").withWatermark("ts", "60 days")
+    band = F.expr(f"user_id = stream AND ts >= at - INTERVAL {reach} AND ts <= at + INTERVAL {reach}")
+    return _finished(hits.join(chunks, band), "append").select("user_id", "hit", "near")
+
+
+def detection_log(spark: SparkSession, path: str, least: float) -> DataFrame:
+    """(line): a line of log for each detection. Every batch writes its own folder, so a batch that is
+    run again after a failure replaces its lines and does not repeat them."""
+    found = _source(spark, path).filter(F.col("value") > least)
+    lines = found.select(F.format_string("[stream %d] %s at chunk %d", "user_id", "event_type", "event_id").alias("value"))
+    folder = _folder(spark)
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").text(f"{folder}/log/batch={number}")
+
+    lines.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(append).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.text(f"{folder}/log").select(F.col("value").alias("line"))
+
+
+def first_hits(spark: SparkSession, path: str, least: float) -> DataFrame:
+    """(user_id, first_hit): each stream's first event over ``least`` by its number, whichever arrives first."""
+    hits = _source(spark, path).filter(F.col("value") > least).groupBy("user_id").agg(F.min("event_id").alias("first_hit"))
+    return _finished(hits, "update").groupBy("user_id").agg(F.min("first_hit").alias("first_hit"))
+
 
-    stateful = events.groupBy("stream").applyInPandasWithState(advance, "stream long, n_chunks long, total double", "n long, total double", "update", "NoTimeout")
-    return _finished(stateful, "update")
+def supervised(start: Callable[[], StreamingQuery], tries: int = 5, wait: float = 5.0, longest: float = 30.0) -> int:
+    """Run a query to its end, starting it again from its checkpoint when it fails: after ``wait`` seconds
+    more each time, ``longest`` at most. Returns how often it was started; the last failure is raised."""
+    for attempt in range(1, tries + 1):
+        try:
+            start().awaitTermination()
+            return attempt
+        except StreamingQueryException:
+            if attempt == tries:
+                raise
+            time.sleep(min(wait * attempt, longest))
+    raise ValueError("tries must be positive")

@@ -1,11 +1,13 @@
 """Every query with SQL against DuckDB on the smallest tables."""
 
+import collections
 import math
 
 import duckdb
 import pytest
 
-from hearken.plans import catalog
+from hearken.functions import text as T
+from hearken.plans import catalog, more  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -35,6 +37,23 @@ def test_matches_sql(spark, duck, name):
     assert sorted(rows) == sorted([shown(r[c]) for c in columns] for r in got.collect())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_others_run(spark, name):
-    assert catalog.QUERIES[name](spark, SMALL).count() >= 0
+def test_phonetic_matches_have_the_keyword_s_code(spark):
+    got = {(r["keyword"], r["token"]): r["n"] for r in catalog.QUERIES["phonetic_match"](spark, SMALL).collect()}
+    tokens = collections.Counter(r["token"] for r in catalog.token_rows(spark, SMALL).collect())
+    assert got == {(k, t): n for k in catalog.SINGLE for t, n in tokens.items() if T.metaphone(t) == T.metaphone(k)}
+
+
+def test_cascade_holds_the_fuzzy_matches(spark):
+    """With codes, matches only change from fuzzy to phonetic or are added."""
+    count = lambda name: {(r["keyword"], r["match_type"]): r["n"] for r in catalog.QUERIES[name](spark, SMALL).collect()}
+    plain, coded = count("fuzzy_keyword_match"), count("match_cascade")
+    for keyword in catalog.FUZZY:
+        assert plain.get((keyword, "exact")) == coded.get((keyword, "exact"))
+        assert sum(n for (k, _), n in coded.items() if k == keyword) >= sum(n for (k, _), n in plain.items() if k == keyword)
+
+
+def test_numbers_are_expanded_row_by_row(spark):
+    turns = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{SMALL}/conversations.parquet").collect()}
+    got = {(r["conv_id"], r["turn"]): r["text"] for r in catalog.QUERIES["number_expansion"](spark, SMALL).collect()}
+    assert got == {k: None if t is None else T.numbers_expanded(t) for k, t in turns.items()}
+    assert not any(c in "0123456789" for t in got.values() for c in t or "")

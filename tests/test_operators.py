@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from hearken.functions import text as T
 from hearken.operators import evaluation as E
 from hearken.operators import matching as M
 from hearken.operators import scoring as S
@@ -19,15 +22,73 @@ def test_greedy_suppression(spark):
     assert [(k["time"], k["score"]) for k in kept] == [(1.1, 0.95), (3.0, 0.5)]
 
 
+WS = "doc_id long, ws array<struct<raw:string,token:string,start_ms:long,end_ms:long,score:double>>"
+
+
 def test_cascade(spark):
-    words = spark.createDataFrame([(1, 0, "Penalty!", "penalty", 0, 350, 80), (1, 1, "penally", "penally", 400, 750, 70), (1, 2, "goal", "goal", 800, 1150, 30)], "doc_id long, pos int, raw string, token string, start_ms int, end_ms int, score_c int")
-    got = {(r["keyword"], r["match_type"]): r["confidence"] for r in M.cascade_matches(words, M.targets(spark, ["penalty", "--", "goal"]), [1]).collect()}
+    words = spark.createDataFrame([(1, [("Penalty!", "penalty", 0, 350, 0.8), ("penally", "penally", 400, 750, 0.7), ("goal", "goal", 800, 1150, 0.3)])], WS)
+    got = {(r["keyword"], r["match_type"]): r["confidence"] for r in M.cascade_matches(words, M.targets(spark, ["penalty", "--", "goal"])).collect()}
     assert got == {("penalty", "exact"): pytest.approx(0.8), ("penalty", "fuzzy"): pytest.approx(0.7 * 0.85714286)}
     # A ratio meant for 0..1 on the 0..100 scale lets nearly every pair through.
-    loose = M.cascade_matches(words, M.targets(spark, ["penalty"]), [1], fuzzy_ratio=0.85, least_confidence=0.0)
+    loose = M.cascade_matches(words, M.targets(spark, ["penalty"]), fuzzy_ratio=0.85, least_confidence=0.0)
     assert loose.count() == 3
 
 
+def test_cascade_takes_the_mean_over_words(spark):
+    stream = lambda text: (1, [(w, w, 400 * i, 400 * i + 350, 1.0) for i, w in enumerate(text.split())])
+    for text, keyword, mean in (("a catch food b", "cat food", 87.5), ("is in thexx", "is in the", 275 / 3)):
+        row = M.cascade_matches(spark.createDataFrame([stream(text)], WS), M.targets(spark, [keyword])).collect()
+        assert [(r["match_type"], r["keyword"]) for r in row] == [("fuzzy", keyword)]
+        assert row[0]["confidence"] == pytest.approx(mean / 100)
+
+
+def test_cascade_matches_brute_force(spark):
+    """All windows against all keywords of one to three words, over random word streams."""
+    rng = random.Random(11)
+    vocabulary = ["cat", "catch", "food", "foot", "moved", "moves", "knight", "night", "a", "i", "thexx", "the", "cats", "feud"]
+    keywords = ["cat", "cat food", "the night", "moves the cat", "a", "knight moved food"]
+    streams = []
+    for d in range(12):
+        ws = [rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 2, 3, 25]))]
+        streams.append((d, [(w.upper(), w, 400 * i, 400 * i + 350, rng.randint(40, 99) / 100) for i, w in enumerate(ws)]))
+    want = set()
+    for d, ws in streams:
+        for k in keywords:
+            ts = k.split()
+            for at in range(len(ws) - len(ts) + 1):
+                part = ws[at : at + len(ts)]
+                mean = sum(200 * T.common_length(w[1], t) / (len(w[1]) + len(t)) for w, t in zip(part, ts)) / len(ts)
+                if [w[1] for w in part] == ts:
+                    kind, weight = "exact", 1.0
+                elif [T.metaphone(w[1]) for w in part] == [T.metaphone(t) for t in ts]:
+                    kind, weight = "phonetic", 0.9
+                elif mean >= 80:
+                    kind, weight = "fuzzy", mean / 100
+                else:
+                    continue
+                confidence = sum(w[4] for w in part) / len(ts) * weight
+                if confidence >= 0.5:
+                    want.add((d, at, k, kind, round(confidence, 6), part[0][2], part[-1][3], " ".join(w[0] for w in part)))
+    found = M.cascade_matches(spark.createDataFrame(streams, WS), M.targets(spark, keywords), fuzzy_ratio=80.0).collect()
+    got = [(r["doc_id"], r["pos"], r["keyword"], r["match_type"], round(r["confidence"], 6), r["start_ms"], r["end_ms"], r["context"]) for r in found]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_recognized_streams(spark):
+    rows = [("c", [("Hello,", 0.0, 0.4, 0.9), ("--", 0.5, 0.6, 0.9), ("World", 0.7, None, 0.9), ("Éa b", 1.0, 1.4, 0.5)])]
+    got = M.recognized(spark.createDataFrame(rows, "chunk string, words array<struct<word:string,start:double,end:double,score:double>>")).first()["ws"]
+    assert [(w["raw"], w["token"], w["start_ms"], w["end_ms"], w["score"]) for w in got] == [("Hello,", "hello", 0, 400, 0.9), ("Éa b", "éa", 1000, 1400, 0.5)]
+
+
+def test_exact_matches_join_many_keywords(spark, monkeypatch):
+    """More keywords than are looked up in the expression: the same result from the join."""
+    streams = spark.createDataFrame([(1, [(w, w, i, i + 1, 0.5) for i, w in enumerate("a b c a b".split())]), (2, [])], WS)
+    keywords = M.targets(spark, ["a b", "c", "x y z"])
+    first = sorted((r["doc_id"], r["pos"], r["keyword"]) for r in M.exact_matches(streams, keywords, [1, 2, 3]).collect())
+    monkeypatch.setattr(M, "LOOKED_UP", 1)
+    assert sorted((r["doc_id"], r["pos"], r["keyword"]) for r in M.exact_matches(streams, keywords, [1, 2, 3]).collect()) == first == [(1, 0, "a b"), (1, 2, "c"), (1, 3, "a b")]
+
+
 def test_stream_time_and_context(spark):
     chunks = spark.createDataFrame([("s", 0), ("s", 2), ("s", 3)], "stream string, chunk_idx int")
     durations = spark.createDataFrame([("s", 0, 4.0), ("s", 2, 6.0)], "stream string, chunk_idx int, duration double")

@@ -8,15 +8,17 @@ Exact, with work that follows the candidates and not all pairs:
    in any order common to all. The order puts shingles of many documents last (counted over all
    documents), then goes by hash, so that passages that many texts share seldom make candidates.
 3. Tiles. Classes that share a prefix shingle are banded by size; sets that link lie in the same or
-   in adjacent bands. First each tile's members are held against one class of each band; what
-   links is merged to components, and only members of different components are held against each
-   other then. A large tile is cut to blocks, and pairs of blocks are compared as bit matrices
-   within a task: first one pair a member and component, which merges dense groups, then the rest.
-4. A pair's bit counts bound its overlap from above; what passes is intersected exactly.
+   in adjacent bands. First each tile's members are held against one class of each band, in rounds
+   with another class each; what links is merged to components, and only members of different
+   components meet from then on. A small tile's members meet by a join. In a large one those outside
+   the tile's main component are held against all members, which are dealt to blocks.
+4. A pair's bit counts bound its overlap from above; what passes is intersected exactly. A block of
+   a large tile returns links that merge components, fewer than its members, and not its pairs.
 
 Null or empty texts have no shingles, n_shingles 0, and link with nothing; their component is their
 own id. Null ids take part, but a component's id is the smallest id that is not null. Repeated rows
-are one class. Each input row gives one result row. Hashes have 64 bits.
+are one class. Each input row gives one result row. Hashes have 64 bits. An empty table gives an
+empty result; columns other than doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,48 +26,60 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.shared import small, stored
+from hearken.llm.shared import fresh, small, stored
 
 WORDS = 5
 PERCENT = 80
 #: Documents from which on a shingle goes to the end of the order, and most such shingles broadcast.
 OFTEN = 40
 MOST_OFTEN = 2_000_000
-#: Members from which on a tile is compared in blocks, of so many members at most and at least.
+#: Members from which on a tile is compared in blocks, and members of a block.
 LARGE = 64
-BLOCK, LEAST_BLOCK = 1024, 64
+BLOCK = 1024
+#: Rounds of one class a band against the others, before blocks.
+ROUNDS = 2
+#: Words whose hashes a worker keeps.
+MOST_WORDS = 200_000
 MOST_BROADCAST = 1_000_000
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+class _Hashes(dict):
+    """Hashes of words met lately."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Shingler:
-    """Texts to sorted distinct shingle hashes; keeps the hashes of words seen lately."""
+    """Texts to sorted distinct shingle hashes."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.known = words, {}
+        self.words, self.known = words, _Hashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         tokens = (text or "").encode().lower().split()
         if not tokens:
             return np.zeros(0, np.uint64)
-        if len(self.known) > 400_000:
-            self.known.clear()
-        known = self.known
-        hashes = np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in tokens), np.uint64, len(tokens))
+        hashes = np.fromiter(map(self.known.__getitem__, tokens), np.uint64, len(tokens))
         k = min(self.words, len(tokens))
         mixed = np.full(len(tokens) - k + 1, len(tokens) if len(tokens) < self.words else 0, np.uint64)
         for i in range(k):
             mixed += hashes[i : len(hashes) - k + 1 + i] * _FACTORS[i % 5] + np.uint64(i // 5)
             mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique(mixed ^ (mixed >> np.uint64(32)))
+        mixed ^= mixed >> np.uint64(32)
+        mixed.sort()
+        return mixed[np.concatenate([[True], mixed[1:] != mixed[:-1]])]
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -107,49 +121,56 @@ def may_link(a: bytes, na: int, b: bytes, nb: int, percent: int = PERCENT) -> bo
     return most >= least_overlap(na, nb, percent)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
-def _describe(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_key, n, cls, bits), one row a document row, stored; cls is null for empty sets."""
+def _described(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text_key, row, n, cls, shingles, bits), one row a document row, stored: texts are read and
+    cut to shingles this once. cls is null for empty sets; shingles are eight bytes each, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
             sets = [shingle(t) for t in batch.column("text").to_pylist()]
-            cls = [class_of(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "text_key", "n", "cls", "bits"],
+                [
+                    *[batch.column(c) for c in ("doc_id", "text_key", "row")],
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
+                ],
+                names=["doc_id", "text_key", "row", "n", "cls", "shingles", "bits"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(_keyed(docs).mapInArrow(run, f"doc_id {kind}, text_key long, n long, cls long, bits binary"), "described")
+    read = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("row"))
+    return stored(read.mapInArrow(run, f"doc_id {kind}, text_key long, row long, n long, cls long, shingles binary, bits binary"), "described", batch=500)
 
 
-def _often(texts: DataFrame, words: int, percent: int, often: int, most: int) -> np.ndarray:
+def _often(firsts: DataFrame, percent: int, often: int, most: int) -> np.ndarray:
     """Sorted hashes of the shingles of more than ``often`` classes, among those near the prefixes. If
     they number more than ``most``, those of the most classes: any choice gives the same links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, waiting = Shingler(words), []
+        waiting: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
             found, counts = np.unique(np.concatenate(waiting), return_counts=True)
             waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int32))], names=["shingle", "c"])
+            return pa.RecordBatch.from_arrays([_signed(found), pa.array(counts.astype(np.int32))], names=["shingle", "c"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found = shingle(text)
+            for raw in batch.column("shingles"):
+                found = np.frombuffer(raw.as_buffer(), np.uint64)
                 waiting.append(found[: int(1.3 * prefix_lengths(len(found), percent)[0]) + 4])
             if sum(map(len, waiting)) > 1 << 20:
                 yield flush()
         if waiting:
             yield flush()
 
-    counts = texts.select("text").mapInArrow(run, "shingle long, c int").groupBy("shingle").agg(F.sum("c").alias("c")).filter(F.col("c") > often)
+    counts = firsts.select("shingles").mapInArrow(run, "shingle long, c int").groupBy("shingle").agg(F.sum("c").alias("c")).filter(F.col("c") > often)
     found = stored(counts, "often")
     if found.count() > most:
         least = found.agg(F.percentile_approx("c", 1 - most / found.count(), 10000)).first()[0]
@@ -157,20 +178,17 @@ def _often(texts: DataFrame, words: int, percent: int, often: int, most: int) ->
     return np.sort(found.select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
-def _postings(texts: DataFrame, often: np.ndarray, words: int, percent: int) -> DataFrame:
+def _postings(firsts: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
     """(shingle, cls, size): prefix shingles of each class. size is 2 n + 1 where the shingle also lies
     in the shorter prefix, which is enough against sets of the same size or larger, else 2 n."""
-    shared = texts.sparkSession.sparkContext.broadcast(often)
+    shared = firsts.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, last = Shingler(words), shared.value
+        last = shared.value
         for batch in batches:
             out: list[tuple[np.ndarray, int, np.ndarray]] = []
-            for text in batch.column("text").to_pylist():
-                found = shingle(text)
-                if not len(found):
-                    continue
-                cls = class_of(found)
+            for cls, raw in zip(batch.column("cls").to_pylist(), batch.column("shingles"), strict=True):
+                found = np.frombuffer(raw.as_buffer(), np.uint64)
                 longer, shorter = prefix_lengths(len(found), percent)
                 if len(last):
                     at = np.minimum(np.searchsorted(last, found), len(last) - 1)
@@ -179,11 +197,11 @@ def _postings(texts: DataFrame, often: np.ndarray, words: int, percent: int) ->
                 out.append((found[:longer], cls, 2 * len(found) + (np.arange(longer) < shorter)))
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), pa.array(np.repeat(np.array([o[1] for o in out], np.int64), [len(o[0]) for o in out])), pa.array(np.concatenate([o[2] for o in out]).astype(np.int64))],
+                    [_signed(np.concatenate([o[0] for o in out])), pa.array(np.repeat(np.array([o[1] for o in out], np.int64), [len(o[0]) for o in out])), pa.array(np.concatenate([o[2] for o in out]).astype(np.int64))],
                     names=["shingle", "cls", "size"],
                 )
 
-    return texts.select("text").mapInArrow(run, "shingle long, cls long, size long")
+    return firsts.select("cls", "shingles").mapInArrow(run, "shingle long, cls long, size long")
 
 
 def _lists(postings: DataFrame, percent: int) -> DataFrame:
@@ -214,7 +232,15 @@ def _fits(percent: int):
     return 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _needed(firsts: DataFrame, rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(cls, columns) of the classes that ``rows`` names, stored: picked out while ``firsts`` is read, so
+    that no exchange carries the sets or bitmaps of all classes."""
+    named = rows.select(by[0]) if len(by) == 1 else rows.select(F.explode(F.array(*by)))
+    wanted = stored(named.toDF("cls").distinct(), "wanted")
+    return stored(firsts.join(small(wanted, MOST_BROADCAST), "cls").select("cls", *columns), "needed")
+
+
+def _linked(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that link: by bit counts, then by exact intersection."""
 
     def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,32 +248,20 @@ def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int,
             columns = [batch.column(c).to_pylist() for c in ("bits", "n", "bits2", "n2")]
             yield batch.select(["a", "b"]).filter(pa.array([may_link(*row, percent) for row in zip(*columns, strict=True)], pa.bool_()))
 
-    bits = classes.select("cls", "n", "bits")
+    bits = _needed(firsts, pairs, ["a", "b"], ["n", "bits"])
     joined = pairs.join(bits.withColumnRenamed("cls", "a"), "a").join(bits.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "b")
     left = stored(joined.select("a", "b", "n", "bits", "n2", "bits2").mapInArrow(by_bits, "a long, b long"), "byBits")
 
-    sets = stored(_sets(left.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), classes, texts, words), "sets")
+    sets = _needed(firsts, left, ["a", "b"], ["shingles"])
 
     def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            met = [overlap(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            met = [overlap(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             kept = [i >= least_overlap(a, b, percent) for a, b, i in met]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     both = left.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(exactly, "a long, b long"), "linked")
-
-
-def _sets(needed: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(cls, shingles) of the classes ``needed``: eight bytes a shingle, ascending."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([shingle(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["cls", "shingles"])
-
-    keys = stored(classes.select("cls", "doc_id", "text_key").join(needed, "cls"), "needed")
-    return _of_classes(texts, keys).select("cls", "text").mapInArrow(run, "cls long, shingles binary").dropDuplicates(["cls"])
+    return stored(both.select("a", "b", "x", "y").mapInArrow(exactly, "a long, b long"), "linked", batch=100)
 
 
 def overlap(x: bytes, y: bytes) -> tuple[int, int, int]:
@@ -258,55 +272,59 @@ def overlap(x: bytes, y: bytes) -> tuple[int, int, int]:
     return len(x), len(y), int((both[1:] == both[:-1]).sum())
 
 
-def _of_classes(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``texts`` with these (doc_id, text_key), and their cls."""
-    k = small(keys.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "cls"), MOST_BROADCAST)
-    return texts.join(k, texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["text_key"] == F.col("_key"))).select("cls", "text")
-
-
-def _large_pairs(large: DataFrame, classes: DataFrame, percent: int, one_each: bool) -> DataFrame:
-    """Pairs (a, b) of different components within large tiles that pass the bit counts, by pairs of
-    blocks. With ``one_each`` a member is paired once at most with each other component of a block: what
-    links of these merges dense groups, so that few pairs are left for the call without."""
-    # Blocks by the tile's sizes too, so that their bitmaps stay within some megabytes.
-    fits = (F.lit(1 << 20) / F.pow(F.lit(100.0 / percent), F.col("tile") + 2)).cast("int")
-    blocks = F.ceil(F.col("c") / F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(BLOCK), fits))).cast("int")
-    own, others = F.pmod(F.xxhash64("cls"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
-    rows = large.join(classes.select("cls", "bits"), "cls")
-    # A tile holds a band against itself and the next: left are the band's rows, right those of both.
-    left = rows.withColumn("tile", F.col("band")).withColumn("side", F.lit(0)).withColumn("i", own).withColumn("j", others)
-    right = rows.withColumn("tile", F.explode(F.array("band", F.col("band") - 1))).withColumn("side", F.lit(1)).withColumn("j", own).withColumn("i", others)
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        lefts, rights = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        n, cls, comp, short, band = (rights[c].to_numpy() for c in ("n", "cls", "comp", "short", "band"))
-        maps = [np.frombuffer(b, np.uint8) for b in rights["bits"]]
-        widths = np.array([len(m) for m in maps], np.int64)
-        folded: dict[int, np.ndarray] = {}
-        out: list[np.ndarray] = []
-        for x in lefts.itertuples():
-            near = (comp != x.comp) & (100 * np.minimum(n, x.n) >= percent * np.maximum(n, x.n)) & np.where(n >= x.n, x.short, short) & ((band != x.band) | (cls > x.cls))
-            at = np.flatnonzero(near)
-            if not len(at):
+def merging_links(cls: np.ndarray, n: np.ndarray, short: np.ndarray, comp: np.ndarray, outside: np.ndarray, asks: np.ndarray, bits: list, sets: list, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links of a block that merge components: rows that ask against rows that do not. A pair of two
+    classes outside the main component is looked at from the smaller class alone."""
+    there = np.flatnonzero(~asks)
+    maps = [np.frombuffer(bits[i], np.uint8) for i in there]
+    widths = np.array([len(m) for m in maps], np.int64)
+    folded: dict[int, np.ndarray] = {}
+    label = comp.copy()
+    out: list[tuple[int, int]] = []
+    for x in np.flatnonzero(asks):
+        of, nx = n[there], n[x]
+        near = (label[there] != label[x]) & (100 * np.minimum(of, nx) >= percent * np.maximum(of, nx)) & np.where(of >= nx, short[x], short[there]) & (~outside[there] | (cls[there] > cls[x]))
+        at = np.flatnonzero(near)
+        if not len(at):
+            continue
+        # Sizes this near have bitmaps of one width or of two, of which the narrower is common.
+        own = np.frombuffer(bits[x], np.uint8)
+        common = np.minimum(len(own), widths[at])
+        most = np.zeros(len(at), np.int64)
+        for width in np.unique(common).tolist():
+            some = common == width
+            if width not in folded:
+                folded[width] = np.stack([_fold(m, width) if len(m) >= width else np.zeros(width, np.uint8) for m in maps]).view(np.uint64)
+            a, b = _fold(own, width).view(np.uint64), folded[width][at[some]]
+            most[some] = np.minimum(nx - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), of[at[some]] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+        passed = most >= -(-percent * (nx + of[at]) // (100 + percent))
+        for i in there[at[passed][np.argsort(-most[passed], kind="stable")]]:
+            if label[i] == label[x]:
                 continue
-            # Sizes this near have bitmaps of one width or of two, of which the narrower is common.
-            bits = np.frombuffer(x.bits, np.uint8)
-            common = np.minimum(len(bits), widths[at])
-            for width in np.unique(common).tolist():
-                some = at[common == width]
-                if width not in folded:
-                    folded[width] = np.stack([_fold(m, width) if len(m) >= width else np.zeros(width, np.uint8) for m in maps]).view(np.uint64)
-                a, b = _fold(bits, width).view(np.uint64), folded[width][some]
-                most = np.minimum(x.n - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), n[some] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
-                held = some[most >= -(-percent * (x.n + n[some]) // (100 + percent))]
-                if one_each:
-                    held = held[np.unique(comp[held], return_index=True)[1]]
-                out.append(np.column_stack([np.minimum(cls[held], x.cls), np.maximum(cls[held], x.cls)]))
-        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-    columns = ["shingle", "tile", "i", "j", "side", "band", "cls", "n", "short", "comp", "bits"]
-    return left.select(columns).unionByName(right.select(columns)).groupBy("shingle", "tile", "i", "j").applyInPandas(compare, "a long, b long")
+            a, b, both = overlap(sets[x], sets[i])
+            if both >= least_overlap(a, b, percent):
+                out.append((min(int(cls[x]), int(cls[i])), max(int(cls[x]), int(cls[i]))))
+                label[label == label[i]] = label[x]
+    return out
+
+
+def _within_large(large: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """(a, b), links between different components within large tiles: enough to merge all that link."""
+    counts = large.groupBy("shingle", "comp").agg(F.count("*").alias("k"))
+    main = counts.groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    blocks = large.groupBy("shingle", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = stored(large.join(main, "shingle").join(blocks, ["shingle", "band"]).withColumn("outside", F.col("comp") != F.col("main")).drop("main", "c"), "placed")
+    held = placed.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("asks", F.lit(False))
+    asking = placed.filter("outside").drop("blocks").withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+    asking = asking.join(blocks, ["shingle", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        columns = [rows[c].to_numpy() for c in ("cls", "n", "short", "comp", "outside", "asks")]
+        found = merging_links(*columns, *[[x.as_buffer() for x in rows[c]] for c in ("bits", "shingles")], percent)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    rows = held.unionByName(asking).drop("blocks").join(_needed(firsts, placed, ["cls"], ["bits", "shingles"]), "cls")
+    return stored(rows.groupBy("shingle", "band", "block").applyInArrow(compare, "a long, b long").distinct(), "merging", batch=500)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -325,68 +343,86 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` (cls, comp) after ``links`` between its components, and classes that are in none yet."""
+    for c in ("a", "b"):
+        links = links.join(comp.select(F.col("cls").alias(c), F.col("comp").alias("of")), c, "left").withColumn(c, F.coalesce("of", c)).drop("of")
+    links = stored(links.filter("a <> b").distinct(), "between")
+    if not links.limit(1).count():
+        return comp
+    up = components(links)
+    moved = comp.join(up.select(F.col("cls").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("cls", F.coalesce("up", "comp").alias("comp"))
+    return stored(moved.unionByName(up.join(comp, "cls", "left_anti").select("cls", "comp")), "merged")
+
+
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, often: int = OFTEN, large: int = LARGE, most_often: int = MOST_OFTEN) -> DataFrame:
     """One row a document row: doc_id, text_key, n_shingles, component_id, and comp, the component itself:
     ids may be null or repeat. comp is null for rows of no shingle."""
-    described = _describe(docs, words)
+    described = _described(docs, words)
     sets = described.filter("cls IS NOT NULL")
-    first = sets.groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "text_key")).alias("r"))
-    classes = stored(first.select("cls", "least", "n", "bits", "r.doc_id", "r.text_key"), "classes")
-    texts = _keyed(docs)
+    classes = stored(sets.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("row").alias("first"), F.count("*").alias("rows")), "classes")
     # Rows that only repeat a class stay out, by a table of those rows and not of all classes.
-    again = sets.join(classes.select("cls", F.col("doc_id").alias("rd"), F.col("text_key").alias("rk")), "cls").filter(~(F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("text_key") == F.col("rk"))))
-    again = small(stored(again.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "again"), MOST_BROADCAST)
-    one_each = texts.join(again, texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["text_key"] == F.col("_key")), "left_anti")
-    late = _often(one_each, words, percent, often, most_often)
-    lists = _lists(_postings(one_each, late, words, percent), percent)
-    # A first class of each band for the tile's members of that band and the next.
-    centre = lists.groupBy("shingle", "band").agg(F.min(F.struct(F.col("n").alias("n2"), F.col("cls").alias("cls2"))).alias("z")).select("shingle", "band", "z.*")
-    near = centre.unionByName(centre.withColumn("band", F.col("band") + 1))
-    pairs = lists.join(near, ["shingle", "band"]).filter(_fits(percent) & (F.col("cls") != F.col("cls2"))).select(*_pair("cls", "cls2")).distinct()
-    linked = _linked(pairs, classes, texts, words, percent)
-    comp = components(linked)
-
-    def mixed(rows: DataFrame, comp: DataFrame) -> DataFrame:
-        """Tiles that still hold several components, with each member's."""
-        placed = rows.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        several = placed.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("shingle")
-        return stored(placed.join(several, "shingle"), "mixed")
+    several = small(stored(classes.filter("rows > 1").select("cls", "first"), "several"), MOST_BROADCAST)
+    again = stored(sets.select("cls", "row").join(several, "cls").filter("row <> first").select("row"), "again")
+    firsts = sets.join(small(again, MOST_BROADCAST), "row", "left_anti").select("cls", "n", "shingles", "bits")
+    late = _often(firsts, percent, often, most_often)
+    lists = _lists(_postings(firsts, late, percent), percent)
 
-    apart = mixed(lists, comp)
+    def mixed(comp: DataFrame) -> DataFrame:
+        """Tiles that still hold several components, with each member's."""
+        placed = lists.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        apart = placed.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("shingle")
+        return stored(placed.join(apart, "shingle"), "mixed")
+
+    comp = apart = None
+    done = []
+    for turn in range(ROUNDS):
+        # One class of each band for the tile's members of that band and the next, another each round.
+        rows = lists.withColumn("comp", F.col("cls")) if apart is None else apart.filter(F.col("c") > large)
+        order = F.struct(F.lit(0) if turn else F.col("n"), F.xxhash64("cls", F.lit(turn)))
+        centre = rows.groupBy("shingle", "band").agg(F.min_by(F.struct(F.col("n").alias("n2"), F.col("cls").alias("cls2"), F.col("comp").alias("comp2")), order).alias("z")).select("shingle", "band", "z.*")
+        near = centre.unionByName(centre.withColumn("band", F.col("band") + 1))
+        pairs = rows.join(near, ["shingle", "band"]).filter(_fits(percent) & (F.col("cls") != F.col("cls2")) & (F.col("comp") != F.col("comp2"))).select(*_pair("cls", "cls2")).distinct()
+        for before in done:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        done.append(pairs)
+        links = _linked(pairs, firsts, percent)
+        comp = components(links) if comp is None else merged(comp, links)
+        apart = mixed(comp)
+        if not apart.filter(F.col("c") > large).limit(1).count():
+            break
     many = apart.filter(F.col("c") > large)
     if many.limit(1).count():
-        found = _linked(_large_pairs(many, classes, percent, one_each=True).distinct(), classes, texts, words, percent)
-        linked = linked.unionByName(found)
-        comp = components(linked)
-        apart = mixed(lists, comp)
-        many = apart.filter(F.col("c") > large)
+        comp = merged(comp, _within_large(many, firsts, percent))
+        apart = mixed(comp)
     few = apart.filter(F.col("c") <= large)
     right = few.select("shingle", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("short").alias("short2"), F.col("comp").alias("comp2"))
     enough = F.when(F.col("n") <= F.col("n2"), F.col("short")).otherwise(F.col("short2"))
-    more = few.join(right, "shingle").filter((F.col("cls") < F.col("cls2")) & (F.col("comp") != F.col("comp2")) & _fits(percent) & enough).select(*_pair("cls", "cls2"))
-    if many.limit(1).count():
-        more = more.unionByName(_large_pairs(many, classes, percent, one_each=False))
-    rest = _linked(more.distinct().join(pairs, ["a", "b"], "left_anti"), classes, texts, words, percent)
-    comp = components(linked.unionByName(rest))
+    more = few.join(right, "shingle").filter((F.col("cls") < F.col("cls2")) & (F.col("comp") != F.col("comp2")) & _fits(percent) & enough).select(*_pair("cls", "cls2")).distinct()
+    for before in done:
+        more = more.join(before, ["a", "b"], "left_anti")
+    comp = merged(comp, _linked(stored(more, "pairs"), firsts, percent))
     of_class = classes.select("cls", "least").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     ids = of_class.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = of_class.join(ids, "comp").select("cls", "comp", "component_id")
-    out = described.join(named, "cls", "left")
+    out = described.select("doc_id", "text_key", "n", "cls").join(named, "cls", "left")
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce(F.col("component_id"), F.col("doc_id")).alias("component_id"), "comp")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group: that of the smallest id. Rows of no shingle all stay;
-    of rows that repeat both id and text one stays."""
+    of rows that repeat both id and text one stays. Columns keep their names, whatever these are."""
     found = groups(docs, words, percent)
     # Keys that must go, and keys that several rows have: few beside all rows.
     keyed = found.filter("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"), F.first("comp").alias("comp"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     first = keyed.groupBy("comp").agg(F.min(order).alias("first"))
     marked = keyed.join(first, "comp").withColumn("gone", order != F.col("first"))
-    odd = small(stored(marked.filter("gone OR rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone")), "goes"), MOST_BROADCAST)
-    text_key = F.xxhash64(docs["text"])
-    joined = docs.join(odd, docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key == F.col("_key")), "left").filter(~F.coalesce("_gone", F.lit(False)))
-    single = joined.filter("_key IS NULL").select(*docs.columns)
-    repeated = joined.filter("_key IS NOT NULL").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    id_, key, gone = fresh(docs.columns, "_id", "_key", "_gone")
+    odd = small(stored(marked.filter("gone OR rows > 1").select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("gone").alias(gone)), "goes"), MOST_BROADCAST)
+    joined = docs.join(odd, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(key)), "left").filter(~F.coalesce(F.col(gone), F.lit(False)))
+    columns = [docs[c] for c in docs.columns]
+    single = joined.filter(F.col(key).isNull()).select(*columns)
+    repeated = joined.filter(F.col(key).isNotNull()).dropDuplicates([id_, key]).select(*docs.columns)
     return single.unionByName(repeated)

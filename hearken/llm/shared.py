@@ -24,22 +24,77 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "hearken-shared")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Shuffle files of a finished query are of no more use once its result is stored.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+#: Rows that a Python worker gets at once.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str, batch: int = 2000) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: a cut of the lineage that
-    survives lost executors and that later passes read by column. Removed with the application."""
+    survives lost executors and that later passes read by column. Removed with the application.
+    Python workers get ``batch`` rows at once on the way, which should be few where rows are wide."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = {k: spark.conf.get(k, v) for k, v in ((CLEANUP, "false"), (BATCH, "10000"))}
+    spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most_rows`` rows, else as it is, so that
-    the join shuffles. ``df`` should be cheap to count: a stored or tiny table."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more; what other queries still use stays."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in {os.path.dirname(f) for f in df.inputFiles()}:
+            hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+            hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row."""
+    total = F.lit(16)
+    for field in df.schema.fields:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(f"`{field.name}`"), F.lit(0)) + 8
+        elif kind in ("array", "map", "struct"):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(f"`{field.name}`"))), F.lit(0))
+        else:
+            total = total + 8
+    return total
+
+
+#: Bytes of one broadcast at most.
+MOST_BYTES = 128 << 20
+
+
+def small(df: DataFrame, most_rows: int, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most_rows`` rows and ``most_bytes`` bytes, else as
+    it is, so that the join shuffles. ``df`` should be cheap to read: a stored or tiny table."""
+    found = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(row_bytes(df).cast("long")), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found["rows"] <= most_rows and found["bytes"] <= most_bytes else df
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that ``taken`` has in any case."""
+    have, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        out.append(name)
+        have.add(name.lower())
+    return out
 
 
 def ascii_lower(text: Column) -> Column:

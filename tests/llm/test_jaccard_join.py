@@ -66,7 +66,6 @@ def test_groups_match_brute_force(spark, options):
 
 def test_large_tiles_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK", 3)
-    monkeypatch.setattr(J, "LEAST_BLOCK", 2)
     rng = random.Random(9)
     rows = []
     for i in range(60):
@@ -89,7 +88,7 @@ def test_query_on_the_small_table(spark):
 def test_edges(spark):
     text = " ".join(f"x{i}" for i in range(50))
     rows = [(5, text), (5, text), (3, text.upper()), (None, text), (7, None), (8, ""), (9, "one"), (10, "One "), (11, "x " * 40000)]
-    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, n int, comp int")
+    docs = spark.createDataFrame([(*r, 1, 2, "x", None, 3, 4, 5) for r in rows], "doc_id long, text string, n int, comp int, _id string, _key int, _gone int, cls int, row int")
     got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in J.groups(docs).collect())
     assert got == sorted([("5", 46, 3), ("5", 46, 3), ("3", 46, 3), ("None", 46, 3), ("7", 0, 7), ("8", 0, 8), ("9", 1, 9), ("10", 1, 9), ("11", 1, 11)])
     kept = J.one_of_each(docs)

@@ -1,20 +1,22 @@
 """Secret scans: three plain patterns, and a randomness test battery for what has no pattern.
 
 Battery. Every run of 20 or more characters that an encoding could have made is a candidate; its
-characters tell the encoding (hexadecimal, base32, base62, base64, base64url, lower case). Three
-tests hold it against uniform symbols of that encoding: chi-squared of the symbol counts, the
-runs test around the middle of the alphabet, and the serial correlation at lag one; a candidate
-that fails one at ``VETO`` standard errors is not random. Against it as text stand two more: too
-few equal pairs of symbols for a text, and too many changes of character class; their p-values
-are combined by Fisher's rule. The false-discovery control is Benjamini and Hochberg's over all
-candidates of one encoding and length band, as a short string can show less than a long one.
+characters tell the encoding (hexadecimal, base32, base62, base64, base64url, letters of one case). A run
+that fits none, as where a path leads to a key, is cut at its separators, and parts of 20 or more
+are candidates. Three statistics are taken of each: chi-squared of the symbol counts, the number of
+runs, and the serial correlation at lag one. Against uniform symbols a candidate that is off by
+``VETO`` standard errors in one is not random. Against text, in which symbols are uneven, runs of a
+class of characters are long and neighbours are alike, each gives a p-value; the three are combined
+by Fisher's rule. The false-discovery control is Benjamini and Hochberg's over all candidates of one
+encoding and length band, as a short string can show less than a long one.
 
 Only DataFrame functions run here. One pass over the texts writes the matches with their lengths
 and gaps; places follow by running sums, so a text with many matches costs no more than linearly.
 The table of thresholds has at most encodings x bands rows, so its broadcast is bounded.
 
-Null or empty texts have no span; every input row, repeated or not, gives one result row. Offsets
-count code points, ends are exclusive.
+Null or empty texts have no span; every input row, repeated or not, gives one result row, and an
+empty table none. Candidates of equal p-value are found or left together. Offsets count code points,
+ends are exclusive. Columns other than doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hearken.llm.shared import small, stored
+from hearken.llm.shared import fresh, small, stored
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -35,16 +37,22 @@ KINDS = ("assign", "access", "hex", "random")
 #: Encoding: what its strings look like, symbols, the first character of the alphabet's upper half.
 ENCODINGS = {
     "hex": (r"^(?:[0-9a-f]+|[0-9A-F]+)$", 16, "8"),
+    "upper": (r"^[A-Z]+$", 26, "N"),
     "base32": (r"^[A-Z2-7]+=*$", 32, "K"),
     "lower": (r"^[a-z]+$", 26, "n"),
     "base62": (r"^[A-Za-z0-9]+$", 62, "V"),
     "base64": (r"^[A-Za-z0-9+/]+=*$", 64, "V"),
     "base64url": (r"^[A-Za-z0-9_-]+=*$", 64, "V"),
 }
+#: Parts of a run that fits no encoding.
+PART = r"[A-Za-z0-9+]{20,}+"
 BANDS = (24, 32, 48, 96)
 VETO = 3.3
-#: Of text: equal pairs of symbols against uniform ones, and changes of character class a step.
-TEXT_COINCIDENCE, TEXT_CHANGES = 1.73, 0.25
+#: Of text: how much more often than uniform symbols two are equal; and, by encoding, the changes of
+#: character class a step and the correlation of neighbours. None where text of that look has no classes.
+TEXT_COINCIDENCE = 1.73
+TEXT_CHANGES = {"hex": 0.25, "upper": None, "base32": 0.08, "lower": None, "base62": 0.25, "base64": 0.25, "base64url": 0.25}
+TEXT_SERIAL = {"hex": 0.3, "upper": None, "base32": 0.3, "lower": None, "base62": 0.3, "base64": 0.3, "base64url": 0.3}
 FALSE_DISCOVERIES = 0.01
 #: Texts with spans that may be broadcast to be cut.
 MOST_BROADCAST = 200_000
@@ -99,6 +107,31 @@ def _upper_tail(z: Column) -> Column:
     return F.greatest(F.exp(-z * z / 2) * 0.3989422804 * poly, F.lit(1e-300))
 
 
+def _of_encoding(values: dict) -> Column:
+    """What a table by encoding says of the column ``encoding``."""
+    out = F.lit(None).cast("double")
+    for name, value in values.items():
+        out = F.when(F.col("encoding") == name, F.lit(value).cast("double")).otherwise(out)
+    return out
+
+
+def _fits_none(token: Column) -> Column:
+    bare = F.regexp_replace(token, "=+$", "")
+    fits = F.lit(False)
+    for shape, _, _ in ENCODINGS.values():
+        fits = fits | bare.rlike(shape)
+    return ~fits
+
+
+def parted(candidates: DataFrame) -> DataFrame:
+    """candidates (row, start, end, token), those that fit no encoding as their parts."""
+    odd = candidates.filter(_fits_none(F.col("token"))).withColumn("h", F.explode(_matches(F.col("token"), "random", PART, None))).select("row", F.col("start").alias("from"), "h.*")
+    before = W.partitionBy("row", "from").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    placed_ = odd.withColumn("end", F.col("from") + F.sum(F.col("gap") + F.col("len")).over(before))
+    parts = placed_.select("row", (F.col("end") - F.col("len")).alias("start"), "end", "token")
+    return candidates.filter(~_fits_none(F.col("token"))).unionByName(parts)
+
+
 def battery(candidates: DataFrame) -> DataFrame:
     """candidates (with ``token``) + encoding, band, vetoed, p: the battery's verdict on each."""
     encoding, symbols, middle = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("string")
@@ -127,16 +160,22 @@ def battery(candidates: DataFrame) -> DataFrame:
         .withColumn("above", F.aggregate(F.transform("codes", lambda v: as_double(high(v))), zero, add))
     )
     n, k = F.col("n"), F.col("k")
-    chi_z = (k / n * F.col("squares") - n - (k - 1)) / F.sqrt(2 * (k - 1))
+    # Against uniform symbols.
+    chi = k / n * F.col("squares") - n
+    chi_z = (chi - (k - 1)) / F.sqrt(2 * (k - 1))
     expected = 2 * F.col("above") * (n - F.col("above")) / n + 1
     runs_z = F.coalesce(F.try_divide(F.col("runs") - expected, F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), zero))), F.lit(99.0))
-    serial_z = F.coalesce(F.try_divide(F.col("lagged"), F.col("spread")), F.lit(1.0)) * F.sqrt(n)
-    pairs = n * (n - 1) / 2
-    as_text = TEXT_COINCIDENCE / k * pairs
-    few_pairs = _upper_tail((as_text - (F.col("squares") - n) / 2 - 0.5) / F.sqrt(as_text))
-    many_changes = _upper_tail((F.col("changes") - 0.5 - TEXT_CHANGES * (n - 1)) / F.sqrt(TEXT_CHANGES * (1 - TEXT_CHANGES) * (n - 1)))
-    y = -F.log(few_pairs) - F.log(many_changes)
-    return df.withColumn("vetoed", (chi_z > VETO) | (F.abs(runs_z) > VETO) | (F.abs(serial_z) > VETO)).withColumn("p", F.greatest(F.exp(-y) * (1 + y), F.lit(1e-300))).select(*candidates.columns, "encoding", "band", "vetoed", "p")
+    serial = F.coalesce(F.try_divide(F.col("lagged"), F.col("spread")), F.lit(1.0))
+    # Against text: chi-squared counts equal pairs, whose number in text is near a Poisson one.
+    as_text = TEXT_COINCIDENCE / k * n * (n - 1) / 2
+    pairs = (chi + n - k) * n / (2 * k)
+    of_chi = _upper_tail((as_text - pairs - 0.5) / F.sqrt(as_text))
+    rate, tied = _of_encoding(TEXT_CHANGES), _of_encoding(TEXT_SERIAL)
+    of_runs = F.when(rate.isNull(), 1.0).otherwise(_upper_tail((F.col("changes") - 0.5 - rate * (n - 1)) / F.sqrt(rate * (1 - rate) * (n - 1))))
+    of_serial = F.when(tied.isNull(), 1.0).otherwise(_upper_tail((tied - serial) * F.sqrt(n) / F.sqrt(1 - tied * tied)))
+    y = -F.log(of_chi) - F.log(of_runs) - F.log(of_serial)
+    vetoed = (chi_z > VETO) | (F.abs(runs_z) > VETO) | (F.abs(serial * F.sqrt(n)) > VETO)
+    return df.withColumn("vetoed", vetoed).withColumn("p", F.greatest(F.exp(-y) * (1 + y + y * y / 2), F.lit(1e-300))).select(*candidates.columns, "encoding", "band", "vetoed", "p")
 
 
 def discoveries(tested: DataFrame, q: float = FALSE_DISCOVERIES) -> DataFrame:
@@ -156,7 +195,7 @@ def secret_spans(docs: DataFrame, q: float = FALSE_DISCOVERIES) -> tuple[DataFra
     scanned = scan(docs)
     every = stored(placed(scanned), "secretPlaces")
     base = every.filter("kind <> 'random'").select("row", "kind", "start", "end")
-    tested = stored(battery(every.filter("kind = 'random'").select("row", "start", "end", "token")), "secretTests")
+    tested = stored(battery(parted(every.filter("kind = 'random'").select("row", "start", "end", "token"))), "secretTests")
     found = discoveries(tested, q).select("row", "start", "end")
     covers = base.select("row", F.col("start").alias("from"), F.col("end").alias("to"))
     fresh = found.join(covers, (found["row"] == covers["row"]) & (found["start"] >= covers["from"]) & (found["end"] <= covers["to"]), "left_anti")
@@ -185,17 +224,18 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", q: float = FALSE_DISCOVERIES
     """``docs`` with every found span of ``text`` replaced; overlapping spans become one mark. No row
     goes, and a text without spans stays as it is."""
     # What a text holds depends on the text alone, so rows are matched by id and text.
-    key = F.struct(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"))
-    scanned, spans = secret_spans(docs.select(key.alias("doc_id"), "text"), q)
+    id_, key, cuts_ = fresh(docs.columns, "_id", "_key", "_cuts")
+    both = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    scanned, spans = secret_spans(docs.select(both.alias("doc_id"), "text"), q)
     order = W.partitionBy("row").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     joined = spans.withColumn("fresh", (reach.isNull() | (F.col("start") >= reach)).cast("int")).withColumn("g", F.sum("fresh").over(order))
-    cuts = joined.groupBy("row", "g").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    cuts = cuts.join(scanned.select("row", "doc_id.*"), "row").select("_id", "_key", "cuts").dropDuplicates(["_id", "_key"])
+    cuts = joined.groupBy("row", "g").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(cuts_))
+    cuts = cuts.join(scanned.select("row", "doc_id.*"), "row").select(F.col("id").alias(id_), F.col("key").alias(key), cuts_).dropDuplicates([id_, key])
     cuts = small(stored(cuts, "cuts"), MOST_BROADCAST)
-    from_ = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.element_at("cuts", i)["end"])
-    pieces = F.transform("cuts", lambda c, i: F.substring("text", (from_(i) + 1).cast("int"), (c["start"] - from_(i)).cast("int")))
-    last = F.element_at("cuts", -1)["end"].cast("int")
+    from_ = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.element_at(cuts_, i)["end"])
+    pieces = F.transform(cuts_, lambda c, i: F.substring("text", (from_(i) + 1).cast("int"), (c["start"] - from_(i)).cast("int")))
+    last = F.element_at(cuts_, -1)["end"].cast("int")
     cleaned = F.concat(F.array_join(F.concat(pieces, F.array(F.lit(""))), mark), F.substring("text", last + 1, F.length("text")))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
-    return docs.join(cuts, same, "left").withColumn("text", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(cleaned)).select(*docs.columns)
+    same = docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(key))
+    return docs.join(cuts, same, "left").withColumn("text", F.when(F.col(cuts_).isNull(), F.col("text")).otherwise(cleaned)).select(*docs.columns)

@@ -1,23 +1,27 @@
 """HTML extraction: the main text of a page, without what its site repeats.
 
-Every element's subtree has a hash. Spark counts, for each host, the pages that hold it; a subtree
-on ``SHARE`` of a host's pages, and on ``LEAST_PAGES`` at least, is template and goes. Inside the
-main element only containers go that way: a plain paragraph, heading or list item of an article
-that other articles repeat is still its text. Elements that are never main text by their name,
-role, class or id (menus, adverts, forms, comments and so on) go in any case. The main element is
-the articles, else main, else the body.
+Every element's subtree has a hash. Spark counts, for each host, the different pages that hold it,
+where pages of equal bodies are one; a subtree on ``MANY`` different pages is template and goes, and
+on small hosts one on ``SHARE`` of the pages, and on ``LEAST_PAGES`` at least. Inside the main
+element only containers go that way: a plain paragraph, heading or list item of an article that
+other articles repeat is still its text. Elements that are never main text by their name, role,
+class or id (menus, adverts, forms, comments and so on) go in any case, as a site's adverts and
+reader comments need not repeat. The main element is the articles, else main, else the body.
 
 Counting is by (host, hash) with sums before the shuffle, so a host with a third of all pages is
 no single task; the templates come back as one row a host, broadcast up to ``MOST_BROADCAST`` hosts
-and joined with skew handling beyond. Null or empty html gives an empty text, a null url the empty
-host, whose pages count together. Unclosed and misnested tags are closed as browsers do for
-paragraphs, list items and cells. Trees are walked without recursion, so depth has no limit.
+and a bound of bytes, and joined with skew handling beyond. Null or empty html gives an empty text, a
+null url the empty host, whose pages count together. Repeated rows give a result each, an empty table
+none; other columns are not looked at, whatever their names. Unclosed and misnested tags are closed
+as browsers do for paragraphs, list items and cells. Trees are walked without recursion, and open
+elements are counted, so neither depth nor stray tags cost more than linearly.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,12 +34,14 @@ from hearken.llm.url_filters import host_of
 
 SHARE = 0.2
 LEAST_PAGES = 5
+MANY = 50
 MOST_BROADCAST = 50_000
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+|[^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th")}
 SCOPES = frozenset("html body article main div section table ul ol dl td th".split())
@@ -53,19 +59,54 @@ class Node:
         self.tag, self.attributes, self.children, self.inside = tag, attributes, [], inside
 
 
-def parse(page: str) -> list[Node]:
-    """The elements in page order, the first a root without a name. Children follow their parents."""
-    root = Node("", "", False)
-    nodes, stack, at = [root], [root], 0
+class _Open:
+    """The open elements, counted by name: all of them, and those since the last one that is a scope."""
 
-    def close_to(names: tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                del stack[i:]
-                return
-            if stack[i].tag in SCOPES:
+    def __init__(self, root: Node):
+        self.stack, self.counts = [root], Counter()
+        self.scopes: list[tuple[int, Counter]] = [(0, Counter())]
+
+    def push(self, node: Node) -> None:
+        self.counts[node.tag] += 1
+        if node.tag in SCOPES:
+            self.scopes.append((len(self.stack), Counter()))
+        else:
+            self.scopes[-1][1][node.tag] += 1
+        self.stack.append(node)
+
+    def pop(self) -> Node:
+        node = self.stack.pop()
+        self.counts[node.tag] -= 1
+        if self.scopes[-1][0] == len(self.stack):
+            self.scopes.pop()
+        else:
+            self.scopes[-1][1][node.tag] -= 1
+        return node
+
+    def close(self, tag: str) -> None:
+        """The end tag of the innermost element of the name, if one is open."""
+        while self.counts[tag] and self.pop().tag != tag:
+            pass
+
+    def make_room(self, names: tuple[str, ...]) -> None:
+        """Close what may not hold the next element: all of these names within the scope."""
+        while True:
+            place, inside = self.scopes[-1]
+            if any(inside[n] for n in names):
+                while self.pop().tag not in names:
+                    pass
+            elif place and self.stack[place].tag in names:
+                while len(self.stack) > place:
+                    self.pop()
+            else:
                 return
 
+
+def parse(page: str) -> list[Node]:
+    """The elements in page order, the first a root without a name. Children follow their parents."""
+    root = Node("", "", False)
+    nodes, open_, at = [root], _Open(root), 0
+    stack = open_.stack
     while at < len(page):
         m = TOKEN.search(page, at)
         if m is None:
@@ -78,24 +119,22 @@ def parse(page: str) -> list[Node]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            open_.close(tag)
             continue
         if tag in BLOCK:
-            close_to(("p",))
+            open_.make_room(("p",))
         if tag in CLOSES:
-            close_to(CLOSES[tag])
-        node = Node(tag, m[3].rstrip("/").strip(), stack[-1].inside or tag in ("article", "main"))
-        stack[-1].children.append(node)
+            open_.make_room(CLOSES[tag])
+        above = stack[-1]
+        node = Node(tag, m[3].rstrip("/").strip(), above.inside or tag in ("article", "main"))
+        above.children.append(node)
         nodes.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+            end = RAW_ENDS[tag].search(page, at)
             node.children.append(page[at : end.start() if end else len(page)])
             at = end.end() if end else len(page)
         elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+            open_.push(node)
     return nodes
 
 
@@ -169,48 +208,56 @@ def main_text(page: str | None, templates: frozenset[int] | set[int] = frozenset
         return digest[id(node)] in templates
 
     tops = [n for n in nodes if n.tag == "article" and not never_main(n)]
-    if not tops:
-        tops = [n for n in nodes if n.tag == "main" or 'role="main"' in n.attributes]
-    tops = tops or [nodes[0]]
-    below = {id(c) for t in tops for c in _descendants(t)}
-    return "\n".join(block for t in tops if id(t) not in below for block in _blocks(t, drop))
+    outer = _outermost(tops or [n for n in nodes if n.tag == "main" or 'role="main"' in n.attributes])
+    return "\n".join(block for t in outer or [nodes[0]] for block in _blocks(t, drop))
 
 
-def _descendants(top: Node) -> Iterator[Node]:
-    walk = [c for c in top.children if isinstance(c, Node)]
-    while walk:
-        node = walk.pop()
-        yield node
-        walk.extend(c for c in node.children if isinstance(c, Node))
+def _outermost(tops: list[Node]) -> list[Node]:
+    """Those of ``tops``, in page order, that lie in none of the others: each subtree is walked once."""
+    below: set[int] = set()
+    out = []
+    for top in tops:
+        if id(top) in below:
+            continue
+        out.append(top)
+        walk = [top]
+        while walk:
+            inner = [c for c in walk.pop().children if isinstance(c, Node)]
+            below.update(map(id, inner))
+            walk.extend(inner)
+    return out
 
 
 def _hosted(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
 
 
-def templates(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, hashes): the subtrees that many pages of the host hold."""
+def templates(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES, many: int = MANY) -> DataFrame:
+    """(host, hashes): the subtrees that many different pages of the host hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found = [], []
+            hosts, found, bodies = [], [], []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 nodes = parse(page or "")
                 digest = hashes(nodes)
                 kept = {digest[id(n)] - (1 << 63) for n in nodes[1:] if n.tag not in KEPT_NAMES and not (n.inside and n.tag in PLAIN)}
-                hosts += [host] * len(kept)
-                found += kept
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "hash"])
+                body = next((digest[id(n)] for n in nodes if n.tag == "body"), digest[id(nodes[0])]) - (1 << 63)
+                hosts += [host] * (len(kept) + 1)
+                found += [None, *kept]
+                bodies += [body] * (len(kept) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(bodies, pa.int64())], names=["host", "hash", "body"])
 
-    hosted = _hosted(pages)
-    often = hosted.select("host", "html").mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
-    of_host = hosted.groupBy("host").agg(F.count("*").alias("all"))
-    return often.join(of_host, "host").filter(F.col("pages") >= share * F.col("all")).groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
+    held = _hosted(pages).select("host", "html").mapInArrow(run, "host string, hash long, body long").distinct()
+    counts = stored(held.groupBy("host", "hash").agg(F.count("*").alias("pages")).filter((F.col("pages") >= least_pages) | F.col("hash").isNull()), "subtrees")
+    of_host = counts.filter("hash IS NULL").select("host", F.col("pages").alias("all"))
+    often = counts.filter("hash IS NOT NULL").join(of_host, "host").filter((F.col("pages") >= least_pages) & ((F.col("pages") >= many) | (F.col("pages") >= share * F.col("all"))))
+    return often.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
 
 
-def extract(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extract(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES, many: int = MANY) -> DataFrame:
     """One row a page row: page_id, url, text, n_chars."""
-    found = small(stored(templates(pages, share, least_pages), "templates"), MOST_BROADCAST)
+    found = small(stored(templates(pages, share, least_pages, many), "templates"), MOST_BROADCAST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[str, set[int]] = {}

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from hearken.llm import html_extraction as H
 from hearken.llm.queries import QUERIES
@@ -39,3 +40,35 @@ def test_site_templates_go(spark):
     assert all(got[i] == f"Own text {i}" for i in range(40))
     assert got[100] == "" and got[101] == "Welcome to the site"
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_templates_without_telling_names(spark):
+    """A large host whose sidebar is on a tenth of its pages, copies of one page on a small host, and no
+    articles: only the counted subtrees can tell what is the page's own."""
+    rows = [(i, f"http://big.com/{i}", f"<body><div><span>Home</span><span>All</span></div>{'<div><b>Read this too</b> of ours</div>' if i % 10 == 0 else ''}<div>Own text {i}</div></body>", "x", None) for i in range(600)]
+    rows += [(1000 + i, f"http://copied.com/{i}", f"<head><script>n={i}</script></head><body><div>The one story</div></body>", "x", None) for i in range(5)]
+    rows += [(1100 + i, f"http://copied.com/o{i}", f"<body><div>Other {i}</div></body>", "x", None) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, hashes string")
+    got = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
+    assert all(got[i] == f"Own text {i}" for i in range(600))
+    assert all(got[1000 + i] == "The one story" and got[1100 + i] == f"Other {i}" for i in range(5))
+    without = {r["page_id"]: r["text"] for r in H.extract(pages, share=2.0, many=1 << 40).collect()}
+    assert sum(without[i] != got[i] for i in range(600)) == 600
+
+
+def test_repeated_rows(spark):
+    rows = [(1, "http://a.com", "<article>T</article>"), (1, "http://a.com", "<article>T</article>")]
+    assert [r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()] == ["T", "T"]
+
+
+def test_hostile_pages_cost_linear_time():
+    pages = ["<blockquote>" * 50000 + "x", "x" + "</b>" * 50000, "<article>" * 50000 + "x", "<table><p><td>" + "<blockquote>" * 50000 + "x", "<p>" + "<span>" * 50000 + "<div>" * 50000 + "x", "<ul>" + "<li>a" * 50000]
+    for page in pages:
+        began = time.process_time()
+        assert H.main_text(page).endswith(("x", "a"))
+        assert time.process_time() - began < 5
+
+
+def test_cells_and_items_close():
+    assert H.main_text("<table><tr><td>a<td>b<tr><td>c</table>d") == "a\nb\nc\nd"
+    assert H.main_text("<ul><li>a<ul><li>b<li>c</ul><li>d</ul></b></p>e") == "a\nb\nc\nd\ne"

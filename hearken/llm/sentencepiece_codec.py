@@ -12,79 +12,148 @@ is checked), and a character of no longer piece stands alone, so every word is a
 state at either end, and its best path is kept.
 
 The public model file here is of merges, whose scores are only their order. Paths need scores that
-add up, so a piece's is the logarithm of one over its rank, as of Zipf's law (``scores='zipf'``); a
-unigram model's own scores are used as they are (``scores='model'``). Ids are the model's, and its
+add up, so a piece's is the logarithm of one over its rank, as of Zipf's law, less ``PIECE_COST``, which
+makes paths short as merges do (``scores='zipf'``); a unigram model's own scores are used as they are (``scores='model'``). Ids are the model's, and its
 own library decodes them. Characters without a piece become their UTF-8 bytes' pieces; so does the
 space sign itself where a text has one, and decoding gives back every text exactly.
 
 Null texts have null ids and decode to null; empty texts have none and decode to the empty text.
-Each input row gives one result row, with whatever columns were asked to be kept.
+Each input row, repeated ones too, gives one result row, with whatever columns were asked to be kept;
+a kept column named like a result gives way to it. An empty table gives an empty result. Between
+paths of equal score the one found first is taken, so a text's ids are always the same.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain, pairwise
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.shared import stored
+from hearken.llm.shared import fresh, stored
 
 SPACE, LITERAL = "▁", "\ud800"
 GIANT = 1 << 16
 CHUNK = 1 << 15
 FAN = 256
-BYTE_SCORE = -20.0
+#: Scores: what every piece costs beside its rank, and a byte of a character without a piece.
+PIECE_COST, BYTE_SCORE = 6.0, -40.0
+#: Words whose ids a worker keeps, and characters of texts that it takes at once.
+MOST_WORDS, RUN = 200_000, 1 << 20
+#: Characters from which on a word is not kept, and words encoded at once.
+LONG, AT_ONCE = 64, 8192
 NEVER = -1e18
 
 
-class Codec:
+def _spelling(model: bytes) -> tuple[list, list[bytes], dict[int, int]]:
+    """Of a model file: its normal pieces (id, piece, score), every id's bytes, and each byte's id."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    spec = proto.ModelProto()
+    spec.ParseFromString(model)
+    of_byte = {int(p.piece[3:5], 16): i for i, p in enumerate(spec.pieces) if p.type == p.BYTE}
+    spelled = [p.piece.replace(SPACE, " ").encode() for p in spec.pieces]
+    for byte, i in of_byte.items():
+        spelled[i] = bytes([byte])
+    return [(i, p.piece, p.score) for i, p in enumerate(spec.pieces) if p.type == p.NORMAL], spelled, of_byte
+
+
+class Decoder:
+    """Ids to text: all that decoding needs of a model."""
+
+    def __init__(self, model: bytes):
+        self.spelled = _spelling(model)[1]
+
+    def decode(self, ids) -> str:
+        return b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")[1:]
+
+
+class _Words(dict):
+    """Ids of words met lately, four bytes each; a word that is not there is encoded on the way."""
+
+    def __init__(self, best):
+        super().__init__()
+        self.best = best
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(self.best(word)[1], np.int32).tobytes()
+        if len(word) < LONG and len(self) < MOST_WORDS:
+            self[word] = ids
+        return ids
+
+
+class _Trie:
+    """The pieces as arrays: edges by node and character, and each node's piece if it is one."""
+
+    def __init__(self, pieces: dict[str, tuple[float, int]]):
+        node_of = {"": 0} | {p: i + 1 for i, p in enumerate(dict.fromkeys(p[:k] for p in pieces for k in range(1, len(p) + 1)))}
+        edges = [(node_of[p[:-1]] << 21 | ord(p[-1]), i) for p, i in node_of.items() if p]
+        self.keys, self.child = np.array([k for k, _ in edges], np.int64), np.array([i for _, i in edges], np.int32)
+        self.score, self.piece = np.full(len(node_of), np.nan), np.zeros(len(node_of), np.int32)
+        for p, (score, i) in pieces.items():
+            self.score[node_of[p]], self.piece[node_of[p]] = score, i
+        # Edges by hash, each in its slot or the next free one after it.
+        self.bits = (4 * len(edges)).bit_length()
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        edge, slot = np.arange(len(edges), dtype=np.int32), self._slot(self.keys)
+        while len(edge):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = edge[free]
+            later = self.slots[slot] != edge
+            edge, slot = edge[later], (slot[later] + 1) & (len(self.slots) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def follow(self, node: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which edges there are, and where these lead."""
+        wanted = node.astype(np.int64) << 21 | chars
+        slot = self._slot(wanted)
+        edge = self.slots[slot]
+        open_ = np.flatnonzero((self.keys[edge] != wanted) & (edge >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.slots) - 1)
+            edge[open_] = self.slots[slot[open_]]
+            open_ = open_[(self.keys[edge[open_]] != wanted[open_]) & (edge[open_] >= 0)]
+        there = edge >= 0
+        return there, self.child[edge[there]]
+
+
+class Codec(Decoder):
     """A model's pieces, with encoding of texts and of chunks."""
 
     def __init__(self, model: bytes, scores: str = "zipf"):
-        from sentencepiece import sentencepiece_model_pb2 as proto
-
-        spec = proto.ModelProto()
-        spec.ParseFromString(model)
-        self.byte_of = [int(p.piece[3:5], 16) if p.type == p.BYTE else None for p in spec.pieces]
-        self.bytes = {b: i for i, b in enumerate(self.byte_of) if b is not None}
-        normal = [(i, p) for i, p in enumerate(spec.pieces) if p.type == p.NORMAL]
-        rank = {i: r + 2 for r, (i, _) in enumerate(normal)}
-        self.pieces = {p.piece: (p.score if scores == "model" else -float(np.log(rank[i])), i) for i, p in normal}
+        normal, self.spelled, self.bytes = _spelling(model)
+        #: Score and id of each piece, in the order of the model.
+        self.pieces = {p: (score if scores == "model" else -float(np.log(r + 2)) - PIECE_COST, i) for r, (i, p, score) in enumerate(normal)}
         self.longest = max(map(len, self.pieces))
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece has a space inside")
-        #: A trie of the pieces: each node has its children and, where a piece ends, its score and ids.
-        self.root: dict[str, list] = {}
-        for piece, (score, i) in self.pieces.items():
-            children = self.root
-            for char in piece:
-                node = children.setdefault(char, [{}, None, None])
-                children = node[0]
-            node[1:] = score, [i]
+        self.trie = _Trie(self.pieces)
         # Characters of no piece but their own have borders on both sides, whatever the path.
         joined = "".join(sorted({x for p in self.pieces if len(p) > 1 for x in p} - {SPACE}))
         self.units = re.compile(f"{SPACE}*[{re.escape(joined)}]+|{SPACE}+|." if joined else f"{SPACE}+|.", re.DOTALL)
-        self.known: dict[str, tuple[float, list[int]]] = {}
-        self.spelled = [p.piece.replace(SPACE, " ").encode() if b is None else bytes([b]) for p, b in zip(spec.pieces, self.byte_of, strict=True)]
+        self.known = _Words(self.word)
 
     @staticmethod
     def normal(text: str) -> str:
         return text.replace(SPACE, LITERAL).replace(" ", SPACE)
 
-    def _bytes(self, char: str) -> list[int]:
-        return [self.bytes[b] for b in (SPACE if char == LITERAL else char).encode()]
+    def _bytes(self, char: str) -> tuple[int, ...]:
+        return tuple(self.bytes[b] for b in (SPACE if char == LITERAL else char).encode())
 
     def _best(self, text: str, start: int, length: int) -> tuple[list[float], list]:
         """Scores of the best paths from ``start`` to every place up to where pieces that start before
         ``length`` reach, and each place's last step. A lone character without a piece goes by bytes."""
-        n, root, longest = len(text), self.root, self.longest
+        n, begun = len(text), self.begun.get
         last: list = [None] * (n + 1)
         best = [NEVER] * (n + 1)
         if start <= n:
@@ -93,55 +162,110 @@ class Codec:
             here = best[at]
             if here == NEVER:
                 continue
-            children, to = root, at
-            for char in text[at : at + longest]:
-                node = children.get(char)
-                if node is None:
-                    break
-                to += 1
-                children, score, ids = node
-                if score is not None and here + score > best[to]:
-                    best[to], last[to] = here + score, (at, ids)
-            single = root.get(text[at])
-            if single is None or single[1] is None:
+            hit = begun(text[at], 0)
+            if not hit:
                 ids = self._bytes(text[at])
-                score = here + BYTE_SCORE * len(ids)
-                if score > best[at + 1]:
-                    best[at + 1], last[at + 1] = score, (at, ids)
+                hit, longer = (BYTE_SCORE * len(ids), ids), hit is None
+            else:
+                longer = True
+            to = at + 1
+            while True:
+                if hit and here + hit[0] > best[to]:
+                    best[to], last[to] = here + hit[0], (at, hit[1])
+                to += 1
+                if to > n or not longer:
+                    break
+                hit = begun(text[at:to], 0)
+                if hit == 0:
+                    break
         return best, last
 
     @staticmethod
     def _trace(last: list, start: int, end: int) -> list[int]:
-        parts = []
+        ids: list[int] = []
         while end > start:
-            end, ids = last[end]
-            parts.append(ids)
-        return [i for ids in reversed(parts) for i in ids]
+            end, step = last[end]
+            if type(step) is int:
+                ids.append(step)
+            else:
+                ids.extend(reversed(step))
+        ids.reverse()
+        return ids
 
     def word(self, word: str) -> tuple[float, list[int]]:
-        """The best path of a text between two forced borders."""
-        hit = self.known.get(word)
-        if hit is None:
-            score, last = self._best(word, 0, len(word))
-            hit = (score[len(word)], self._trace(last, 0, len(word)))
-            if len(self.known) > 300_000:
-                self.known.clear()
-            if len(word) < 64:
-                self.known[word] = hit
-        return hit
-
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        known, out = self.known, []
-        for w in self.units.findall(SPACE + self.normal(text)):
-            hit = known.get(w) or self.word(w)
-            out += hit[1]
+        """The best path of a text between two forced borders: its score and ids."""
+        score, last = self._best(word, 0, len(word))
+        return score[len(word)], self._trace(last, 0, len(word))
+
+    @cached_property
+    def begun(self) -> dict:
+        """The pieces and, with nothing, what they begin with."""
+        return dict.fromkeys(p[:k] for p in self.pieces for k in range(1, len(p))) | self.pieces
+
+    def many(self, words: list[str]) -> list[bytes]:
+        """Ids of many short words at once: each step of the best paths is taken for all of them, place
+        by place and, of pieces that end alike, from the earliest start on, as for a single text."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        ends = np.cumsum(sizes)
+        word = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(chars)) - (ends - sizes)[word]
+        left = sizes[word] - place
+        at, node, steps = np.arange(len(chars)), np.zeros(len(chars), np.int32), []
+        for size in range(1, self.longest + 1):
+            room = left[at] >= size
+            at, node = at[room], node[room]
+            there, node = self.trie.follow(node, chars[at + (size - 1)])
+            at = at[there]
+            ends_here = ~np.isnan(self.trie.score[node])
+            by_place = np.argsort(place[at[ends_here]], kind="stable")
+            start, last = at[ends_here][by_place], node[ends_here][by_place]
+            steps.append((size, start + word[start], self.trie.score[last], self.trie.piece[last], np.searchsorted(place[start], np.arange(LONG + 1))))
+            if not len(at):
+                break
+        # A word of n characters has n + 1 states, the first its beginning.
+        first = ends - sizes + np.arange(len(words))
+        best, back, piece = np.full(len(chars) + len(words), NEVER), np.zeros(len(chars) + len(words), np.int64), np.zeros(len(chars) + len(words), np.int32)
+        best[first] = 0.0
+        for at_place in range(int(sizes.max(initial=0))):
+            for size, start, score, ids, bounds in steps:
+                a, b = bounds[at_place], bounds[at_place + 1]
+                if a < b:
+                    total, to = best[start[a:b]] + score[a:b], start[a:b] + size
+                    better = total > best[to]
+                    to = to[better]
+                    best[to], back[to], piece[to] = total[better], size, ids[a:b][better]
+        state, active = first + sizes, np.arange(len(words))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(active):
+            found.append((active, piece[state[active]]))
+            state[active] -= back[state[active]]
+            active = active[(state[active] > first[active]) & (back[state[active]] > 0)]
+        owner, ids = np.concatenate([w for w, _ in found][::-1]), np.concatenate([i for _, i in found][::-1])
+        in_order = np.argsort(owner, kind="stable")
+        raw, at_byte = ids[in_order].astype(np.int32).tobytes(), np.concatenate([[0], 4 * np.cumsum(np.bincount(owner, minlength=len(words)))]).tolist()
+        out = [raw[a:b] for a, b in pairwise(at_byte)]
+        # Characters without a piece of their own go by bytes: those words one by one.
+        alone = np.zeros(len(best), bool)
+        alone[steps[0][1]] = True
+        for i in np.unique(word[~alone[np.arange(len(chars)) + word]]).tolist():
+            out[i] = np.array(self.word(words[i])[1], np.int32).tobytes()
         return out
 
-    def decode(self, ids) -> str:
-        spelled = self.spelled
-        return b"".join([spelled[i] for i in ids]).decode("utf-8", "replace")[1:]
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        cut = [None if t is None else self.units.findall(SPACE + self.normal(t)) if t else [] for t in texts]
+        known = self.known
+        words = [w for w in set(chain.from_iterable(ws for ws in cut if ws)) if len(w) < LONG]
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > MOST_WORDS:
+            known.clear()
+            new = words
+        for at in range(0, len(new), AT_ONCE):
+            known.update(zip(new[at : at + AT_ONCE], self.many(new[at : at + AT_ONCE]), strict=True))
+        return [None if ws is None else np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32) for ws in cut]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
     def _borders(self, core: str) -> list[int]:
         """Places inside a chunk that every path has."""
@@ -179,7 +303,7 @@ class Codec:
             return self._trace(self._best(text, s, n)[1], s, n + t)
         ids = self._trace(self._best(core[: borders[0]], s, borders[0])[1], s, borders[0])
         for a, b in zip(borders, borders[1:], strict=False):
-            ids += self.word(core[a:b])[1]
+            ids += np.frombuffer(self.known[core[a:b]], np.int32).tolist()
         tail = text[borders[-1] :]
         return ids + self._trace(self._best(tail, 0, n - borders[-1])[1], 0, n - borders[-1] + t)
 
@@ -200,41 +324,77 @@ def states(matrices: list[np.ndarray], first: int, last: int) -> list[int]:
     return out[::-1]
 
 
+def _runs(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``RUN`` bytes of a text column."""
+    ends = np.cumsum(np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN, "right")), at + 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _lists(rows: list[np.ndarray | None]) -> pa.Array:
+    """An array of integer lists from one flat array."""
+    sizes = np.array([0 if x is None else len(x) for x in rows], np.int32)
+    ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
+    flat = np.concatenate([x for x in rows if x is not None] or [np.zeros(0, np.int32)])
+    nulls = pa.array([x is None for x in rows], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=nulls)
+
+
 @lru_cache(maxsize=2)
 def codec(path: str, scores: str) -> Codec:
     """One codec a process; the model file is installed on every machine, at the path given."""
     return Codec(Path(path).read_bytes(), scores)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(Path(path).read_bytes())
+
+
 def public_model() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, keep: list[str], model: str | None = None, scores: str = "zipf", giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
-    """The columns ``keep`` + ids, from ``text``."""
+def encode(docs: DataFrame, keep: list[str], model: str | None = None, scores: str = "zipf", giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN, checked: bool = False) -> DataFrame:
+    """The columns ``keep`` + ids, from ``text``, and where ``checked`` round_trip: whether decoding the
+    ids gives the text. Kept columns of these names are replaced."""
     path = str(model or public_model())
+    results = ["ids", "round_trip"][: 1 + checked]
+    keep = [k for k in keep if k.lower() not in results]
+    source, row = fresh(keep, "_text", "_row")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, scores)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [None if t is None else np.array(c.encode(t), np.int32) for t in part.column("_text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
-
-    read = docs.select(*keep, F.col("text").alias("_text"))
+            for part in _runs(batch, source):
+                texts = part.column(source).to_pylist()
+                ids = c.encode_all(texts)
+                out = part.select(keep).append_column("ids", _lists(ids))
+                if checked:
+                    same = [t is None if i is None else c.decode(i.tolist()) == t for t, i in zip(texts, ids, strict=True)]
+                    out = out.append_column("round_trip", pa.array(same, pa.bool_()))
+                yield out
+
+    read = docs.select(*keep, F.col("text").alias(source))
     kinds = "".join(f"`{k}` {read.schema[k].dataType.simpleString()}, " for k in keep)
-    is_giant = F.coalesce(F.length("_text") > giant, F.lit(False))
-    usual = read.filter(~is_giant).mapInArrow(whole, f"{kinds}ids array<int>")
-    giants = stored(read.filter(is_giant).withColumn("_row", F.monotonically_increasing_id()), "giants")
+    is_giant = F.coalesce(F.length(source) > giant, F.lit(False))
+    usual = read.filter(~is_giant).mapInArrow(whole, f"{kinds}ids array<int>{', round_trip boolean' * checked}")
+    giants = stored(read.filter(is_giant).withColumn(row, F.monotonically_increasing_id()), "giants")
     if not giants.limit(1).count():
         return usual
-    return usual.unionByName(_giants(giants, keep, path, scores, chunk, fan))
+    ids = _giants(giants.select(F.col(row).alias("_row"), F.col(source).alias("_text")), path, scores, chunk, fan)
+    if checked:
+        ids = decode(ids, model)
+    met = giants.join(ids.withColumnRenamed("_row", row), row)
+    return usual.unionByName(met.select(*keep, "ids", *[F.col("decoded").eqNullSafe(F.col(source)).alias("round_trip")] * checked))
 
 
-def _giants(giants: DataFrame, keep: list[str], path: str, scores: str, chunk: int, fan: int) -> DataFrame:
+def _giants(giants: DataFrame, path: str, scores: str, chunk: int, fan: int) -> DataFrame:
     ahead = codec(path, scores).longest - 1
     # One sign more at the start, as of every text; the space sign itself is marked as in ``normal``.
     text = F.concat(F.lit(" "), "_text")
@@ -281,18 +441,17 @@ def _giants(giants: DataFrame, keep: list[str], path: str, scores: str, chunk: i
     ends = blocks.groupBy("_row").applyInPandas(scanned, "_row long, block int, first int, last int")
     placed = matrices.join(ends, ["_row", "block"]).groupBy("_row", "block").applyInPandas(within, "_row long, c int, s int, t int")
     ids = chunks.join(placed, ["_row", "c"]).select("_row", "c", "core", "ahead", "s", "t").mapInArrow(traced, "_row long, c int, ids array<int>")
-    joined = ids.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("c", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return giants.select("_row", *keep).join(joined, "_row").select(*keep, "ids")
+    return ids.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("c", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def decode(encoded: DataFrame, model: str | None = None, scores: str = "zipf") -> DataFrame:
-    """``encoded`` + decoded, the text of its ids."""
+def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
+    """``encoded`` + decoded, the text of its ids; a column of that name is replaced."""
     path = str(model or public_model())
 
     @F.pandas_udf("string")
     def text_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(path, scores)
+        d = decoder(path)
         for ids in parts:
-            yield pd.Series([None if x is None else c.decode(x.tolist()) for x in ids], dtype=object)
+            yield pd.Series([None if x is None else d.decode(x.tolist()) for x in ids], dtype=object)
 
     return encoded.withColumn("decoded", text_of("ids"))

@@ -73,6 +73,15 @@ def test_giant_path_equals_whole_path(spark, codec):
         if text:
             assert abs(score(codec, got[i]["ids"]) - score(codec, codec.encode(text))) < 1e-6
     assert S.encode(docs.limit(0), ["doc_id"]).count() == 0
+    checked = S.encode(docs, ["doc_id"], giant=20, chunk=16, fan=3, checked=True).collect()
+    assert all(r["round_trip"] for r in checked) and {r["doc_id"]: r["ids"] for r in checked} == {i: r["ids"] for i, r in got.items()}
+
+
+def test_kept_columns_may_clash(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 7, "y"), (1, "a b", "x", 7, "y"), (2, "word " * 30, "z", 8, None)], "doc_id long, text string, ids string, _row int, _text string")
+    got = S.decode(S.encode(docs, docs.columns, giant=20, chunk=16, fan=3))
+    assert sorted(got.columns) == ["_row", "_text", "decoded", "doc_id", "ids", "text"]
+    assert sorted((r["doc_id"], r["decoded"] == r["text"], r["_row"], r["_text"]) for r in got.collect()) == [(1, True, 7, "y"), (1, True, 7, "y"), (2, True, 8, None)]
 
 
 def test_query(spark):

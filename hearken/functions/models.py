@@ -1,13 +1,12 @@
 """Slots for models: what a recognizer, detector, embedder or synthesizer must be to take part.
 
-A slot is a factory named ``module:name``; each worker calls it once and the result maps a batch.
-The stand-ins here are deterministic, for tests and plans; they recognize nothing, and figures of
-theirs say nothing about speech.
+A slot is a factory named ``module:name``; each worker calls it once and the result maps the values of
+a row: one for most kinds, text and voice for a synthesizer, sound and reference for a conversion,
+sound and keyword for a matcher.
 """
 
 from __future__ import annotations
 
-import hashlib
 import importlib
 from collections.abc import Callable, Iterator
 
@@ -23,19 +22,37 @@ def slot(kind: str, factory: str, failed=None) -> Callable[..., Column]:
     """A vectorized function of the slot's kind. A row that the model fails on gets ``failed``, as a
     chunk whose speech gate fails must be kept."""
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         module, name = factory.split(":")
         model = getattr(importlib.import_module(module), name)()
         for inputs in parts:
             out = []
-            for x in inputs:
+            # A single column comes as itself and not as a tuple of one.
+            for row in zip(*(inputs if isinstance(inputs, tuple) else (inputs,)), strict=True):
                 try:
-                    out.append(model(x))
+                    out.append(model(*row))
                 except (ValueError, OSError, RuntimeError):
                     out.append(failed)
             yield pd.Series(out, dtype=object)
 
-    return F.pandas_udf(run, SLOTS[kind])
+    # A batch of structs, as some kinds return, goes as a table.
+    def tables(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        names = [f.split(":")[0] for f in SLOTS[kind][len("struct<") : -1].split(",")]
+        for out in run(parts):
+            yield pd.DataFrame([x if x is not None else (None,) * len(names) for x in out], columns=names)
+
+    return F.pandas_udf(tables if SLOTS[kind].startswith("struct<") else run, SLOTS[kind])
+
+
+def by_length(chunks, length: str, step: int = 1600):
+    """Chunks dealt by their length in steps, so that a model's batches hold sounds of about one length
+    and none is padded far."""
+    return chunks.withColumn("_step", F.floor(F.col(length) / step)).repartition("_step").sortWithinPartitions("_step").drop("_step")
+
+
+def durations_known(chunks, demuxed: str, default: float = 5.0):
+    """chunks + duration of the ``demux`` slot's result; the default where it failed."""
+    return chunks.withColumn("duration", F.coalesce(F.col(f"{demuxed}.duration"), F.lit(default)))
 
 
 def speech_gate(chunks, content: str, vad: Callable[..., Column]):
@@ -46,28 +63,3 @@ def speech_gate(chunks, content: str, vad: Callable[..., Column]):
 def complete_words(words: Column) -> Column:
     """Without words that lack a field."""
     return F.filter(words, lambda w: w["word"].isNotNull() & w["start"].isNotNull() & w["end"].isNotNull() & w["score"].isNotNull())
-
-
-def stand_in_words():
-    """Text bytes as words half a second apart."""
-    return lambda content: [{"word": w, "start": i * 0.5, "end": i * 0.5 + 0.4, "score": 0.9} for i, w in enumerate(bytes(content).decode().split())]
-
-
-def stand_in_embedder(size: int = 8):
-    """A unit vector from a hash of the bytes."""
-
-    def embed(content) -> list[float]:
-        raw = [b - 127.5 for b in hashlib.sha256(bytes(content)).digest()[:size]]
-        length = sum(x * x for x in raw) ** 0.5
-        return [x / length for x in raw]
-
-    return embed
-
-
-def stand_in_speech():
-    def has_speech(content) -> bool:
-        if not content:
-            raise ValueError("no sound")
-        return len(bytes(content).split()) > 0
-
-    return has_speech

@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
+from hearken.operators.sizes import small
+
 RATE = 16000
 N_FFT, WIN, HOP, MELS, LOW, HIGH = 512, 400, 160, 40, 80.0, 8000.0
 
@@ -55,15 +58,45 @@ def impulse_response(seed: int, rt60: float = 0.3, rate: int = RATE) -> np.ndarr
     return r / np.abs(r).max()
 
 
+def stretched(samples: np.ndarray, rate: float, n_fft: int = 1024) -> np.ndarray:
+    """Sound at ``rate`` times the speed and the same pitch, by a phase vocoder."""
+    x = np.asarray(samples, float)
+    hop = n_fft // 4
+    if len(x) < n_fft:
+        return x if rate == 1 else np.interp(np.linspace(0, max(len(x) - 1, 0), max(1, int(len(x) / rate))), np.arange(len(x)), x)
+    window = np.hanning(n_fft + 1)[:-1]
+    spectra = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(np.pad(x, (0, n_fft)), n_fft)[::hop] * window)
+    steps = np.arange(0, len(spectra) - 1, rate)
+    advance = 2 * np.pi * hop * np.arange(spectra.shape[1]) / n_fft
+    phase = np.angle(spectra[0])
+    out, weight = np.zeros(len(steps) * hop + n_fft), np.full(len(steps) * hop + n_fft, 1e-8)
+    for k, step in enumerate(steps):
+        a, b = spectra[int(step)], spectra[int(step) + 1]
+        size = (1 - step % 1) * np.abs(a) + (step % 1) * np.abs(b)
+        out[k * hop : k * hop + n_fft] += window * np.fft.irfft(size * np.exp(1j * phase), n_fft)
+        weight[k * hop : k * hop + n_fft] += window**2
+        turn = np.angle(b) - np.angle(a) - advance
+        phase = phase + advance + turn - 2 * np.pi * np.round(turn / (2 * np.pi))
+    return (out / weight)[: max(1, int(len(x) / rate))]
+
+
+def pitched(samples: np.ndarray, semitones: float) -> np.ndarray:
+    """Sound of the same length, higher by so many semitones."""
+    x, factor = np.asarray(samples, float), 2.0 ** (semitones / 12)
+    longer = stretched(x, 1 / factor)
+    return np.interp(np.linspace(0, len(longer) - 1, len(x)), np.arange(len(longer)), longer) if len(x) else x
+
+
 def augmented(samples: np.ndarray, seed: int, rate: int = RATE) -> np.ndarray:
-    """Tempo, reverberation, low pass by chance, then noise at 5 to 25 dB, peak 0.95; by seed."""
+    """Pitch, tempo, reverberation and low pass by chance, then noise at 5 to 25 dB, peak 0.95; by seed."""
     rng = np.random.default_rng(seed)
     x = np.asarray(samples, float)
     if not len(x):
         return x
     if rng.random() < 0.5:
-        n = max(1, int(len(x) / rng.uniform(0.88, 1.12)))
-        x = np.interp(np.linspace(0, len(x) - 1, n), np.arange(len(x)), x)
+        x = pitched(x, rng.uniform(-1.5, 1.5))
+    if rng.random() < 0.5:
+        x = stretched(x, rng.uniform(0.88, 1.12))
     if rng.random() < 0.5:
         wet, mix = np.convolve(x, impulse_response(int(rng.integers(1 << 30))))[: len(x)], rng.uniform(0.2, 0.5)
         x = (1 - mix) * x + mix * wet
@@ -86,10 +119,18 @@ def trimmed(samples: np.ndarray, top_db: float = 30.0, frame: int = 2048, hop: i
     return x[loud[0] * hop : min(len(x), (loud[-1] + 1) * hop)] if len(loud) else x[:0]
 
 
-@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
-def mel_spectrogram(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for sounds in parts:
-        yield sounds.map(lambda s: None if s is None else mel_frames(s).tolist())
+def mel_spectrogram(samples, log: bool = False):
+    """struct<frames, voiced>: the mel spectrogram, of logarithms where ``log``, and which frames are not
+    all silence; null for null."""
+
+    @F.pandas_udf("frames array<array<double>>, voiced array<boolean>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for sounds in parts:
+            power = [None if s is None else mel_frames(s) for s in sounds]
+            frames = [None if p is None else (np.log10(p + 1e-7) if log else p).tolist() for p in power]
+            yield pd.DataFrame({"frames": frames, "voiced": [None if p is None else (p != 0).any(axis=1).tolist() for p in power]})
+
+    return run(samples)
 
 
 @F.pandas_udf(StructType([StructField("at", IntegerType()), StructField("percent", DoubleType())]))
@@ -99,6 +140,14 @@ def cross_correlation(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[
         yield pd.DataFrame({"at": [f[0] for f in found], "percent": [f[1] for f in found]})
 
 
+def keyword_in_chunks(chunks: DataFrame, keywords: DataFrame, threshold: float = 70.0) -> DataFrame:
+    """(chunk columns, keyword, at, percent) where a keyword's sound correlates by more than ``threshold``
+    percent. ``keywords`` (keyword, word) is a stated, bounded set that meets every chunk (samples)."""
+    met = chunks.crossJoin(small(keywords.select("keyword", "word")))
+    scored = met.withColumn("c", cross_correlation("samples", "word"))
+    return scored.filter(F.coalesce(F.col("c.percent") > threshold, F.lit(False))).select(*[c for c in chunks.columns if c != "samples"], "keyword", "c.at", "c.percent")
+
+
 @F.pandas_udf(ArrayType(FloatType()))
 def augment(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Of (samples, seed); take the seed from a hash of the row's key."""

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 from hearken.functions import text as T
 from hearken.operators import streams as R
@@ -42,6 +42,30 @@ def samples(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield files.map(lambda c: decode_wav(bytes(c)))
 
 
+def encode_wav(samples: np.ndarray, rate: int = 16000) -> bytes:
+    """A mono file of 16 bits; what is over full scale is cut."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes((np.clip(np.asarray(samples, float), -1, 1) * 32767).round().astype("<i2").tobytes())
+    return out.getvalue()
+
+
+@F.pandas_udf(BinaryType())
+def wav_files(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Samples as files, for a table of clips."""
+    for sounds in parts:
+        yield sounds.map(lambda s: None if s is None else encode_wav(s))
+
+
+def selected_keyword(spark: SparkSession, path: str, default: str | None = None) -> str | None:
+    """The first line that is not blank, or the default."""
+    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+    return first[0]["value"].strip() if first else default
+
+
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(file, text) of a transcript document: a header line in brackets, then lines of text."""
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), F.posexplode(F.split("value", r"\r?\n")).alias("i", "line"))

@@ -87,4 +87,52 @@ def test_signal(spark):
     assert 4000 <= len(S.trimmed(quiet)) < 8000
     assert np.allclose(S.augmented(word, 5), S.augmented(word, 5)) and np.abs(S.augmented(word, 5)).max() <= 0.9501
     out = spark.createDataFrame([([0.0, 1.0] * 400, 3)], "s array<float>, k long").select(S.augment("s", "k").alias("a"), S.mel_spectrogram("s").alias("m"), S.trim_silence("s").alias("t")).first()
-    assert len(out["a"]) and len(out["m"]) == 3
+    assert len(out["a"]) and len(out["m"]["frames"]) == 3
+
+
+def test_keyword_in_chunks_against_numpy(spark):
+    rng = np.random.default_rng(1)
+    word = rng.standard_normal(50)
+    loud, quiet = rng.standard_normal(400) * 0.1, rng.standard_normal(400)
+    loud[175:225] += 3 * word
+    chunks = spark.createDataFrame([(1, loud.tolist()), (2, quiet.tolist()), (3, [0.0] * 100), (4, [])], "chunk_idx int, samples array<double>")
+    keywords = spark.createDataFrame([("w", word.tolist())], "keyword string, word array<double>")
+    got = {r["chunk_idx"]: (r["at"], round(r["percent"], 6)) for r in S.keyword_in_chunks(chunks, keywords, -1000.0).collect()}
+    for i, x in ((1, loud), (2, quiet)):
+        full = np.correlate(x, word, "same")
+        at = int(full.argmax())
+        assert got[i] == (at, round(min(100.0, full[at] / np.sqrt((x[at : at + 50] ** 2).sum() * (word**2).sum()) * 100), 6))
+    assert got.keys() == {1, 2} and got[1][0] == 200
+
+
+def test_pitch_and_tempo():
+    x = np.sin(2 * np.pi * 440 * np.arange(16000) / 16000)
+    tone = lambda y: np.fft.rfftfreq(8192, 1 / 16000)[np.abs(np.fft.rfft(y[2000:10192])).argmax()]
+    slow = S.stretched(x, 0.9)
+    assert len(slow) == int(16000 / 0.9) and abs(tone(slow) - 440) < 5
+    high = S.pitched(x, 1.5)
+    assert len(high) == 16000 and abs(tone(high) - 440 * 2 ** (1.5 / 12)) < 6
+
+
+def test_mel_mask_and_names(spark):
+    df = spark.createDataFrame([([0.0] * 800 + [0.5, -0.5] * 400,)], "s array<double>")
+    row = df.select(S.mel_spectrogram("s", log=True).alias("m")).first()["m"]
+    assert len(row["frames"]) == len(row["voiced"]) == 8 and row["voiced"][0] is False and row["voiced"][-1] is True
+    lines = spark.createDataFrame([("# c|a|b|d",), ("ABSENT|AE1 B|AE0 B|V",), ("x",)], "l string").select(T.homographs(F.col("l")).alias("h")).collect()
+    assert [r["h"] and (r["h"]["head"], r["h"]["first"], r["h"]["pos"]) for r in lines] == [None, ("absent", ["AE1", "B"], "V"), None]
+
+
+def test_supervisor_starts_again(spark):
+    from pyspark.errors import StreamingQueryException
+
+    from hearken.streaming import jobs
+
+    class Once:
+        tries = 0
+
+        def awaitTermination(self):
+            Once.tries += 1
+            if Once.tries < 3:
+                raise StreamingQueryException("lost")
+
+    assert jobs.supervised(Once, tries=5, wait=0.0) == 3

@@ -62,3 +62,13 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "b")).count() == 2
     (tmp_path / "d.json").write_text(json.dumps({"live_0": 4.5, "live_12": 5.0}))
     assert sorted(map(tuple, sinks.durations(spark, str(tmp_path / "d.json")).collect())) == [("live", 0, 4.5), ("live", 12, 5.0)]
+
+
+def test_wav_round_trip_and_selected_keyword(spark, tmp_path):
+    sound = [0.0, 0.5, -0.5, 2.0]
+    clip = spark.createDataFrame([(sound,)], "s array<float>").select(audio.samples(audio.wav_files("s")).alias("s")).first()["s"]
+    assert [round(x, 3) for x in clip] == [0.0, 0.5, -0.5, 1.0]
+    (tmp_path / "k.txt").write_text("\n  penalty \nother\n")
+    (tmp_path / "none.txt").write_text("\n")
+    assert audio.selected_keyword(spark, str(tmp_path / "k.txt")) == "penalty"
+    assert audio.selected_keyword(spark, str(tmp_path / "none.txt"), "goal") == "goal"

@@ -30,9 +30,9 @@ def test_guards_and_samples(spark):
 
 def test_slots(spark):
     rows = spark.createDataFrame([(bytearray(b"say the word"),), (bytearray(b""),)], "content binary")
-    vad = models.slot("vad", "hearken.functions.models:stand_in_speech")
-    asr = models.slot("asr", "hearken.functions.models:stand_in_words", failed=[])
-    embed = models.slot("embedder", "hearken.functions.models:stand_in_embedder")
+    vad = models.slot("vad", "tests.standins:stand_in_speech")
+    asr = models.slot("asr", "tests.standins:stand_in_words", failed=[])
+    embed = models.slot("embedder", "tests.standins:stand_in_embedder")
     out = models.speech_gate(rows, "content", vad).select(models.complete_words(asr("content"))["word"].alias("w"), embed("content").alias("e")).collect()
     assert sorted(r["w"] for r in out) == [[], ["say", "the", "word"]]
     assert all(sum(x * x for x in r["e"]) == pytest.approx(1, abs=1e-5) for r in out)
@@ -43,3 +43,13 @@ def test_detection_schema(spark):
     parsed = spark.createDataFrame([(text,)], "j string").select(F.from_json("j", detections.DETECTIONS).alias("d"))
     fixed = parsed.select(detections.with_default_scale(F.col("d.chunks")[0]["detections"]).alias("x")).first()["x"]
     assert fixed[0]["scale"] == 1.0 and fixed[0]["rescued"] is None
+
+
+def test_slots_of_two_inputs_and_defaults(spark):
+    rows = spark.createDataFrame([(1, "hello", "anna", 3200), (2, "bye", "otto", 100)], "id long, text string, voice string, n int")
+    tts = models.slot("tts", "tests.standins:stand_in_voice")
+    got = {r["id"]: bytes(r["s"]) for r in rows.select("id", tts("text", "voice").alias("s")).collect()}
+    assert got == {1: b"anna:hello", 2: b"otto:bye"}
+    demux = models.slot("demux", "tests.standins:failing")
+    assert {r["duration"] for r in models.durations_known(rows.withColumn("d", demux("text")), "d").collect()} == {5.0}
+    assert sorted(r["id"] for r in models.by_length(rows, "n").collect()) == [1, 2]

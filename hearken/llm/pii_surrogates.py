@@ -1,8 +1,11 @@
 """PII: every detected entity gets a surrogate of its own kind, the same wherever it stands.
 
-Detection is one pattern over the kinds below, leftmost and without overlaps. An entity is its kind
-and canonical form (letters in lower case, digits alone, a phone without its country code, a name
-without title and gender form), so mentions in other formats are the same entity. Its surrogate
+Detection is one pattern over the kinds below, leftmost and without overlaps. A name is found by its
+title, with all its parts: given names, initials, particles and family name. Once a text has a titled
+name, its family and given name are that person wherever they stand in the text, titled or not, and
+a shorter titled form is the person of the longer one. An entity is its kind and canonical form
+(letters in lower case, digits alone, a phone without its country code, a name without title), so
+mentions in other formats are the same entity. Its surrogate
 follows from a keyed hash of that form: digits for digits, letters of the same case for letters,
 separators, country codes and top-level domains kept, a valid check digit where the card had one;
 names get given names of the title's gender and family names made of syllables, in the script of
@@ -14,7 +17,10 @@ Only DataFrame functions run here. The mapping has a row for each distinct entit
 before the shuffle, and joins with skew handling or, up to ``MOST_BROADCAST`` rows, a broadcast, so
 an address in a third of all texts is no single task. Texts without entities are not shuffled.
 
-Null and empty texts stay as they are. Each input row gives one result row, also repeated ones.
+Null and empty texts stay as they are. Each input row gives one result row, also repeated ones, and
+an empty table none. Of two persons of a text with one given or family name, a bare mention is the
+one named first. Input columns n_entities and kinds are replaced by the results; other names do not
+matter. Not covered: names that no title introduces in their text, and street addresses.
 """
 
 from __future__ import annotations
@@ -30,6 +36,9 @@ ROUNDS = 40
 # Titles by gender, given names by gender and script, syllables by script.
 MALE = "Mr|Herr|Herrn|Señor|Sr|Monsieur|Sir|Господин|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Госпожа|Κυρία"
+#: Of either gender; such a name gets given names of the first.
+NEUTRAL = "Dr|Prof|Professor|Доктор"
+PARTICLES = "von|van|der|den|de|del|della|da|di|du|la|le|ter|zu"
 NAMES = {
     ("latin", "m"): "Adam Bruno Carl David Erik Felix Georg Hugo Ivan Jonas Karl Leon Marco Nils Oscar Paul Robin Simon Tomas Victor",
     ("latin", "f"): "Anna Berta Clara Diana Elena Frida Greta Helena Irene Julia Karin Laura Maria Nora Olga Paula Rosa Sofia Teresa Vera",
@@ -44,23 +53,30 @@ SYLLABLES = {
     "greek": "βα γα δα θα κα κο λα λε μα με να νι πα πε ρα ρο σα σε τα τι",
 }
 
-_NAME = rf"\b(?:{MALE}|{FEMALE})\.?\x20\p{{Lu}}\p{{L}}+(?:[\x20-]\p{{Lu}}\p{{L}}+)?"
+TITLES = rf"(?:{MALE}|{FEMALE}|{NEUTRAL})\.?"
+#: A part of a name: an initial, or a capital and letters, with inner capitals after a mark.
+_PART = r"\p{Lu}(?:\.|\p{L}*(?:['’-]\p{L}+)*)"
+_NAME = rf"(?<!\p{{L}}){TITLES}(?:\x20{TITLES})*+(?:\x20(?:(?:{PARTICLES})\x20)*{_PART})+(?!\p{{L}})"
+#: Words that may be a name's where the text has a titled one.
+_WORD = r"(?<![\p{L}'’-])\p{Lu}\p{L}*(?:['’-]\p{L}+)*(?![\p{L}])"
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
+    "ip6": r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![\w:])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d+])(?:\d{4}[\x20-]?){3}\d{4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{3}\)[\x20.-]?|\d{3}[\x20.-])\d{3}[\x20.-]\d{4}|\+\d{1,3}(?:[\x20.-]?\d{2,4}){2,4})(?!\d)",
+    "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{3}\)[\x20.-]?|\d{3}[\x20.-])\d{3}[\x20.-]\d{4}|\+\d{1,3}(?:[\x20.-]?\d{2,4}){2,4}|(?<![.-])[2-9]\d{2}[2-9]\d{6}(?![.-]?\w))(?!\d)",
     "name": _NAME,
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What any match has: texts without it are not searched.
-HINT = rf"[0-9@]|\b(?:{MALE}|{FEMALE})\b"
+HINT = rf"[0-9@:]|(?<!\p{{L}}){TITLES}\x20"
 
 
 def kind_of(token: Column) -> Column:
     kind = F.lit("name")
-    for name in ("phone", "ssn", "card", "ip", "email"):
+    for name in ("phone", "ssn", "card", "iban", "ip6", "ip", "email"):
         shape = rf"^(?:{KINDS[name]})$"
         kind = F.when(token.rlike(shape), F.lit(name)).otherwise(kind)
     return kind
@@ -74,11 +90,16 @@ def canonical(kind: Column, token: Column) -> Column:
     digits = _digits(token)
     # A phone without country code: what follows it, or ten digits where it has no separator.
     local = F.when(F.length(digits) == 11, F.expr("right(regexp_replace(token, '[^0-9]', ''), 10)")).otherwise(digits)
-    gender = F.when(token.rlike(rf"^(?:{FEMALE})\b"), "f").otherwise("m")
+    gender = F.when(token.rlike(rf"^(?:{FEMALE})(?!\p{{L}})"), "f").otherwise("m")
     script = F.when(token.rlike(r"\p{IsCyrillic}"), "cyrillic").when(token.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    words = F.regexp_replace(token, rf"^(?:{MALE}|{FEMALE})\.?\x20", "")
-    name = F.concat_ws("/", script, gender, F.size(F.split(words, r"[\x20-]")).cast("string"), F.lower(words))
-    return F.when(kind == "email", F.lower(token)).when(kind == "phone", local).when(kind == "name", name).when(kind == "ip", token).otherwise(digits)
+    words = F.lower(_untitled(token))
+    name = F.concat_ws("/", script, gender, F.least(F.size(F.split(words, " ")), F.lit(2)).cast("string"), words)
+    plain = F.upper(F.replace(token, F.lit(" "), F.lit("")))
+    return F.when(kind.isin("email", "ip6"), F.lower(token)).when(kind == "iban", plain).when(kind == "phone", local).when(kind == "name", name).when(kind == "ip", token).otherwise(digits)
+
+
+def _untitled(token: Column) -> Column:
+    return F.regexp_replace(token, rf"^(?:{TITLES}\x20)+", "")
 
 
 def _number(at: Column | int, below: Column | int) -> Column:
@@ -99,6 +120,23 @@ def _letters(text: Column, kept_from: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), swap), "")
 
 
+def _hexed(text: Column) -> Column:
+    """Hexadecimal digits for hexadecimal digits; a group's first one is not nought."""
+    signs = F.lit("0123456789abcdef")
+    swap = lambda c, i: F.when(c.rlike("[0-9a-f]"), F.substring(signs, 2 + _number(i, 15), F.lit(1))).otherwise(c)
+    return F.array_join(F.transform(F.split(text, ""), swap), "")
+
+
+def _iban(plain: Column) -> Column:
+    """Letters and digits for those after the check digits, and the check digits that these need."""
+    letter = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    body = F.transform(F.split(F.substring(plain, F.lit(5), F.length(plain)), ""), lambda c, i: F.when(c.rlike("[0-9]"), _number(i, 10).cast("string")).otherwise(F.substring(letter, _number(i, 26) + 1, F.lit(1))))
+    country = F.substring(plain, 1, 2)
+    value = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(F.concat(body, F.split(country, ""), F.array(F.lit("0"), F.lit("0"))), F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
+    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), F.array_join(body, ""))
+
+
 def _luhn(digits: Column) -> Column:
     """The Luhn sum modulo ten of an array of digits as text."""
     n = F.size(digits)
@@ -133,6 +171,8 @@ def surrogate() -> Column:
     name = F.when(size == 1, F.initcap(made)).otherwise(F.concat(_pick(given, 1), F.lit(" "), F.initcap(made)))
     return (
         F.when(F.col("kind") == "email", _letters(c, top))
+        .when(F.col("kind") == "ip6", _hexed(c))
+        .when(F.col("kind") == "iban", _iban(c))
         .when(F.col("kind") == "ip", F.concat_ws(".", *[o.cast("string") for o in octets]))
         .when(F.col("kind") == "card", F.concat(F.array_join(card, ""), last))
         .when(F.col("kind") == "name", F.concat_ws("/", script, gender, size.cast("string"), F.lower(name)))
@@ -160,41 +200,69 @@ def mapping(entities: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"collisions left after {ROUNDS} rounds: a kind has more entities than surrogates")
 
 
-def render(kind: Column, token: Column, made: Column) -> Column:
-    """The canonical surrogate in the mention's format."""
+def render(kind: Column, token: Column, made: Column, part: Column) -> Column:
+    """The canonical surrogate in the mention's format; of a name's, the part that is mentioned."""
     chars = F.split(token, "")
-    before = lambda i: F.length(_digits(F.substring(token, F.lit(1), i)))
+    before = lambda i, sign: F.length(F.regexp_replace(F.substring(token, F.lit(1), i), sign, ""))
     kept = F.length(_digits(token)) - F.length(made)
-    digits = F.array_join(F.transform(chars, lambda c, i: F.when(~c.rlike("[0-9]") | (before(i) < kept), c).otherwise(F.substring(made, (before(i) - kept + 1).cast("int"), F.lit(1)))), "")
-    email = F.array_join(F.zip_with(chars, F.split(made, ""), lambda c, m: F.when(c.rlike("[A-Z]"), F.upper(m)).otherwise(m)), "")
-    title = F.regexp_extract(token, rf"^(?:{MALE}|{FEMALE})\.?\x20", 0)
-    name = F.initcap(F.substring_index(made, "/", -1))
-    hyphen = F.when(token.rlike("-"), F.replace(name, F.lit(" "), F.lit("-"))).otherwise(name)
-    shown = F.when(F.regexp_replace(token, title, F.lit("")).rlike(r"^[\p{Lu}\x20-]+$"), F.upper(hyphen)).otherwise(hyphen)
-    return F.when(kind == "email", email).when(kind == "ip", made).when(kind == "name", F.concat(title, shown)).otherwise(digits)
+    digits = F.array_join(F.transform(chars, lambda c, i: F.when(~c.rlike("[0-9]") | (before(i, "[^0-9]") < kept), c).otherwise(F.substring(made, (before(i, "[^0-9]") - kept + 1).cast("int"), F.lit(1)))), "")
+    spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(made, (before(i, " ") + 1).cast("int"), F.lit(1)))), "")
+    cased = F.array_join(F.zip_with(chars, F.split(made, ""), lambda c, m: F.when(c.rlike("[A-Z]"), F.upper(m)).otherwise(m)), "")
+    title = F.regexp_extract(token, rf"^(?:{TITLES}\x20)*", 0)
+    whole = F.initcap(F.substring_index(made, "/", -1))
+    name = F.when(part == "given", F.substring_index(whole, " ", 1)).when(part == "family", F.substring_index(whole, " ", -1)).otherwise(whole)
+    shown = F.when(_untitled(token).rlike(r"^\p{Lu}[\p{Lu}\x20'’.-]+$"), F.upper(name)).otherwise(name)
+    return F.when(kind.isin("email", "ip6"), cased).when(kind == "iban", spaced).when(kind == "ip", made).when(kind == "name", F.concat(title, shown)).otherwise(digits)
+
+
+def _persons(mention: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of titled mentions (_row, i, token): (_row, family, canonical), the fullest form of each family name
+    of a text, and (_row, word, person, part), the words that a bare mention may be."""
+    words = F.split(F.lower(_untitled(F.col("token"))), " ")
+    titled = mention.filter("kind = 'name'").select("_row", "i", "canonical", words.alias("ws"))
+    fullest = titled.groupBy("_row", F.element_at("ws", -1).alias("family")).agg(F.max_by(F.struct("canonical", "ws"), F.struct(F.size("ws"), -F.col("i"))).alias("p"), F.min("i").alias("i"))
+    fullest = stored(fullest.select("_row", "family", "i", "p.canonical", "p.ws"), "persons")
+    given = fullest.filter((F.size("ws") > 1) & ~F.element_at("ws", 1).endswith(".")).select("_row", F.element_at("ws", 1).alias("word"), "canonical", "i", F.lit(1).alias("order"))
+    known = fullest.select("_row", F.col("family").alias("word"), "canonical", "i", F.lit(0).alias("order")).unionByName(given)
+    first = known.groupBy("_row", "word").agg(F.min(F.struct("order", "i", "canonical")).alias("k"))
+    return fullest.select("_row", "family", F.col("canonical").alias("person")), first.select("_row", "word", F.col("k.canonical").alias("person"), F.when(F.col("k.order") == 0, "family").otherwise("given").alias("part"))
 
 
 def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with the text's entities replaced, + n_entities and kinds (sorted, distinct)."""
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("n_entities", "kinds")])
     found = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(ANY), F.lit(False))
     clean = docs.filter(~found).withColumn("n_entities", F.lit(0).cast("long")).withColumn("kinds", F.array().cast("array<string>"))
     others = [c for c in docs.columns if c != "text"]
+    # Where the text has a titled name, every word that could be a name's is looked at too.
+    named = rf"{ANY}|(?:{_WORD})"
+    cut_by = lambda pattern: F.struct(F.split("text", pattern, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("tokens"))
     cut = stored(
         docs.filter(found).select(
             F.monotonically_increasing_id().alias("_row"),
-            F.struct(*others).alias("_kept") if others else F.lit(None).cast("struct<a:int>").alias("_kept"),
-            F.split("text", ANY, -1).alias("_gaps"),
-            F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("_tokens"),
+            F.struct(*[F.col(f"`{c}`") for c in others]).alias("_kept") if others else F.lit(None).cast("struct<a:int>").alias("_kept"),
+            F.when(F.col("text").rlike(_NAME), cut_by(named)).otherwise(cut_by(ANY)).alias("_cut"),
         ),
         "withPii",
     )
-    mention = cut.select("_row", F.posexplode("_tokens").alias("i", "token")).withColumn("kind", kind_of(F.col("token")))
-    mention = mention.withColumn("canonical", canonical(F.col("kind"), F.col("token")))
-    table = mapping(stored(mention.select("kind", "canonical").distinct(), "entities"), key)
-    shown = mention.join(small(table, MOST_BROADCAST), ["kind", "canonical"]).select("_row", "i", "kind", render(F.col("kind"), F.col("token"), F.col("surrogate")).alias("new"))
-    per_row = shown.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("i", "new"))).alias("_new"), F.array_sort(F.collect_set("kind")).alias("kinds"))
-    joined = cut.select("_row", "_kept", "_gaps").join(per_row, "_row")
+    every = cut.select("_row", F.posexplode("_cut.tokens").alias("i", "token"))
+    bare = F.col("token").rlike(rf"^(?:{_WORD})$") & ~F.col("token").rlike(rf"^(?:{ANY})$")
+    every = every.withColumn("kind", F.when(bare, "word").otherwise(kind_of(F.col("token"))))
+    every = stored(every.withColumn("canonical", F.when(F.col("kind") == "word", F.lower("token")).otherwise(canonical(F.col("kind"), F.col("token")))), "mentions")
+    persons, words = _persons(every)
+    family = F.element_at(F.split(F.lower(_untitled(F.col("token"))), " "), -1)
+    titled = every.filter("kind = 'name'").withColumn("family", family).join(persons, ["_row", "family"])
+    titled = titled.select("_row", "i", "token", "kind", F.col("person").alias("canonical"), F.when(F.size(F.split(_untitled(F.col("token")), " ")) == 1, "family").otherwise("whole").alias("part"))
+    again = every.filter("kind = 'word'").join(words, (every["_row"] == words["_row"]) & (every["canonical"] == words["word"]), "left")
+    again = again.select(every["_row"], "i", "token", F.when(F.col("person").isNull(), "word").otherwise("name").alias("kind"), F.coalesce("person", "canonical").alias("canonical"), F.coalesce("part", F.lit("whole")).alias("part"))
+    plain = every.filter("kind NOT IN ('name', 'word')").withColumn("part", F.lit("whole"))
+    mention = stored(plain.unionByName(titled).unionByName(again), "linked")
+    table = mapping(stored(mention.filter("kind <> 'word'").select("kind", "canonical").distinct(), "entities"), key)
+    shown = mention.filter("kind <> 'word'").join(small(table, MOST_BROADCAST), ["kind", "canonical"]).select("_row", "i", "kind", render(F.col("kind"), F.col("token"), F.col("surrogate"), F.col("part")).alias("new"))
+    shown = shown.unionByName(mention.filter("kind = 'word'").select("_row", "i", F.lit(None).cast("string").alias("kind"), F.col("token").alias("new")))
+    per_row = shown.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("i", "new"))).alias("_new"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.count("kind").alias("n_entities"))
+    joined = cut.select("_row", "_kept", F.col("_cut.gaps").alias("_gaps")).join(per_row, "_row")
     pieces = F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.get("_new", i)["new"], F.lit(""))))
-    changed = joined.select(*[F.col(f"_kept.`{c}`").alias(c) for c in others], F.array_join(pieces, "").alias("text"), F.size("_new").cast("long").alias("n_entities"), "kinds")
+    changed = joined.select(*[F.col(f"_kept.`{c}`").alias(c) for c in others], F.array_join(pieces, "").alias("text"), "n_entities", "kinds")
     columns = [*docs.columns, "n_entities", "kinds"]
     return clean.select(columns).unionByName(changed.select(columns))

@@ -62,3 +62,65 @@ def test_small_table_has_no_entity_left(spark):
             assert token not in after[i]["text"]
         if not after[i]["n_entities"]:
             assert after[i]["text"] == text
+
+
+def replaced(spark, *texts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return [r["text"] for r in sorted(P.replace_pii(docs, "key").collect(), key=lambda r: r["doc_id"])]
+
+
+def test_mentions_of_a_person(spark):
+    a, b, c, d = replaced(
+        spark,
+        "Frau Anna Keller called. Keller and Anna Keller left; KELLER too. Frau Keller is Kellers friend.",
+        "Mrs Anna Maria Schmidt, Mr J. Smith, Mr O'Neil and Frau von Berg met Dr Otto Hahn.",
+        "Mr John Smith and Mrs Jane Doe. John saw Doe. Smith, Jane.",
+        "Keller has no title here.",
+    )
+    m = re.fullmatch(r"Frau (\w+) (\w+) called\. (\w+) and (\w+) (\w+) left; (\w+) too\. Frau (\w+) is Kellers friend\.", a)
+    assert m and m[2] == m[3] == m[5] == m[7] != "Keller" and m[1] == m[4] and m[6] == m[2].upper()
+    assert not re.search("Anna|Maria|Schmidt|Smith|Neil|Berg|Otto|Hahn", b) or not re.search("Schmidt|Smith|Neil|Berg|Hahn", b)
+    n = re.fullmatch(r"Mr (\w+) (\w+) and Mrs (\w+) (\w+)\. (\w+) saw (\w+)\. (\w+), (\w+)\.", c)
+    assert n and (n[5], n[6], n[7], n[8]) == (n[1], n[4], n[2], n[3]) and len({n[2], n[4]}) == 2
+    assert d == "Keller has no title here."
+
+
+def mod97(iban):
+    return int("".join(str(int(x, 36)) for x in iban[4:] + iban[:4])) % 97
+
+
+def test_account_numbers_addresses_and_plain_phones(spark):
+    a, b, c = replaced(spark, "IBAN DE89 3704 0044 0532 0130 00 or DE89370400440532013000.", "host 2001:db8:0:0:1:0:0:1 and 2001:db8::ff00:42:8329", "call 2695553296 or 269-555-3296, not 1700000000 or 12345678901")
+    spaced, joined = re.fullmatch(r"IBAN (DE\d\d(?: \d{4}){4} \d\d) or (DE\d{20})\.", a).groups()
+    assert spaced.replace(" ", "") == joined != "DE89370400440532013000" and mod97(joined) == 1
+    assert "2001:db8" not in b and re.fullmatch(r"host [0-9a-f:]+ and [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4}", b)
+    plain, dashed = re.fullmatch(r"call (\d{10}) or ([\d-]{12}), not 1700000000 or 12345678901", c).groups()
+    assert plain == dashed.replace("-", "") != "2695553296"
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a@b.org", 5, ["x"], 7, 8)], "doc_id long, text string, n_entities int, kinds array<string>, _row int, _kept int")
+    row = P.replace_pii(docs, "key").first()
+    assert sorted(row.asDict()) == sorted(docs.columns) and (row["n_entities"], row["kinds"], row["_row"], row["_kept"]) == (1, ["email"], 7, 8)
+
+
+def brute(text, mapping):
+    """A text with the entities' surrogates, by plain replacement: e-mail addresses and addresses of hosts."""
+    for token, new in mapping.items():
+        text = re.sub(rf"(?<![\w.]){re.escape(token)}(?!\.?\w)", new, text)
+    return text
+
+
+def test_whole_texts_match_brute_force(spark):
+    """Random texts of known entities: whatever stands between them stays, and each has one surrogate."""
+    import random
+
+    rng = random.Random(6)
+    entities = [f"user{i}@site{i % 3}.org" for i in range(8)] + [f"{rng.randint(20, 99)}.{i}.7.{rng.randint(1, 250)}" for i in range(8)]
+    words = ["to", "from", "Then", "x.y", "ver. 2", "a-b", "(", ")", "é", "12", "\n"]
+    texts = [" ".join(rng.choice(entities) if rng.random() < 0.3 else rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    single = replaced(spark, *entities)
+    assert len(set(single)) == len(entities) and not set(single) & set(entities)
+    mapping = dict(zip(entities, single, strict=True))
+    got = replaced(spark, *entities, *texts)[len(entities) :]
+    assert got == [brute(t, mapping) for t in texts]

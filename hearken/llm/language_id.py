@@ -1,14 +1,15 @@
 """Language ID: a bidirectional gated recurrent network over bytes, in numpy.
 
-Training takes windows of at most ``MOST_TEXTS`` labelled texts a language (the bound of the
-sample, by the hash of their ids) on the driver: backpropagation through time with Adam, every
+Training takes windows, from anywhere in them, of at most ``MOST_TEXTS`` labelled texts a language and
+about ``MOST_OF_ALL`` in all (the bounds of the sample, by the hash of their ids) on the driver: backpropagation through time with Adam, every
 position labelled with its text's language. Prediction runs inside tasks over whole texts, cut
 into segments that each start from empty states: a softmax over languages at every position, whose
 mean over all positions is the document's distribution. Memory is bounded by ``BLOCK`` segments at
 a time whatever a text's length.
 
 Null texts and texts without a letter are 'und' with score 0, as is every text if there was nothing
-to learn from. Each input row gives one result row.
+to learn from. Of languages of equal probability the first by name is taken. Each input row, repeated
+ones too, gives one result row, an empty table none; kept columns named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hearken.llm.shared import stored
+from hearken.llm.shared import small, stored
 
 UNITS = 16
 SEGMENT = 256
 BLOCK = 1024
-MOST_TEXTS = 500
-MOST_LANGUAGES = 100
+#: The bounded sample: texts of each language and of all, and characters of a window from each text.
+MOST_TEXTS, MOST_OF_ALL, LEAST_TEXTS = 500, 50_000, 20
 SAMPLE_CHARS = 2_000
 WINDOW, BATCH, STEPS, RATE = 48, 192, 500, 0.01
 
@@ -173,14 +174,27 @@ class Network:
         return names, scores
 
 
-def learn(docs: DataFrame, most_texts: int = MOST_TEXTS, steps: int = STEPS) -> Network:
-    """A network from ``text`` and ``lang`` of the rows given; leave out the rows to be held out."""
+def _sampled(labelled: DataFrame, most_texts: int) -> DataFrame:
+    """(doc_id, lang) of ``most_texts`` rows a language, those of the least hashes; stored. Counts tell how
+    small a hash must be, so only a few more rows than are wanted are ranked, however common a language."""
+    counts = stored(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = counts.count()
+    most = max(min(most_texts, MOST_OF_ALL // max(languages, 1)), LEAST_TEXTS)
+    place = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5
+    near = labelled.join(small(counts, 100_000), "lang").filter(place * F.col("n") <= most + 6 * most**0.5 + 10).select("doc_id", "lang")
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = stored(docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang").withColumn("k", rank).filter(F.col("k") <= most_texts), "languageSample")
-    common = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    picked = ids.filter(F.col("lang").isin(common)).select("doc_id", "lang") if common else ids.select("doc_id", "lang")
-    # A bounded sample of bounded windows' sources: most_texts x languages texts of SAMPLE_CHARS at most.
-    rows = docs.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(picked), ["doc_id", "lang"]).select("text", "lang").collect()
+    return stored(near.withColumn("k", rank).filter(F.col("k") <= most).select("doc_id", "lang"), "languageSample")
+
+
+def learn(docs: DataFrame, most_texts: int = MOST_TEXTS, steps: int = STEPS) -> Network:
+    """A network from ``text`` and ``lang`` of the rows given; leave out the rows to be held out. Every
+    language of those rows can be predicted. The sample is bounded: see ``MOST_TEXTS``."""
+    labelled = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
+    picked = _sampled(labelled.select("doc_id", "lang"), most_texts)
+    # A window from anywhere in the text, at a place that the id determines.
+    room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    window = F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit("window")), room) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    rows = labelled.select("doc_id", "lang", window.alias("text")).join(small(picked, 2 * MOST_OF_ALL), ["doc_id", "lang"]).select("text", "lang").collect()
     rows = sorted({(r["text"], r["lang"]) for r in rows if any(map(str.isalpha, r["text"]))})
     languages = sorted({lang for _, lang in rows})
     network = Network.fresh(languages)
@@ -190,7 +204,8 @@ def learn(docs: DataFrame, most_texts: int = MOST_TEXTS, steps: int = STEPS) ->
 
 
 def identify(docs: DataFrame, network: Network, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` + lang_pred, score, from ``text`` alone."""
+    """The columns ``keep`` + lang_pred, score, from ``text`` alone. Kept columns of these names are replaced."""
+    keep = [k for k in keep if k.lower() not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

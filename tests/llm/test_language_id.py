@@ -62,3 +62,20 @@ def test_nothing_to_learn(spark):
     net = L.learn(docs)
     assert [r["lang_pred"] for r in L.identify(docs, net, ["doc_id"]).collect()] == ["und", "und"]
     assert L.identify(docs.filter(F.lit(False)), net, ["doc_id"]).count() == 0
+
+
+def test_sample_is_the_least_hashes_of_each_language(spark):
+    rows = [(i, f"l{i % 3 if i % 10 else 0}") for i in range(4000)] + [(i, "rare") for i in range(5000, 5007)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string")
+    got = {tuple(r) for r in L._sampled(docs, 100).collect()}
+    hashed = docs.withColumn("h", F.xxhash64("doc_id")).collect()
+    want = set()
+    for lang in {r["lang"] for r in hashed}:
+        want |= {(r["doc_id"], lang) for r in sorted((r for r in hashed if r["lang"] == lang), key=lambda r: (r["h"], r["doc_id"]))[:100]}
+    assert got == want
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "text here", "en", "x", 1.0)] * 2, "doc_id long, text string, lang string, lang_pred string, score double")
+    out = L.identify(docs, L.learn(docs, steps=2), docs.columns)
+    assert sorted(out.columns) == sorted(docs.columns) and [r["lang_pred"] for r in out.collect()] == ["en", "en"]

@@ -8,7 +8,8 @@ sample, of which near copies (the same smallest shingle) count once. Exception p
 word with its neighbour that clean texts hold and toxic ones don't. Score: a logistic function of
 the summed weight and of the weight by length, one hit a word, fitted to the same sample.
 
-Null and empty texts have no hits and get the score of none. Each input row gives one result row.
+Null and empty texts have no hits and get the score of none. Each input row, repeated ones too, gives
+one result row, an empty table none; kept columns named like a result give way to it.
 Labels, where null, are not learned from; a sample without toxic texts gives an empty lexicon.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,7 +35,6 @@ MOST_TOXIC, MOST_CLEAN = 3000, 9000
 PREFIXES = range(4, 9)
 LEAST_TEXTS = 5
 LEAST_ODDS = 1.5
-MOST_PATTERNS = 20_000
 THRESHOLD = 0.3
 
 # Look-alikes of Latin letters, and what stands for letters inside words.
@@ -113,7 +114,17 @@ class Lexicon:
                 excused.append((start, end))
             else:
                 found[start] = max(weight, found.get(start, 0.0))
-        return {s: w for s, w in found.items() if not any(a <= s < b for a, b in excused)} if excused else found
+        if not excused:
+            return found
+        # Exceptions as ranges that do not overlap, so that each hit is looked up in them once.
+        ranges: list[list[int]] = []
+        for a, b in sorted(excused):
+            if ranges and a <= ranges[-1][1]:
+                ranges[-1][1] = max(ranges[-1][1], b)
+            else:
+                ranges.append([a, b])
+        starts = [a for a, _ in ranges]
+        return {s: w for s, w in found.items() if not ((k := bisect_right(starts, s)) and s < ranges[k - 1][1])}
 
     def measure(self, text: str | None) -> tuple[float, float, int]:
         """(log of summed weight, log of weight a hundred words, hits)."""
@@ -205,7 +216,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     counted = spread.mapInArrow(_feature_counts, "pattern string, toxic int, n long").groupBy("pattern").agg(by(1).alias("t"), by(0).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (n[1] + 1.0)) - F.log((F.col("c") + 0.5) / (n[0] + 1.0))
     sure = odds - 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    best = counted.filter(F.col("t") >= LEAST_TEXTS).withColumn("w", odds).filter(sure > LEAST_ODDS).orderBy(F.desc("t"), "pattern").limit(MOST_PATTERNS).collect()
+    best = counted.filter(F.col("t") >= LEAST_TEXTS).withColumn("w", odds).filter(sure > LEAST_ODDS).select("pattern", "w").collect()
     lexicon = Lexicon(_shortest({r["pattern"]: float(r["w"]) for r in best}))
     # The sample is bounded, so its few thousand texts may come here to be folded.
     rows = [(fold(r["text"]), r["toxic"]) for r in sample.toLocalIterator()]
@@ -216,7 +227,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
 
 def score(docs: DataFrame, lexicon: Lexicon, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """The columns ``keep`` + score, predicted, n_hits."""
+    """The columns ``keep`` + score, predicted, n_hits. Kept columns of these names are replaced."""
+    keep = [k for k in keep if k.lower() not in ("score", "predicted", "n_hits")]
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

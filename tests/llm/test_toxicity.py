@@ -34,3 +34,22 @@ def test_lexicon_exceptions_and_edges(spark):
     assert toxicity.score(docs.drop("score").limit(0), lexicon, ["doc_id"]).count() == 0
     nothing = toxicity.learn(docs, labels.filter(F.lit(False)))
     assert nothing.weights == {}
+
+
+def test_hits_against_one_by_one():
+    """Hits without those in an exception, against a look at every pair of them."""
+    lexicon = toxicity.Lexicon({" scum ": 3.0, " scu": 1.0, " mud": 2.0}, {" pond scum ", " scum mud "}, (-4.0, 4.0, 0.0))
+    folded = toxicity.fold(" ".join(["pond scum mud scum", "mud pond scum scum mud", "scumy mud"] * 40))
+    every = [(i, w) for p, w in lexicon.weights.items() for i in range(len(folded)) if folded.startswith(p, i)]
+    ranges = [(i, i + len(p)) for p in lexicon.exceptions for i in range(len(folded)) if folded.startswith(p, i)]
+    want = {}
+    for i, w in every:
+        if not any(a <= i < b - 1 for a, b in ranges):
+            want[i] = max(w, want.get(i, 0))
+    assert lexicon.hits(folded) == want
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a scum", "x", 5, 6)], "doc_id long, text string, score string, predicted int, n_hits int")
+    out = toxicity.score(docs, toxicity.Lexicon({" scum ": 3.0}, set(), (-4.0, 4.0, 0.0)), docs.columns)
+    assert sorted(out.columns) == sorted(docs.columns) and out.first()["n_hits"] == 1

@@ -8,10 +8,11 @@ lists meet in a grouping by (item, document, diagonal), which keeps one bit for
 window is a candidate where the bits of all its rare words are set. The words between them are
 compared at last, so matches are exact.
 
-Only DataFrame functions run here. Broadcasts hold benchmark words and are checked by row count;
-beyond the bound the same joins shuffle. Nulls: a null text has no words, a null item text has
+Only DataFrame functions run here. Broadcasts hold benchmark words and are checked by rows and bytes;
+beyond the bounds the same joins shuffle. Nulls: a null text has no words, a null item text has
 no window, a null item_id counts as a hit but is not listed. Each input row gets one result row,
-so repeated rows and repeated ids give repeated results.
+so repeated rows and repeated ids give repeated results. Words of equal frequency go by their place.
+Empty tables give empty results or no hits; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hearken.llm.shared import ascii_lower, small, stored
+from hearken.llm.shared import ascii_lower, fresh, small, stored
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -181,6 +182,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     """``docs`` without those that hold a window of the benchmark. What a text holds depends on the
     text alone, so rows are matched by id and text, and repeated rows fare alike."""
     forward, matches = phrase_matches(docs, benchmark, window)
-    hit = forward.join(matches.select("row").distinct(), "row", "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    id_, key = fresh(docs.columns, "_id", "_key")
+    hit = forward.join(matches.select("row").distinct(), "row", "left_semi").select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
     hit = small(stored(hit, "contaminated"), MOST_BROADCAST)
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left_anti")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(key)), "left_anti")

@@ -56,3 +56,11 @@ def test_without_broadcasts_and_near_matches(spark):
     _, matches = D.phrase_matches(docs, bench, most_broadcast=0)
     assert matches.select("item_id", "start", "length").collect() == [(7, 2, 10)]
     assert {r["doc_id"] for r in D.proximity_matches(docs, bench, slop=2).collect()} == {1, 2}
+
+
+def test_clashing_names(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, passage, "a", 1, 2, 3), (2, "clean", "b", 1, 2, 3)], "doc_id long, text string, _id string, _key int, row int, item int")
+    items = spark.createDataFrame([(7, passage, 0)], "item_id long, text string, row int")
+    out = D.remove_contaminated(docs, items)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(2, "clean", "b", 1, 2, 3)]

@@ -3,7 +3,12 @@
 A stage takes what its predecessor kept. Rejected documents go at quality; of every group of near
 duplicates the one with the smallest id stays; documents that hold a benchmark passage go; secrets
 become a mark in their texts, and every document stays; the last stage encodes the texts and
-decodes them again. All but the last return the columns of ``documents``.
+checks that decoding gives the texts. All but the last return the columns of ``documents``.
+
+Null and empty texts, and all of under fifty words, go at quality, as the base rule rejects them. Of
+rows that repeat both id and text one stays at the near duplicates; a null id takes part in all stages.
+Of two documents of one group and id, the one of the smaller text hash stays. Stages match rows by id
+and text and keep every further column, whatever its name; an empty table gives an empty result.
 """
 
 from __future__ import annotations

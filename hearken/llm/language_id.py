@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hearken.llm.shared import small, stored
+from hearken.llm.shared import fresh, small, stored
 
 UNITS = 16
 SEGMENT = 256
@@ -206,15 +206,16 @@ def learn(docs: DataFrame, most_texts: int = MOST_TEXTS, steps: int = STEPS) ->
 def identify(docs: DataFrame, network: Network, keep: list[str]) -> DataFrame:
     """The columns ``keep`` + lang_pred, score, from ``text`` alone. Kept columns of these names are replaced."""
     keep = [k for k in keep if k.lower() not in ("lang_pred", "score")]
+    (source,) = fresh(keep, "_text")
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                names, scores = shared.value.predict(part.column("text").to_pylist())
+                names, scores = shared.value.predict(part.column(source).to_pylist())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(names), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    kept = docs.select(*keep, "text")
+    kept = docs.select(*keep, F.col("text").alias(source))
     kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep)
     return kept.mapInArrow(run, f"{kinds}, lang_pred string, score double")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.shared import stored
+from hearken.llm.shared import fresh, stored
 
 MOST_TOXIC, MOST_CLEAN = 3000, 9000
 PREFIXES = range(4, 9)
@@ -229,14 +229,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 def score(docs: DataFrame, lexicon: Lexicon, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """The columns ``keep`` + score, predicted, n_hits. Kept columns of these names are replaced."""
     keep = [k for k in keep if k.lower() not in ("score", "predicted", "n_hits")]
+    (source,) = fresh(keep, "_text")
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            measured = [shared.value.measure(t) for t in batch.column("text").to_pylist()]
+            measured = [shared.value.measure(t) for t in batch.column(source).to_pylist()]
             scores = [shared.value.score(a, b) for a, b, _ in measured]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([h for *_, h in measured], pa.int32())], names=[*keep, "score", "predicted", "n_hits"])
 
-    kept = docs.select(*keep, "text")
+    kept = docs.select(*keep, F.col("text").alias(source))
     kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep)
     return kept.mapInArrow(run, f"{kinds}, score double, predicted int, n_hits int")

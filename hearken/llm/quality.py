@@ -6,20 +6,23 @@ which sees how words are spelt.
 Class model. Spark counts 4-grams of character classes (``CLASSES`` of them, over UTF-8 bytes) for
 each language over all documents; continuation counts, the three discounts, the discounted shares
 and the back-off weights of every order are DataFrame aggregations of those counts. The numbers stay
-in a stored table. Texts are dealt by language and slot of about ``SLOT`` bytes and meet the numbers
-of that language alone, which a task unfolds to rows by context. The order is the same at any size.
+in a stored table. Up to ``MOST_NUMBERS`` of them, which is checked, they are broadcast; beyond that
+texts are dealt by language and slot of about ``SLOT`` bytes and meet the numbers of that language
+alone. Either way a task unfolds a language's to rows by context, and every text gets the same nats.
 
 Verdict. The nats a word (the logarithm of the perplexity) of each text under its language's model;
 per language the median over all texts is the band's middle, and its half-width is a share of the
 median plus the noise of a text of that length. Texts below are rejected. Those above get a second
 look, as they may change languages: every stretch of ``STRETCH`` n-grams counts under the one of
-all learned languages that suits it best, and texts still above are rejected.
-Texts above the band of the word model (nats a pair of words) get a second look likewise, each pair
-under the language that suits it best. The word model has no lower limit: copies make it low.
+all learned languages that suits it best, and texts still above are rejected. Texts above the
+language's band of the word model (nats a pair of words) are rejected; that model has the pairs of
+all languages, so a text may change between them. It has no lower limit: copies make it low.
 
 Null or empty texts have no words and fail the base rule. A null language is a language of its own.
-Languages of fewer than ``LEAST_TEXTS`` texts, and texts too short to score, are not rejected by
-the method. Very long texts are scored in slices. Each input row gives one result row.
+Languages of fewer than ``LEAST_TEXTS`` texts have the band of all texts; texts too short to score are
+not rejected by the method. Very long texts are scored in slices. Each input row gives one result
+row, repeated rows equal ones; an empty table gives none. Other columns are not looked at, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -28,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hearken.llm import word_model
-from hearken.llm.shared import small, stored
+from hearken.llm.shared import fresh, small, stored
 
 CLASSES = 64
 ORDER = 4
@@ -42,6 +46,10 @@ SHARE, NOISE = 0.25, 2.5
 SLICE = 1 << 20
 STRETCH = 256
 SLOT = 8 << 20
+#: Numbers of the class model up to which it is broadcast: sixteen bytes each.
+MOST_NUMBERS = 4_000_000
+#: Languages whose numbers a task has unfolded at once.
+MOST_UNFOLDED = 8
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
 
@@ -234,8 +242,9 @@ def _scorer(numbers: pa.Table) -> Scorer | None:
 
 
 def _meeting(texts: DataFrame, model: DataFrame, by: str, work, schema: str) -> DataFrame:
-    """``work(texts, scorer)`` over the texts of each language, as the column ``by`` has it, in slots of
-    about ``SLOT`` bytes, so that a large language is dealt over many tasks."""
+    """``work(texts, scorer)`` over the texts of each language, as the column ``by`` has it."""
+    if model.limit(MOST_NUMBERS + 1).count() <= MOST_NUMBERS:
+        return _beside(texts, model, by, work, schema)
     slots = stored(texts.groupBy(by).agg(F.ceil(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64) / SLOT).cast("long").alias("slots")), "slots")
     few = small(slots, 100_000)
     placed = texts.withColumn("row", F.monotonically_increasing_id()).join(few, by).withColumn("slot", F.expr("row % slots")).drop("row", "slots")
@@ -244,6 +253,25 @@ def _meeting(texts: DataFrame, model: DataFrame, by: str, work, schema: str) ->
     return met.applyInArrow(lambda left, right: work(left, _scorer(right)), schema)
 
 
+def _beside(texts: DataFrame, model: DataFrame, by: str, work, schema: str) -> DataFrame:
+    """The same with the numbers, whose count was checked, beside every task: texts are not moved."""
+    numbers = model.select("lang", "kind", "gram", "v").toArrow()
+    shared = texts.sparkSession.sparkContext.broadcast({lang: numbers.filter(pc.equal(numbers["lang"], lang)).drop_columns("lang") for lang in pc.unique(numbers["lang"]).to_pylist()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorers: dict[str, Scorer | None] = {}
+        for batch in batches:
+            table = pa.table(batch)
+            for lang in pc.unique(table[by]).to_pylist():
+                if lang not in scorers:
+                    if len(scorers) >= MOST_UNFOLDED:
+                        scorers.pop(next(iter(scorers)))
+                    scorers[lang] = _scorer(shared.value[lang]) if lang in shared.value else None
+                yield from work(table.filter(pc.equal(table[by], lang)), scorers[lang]).to_batches()
+
+    return texts.mapInArrow(run, schema)
+
+
 def measured(docs: DataFrame, model: DataFrame) -> DataFrame:
     """doc_id, lang, text_key, the base counts, nats a word (null where not scored), stored."""
 
@@ -283,26 +311,27 @@ def _second_look(docs: DataFrame, model: DataFrame, above: DataFrame) -> DataFra
 
 
 def _bands(scored: DataFrame, value: str) -> DataFrame:
-    """(lang, middle, noise) of a value, for languages of enough texts; stored."""
-    scored = scored.filter(F.col(value).isNotNull() & (F.col("n_words") > 0))
-    middle = scored.groupBy("lang").agg(F.percentile_approx(value, F.lit(0.5), F.lit(10000)).alias("middle"), F.count("*").alias("texts"))
+    """(lang, middle, noise) of a value, for every language; stored. Those of few texts have all texts'."""
+    scored = scored.filter(F.col(value).isNotNull() & (F.col("n_words") > 0)).select("lang", "n_words", value)
+    # Each text counts for its language and, under null, for all.
+    both = scored.withColumn("of", F.explode(F.array("lang", F.lit(None).cast("string"))))
+    middle = stored(both.groupBy("of").agg(F.percentile_approx(value, F.lit(0.5), F.lit(10000)).alias("middle"), F.count("*").alias("texts")), "middles")
     off = F.abs(F.col(value) - F.col("middle")) * F.sqrt("n_words")
-    noise = scored.join(small(middle, 100_000), "lang").groupBy("lang").agg(F.percentile_approx(off * 1.4826, F.lit(0.5), F.lit(10000)).alias("noise"))
-    return stored(middle.join(noise, "lang").filter(F.col("texts") >= LEAST_TEXTS).drop("texts"), "bands")
+    near = small(middle.select(F.col("of").alias("at"), "middle", "texts"), 100_000)
+    noise = both.join(near, F.col("of").eqNullSafe(F.col("at"))).groupBy("of").agg(F.percentile_approx(off * 1.4826, F.lit(0.5), F.lit(10000)).alias("noise"), F.first("middle").alias("middle"), F.first("texts").alias("texts"))
+    found = stored(noise, "bands")
+    every = found.filter("of IS NULL").select(F.col("middle").alias("m"), F.col("noise").alias("x"))
+    own = F.col("texts") >= LEAST_TEXTS
+    return found.filter("of IS NOT NULL").crossJoin(small(every, 1)).select(F.col("of").alias("lang"), F.when(own, F.col("middle")).otherwise(F.col("m")).alias("middle"), F.when(own, F.col("noise")).otherwise(F.col("x")).alias("noise"))
 
 
 def _word_scores(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``found`` with word_nats, and word_failed: above the band also where words may change languages."""
-    texts = word_model.text_of(docs)
-    model = word_model.fit(texts)
-    scored = found.withColumn("key", word_model.key_of("doc_id", "lang", "text_key")).join(word_model.score(texts, model), "key", "left")
-    scored = stored(scored, "wordScores")
+    """``found`` with word_nats and word_failed, whether that is above the language's band."""
+    scores = word_model.score(word_model.text_of(docs))
+    scored = stored(found.withColumn("key", word_model.key_of("doc_id", "lang", "text_key")).join(scores, "key", "left").drop("key"), "wordScored")
     half = SHARE * F.col("middle") + NOISE * F.col("noise") / F.sqrt(F.greatest("n_words", F.lit(1)))
-    placed = scored.join(small(_bands(scored, "word_nats"), 100_000), "lang", "left").withColumn("high", F.col("middle") + half).drop("middle", "noise")
-    above = stored(placed.filter(F.col("word_nats") > F.col("high")).select("key").distinct(), "wordsAbove")
-    looked = stored(word_model.score_any(texts.join(small(above, 1_000_000), "key", "left_semi"), model), "wordSecondLook")
-    joined = placed.join(small(looked, 1_000_000), "key", "left")
-    return stored(joined.withColumn("word_failed", F.coalesce(F.col("word_switched") > F.col("high"), F.lit(False))).drop("key", "high", "word_switched"), "wordVerdicts")
+    banded = scored.join(small(_bands(scored, "word_nats"), 100_000), "lang", "left")
+    return stored(banded.withColumn("word_failed", F.coalesce(F.col("word_nats") > F.col("middle") + half, F.lit(False))).drop("middle", "noise"), "wordVerdicts")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
@@ -324,6 +353,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without those rejected. The verdict depends on text and language alone, so rows are
     matched by id, language and text and repeated rows fare alike."""
-    rejected = verdicts(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text_key").alias("_key")).distinct()
+    id_, lang, key = fresh(docs.columns, "_id", "_lang", "_key")
+    rejected = verdicts(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("lang").alias(lang), F.col("text_key").alias(key)).distinct()
     rejected = small(stored(rejected, "rejected"), 2_000_000)
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.coalesce(docs["lang"], F.lit("")) == F.col("_lang")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left_anti")
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.coalesce(docs["lang"], F.lit("")) == F.col(lang)) & (F.xxhash64(docs["text"]) == F.col(key)), "left_anti")

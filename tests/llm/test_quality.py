@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hearken.llm import quality
@@ -70,7 +71,7 @@ def test_model_is_a_distribution_and_matches_direct_formula(spark):
 
 def test_edge_cases(spark):
     rows = [(1, None, None), (2, "", "en"), (3, "word", "en"), (4, "a b c " * 100, "en"), (4, "a b c " * 100, "en"), (5, "x" * 300000, None)]
-    docs = spark.createDataFrame([(*r, "extra", 1.0) for r in rows], "doc_id long, text string, lang string, n_words string, kept double")
+    docs = spark.createDataFrame([(*r, "extra", 1.0, 1, 2, 3) for r in rows], "doc_id long, text string, lang string, n_words string, kept double, _id int, _lang int, key int")
     got = quality.verdicts(docs).collect()
     assert len(got) == 6 and not any(r["kept"] for r in got)
     kept = quality.keep_good(docs)
@@ -100,40 +101,33 @@ def test_word_order_counts(spark):
     assert sum(got[i]["kept"] for i in range(1, 301)) >= 290
 
 
-def test_word_model_matches_direct_formula(spark):
+@pytest.mark.parametrize("run", [1 << 20, 5])
+def test_word_model_matches_direct_formula(spark, monkeypatch, run):
     from hearken.llm import word_model
 
-    texts = ["the cat sat on the mat and the cat ran to the dog", "the dog sat on the mat", "a cat sat on a log and a dog ran to the log"]
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    read = word_model.text_of(docs)
-    got = sorted(r["word_nats"] for r in word_model.score(read, word_model.fit(read)).collect())
-    own = [Counter(zip(t.split(), t.split()[1:])) for t in texts]
-    counts = sum(own, Counter())
+    monkeypatch.setattr(word_model, "RUN", run)
+    texts = ["the cat sat on the mat and the cat ran to the dog", "the dog sat on the mat", "a cat sat on a log and a dog ran to the log", "the dog sat on the mat", "one", None]
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = sorted(r["word_nats"] for r in word_model.score(word_model.text_of(docs)).collect())
+    own = [set(zip(t.split(), t.split()[1:])) for t in texts[:4]]
+    counts = Counter(p for mine in own for p in mine)
     before = Counter(b for _, b in counts)
-
-    def discounts(c):
-        at = {k: sum(v == k for v in c.values()) for k in (1, 2, 3, 4)}
-        y = at[1] / max(at[1] + 2 * at[2], 1)
-        return [max(min(k - (k + 1) * y * at[k + 1] / at[k] if at[k] else 0.5, k - 0.01), 0.01) for k in (1, 2, 3)]
-
-    d, low = discounts(counts), discounts(before)
-    off = lambda c, d: d[min(c, 3) - 1] if c > 0 else 0
-    n = sum(before.values())
-    rest = sum(off(v, low) for v in before.values()) / n
+    at = [sum(v == k for v in counts.values()) for k in (1, 2, 3, 4)]
+    y = at[0] / max(at[0] + 2 * at[1], 1)
+    d = [0] + [max(min(k - (k + 1) * y * at[k] / at[k - 1] if at[k - 1] else 0.5, k - 0.01), 0.01) for k in (1, 2, 3)]
+    low = lambda w: (before[w] + 0.5) / (sum(before.values()) + 0.5 * word_model.CELLS)
 
     def nats(mine):
         total = 0
-        for (a, b), c in mine.items():
-            left = counts[a, b] - c
-            every = sum(v for (x, _), v in counts.items() if x == a)
-            free = every - sum(v for (x, _), v in mine.items() if x == a)
-            p = (before[b] - off(before[b], low)) / n + rest / len(before)
-            if free > 0:
-                p = min(max(left - off(left, d), 0) / free + sum(off(v, d) for (x, _), v in counts.items() if x == a) / every * p, 1)
-            total -= c * math.log(p)
-        return total / sum(mine.values())
+        for a, b in mine:
+            followers = [v for (x, _), v in counts.items() if x == a]
+            left, every, p = counts[a, b] - 1, sum(followers), low(b)
+            if every > 1:
+                p = min(max(left - d[min(left, 3)], 0) / (every - 1) + min(sum(d[min(v, 3)] for v in followers) / every, 1) * p, 1)
+            total -= math.log(p)
+        return total / len(mine)
 
-    assert np.allclose(got, sorted(map(nats, own)))
+    assert np.allclose(got, sorted(map(nats, own)), rtol=1e-4)
 
 
 def test_scores_by_slot_match_the_model_in_memory(spark, monkeypatch):
@@ -142,6 +136,9 @@ def test_scores_by_slot_match_the_model_in_memory(spark, monkeypatch):
     arrays = quality.fit(docs)["arrays"]
     scorers = {lang: quality.Scorer(a, quality.ORDER) for lang, a in arrays.items()}
     got = {r["doc_id"]: r["nats"] for r in quality.measured(docs, quality.learn(docs)).collect()}
+    monkeypatch.setattr(quality, "MOST_NUMBERS", 10)
+    dealt = {r["doc_id"]: r["nats"] for r in quality.measured(docs, quality.learn(docs)).collect()}
+    assert dealt.keys() == got.keys() and all(x == dealt[i] or abs(x - dealt[i]) < 1e-9 for i, x in got.items())
     for doc in docs.collect():
         words = len(re.findall(SP, doc["text"] or ""))
         total, n = scorers[doc["lang"]].nats((doc["text"] or "").encode())

@@ -37,8 +37,8 @@ LOTS = 16
 #: Second words are known by this many bits, of which the upper ones are the cell.
 BITS, CELL_BITS = 24, 20
 CELLS = 1 << CELL_BITS
-#: Cells of one row of the sums.
-RANGE = 1 << 16
+#: Cells of one row of the sums, and groups of shards that are summed first.
+RANGE, GROUPS = 1 << 12, 64
 ROW = "shard int, run long, h binary, hn binary, w binary, dn binary, d binary, keys binary"
 EMPTY = {c: b"" for c in ("h", "hn", "w", "dn", "d", "keys")}
 
@@ -197,13 +197,15 @@ def fit(texts: DataFrame, shards: int) -> dict[str, np.ndarray]:
             cells += np.bincount((pairs & np.uint64((1 << BITS) - 1)).astype(np.int64) >> (BITS - CELL_BITS), minlength=CELLS)
             times[:6] += np.bincount(np.minimum(counts, 5), minlength=6)
         sums = [(-1, times), *[(i, cells[i * RANGE : (i + 1) * RANGE]) for i in range(CELLS // RANGE)]]
-        return pa.table({"part": pa.array([i for i, _ in sums], pa.int32()), "sums": pa.array([s.astype("<i8").tobytes() for _, s in sums], pa.binary())})
+        group = table["shard"][0].as_py() % GROUPS
+        return pa.table({"part": pa.array([i for i, _ in sums], pa.int32()), "group": pa.array([group] * len(sums), pa.int32()), "sums": pa.array([s.astype("<i8").tobytes() for _, s in sums], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
         total = np.sum([np.frombuffer(s, "<i8") for s in table["sums"].to_pylist()], axis=0)
         return pa.table({"part": table["part"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-    sums = stored(packed(texts, shards, False).groupBy("shard").applyInArrow(count, "part int, sums binary"), "wordSums", batch=500)
+    sums = stored(packed(texts, shards, False).groupBy("shard").applyInArrow(count, "part int, group int, sums binary"), "wordSums", batch=500)
+    sums = sums.groupBy("part", "group").applyInArrow(add, "part int, sums binary")
     found = {r["part"]: np.frombuffer(r["sums"], "<i8") for r in stored(sums.groupBy("part").applyInArrow(add, "part int, sums binary"), "wordCells").collect()}
     cells = np.concatenate([found.get(i, np.zeros(RANGE, np.int64)) for i in range(CELLS // RANGE)])
     times = found.get(-1, np.zeros(RANGE, np.int64))

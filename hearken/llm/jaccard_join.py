@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.shared import fresh, small, stored
+from hearken.llm.shared import fresh, removed, small, stored
 
 WORDS = 5
 PERCENT = 80
@@ -359,6 +359,7 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, often: i
     """One row a document row: doc_id, text_key, n_shingles, component_id, and comp, the component itself:
     ids may be null or repeat. comp is null for rows of no shingle."""
     described = _described(docs, words)
+    rows_of = stored(described.select("doc_id", "text_key", "n", "cls"), "rows")
     sets = described.filter("cls IS NOT NULL")
     classes = stored(sets.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("row").alias("first"), F.count("*").alias("rows")), "classes")
     # Rows that only repeat a class stay out, by a table of those rows and not of all classes.
@@ -402,11 +403,13 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, often: i
     more = few.join(right, "shingle").filter((F.col("cls") < F.col("cls2")) & (F.col("comp") != F.col("comp2")) & _fits(percent) & enough).select(*_pair("cls", "cls2")).distinct()
     for before in done:
         more = more.join(before, ["a", "b"], "left_anti")
-    comp = merged(comp, _linked(stored(more, "pairs"), firsts, percent))
+    comp = stored(merged(comp, _linked(stored(more, "pairs"), firsts, percent)), "components")
+    # The sets are the largest table, and nothing reads them from here on.
+    removed(docs.sparkSession, [described._stored_at])
     of_class = classes.select("cls", "least").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     ids = of_class.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = of_class.join(ids, "comp").select("cls", "comp", "component_id")
-    out = described.select("doc_id", "text_key", "n", "cls").join(named, "cls", "left")
+    out = rows_of.join(named, "cls", "left")
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce(F.col("component_id"), F.col("doc_id")).alias("component_id"), "comp")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,16 +51,33 @@ def stored(df: DataFrame, name: str, batch: int = 2000) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    for paths in _watched:
+        paths.append(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more; what other queries still use stays."""
-    for df in tables:
-        spark = df.sparkSession
-        for file in {os.path.dirname(f) for f in df.inputFiles()}:
-            hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-            hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+_watched: list[list[str]] = []
+
+
+@contextmanager
+def watched() -> Iterator[list[str]]:
+    """The paths of the tables stored meanwhile, for ``removed`` once what was made of them is written."""
+    paths: list[str] = []
+    _watched.append(paths)
+    try:
+        yield paths
+    finally:
+        _watched[:] = [p for p in _watched if p is not paths]
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in paths:
+        hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    paths.clear()
 
 
 def row_bytes(df: DataFrame) -> Column:

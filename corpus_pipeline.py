@@ -13,29 +13,55 @@ and text and keep every further column, whatever its name; an empty table gives
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearken.llm import decontamination, jaccard_join, quality, secret_scan, sentencepiece_codec
-from hearken.llm.shared import stored, table
+from hearken.llm.shared import removed, stored, table, watched
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_made: list[str] = []
+
+
+def _stage(work: Stage) -> Stage:
+    """A stage that first deletes the tables that the stage before was made from: its result is written
+    and read again by then, as between all stages."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        removed(spark, _made)
+        with watched() as paths:
+            out = work(spark, docs, sf_dir)
+        _made.extend(paths)
+        return out
+
+    return run_stage
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.one_of_each(docs)
 
 
+@_stage
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_scan.redact(docs)
 
 
+@_stage
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, round_trip: whether decoding the ids gives the text."""
     encoded = sentencepiece_codec.encode(docs, ["doc_id"], checked=True)

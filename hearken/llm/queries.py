@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.llm import decontamination, html_extraction, jaccard_join, language_id, pii_surrogates, quality, secret_scan, sentencepiece_codec, toxicity, url_filters
+from hearken.llm import collocations, decontamination, divergence, html_extraction, jaccard_join, language_id, pii_surrogates, quality, secret_scan, sentencepiece_codec, token_files, toxicity, url_filters
 from hearken.llm.shared import table
 
 URL_RULES = ["allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/"]
@@ -68,6 +68,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(marked, lexicon, ["doc_id", "held_out"])
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = token_files.new_folder(spark)
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return token_files.digests(spark, folder)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_token_files": op11_token_files,
+    "op12_collocations": op12_collocations,
+    "op13_divergence": op13_divergence,
     "pipeline": pipeline,
 }
 
@@ -112,4 +131,38 @@ r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'bloc
 m AS (SELECT page_id, rh, rp, rv, row_number() OVER (PARTITION BY page_id ORDER BY length(rh) + length(rp) DESC, length(rh) DESC) AS k
       FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
 SELECT p.page_id, host, path, rh || rp AS rule, coalesce(rv, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id AND k = 1""",
+    "op12_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+g AS (SELECT lang, k, array_to_string(w[s : s + k - 1], ' ') AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM w, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k)),
+c AS MATERIALIZED (SELECT lang, k, g, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL HAVING k = 1 OR count(*) >= 10),
+n AS (SELECT lang, sum(f) AS n FROM c WHERE k = 1 GROUP BY 1),
+parts AS MATERIALIZED (SELECT lang, k, g, f AS a, cut, array_to_string(split(g, ' ')[1 : cut], ' ') AS lp, array_to_string(split(g, ' ')[cut + 1 : k], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS cut FROM c WHERE k > 1)),
+cuts AS (SELECT p.lang, p.k, p.g, a, cut, x.f AS l, y.f AS r, (1000000 * a * a) // (x.f * y.f) AS score
+         FROM parts p JOIN c x ON x.lang = p.lang AND x.g = p.lp JOIN c y ON y.lang = p.lang AND y.g = p.rp),
+best AS MATERIALIZED (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inside AS (SELECT lang, h, max(a) AS longer FROM (SELECT lang, unnest([array_to_string(split(g, ' ')[1:2], ' '), array_to_string(split(g, ' ')[2:3], ' ')]) AS h, a FROM best WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT b.lang, b.g AS phrase, a, l, r, score FROM best b LEFT JOIN inside i ON b.k = 2 AND i.lang = b.lang AND i.h = b.g
+         WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+       CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000""",
+    "op13_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY 1),
+q AS (SELECT lang, term, 1 + (1000000000 * (n + 2)) // (total + 2 * v) AS q FROM k JOIN l USING (lang)),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+gn AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, q.term, coalesce(c.n, 0) AS n, q, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (coalesce(gn.total, 0) + 2 * v) AS p
+      FROM g JOIN q USING (lang) JOIN l USING (lang) LEFT JOIN gn USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = q.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10""",
 }

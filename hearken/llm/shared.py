@@ -48,9 +48,7 @@ def stored(df: DataFrame, name: str, batch: int = 2000) -> DataFrame:
     finally:
         for k, v in was.items():
             spark.conf.set(k, v)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    deleted_on_exit(spark, path)
     for paths in _watched:
         paths.append(path)
     found = spark.read.schema(df.schema).parquet(path)
@@ -58,6 +56,11 @@ def stored(df: DataFrame, name: str, batch: int = 2000) -> DataFrame:
     return found
 
 
+def deleted_on_exit(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+
+
 _watched: list[list[str]] = []
 
 

@@ -83,6 +83,13 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def settled(out: DataFrame, paths: list[str]) -> DataFrame:
+    """``out``, after deleting those of the stored tables that it does not read."""
+    read = {part for file in out.inputFiles() for part in file.split("/")}
+    removed(out.sparkSession, [p for p in paths if p.rpartition("/")[2] not in read])
+    return out
+
+
 def row_bytes(df: DataFrame) -> Column:
     """About the bytes of a row."""
     total = F.lit(16)

@@ -32,16 +32,19 @@ from hearken.llm.shared import deleted_on_exit, shared_folder, small, stored
 from hearken.llm.word_arrays import lots
 
 #: Ids of a file, bytes of text that are encoded at once, and words of which the ids are kept.
-FILE_IDS, LOT, KEPT_WORDS = 4 << 20, 16 << 20, 500_000
+FILE_IDS, LOT, KEPT_WORDS = 2 << 20, 8 << 20, 400_000
 #: Copies of one row are dealt to so many parts of their range.
 COPIES = 4096
-_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
-#: Of each byte: whether it is of a word, a mark that may end one, a letter or digit.
-_OF_WORD, _MARK, _ALNUM = 1, 2, 4
+_PLAIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Of each byte: whether it is of a word, a mark that may end one, a letter or digit, or the first or second
+#: byte of an accented letter.
+_OF_WORD, _MARK, _ALNUM, _LEAD, _SECOND = 1, 2, 4, 8, 16
 _CLASS = np.full(256, _OF_WORD, np.uint8)
 _CLASS[list(b" \n")] = 0
 _CLASS[list(b".,;:!?")] |= _MARK
 _CLASS[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] |= _ALNUM
+_CLASS[0xC3] |= _LEAD
+_CLASS[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] |= _SECOND
 
 
 class Encoder:
@@ -67,12 +70,20 @@ class Encoder:
         self.begin, self.size, self.pool = [], [], np.zeros(0, np.uint32)
 
     def _learn(self, names: list[bytes]) -> None:
-        words = [n.decode() for n in names]
-        plain = [bool(_PLAIN(low := w.lower())) and len(low) == len(w) and "İ" not in w for w in words]
-        rest = iter(self.tokenizer.encode_batch([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
-        new, n = [], len(self.pool)
-        for name, word, p in zip(names, words, plain, strict=True):
-            ids = [t.id for t in self.tokenizer.model.tokenize(word.lower().translate(self.letters))] if p else next(rest).ids
+        # Of bytes, isalpha and islower look at ASCII alone.
+        plain = [n.decode() if n.isalpha() and n.islower() else None for n in names]
+        others = [k for k, w in enumerate(plain) if w is None]
+        whole = []
+        for k in others:
+            word = names[k].decode()
+            if _PLAIN(word):
+                plain[k] = word.lower().translate(self.letters)
+            else:
+                whole.append(word)
+        rest = iter(self.tokenizer.encode_batch(whole, add_special_tokens=False))
+        new, n, tokenize = [], len(self.pool), self.tokenizer.model.tokenize
+        for name, word in zip(names, plain, strict=True):
+            ids = next(rest).ids if word is None else [t.id for t in tokenize(word)]
             self.known[name] = len(self.begin)
             self.begin.append(n + len(new))
             self.size.append(len(ids))
@@ -86,12 +97,16 @@ class Encoder:
             return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
         raw = [t.encode() for t in texts]
         begins = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])[:-1]
-        data = np.frombuffer(b"\n".join(raw), np.uint8)
+        joined = b"\n".join(raw)
+        # Small letters at once are few words; special tokens are found before letters are made small.
+        data = np.frombuffer(joined if b"<|" in joined else joined.lower(), np.uint8)
         kind = _CLASS[data]
         word = (kind & _OF_WORD).astype(bool)
         starts = word.copy()
         starts[1:] &= ~word[:-1]
-        mark = (kind[1:] & _MARK).astype(bool) & (kind[:-1] & _ALNUM).astype(bool)
+        letter = (kind & _ALNUM).astype(bool)
+        letter[1:] |= (kind[1:] & _SECOND).astype(bool) & (kind[:-1] & _LEAD).astype(bool)
+        mark = (kind[1:] & _MARK).astype(bool) & letter[:-1]
         mark[:-1] &= ~word[2:]
         starts[1:] |= mark
         starts = np.flatnonzero(starts)
@@ -104,10 +119,10 @@ class Encoder:
         if len(self.known) > KEPT_WORDS:
             self._forget()
         self._learn([n for n in names if n not in self.known])
-        place = np.array([self.known[n] for n in names], np.int64)[coded.indices.to_numpy()]
-        size = np.array(self.size, np.int64)[place]
-        each = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        ids = self.pool[np.repeat(np.array(self.begin, np.int64)[place], size) + each]
+        place = np.array([self.known[n] for n in names], np.int32)[coded.indices.to_numpy()]
+        size = np.array(self.size, np.int32)[place]
+        from_pool = np.repeat(np.array(self.begin, np.int32)[place] - (np.cumsum(size, dtype=np.int32) - size), size)
+        ids = self.pool[from_pool + np.arange(len(from_pool), dtype=np.int32)]
         text = np.searchsorted(begins, starts, "right") - 1
         return ids, np.bincount(text, size, len(texts)).astype(np.int64)
 
@@ -115,7 +130,9 @@ class Encoder:
 def with_end(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The end id after each text's ids."""
     out = np.full(len(ids) + len(sizes), end, np.uint32)
-    out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+    inner = np.ones(len(out), bool)
+    inner[np.cumsum(sizes + 1) - 1] = False
+    out[inner] = ids
     return out, sizes + 1
 
 

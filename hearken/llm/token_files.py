@@ -13,6 +13,7 @@ long text is encoded whole; files end between documents, so such a text makes a
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import uuid
@@ -32,7 +33,7 @@ from hearken.llm.shared import deleted_on_exit, shared_folder, small, stored
 from hearken.llm.word_arrays import lots
 
 #: Ids of a file, bytes of text that are encoded at once, and words of which the ids are kept.
-FILE_IDS, LOT, KEPT_WORDS = 2 << 20, 8 << 20, 400_000
+FILE_IDS, LOT, KEPT_WORDS = 2 << 20, 8 << 20, 300_000
 #: Copies of one row are dealt to so many parts of their range.
 COPIES = 4096
 _PLAIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+").fullmatch
@@ -127,6 +128,12 @@ class Encoder:
         return ids, np.bincount(text, size, len(texts)).astype(np.int64)
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One a worker: the words that it has learned serve the next tasks too."""
+    return Encoder(path)
+
+
 def with_end(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The end id after each text's ids."""
     out = np.full(len(ids) + len(sizes), end, np.uint32)
@@ -155,7 +162,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int) -> DataFrame:
     ranged = ranged.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, number = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        part, number = TaskContext.get().partitionId(), 0
         doc_ids, sizes, ids = [], [], []
 
         def flush() -> pa.RecordBatch:
@@ -165,7 +172,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int) -> DataFrame:
             return pa.RecordBatch.from_pydict({"file": [name], "documents": [len(doc_ids)], "ids": [len(all_ids)]})
 
         for rows in lots(batches, LOT):
-            found, n = with_end(*encoder.encode([t for _, t in rows]), end)
+            found, n = with_end(*encoder(tokenizer).encode([t for _, t in rows]), end)
             doc_ids.extend(i for i, _ in rows)
             sizes.append(n)
             ids.append(found)

@@ -44,10 +44,13 @@ def slot(kind: str, factory: str, failed=None) -> Callable[..., Column]:
     return F.pandas_udf(tables if SLOTS[kind].startswith("struct<") else run, SLOTS[kind])
 
 
-def by_length(chunks, length: str, step: int = 1600):
+def by_length(chunks, length: str, step: int = 1600, parts: int | None = None):
     """Chunks dealt by their length in steps, so that a model's batches hold sounds of about one length
-    and none is padded far."""
-    return chunks.withColumn("_step", F.floor(F.col(length) / step)).repartition("_step").sortWithinPartitions("_step").drop("_step")
+    and none is padded far. Parts are ranges of lengths; chunks of one step, which may be nearly all, are
+    dealt to many parts by a hash of the row. ``parts`` are as many as the session's shuffles have by default:
+    a model's time is in its rows, so small parts stay apart."""
+    spread = chunks.withColumn("_step", F.floor(F.col(length) / step)).withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in chunks.columns]), F.lit(1024)))
+    return spread.repartitionByRange(parts or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_step", "_salt").sortWithinPartitions("_step").drop("_step", "_salt")
 
 
 def durations_known(chunks, demuxed: str, default: float = 5.0):

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from hearken.operators import scans
 
 
 def confusion(rows: DataFrame, by: list[str], truth: str = "truth", predicted: str = "predicted") -> DataFrame:
@@ -56,24 +57,29 @@ def repeated_confusion(detections: DataFrame, truth: DataFrame, durations: DataF
     return out.select(by, zero("tp").alias("tp"), zero("fp").alias("fp"), (whole.cast("long") - zero("_taken")).alias("tn"), zero("fn").alias("fn"))
 
 
+def _by_score(scored: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """by + (score, t, f, t_below, f_below): how many of each truth have a score and a lower one, by ranges of
+    the scores; and by + (pos, neg), all of them."""
+    steps = scored.groupBy(*by, "score").agg(F.count_if("truth").alias("t"), F.count_if(~F.col("truth")).alias("f"))
+    summed = scans.running_sums(steps, by, "score", scans.ranges(scored, "score"), {"t_below": "t", "f_below": "f"})
+    return summed, scored.groupBy(*by).agg(F.count_if("truth").alias("pos"), F.count_if(~F.col("truth")).alias("neg"))
+
+
 def best_f1(scored: DataFrame, by: list[str]) -> DataFrame:
     """by + threshold, f1, tp, fp: over each distinct score as threshold; of equal F1 the lowest."""
-    steps = scored.groupBy(*by, "score").agg(F.count_if("truth").alias("t"), F.count_if(~F.col("truth")).alias("f"))
-    all_ = W.partitionBy(*by)
-    down = all_.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    swept = steps.select(*by, "score", F.sum("t").over(down).alias("tp"), F.sum("f").over(down).alias("fp"), F.sum("t").over(all_).alias("pos"))
+    steps, totals = _by_score(scored, by)
+    swept = steps.join(totals, by).select(*by, "score", (F.col("pos") - F.col("t_below")).alias("tp"), (F.col("neg") - F.col("f_below")).alias("fp"), "pos")
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("pos")), F.lit(0.0))
-    ranked = swept.withColumn("f1", f1).filter("f1 > 0").withColumn("k", F.row_number().over(all_.orderBy(F.desc("f1"), "score")))
-    return ranked.filter("k = 1").select(*by, F.col("score").alias("threshold"), "f1", "tp", "fp")
+    best = swept.withColumn("f1", f1).filter("f1 > 0").groupBy(*by).agg(F.max_by(F.struct("score", "f1", "tp", "fp"), F.struct("f1", (-F.col("score")).alias("low"))).alias("b"))
+    return best.select(*by, F.col("b.score").alias("threshold"), "b.f1", "b.tp", "b.fp")
 
 
 def rank_auc(scored: DataFrame, by: list[str]) -> DataFrame:
     """by + auc: Mann-Whitney with average ranks of ties. Distinct scores are counted first, so the
     running sum is over scores and not rows."""
-    steps = scored.groupBy(*by, "score").agg(F.count_if("truth").alias("t"), F.count_if(~F.col("truth")).alias("f"))
-    below = F.sum("f").over(W.partitionBy(*by).orderBy("score").rowsBetween(W.unboundedPreceding, 0)) - F.col("f")
-    wins = steps.withColumn("u", F.col("t") * (below + F.col("f") / 2.0))
-    return wins.groupBy(*by).agg(F.try_divide(F.sum("u"), F.sum("t") * F.sum("f")).alias("auc"))
+    steps, totals = _by_score(scored, by)
+    wins = steps.groupBy(*by).agg(F.sum(F.col("t") * (F.col("f_below") + F.col("f") / 2.0)).alias("u"))
+    return wins.join(totals, by).select(*by, F.try_divide(F.col("u"), F.col("pos") * F.col("neg")).alias("auc"))
 
 
 def interval_matches(predictions: DataFrame, truth: DataFrame, by: list[str], tolerance: float = 0.5) -> DataFrame:

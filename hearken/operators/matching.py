@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 
 from hearken.functions import text as T
 from hearken.functions.models import complete_words
-from hearken.operators.sizes import small
+from hearken.operators import lookup
+from hearken.operators.sizes import small, written
 
 #: Keywords up to which their grams are looked up in the expression, before the join.
 LOOKED_UP = 10_000
@@ -74,7 +75,7 @@ def exact_matches(streams: DataFrame, keywords: DataFrame, lengths: list[int]) -
         begins = F.filter(F.transform(ws, lambda w, i: F.when(w["token"].isin(starts), i + 1)), lambda i: i.isNotNull())
     else:
         begins = F.when(F.size(ws) > 0, F.sequence(F.lit(1), F.size(ws)))
-    rows = streams.withColumn("_begins", begins).filter(F.size("_begins") > 0)
+    rows = streams.withColumn("_begins", begins)
 
     def runs(n: int) -> Column:
         whole = F.filter("_begins", lambda i: i + (n - 1) <= F.size("ws"))
@@ -128,18 +129,17 @@ def cascade_matches(streams: DataFrame, keywords: DataFrame, fuzzy_ratio: float
 
     ``fuzzy_ratio`` is on the scale of 0 to 100 and holds for the mean over a keyword's words. Where the
     mean reaches it, so does one word at least; and where all codes are equal, so are one word's. So
-    only windows that have such a word at its place are scored whole: distinct tokens are held against
-    the keywords' words, which are a stated query set, and the few pairs are joined to the streams."""
+    only windows that have such a word at its place are scored whole: distinct tokens meet the keywords'
+    words in joins on equal pieces or codes, and the few pairs are joined to the streams."""
     keys = [c for c in streams.columns if c != "ws"]
     wanted = keywords.select("keyword", "n", F.posexplode(F.arrays_zip("tokens", "codes")).alias("k", "t")).select("keyword", "n", "k", F.col("t.tokens").alias("wanted"), F.col("t.codes").alias("wanted_code"))
     ahead = keywords.agg(F.max("n")).first()[0] or 1
-    tokens = streams.select(F.explode("ws.token").alias("token")).distinct().withColumn("code", T.metaphone_code("token") if phonetic else F.lit(""))
-    a, b = F.length("token"), F.length("wanted")
-    reachable = 200.0 * F.least(a, b) / (a + b) >= fuzzy_ratio
-    alike = F.lit(phonetic) & (F.col("code") == F.col("wanted_code"))
-    words = small(wanted.select("wanted", "wanted_code").distinct())
-    pairs = tokens.join(words, reachable | alike).select("token", "wanted", alike.alias("alike"), T.indel_ratio(F.col("token"), F.col("wanted")).alias("r"))
-    anchors = pairs.filter((F.col("r") >= fuzzy_ratio) | F.col("alike")).join(small(wanted.drop("wanted_code")), "wanted").select("token", "keyword", "n", "k")
+    tokens = written(streams.select(F.explode("ws.token").alias("token")).distinct(), "tokens")
+    pairs = lookup.alike(tokens, wanted, fuzzy_ratio).select("token", "wanted")
+    if phonetic:
+        coded = tokens.select("token", T.metaphone_code("token").alias("wanted_code"))
+        pairs = pairs.unionByName(coded.join(small(wanted.select("wanted", "wanted_code").distinct()), "wanted_code").select("token", "wanted")).distinct()
+    anchors = pairs.join(small(wanted.drop("wanted_code")), "wanted").select("token", "keyword", "n", "k")
     # A word with its neighbours, as far as a keyword that has it at any place may reach.
     ws = F.col("ws")
     from_ = lambda i: F.greatest(i - (ahead - 2), F.lit(1))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hearken.functions import vectors as V
+from hearken.operators import selection
 from hearken.operators.sizes import small
 
 
@@ -53,14 +56,40 @@ def top_stats(scores: DataFrame, by: list[str], k: int = 50) -> DataFrame:
     return top.groupBy(*by).agg(F.avg("score").alias("mu"), F.greatest(F.stddev_pop("score"), F.lit(1e-3)).alias("sigma"))
 
 
+def cohort_stats(windows: DataFrame, cohort: DataFrame, by: list[str], k: int = 50, together: int = 20_000) -> DataFrame:
+    """(key, by, mu, sigma): mean and population deviation, 1e-3 at least, of each window's ``k`` best products
+    with its key's cohort. The cohort is a matrix, a batch of windows one product, and the best are taken in
+    place: there is no row a pair. A key's windows are dealt to parts of about ``together``, and its cohort,
+    a bounded number of vectors, goes to each of them."""
+    parts = windows.groupBy("key").agg(F.ceil(F.count("*") / together).alias("_parts"))
+    dealt = windows.join(parts, "key").withColumn("_part", F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int")).drop("_parts")
+    copies = cohort.select("key", "cohort").join(parts, "key").withColumn("_part", F.explode(F.sequence(F.lit(0), (F.col("_parts") - 1).cast("int")))).drop("_parts")
+
+    def product(own: pa.Table, others: pa.Table) -> pa.Table:
+        mu, sigma = np.full(len(own), np.nan), np.full(len(own), np.nan)
+        if len(own) and len(others):
+            matrix = np.array(others["cohort"].to_pylist(), float).T
+            most = min(k, matrix.shape[1])
+            for at in range(0, len(own), 2048):
+                scores = np.array(own["embedding"].slice(at, 2048).to_pylist(), float) @ matrix
+                best = np.partition(scores, matrix.shape[1] - most, axis=1)[:, matrix.shape[1] - most :]
+                mu[at : at + 2048], sigma[at : at + 2048] = best.mean(axis=1), np.maximum(best.std(axis=1), 1e-3)
+        there = pa.array(~np.isnan(mu))
+        return pa.table([*[own[c] for c in ("key", *by)], pa.array(mu), pa.array(sigma)], names=["key", *by, "mu", "sigma"]).filter(there)
+
+    kinds = ", ".join(f"`{c}` {windows.schema[c].dataType.simpleString()}" for c in ("key", *by))
+    pairs = dealt.select("key", "_part", *by, "embedding").groupBy("key", "_part").cogroup(copies.groupBy("key", "_part"))
+    return pairs.applyInArrow(product, f"{kinds}, mu double, sigma double")
+
+
 def adaptive_scores(windows: DataFrame, anchor: DataFrame, cohort: DataFrame, k: int = 50) -> DataFrame:
     """(key, window_id, raw, score): 0.5 ((s - mu_a) / sigma_a + (s - mu_w) / sigma_w).
 
     ``anchor`` has (key, anchor), ``cohort`` (key, cohort): a bounded number a key, as configured."""
-    raw = windows.join(anchor, "key").select("key", "window_id", "embedding", V.dot(F.col("embedding"), F.col("anchor")).alias("raw"))
-    of_anchor = top_stats(anchor.join(cohort, "key").select("key", V.dot(F.col("cohort"), F.col("anchor")).alias("score")), ["key"], k)
-    of_window = top_stats(windows.join(cohort, "key").select("key", "window_id", V.dot(F.col("embedding"), F.col("cohort")).alias("score")), ["key", "window_id"], k)
-    both = raw.join(of_anchor.select("key", F.col("mu").alias("ma"), F.col("sigma").alias("sa")), "key").join(of_window, ["key", "window_id"])
+    raw = windows.join(anchor, "key").select("key", "window_id", V.dot(F.col("embedding"), F.col("anchor")).alias("raw"))
+    of_anchor = cohort_stats(anchor.select("key", F.lit(0).alias("window_id"), F.col("anchor").alias("embedding")), cohort, ["window_id"], k).select("key", F.col("mu").alias("ma"), F.col("sigma").alias("sa"))
+    of_window = cohort_stats(windows, cohort, ["window_id"], k)
+    both = raw.join(of_anchor, "key").join(of_window, ["key", "window_id"])
     score = 0.5 * ((F.col("raw") - F.col("ma")) / F.col("sa") + (F.col("raw") - F.col("mu")) / F.col("sigma"))
     return both.select("key", "window_id", "raw", score.alias("score"))
 
@@ -69,7 +98,6 @@ def calibration(scores: DataFrame, by: str, percent: float = 0.99) -> DataFrame:
     """Per key: the negatives' exact percentile as threshold, summaries, recall and margin."""
     neg, pos = F.when(~F.col("positive"), F.col("score")), F.when(F.col("positive"), F.col("score"))
     base = scores.groupBy(by).agg(
-        F.percentile(neg, percent).alias("threshold"),
         F.avg(neg).alias("neg_mean"),
         F.stddev_pop(neg).alias("neg_std"),
         F.max(neg).alias("neg_max"),
@@ -78,6 +106,8 @@ def calibration(scores: DataFrame, by: str, percent: float = 0.99) -> DataFrame:
         F.count(pos).alias("n_pos"),
         F.count(neg).alias("n_neg"),
     )
+    high = selection.percentiles(scores, [by], neg, {"threshold": percent}).withColumnRenamed(by, "_key")
+    base = base.join(high, F.col(by).eqNullSafe(F.col("_key")), "left").drop("_key")
     reached = scores.join(base.select(by, "threshold"), by).filter("positive").groupBy(by).agg(F.avg((F.col("score") >= F.col("threshold")).cast("double")).alias("recall"))
     margin = F.col("pos_mean") - F.col("threshold")
     return base.join(reached, by, "left").select("*", margin.alias("margin"), F.when(margin > 0, "OK").otherwise("overlap").alias("verdict"))

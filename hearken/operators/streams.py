@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from hearken.operators import scans
+
 
 def sequence_key(uri: Column) -> Column:
     """The segment's sequence number where the address has one, else the address."""
@@ -25,14 +27,12 @@ def indexed(rows: DataFrame, stream: str, order: list[str]) -> DataFrame:
 
 
 def stream_offsets(chunks: DataFrame, durations: DataFrame, stream: str, default: float = 5.0) -> DataFrame:
-    """stream, chunk_idx, offset: time before each chunk over every index from 0, missing ones included."""
-    last = chunks.groupBy(stream).agg(F.max("chunk_idx").alias("last"))
-    dense = last.select(stream, F.explode(F.sequence(F.lit(0), F.col("last"))).alias("chunk_idx"))
-    timed = dense.join(durations, [stream, "chunk_idx"], "left")
-    before = W.partitionBy(stream).orderBy("chunk_idx").rowsBetween(W.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.coalesce("duration", F.lit(default))).over(before), F.lit(0.0))
-    placed = timed.select(stream, "chunk_idx", offset.alias("offset"))
-    return placed.join(chunks.select(stream, "chunk_idx").distinct(), [stream, "chunk_idx"], "left_semi")
+    """stream, chunk_idx, offset: time before each chunk over every index from 0, missing ones included.
+    A sum over the durations that are known, in blocks of the index, and the default for all others."""
+    known = durations.filter((F.col("chunk_idx") >= 0) & F.col("duration").isNotNull()).groupBy(stream, "chunk_idx").agg(F.first("duration").alias("d"))
+    marks = known.withColumn("k", F.lit(1)).join(chunks.select(stream, "chunk_idx").distinct().withColumn("_wanted", F.lit(True)), [stream, "chunk_idx"], "full")
+    summed = scans.running_sums(marks, [stream], "chunk_idx", scans.stretches("chunk_idx"), {"_seconds": "d", "_known": "k"})
+    return summed.filter("_wanted").select(stream, "chunk_idx", (F.col("_seconds") + default * (F.col("chunk_idx") - F.col("_known"))).alias("offset"))
 
 
 def context(hits: DataFrame, chunks: DataFrame, stream: str, reach: int = 5) -> DataFrame:
@@ -75,9 +75,8 @@ def scaled_windows(rows: DataFrame, length: str, window: float, rate: int = 1600
 
 
 def forward_filled(lines: DataFrame, by: list[str], order: str, header: Column) -> DataFrame:
-    """+ header: the last one at or before each line."""
-    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return lines.withColumn("header", F.last(header, ignorenulls=True).over(w))
+    """+ header: the last one at or before each line. ``order`` is an index of lines."""
+    return scans.running_last(lines, by, order, scans.stretches(order), header, "header")
 
 
 def rescued(detections: DataFrame, candidates: DataFrame, by: list[str], tolerance: float = 1e-6) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hearken.functions import text as T
+from hearken.operators import selection
 
 
 def best_similarity(references: Column, phones: Column) -> Column:
@@ -30,7 +31,7 @@ def leave_one_out(refs: DataFrame, key: str, id_: str) -> DataFrame:
 
 def threshold(negatives: DataFrame, loo: DataFrame, key: str, percent: float = 0.99, least: float = 0.5) -> DataFrame:
     """key + tau: midway between the negatives' percentile and the leave-one-out mean, ``least`` at least."""
-    high = negatives.groupBy(key).agg(F.percentile("similarity", percent).alias("p"))
+    high = selection.percentiles(negatives, [key], F.col("similarity"), {"p": percent})
     return high.join(loo, key).select(key, F.greatest(F.lit(least), 0.5 * (F.col("p") + F.col("loo_mean"))).alias("tau"))
 
 
@@ -43,7 +44,7 @@ def lengths_guarded(clips: DataFrame, key: str, seconds: str, least: float = 0.1
     """Clips neither shorter than ``least`` nor longer than ``times`` their key's median, nor than
     ``most`` seconds where that is given."""
     whole = clips.filter((F.col(seconds) >= least) & (F.lit(True) if most is None else F.col(seconds) <= most))
-    median = whole.groupBy(key).agg(F.percentile(seconds, 0.5).alias("_median"))
+    median = selection.percentiles(whole, [key], F.col(seconds), {"_median": 0.5})
     return whole.join(median, key).filter(F.col(seconds) <= times * F.col("_median")).drop("_median")
 
 

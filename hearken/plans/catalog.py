@@ -16,6 +16,7 @@ from hearken.functions import vectors as V
 from hearken.operators import evaluation as E
 from hearken.operators import matching as M
 from hearken.operators import scoring as S
+from hearken.operators import selection
 from hearken.operators import streams as R
 from hearken.operators import verification as VF
 from hearken.operators.sizes import small, spread
@@ -453,8 +454,9 @@ def calibration_report(spark, sf_dir):
 
 @register("calibration_threshold", f"WITH {CALIBRATION} SELECT lang, round(quantile_cont(score, 0.9), 4) AS p90, round(quantile_cont(score, 0.95), 4) AS p95, round(quantile_cont(score, 0.99), 4) AS p99, round(quantile_cont(score, 0.995), 4) AS p995, max(score) AS p100 FROM p WHERE NOT positive GROUP BY lang")
 def calibration_threshold(spark, sf_dir):
-    negatives = _labelled(spark, sf_dir).filter("NOT positive").groupBy("lang")
-    return negatives.agg(*[F.round(F.percentile("score", q), 4).alias(n) for n, q in (("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("p995", 0.995))], F.max("score").alias("p100"))
+    negatives = _labelled(spark, sf_dir).filter("NOT positive")
+    found = selection.percentiles(negatives, ["lang"], F.col("score"), {"p90": 0.9, "p95": 0.95, "p99": 0.99, "p995": 0.995, "p100": 1.0})
+    return found.select("lang", *[F.round(c, 4).alias(c) for c in ("p90", "p95", "p99", "p995")], "p100")
 
 
 @register("threshold_resolution", "SELECT label, CASE WHEN label < 3 THEN 0.9 WHEN n > 40 THEN CAST(n AS DOUBLE) / 100 ELSE 0.5 END AS threshold, CASE WHEN label < 3 THEN 'explicit' WHEN n > 40 THEN 'calibrated' ELSE 'default' END AS provenance FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)")

@@ -288,3 +288,18 @@ def stream_detection_log(spark, sf_dir):
 @register("stream_first_hit", "SELECT user_id, min(event_id) AS first_hit FROM events WHERE value > 350 GROUP BY 1")
 def stream_first_hit(spark, sf_dir):
     return jobs.first_hits(spark, f"{sf_dir}/events.parquet", least=350.0)
+
+
+@register(
+    "stream_chunk_store",
+    """WITH c AS (SELECT user_id AS stream, event_id AS chunk_idx, epoch_ms(ts) AS ms, value FROM events),
+b AS (SELECT stream, max(chunk_idx) AS newest, max(chunk_idx) FILTER (WHERE value > 250) AS upto, coalesce(bool_or(value > 250 AND chunk_idx <= 60), false) AS zero FROM c GROUP BY 1)
+SELECT stream, chunk_idx FROM c JOIN b USING (stream) WHERE chunk_idx >= newest - 4000 AND NOT coalesce(chunk_idx <= upto AND (chunk_idx > 0 OR zero), false)
+AND ms + 864000000 > (SELECT max(ms) FROM c) - 3600000""",
+)
+def stream_chunk_store(spark, sf_dir):
+    """Events as chunks; one over 250 consumes the sixty numbers before it. What no batch removed is left."""
+    path = f"{sf_dir}/events.parquet"
+    gone = jobs.chunk_store(spark, path, least=250.0, reach=60, keep=4000, after_ms=10 * 86_400_000, delay="1 hour")
+    chunks = read(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("chunk_idx"))
+    return chunks.join(gone, ["stream", "chunk_idx"], "left_anti")

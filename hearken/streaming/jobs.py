@@ -17,6 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from hearken.functions import text as T
+from hearken.streaming import store
 
 
 def _folder(spark: SparkSession) -> str:
@@ -128,3 +129,12 @@ def supervised(start: Callable[[], StreamingQuery], tries: int = 5, wait: float
                 raise
             time.sleep(min(wait * attempt, longest))
     raise ValueError("tries must be positive")
+
+
+def chunk_store(spark: SparkSession, path: str, least: float, reach: int, keep: int, after_ms: int, delay: str) -> DataFrame:
+    """(stream, chunk_idx, reason): the chunks that go from a store of events, of which those over ``least``
+    consume the ``reach`` before them; retention, consumption and expiry as in ``streaming.store``."""
+    events = _source(spark, path).select(F.col("user_id").alias("stream"), F.col("event_id").alias("chunk_idx"), F.col("ts").cast("timestamp").alias("at"), "value")
+    consumed = events.filter(F.col("value") > least).select("stream", F.greatest(F.col("chunk_idx") - reach, F.lit(0)).alias("first"), F.col("chunk_idx").alias("last"), "at")
+    with store.rocks(spark):
+        return _finished(store.gone_chunks(store.events_of(events, consumed), keep, after_ms, delay), "append").drop("batch")

@@ -9,6 +9,7 @@ Null and empty texts, and all of under fifty words, go at quality, as the base r
 rows that repeat both id and text one stays at the near duplicates; a null id takes part in all stages.
 Of two documents of one group and id, the one of the smaller text hash stays. Stages match rows by id
 and text and keep every further column, whatever its name; an empty table gives an empty result.
+The operators are in ``hearken.llm``, without which this module cannot be imported.
 """
 
 from __future__ import annotations
@@ -20,23 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearken.llm import decontamination, jaccard_join, quality, secret_scan, sentencepiece_codec
-from hearken.llm.shared import removed, stored, table, watched
+from hearken.llm.shared import settled, stored, table, watched
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_made: list[str] = []
 
 
 def _stage(work: Stage) -> Stage:
-    """A stage that first deletes the tables that the stage before was made from: its result is written
-    and read again by then, as between all stages."""
+    """A stage that deletes the tables it has stored on the way, but for the few that its result reads. Results
+    of other stages and of other runs stay as they are, so stages may follow each other unwritten."""
 
     @wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        removed(spark, _made)
         with watched() as paths:
-            out = work(spark, docs, sf_dir)
-        _made.extend(paths)
-        return out
+            return settled(work(spark, docs, sf_dir), paths)
 
     return run_stage
 

@@ -88,6 +88,14 @@ class Network:
         return out
 
 
+def weights_by_rule(letters: int = 16, size: int = 32) -> dict[str, np.ndarray]:
+    """Weights of a network that was never trained, the same everywhere: for runs without a trained one."""
+    shapes = {"enc_emb": (len(GRAPHEMES), letters), "dec_emb": (len(PHONEMES), letters), "fc_w": (len(PHONEMES), size), "fc_b": (len(PHONEMES),)}
+    for side in ("enc", "dec"):
+        shapes |= {f"{side}_w_ih": (3 * size, letters), f"{side}_w_hh": (3 * size, size), f"{side}_b_ih": (3 * size,), f"{side}_b_hh": (3 * size,)}
+    return {name: np.random.default_rng(k).normal(size=shape).astype(np.float32) for k, (name, shape) in enumerate(shapes.items())}
+
+
 def phonemes(word: Column, factory: str) -> Column:
     """array<string> of a word; null for null."""
 

@@ -6,11 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
-
-from hearken.operators.sizes import small
+from pyspark.sql.types import ArrayType, FloatType
 
 RATE = 16000
 N_FFT, WIN, HOP, MELS, LOW, HIGH = 512, 400, 160, 40, 80.0, 8000.0
@@ -133,19 +132,83 @@ def mel_spectrogram(samples, log: bool = False):
     return run(samples)
 
 
-@F.pandas_udf(StructType([StructField("at", IntegerType()), StructField("percent", DoubleType())]))
-def cross_correlation(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for chunks, words in parts:
-        found = [correlation_peak(np.asarray(c, float), np.asarray(w, float)) for c, w in zip(chunks, words, strict=True)]
-        yield pd.DataFrame({"at": [f[0] for f in found], "percent": [f[1] for f in found]})
+class Correlator:
+    """Cross-correlations of long sounds with many short ones, by overlap and save: the spectra of all words
+    are made once for a block size, a sound is cut into overlapping blocks, and each block's spectrum serves
+    all words. Places within rounding of a peak are multiplied out, so the first of equal peaks is found as
+    ``correlation_peak`` finds it."""
+
+    def __init__(self, words: list[np.ndarray]) -> None:
+        self.words = [np.asarray(w, float) for w in words]
+        self.longest = max([len(w) for w in self.words], default=0)
+        self.block = max(1024, 1 << (4 * self.longest - 1).bit_length()) if self.longest else 0
+        self.spectra = np.array([np.fft.rfft(w[::-1], self.block) for w in self.words if len(w)])
+        self.energies = [float((w**2).sum()) for w in self.words]
+
+    def _full(self, sound: np.ndarray) -> np.ndarray:
+        """A row for each word that has samples: sums of products from the first overlap on."""
+        hop, n = self.block - self.longest + 1, len(sound) + self.longest - 1
+        blocks = -(-n // hop)
+        padded = np.zeros(self.longest - 1 + blocks * hop)
+        padded[self.longest - 1 : self.longest - 1 + len(sound)] = sound
+        cut = np.lib.stride_tricks.sliding_window_view(padded, self.block)[::hop] if len(padded) >= self.block else padded[None, :]
+        out = np.empty((len(self.spectra), blocks * hop))
+        for b, part in enumerate(cut):
+            out[:, b * hop : (b + 1) * hop] = np.fft.irfft(np.fft.rfft(part, self.block) * self.spectra, self.block)[:, self.longest - 1 : self.longest - 1 + hop]
+        return out[:, :n]
+
+    def peaks(self, sound: np.ndarray, clamp: float | None = 100.0) -> list[tuple[int, float | None]]:
+        """(place, percent) for each word."""
+        sound, found = np.asarray(sound, float), []
+        full = iter(self._full(sound) if len(sound) and len(self.spectra) else [])
+        for word, energy in zip(self.words, self.energies, strict=True):
+            if not len(word) or not len(sound):
+                found.append((0, None))
+                continue
+            first = (len(word) - 1) // 2 if len(word) <= len(sound) else len(sound) // 2
+            same = next(full)[first : first + max(len(word), len(sound))]
+            near = np.flatnonzero(same >= same.max() - 1e-9 * max(np.sqrt(energy * float((sound**2).sum())), 1e-300))
+            exact = [self._product(sound, word, int(k) + first - len(word) + 1) for k in near]
+            best = int(np.argmax(exact))
+            at = int(near[best])
+            norm = float(np.sqrt(float((sound[at : at + len(word)] ** 2).sum()) * energy))
+            percent = exact[best] / norm * 100 if norm and np.isfinite(norm) else None
+            found.append((at, percent if percent is None or clamp is None else min(percent, clamp)))
+        return found
+
+    @staticmethod
+    def _product(sound: np.ndarray, word: np.ndarray, lag: int) -> float:
+        a, b = max(lag, 0), min(lag + len(word), len(sound))
+        return float(sound[a:b] @ word[a - lag : b - lag]) if a < b else 0.0
+
+
+#: Samples of all keywords together at most: what each worker holds with its spectra.
+MOST_SAMPLES = 4_000_000
 
 
 def keyword_in_chunks(chunks: DataFrame, keywords: DataFrame, threshold: float = 70.0) -> DataFrame:
     """(chunk columns, keyword, at, percent) where a keyword's sound correlates by more than ``threshold``
-    percent. ``keywords`` (keyword, word) is a stated, bounded set that meets every chunk (samples)."""
-    met = chunks.crossJoin(small(keywords.select("keyword", "word")))
-    scored = met.withColumn("c", cross_correlation("samples", "word"))
-    return scored.filter(F.coalesce(F.col("c.percent") > threshold, F.lit(False))).select(*[c for c in chunks.columns if c != "samples"], "keyword", "c.at", "c.percent")
+    percent. ``keywords`` (keyword, word) is a stated set, of ``MOST_SAMPLES`` samples at most, that every worker
+    gets once; chunks (samples) stay where they are, and no row is a pair."""
+    total = keywords.agg(F.sum(F.size("word"))).first()[0] or 0
+    if total > MOST_SAMPLES:
+        raise ValueError(f"{total} samples of keywords; {MOST_SAMPLES} may be held at once")
+    named = sorted((r["keyword"], r["word"] or []) for r in keywords.select("keyword", "word").collect())
+    held = chunks.sparkSession.sparkContext.broadcast([(k, np.asarray(w, np.float32)) for k, w in named])
+    others = [c for c in chunks.columns if c != "samples"]
+    kinds = ", ".join(f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in others)
+
+    def correlate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        correlator = Correlator([w for _, w in held.value])
+        names = [k for k, _ in held.value]
+        for batch in batches:
+            sounds = batch.column(batch.schema.get_field_index("samples"))
+            hits = [(row, k, at, percent) for row, s in enumerate(sounds) if s.is_valid for k, (at, percent) in enumerate(correlator.peaks(s.values.to_numpy(zero_copy_only=False))) if percent is not None and percent > threshold]
+            rows = pa.array([h[0] for h in hits], pa.int64())
+            columns = [batch.column(batch.schema.get_field_index(c)).take(rows) for c in others]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([names[h[1]] for h in hits], pa.string()), pa.array([h[2] for h in hits], pa.int32()), pa.array([h[3] for h in hits], pa.float64())], names=[*others, "keyword", "at", "percent"])
+
+    return chunks.select(*others, "samples").mapInArrow(correlate, f"{kinds}{', ' if kinds else ''}keyword string, at int, percent double")
 
 
 @F.pandas_udf(ArrayType(FloatType()))

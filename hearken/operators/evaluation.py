@@ -68,7 +68,7 @@ def _by_score(scored: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
 def best_f1(scored: DataFrame, by: list[str]) -> DataFrame:
     """by + threshold, f1, tp, fp: over each distinct score as threshold; of equal F1 the lowest."""
     steps, totals = _by_score(scored, by)
-    swept = steps.join(totals, by).select(*by, "score", (F.col("pos") - F.col("t_below")).alias("tp"), (F.col("neg") - F.col("f_below")).alias("fp"), "pos")
+    swept = scans.joined(steps, totals, by).select(*by, "score", (F.col("pos") - F.col("t_below")).alias("tp"), (F.col("neg") - F.col("f_below")).alias("fp"), "pos")
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("pos")), F.lit(0.0))
     best = swept.withColumn("f1", f1).filter("f1 > 0").groupBy(*by).agg(F.max_by(F.struct("score", "f1", "tp", "fp"), F.struct("f1", (-F.col("score")).alias("low"))).alias("b"))
     return best.select(*by, F.col("b.score").alias("threshold"), "b.f1", "b.tp", "b.fp")
@@ -79,7 +79,7 @@ def rank_auc(scored: DataFrame, by: list[str]) -> DataFrame:
     running sum is over scores and not rows."""
     steps, totals = _by_score(scored, by)
     wins = steps.groupBy(*by).agg(F.sum(F.col("t") * (F.col("f_below") + F.col("f") / 2.0)).alias("u"))
-    return wins.join(totals, by).select(*by, F.try_divide(F.col("u"), F.col("pos") * F.col("neg")).alias("auc"))
+    return scans.joined(wins, totals, by).select(*by, F.try_divide(F.col("u"), F.col("pos") * F.col("neg")).alias("auc"))
 
 
 def interval_matches(predictions: DataFrame, truth: DataFrame, by: list[str], tolerance: float = 0.5) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from hearken.functions import text as T
 from hearken.functions.models import complete_words
-from hearken.operators import lookup
+from hearken.operators import lookup, scans
 from hearken.operators.sizes import small, written
 
 #: Keywords up to which their grams are looked up in the expression, before the join.
@@ -156,20 +156,29 @@ def cascade_matches(streams: DataFrame, keywords: DataFrame, fuzzy_ratio: float
 
 def gap_suppressed(detections: DataFrame, by: list[str], gap_ms: int = 1000, order: tuple[str, ...] = ("keyword",)) -> DataFrame:
     """The most confident detection of every run whose starts follow each other within ``gap_ms``,
-    inclusive; of equals the first. Without the keyword in ``by``, keywords suppress each other."""
-    w = W.partitionBy(*by).orderBy("start_ms", *order)
+    inclusive; of equals the first. Without the keyword in ``by``, keywords suppress each other. Runs are
+    found inside segments, which larger gaps cut off from each other, and so are the work of many tasks."""
+    parts = [*by, "_segment"]
+    cut = scans.segments(detections, by, F.col("start_ms"), max(gap_ms, 1))
+    w = W.partitionBy(*parts).orderBy("start_ms", *order)
     apart = (F.col("start_ms") - F.lag("start_ms").over(w) > gap_ms).cast("int")
-    runs = detections.withColumn("run", F.sum(F.coalesce(apart, F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    best = W.partitionBy(*by, "run").orderBy(F.desc("confidence"), "start_ms", *order)
-    return runs.withColumn("k", F.row_number().over(best)).filter("k = 1").drop("k")
+    runs = cut.withColumn("run", F.sum(F.coalesce(apart, F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    best = W.partitionBy(*parts, "run").orderBy(F.desc("confidence"), "start_ms", *order)
+    return runs.withColumn("k", F.row_number().over(best)).filter("k = 1").drop("k", "_segment")
 
 
 def greedy_suppressed(detections: DataFrame, by: list[str], apart: float = 0.25, most: int = 8) -> DataFrame:
     """by + kept: from the best score down, detections at least ``apart`` from all kept before, at most
-    ``most``. A fold over each group's sorted array."""
+    ``most``. Detections of different segments do not suppress each other, so each segment's sorted array is
+    folded alone, and a key keeps the first of what its segments keep."""
+    cut = scans.segments(detections.select(*by, "scale", "time", "score"), by, F.col("time"), apart * (1 + 1e-6))
     items = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), F.col("scale"), F.col("time"))))
-    grouped = detections.groupBy(*by).agg(items.alias("items"))
+    grouped = cut.groupBy(*by, "_segment").agg(items.alias("items"))
     kind = "array<struct<neg:double,scale:double,time:double>>"
     far = lambda kept, x: ~F.exists(kept, lambda k: F.abs(k["time"] - x["time"]) < apart)
+    # Of one segment a key keeps no more than of all.
     kept = F.aggregate("items", F.array().cast(kind), lambda kept, x: F.when((F.size(kept) < most) & far(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
-    return grouped.select(*by, F.transform(kept, lambda k: F.struct(k["time"].alias("time"), k["scale"].alias("scale"), (-k["neg"]).alias("score"))).alias("kept"))
+    each = grouped.select(*by, F.explode(kept).alias("k"))
+    first = each.withColumn("_rank", F.row_number().over(W.partitionBy(*by).orderBy("k"))).filter(F.col("_rank") <= most)
+    found = first.groupBy(*by).agg(F.array_sort(F.collect_list("k")).alias("kept"))
+    return found.select(*by, F.transform("kept", lambda k: F.struct(k["time"].alias("time"), k["scale"].alias("scale"), (-k["neg"]).alias("score"))).alias("kept"))

@@ -30,6 +30,13 @@ def ranges(rows: DataFrame, order: str, n: int = RANGES) -> Column:
     return at
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys, of which null is one."""
+    other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = [left[k].eqNullSafe(other[f"_r_{k}"]) for k in keys]
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def running_sums(rows: DataFrame, by: list[str], order: str, block: Column, sums: dict[str, str]) -> DataFrame:
     """rows + for each (new, column) of ``sums`` what the column sums to in the rows of the key before this
     one; rows of a key have different places in the order."""
@@ -40,16 +47,28 @@ def running_sums(rows: DataFrame, by: list[str], order: str, block: Column, sums
     inside = W.partitionBy(*by, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     part = cut.withColumns({f"_inside_{new}": F.sum(c).over(inside) for new, c in sums.items()})
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return part.join(ahead, [*by, "_block"]).select(*rows.columns, *[(zero(f"_before_{new}") + zero(f"_inside_{new}")).alias(new) for new in sums])
+    return joined(part, ahead, [*by, "_block"]).select(*rows.columns, *[(zero(f"_before_{new}") + zero(f"_inside_{new}")).alias(new) for new in sums])
 
 
 def running_last(rows: DataFrame, by: list[str], order: str, block: Column, value: Column, name: str) -> DataFrame:
     """rows + the last value that is not null in the rows of the key up to this one."""
     cut = rows.withColumn("_block", block).withColumn("_value", value)
     lasts = cut.filter(F.col("_value").isNotNull()).groupBy(*by, "_block").agg(F.max_by("_value", order).alias("_last"))
-    blocks = cut.select(*by, "_block").distinct().join(lasts, [*by, "_block"], "left")
+    blocks = joined(cut.select(*by, "_block").distinct(), lasts, [*by, "_block"], "left")
     before = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     ahead = blocks.select(*by, "_block", F.last("_last", ignorenulls=True).over(before).alias("_before"))
     inside = W.partitionBy(*by, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     part = cut.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside))
-    return part.join(ahead, [*by, "_block"]).select(*rows.columns, F.coalesce("_inside", "_before").alias(name))
+    return joined(part, ahead, [*by, "_block"]).select(*rows.columns, F.coalesce("_inside", "_before").alias(name))
+
+
+def segments(rows: DataFrame, by: list[str], place: Column, reach: float, name: str = "_segment") -> DataFrame:
+    """rows + a number of the segment: places of a key that lie ``reach`` or less apart are of one, and so are
+    those that such steps join; others may be. Places fall into cells ``reach`` wide, and a segment is a
+    stretch of cells that are all there: its first cell names it."""
+    placed = rows.withColumn("_cell", F.floor(place / reach))
+    cells = placed.select(*by, "_cell").distinct()
+    after = cells.select(*by, (F.col("_cell") + 1).alias("_cell"), F.lit(True).alias("_goes_on"))
+    marked = joined(cells, after, [*by, "_cell"], "left")
+    numbered = running_last(marked, by, "_cell", stretches("_cell", 1 << 12), F.when(F.col("_goes_on").isNull(), F.col("_cell")), name).drop("_goes_on")
+    return joined(placed, numbered, [*by, "_cell"]).drop("_cell")

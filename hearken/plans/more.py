@@ -5,14 +5,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hearken.functions import g2p
+from hearken.functions import signal as G
 from hearken.functions import text as T
 from hearken.functions import vectors as V
 from hearken.operators import cohorts as C
 from hearken.operators import evaluation as E
+from hearken.operators import lookup
 from hearken.operators import scoring as S
 from hearken.operators import streams as R
 from hearken.operators import verification as VF
+from hearken.operators.sizes import new_folder, spread
 from hearken.plans.catalog import CENTROIDS, CHUNKS, SCORED, _chunks, _scored, r6, read, register
+from hearken.sources import audio, files
 from hearken.streaming import jobs
 
 #: SQL for ``cohorts.uniform``.
@@ -303,3 +308,63 @@ def stream_chunk_store(spark, sf_dir):
     gone = jobs.chunk_store(spark, path, least=250.0, reach=60, keep=4000, after_ms=10 * 86_400_000, delay="1 hour")
     chunks = read(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("chunk_idx"))
     return chunks.join(gone, ["stream", "chunk_idx"], "left_anti")
+
+
+SOUNDS = "sn AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: round(x * 100)) AS y FROM embeddings), kw AS (SELECT 'k' || vec_id AS keyword, y[9:24] AS w FROM sn WHERE vec_id < 3)"
+
+
+@register(
+    "keyword_sounds",
+    f"""WITH {SOUNDS}, c AS (SELECT vec_id, keyword, y, w, j, list_sum(list_transform(range(greatest(0, 8 - j), least(16, 72 - j)), lambda n: y[j - 8 + n + 1] * w[n + 1])) AS c FROM sn, kw, range(64) t(j)),
+p AS (SELECT vec_id, keyword, y, w, j AS at_, c FROM c QUALIFY row_number() OVER (PARTITION BY vec_id, keyword ORDER BY c DESC, j) = 1),
+q AS (SELECT vec_id, keyword, CAST(at_ AS INT) AS at_, c / nullif(sqrt(list_sum(list_transform(y[at_ + 1 : at_ + 16], lambda x: x * x)) * list_sum(list_transform(w, lambda x: x * x))), 0) * 100 AS percent FROM p)
+SELECT vec_id, keyword, at_ AS "at", round(least(percent, 100), 6) AS percent FROM q WHERE percent > 70""",
+)
+def keyword_sounds(spark, sf_dir):
+    """Vectors in hundredths as sounds of 64 samples; pieces of the first three as keywords."""
+    sounds = read(spark, sf_dir, "embeddings").select("vec_id", F.transform(V.as_doubles(F.col("embedding")), lambda x: F.round(x * 100)).alias("samples"))
+    keywords = sounds.filter("vec_id < 3").select(F.concat(F.lit("k"), "vec_id").alias("keyword"), F.slice("samples", 9, 16).alias("word"))
+    return G.keyword_in_chunks(spread(sounds), keywords, 70.0).withColumn("percent", F.round("percent", 6))
+
+
+@register(
+    "json_file_sink",
+    "SELECT event_type AS keyword, count(*) AS n, round(max(value), 4) AS best, CAST(count(*) FILTER (WHERE value > 250) AS BIGINT) AS hits FROM events GROUP BY 1",
+)
+def json_file_sink(spark, sf_dir):
+    """A JSON document for each event type, written as files that replace those before, and read again."""
+    events = read(spark, sf_dir, "events")
+    found = events.groupBy(F.col("event_type").alias("keyword")).agg(F.count("*").alias("n"), F.round(F.max("value"), 4).alias("best"), F.count_if(F.col("value") > 250).alias("hits"))
+    folder = new_folder(spark, "documents")
+    for rows in (found.withColumn("best", F.lit(0.0)), found):
+        files.write_json(rows, folder, F.concat("keyword", F.lit(".json")))
+    return spark.read.schema("keyword string, n long, best double, hits long").option("pathGlobFilter", "*.json").json(folder)
+
+
+@register(
+    "wav_file_sink",
+    "WITH m AS (SELECT label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: round(greatest(least(x, 1), -1) * 32767)) AS s FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) SELECT label, CAST(len(s) AS INT) AS n, CAST(list_sum(s) AS BIGINT) AS total FROM m",
+)
+def wav_file_sink(spark, sf_dir):
+    """The first vector of each label as a sound file, decoded again."""
+    first = R.first_of(read(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), ["label"], ["vec_id"])
+    folder = new_folder(spark, "sounds")
+    files.write_wav(first, folder, F.format_string("sound_%d.wav", F.col("label").cast("long")), F.col("embedding"))
+    sounds = audio.chunk_files(spark, folder).withColumn("s", audio.samples("content"))
+    scaled = F.transform("s", lambda x: F.round(x.cast("double") * 32768).cast("long"))
+    return sounds.select(F.col("chunk_idx").cast("long").alias("label"), F.size("s").alias("n"), F.aggregate(scaled, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@register("spoken_words")
+def spoken_words(spark, sf_dir):
+    """(word, phonemes) of the different words of the turns, by a network whose weights are a rule's: it says
+    nothing sensible, but its work is that of one that does."""
+    words = read(spark, sf_dir, "conversations").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).filter("word <> ''").distinct()
+    return words.withColumn("phonemes", F.array_join(g2p.phonemes(F.col("word"), "hearken.functions.g2p:weights_by_rule"), " "))
+
+
+@register("similar_words")
+def similar_words(spark, sf_dir):
+    """(token, wanted, r): words of the turns against all words of the benchmark, four fifths alike or more."""
+    words = lambda t, name: read(spark, sf_dir, t).select(F.explode(T.token_set(F.col("text"))).alias(name)).distinct()
+    return lookup.alike(words("conversations", "token"), words("benchmark", "wanted"), 80.0).withColumn("r", F.round("r", 6))

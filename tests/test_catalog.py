@@ -2,12 +2,15 @@
 
 import collections
 import math
+import re
 
 import duckdb
 import pytest
 
+from hearken.functions import g2p
 from hearken.functions import text as T
 from hearken.plans import catalog, more  # noqa: F401
+from tests.test_g2p import one_by_one
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -52,6 +55,25 @@ def test_cascade_holds_the_fuzzy_matches(spark):
         assert sum(n for (k, _), n in coded.items() if k == keyword) >= sum(n for (k, _), n in plain.items() if k == keyword)
 
 
+def test_similar_words_against_every_pair(spark):
+    split = lambda t: {w for r in spark.read.parquet(f"{SMALL}/{t}.parquet").select("text").collect() for w in re.findall("[a-z']+", (r["text"] or "").lower())}
+    tokens, wanted = split("conversations"), split("benchmark")
+    got = {(r["token"], r["wanted"]): r["r"] for r in catalog.QUERIES["similar_words"](spark, SMALL).collect()}
+    some = sorted(tokens)[::40]
+    ratio = lambda a, b: 200.0 * T.common_length(a, b) / (len(a) + len(b))
+    want = {(t, w): round(ratio(t, w), 6) for t in some for w in wanted if 4 * min(len(t), len(w)) >= 2.4 * max(len(t), len(w)) and ratio(t, w) >= 80}
+    assert want and {k: v for k, v in got.items() if k[0] in set(some)} == want
+
+
+def test_spoken_words_one_by_one(spark):
+    got = {r["word"]: r["phonemes"] for r in catalog.QUERIES["spoken_words"](spark, SMALL).collect()}
+    words = {w for r in spark.read.parquet(f"{SMALL}/conversations.parquet").select("text").collect() for w in re.findall("[a-z]+", (r["text"] or "").lower())}
+    assert got.keys() == words
+    weights = g2p.weights_by_rule()
+    for word in sorted(words)[::300]:
+        assert got[word] == " ".join(one_by_one(word, weights))
+
+
 def test_numbers_are_expanded_row_by_row(spark):
     turns = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{SMALL}/conversations.parquet").collect()}
     got = {(r["conv_id"], r["turn"]): r["text"] for r in catalog.QUERIES["number_expansion"](spark, SMALL).collect()}

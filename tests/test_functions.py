@@ -136,3 +136,23 @@ def test_supervisor_starts_again(spark):
                 raise StreamingQueryException("lost")
 
     assert jobs.supervised(Once, tries=5, wait=0.0) == 3
+
+
+def test_correlations_of_blocks_match_direct_ones():
+    """Long and short sounds and words, even and odd, integers with ties, silence, and words longer than sounds."""
+    rng = np.random.default_rng(8)
+    words = [rng.integers(-3, 4, n).astype(float) for n in (1, 2, 7, 16, 33, 100)] + [np.zeros(5), np.zeros(0), np.ones(4)]
+    correlator = S.Correlator(words)
+    for n in (1, 2, 15, 50, 101, 1023, 5000):
+        for sound in (rng.integers(-3, 4, n).astype(float), rng.normal(size=n), np.ones(n), np.zeros(n)):
+            for word, (at, percent) in zip(words, correlator.peaks(sound), strict=True):
+                want = S.correlation_peak(sound, word)
+                assert at == want[0] and percent == (None if want[1] is None else pytest.approx(want[1], rel=1e-9)), (n, len(word))
+    assert S.Correlator([]).peaks(np.ones(5)) == [] and S.Correlator(words).peaks(np.zeros(0)) == [(0, None)] * len(words)
+
+
+def test_keyword_sounds_are_no_cross_join(spark):
+    chunks = spark.createDataFrame([(1, [0.0, 1.0, 2.0, 0.0]), (2, None), (3, [])], "chunk_idx int, samples array<float>")
+    found = S.keyword_in_chunks(chunks, spark.createDataFrame([("k", [1.0, 2.0]), ("none", None)], "keyword string, word array<float>"), 70.0)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["chunk_idx"], r["keyword"]) for r in found.collect()] == [(1, "k")]

@@ -128,3 +128,43 @@ def test_rescue(spark):
     d = spark.createDataFrame([("c", 1.0, 2.0)], "c string, scale double, time double")
     more = spark.createDataFrame([("c", 1.0, 2.0000005), ("c", 0.8, 2.0), ("c", 1.0, 3.0)], "c string, scale double, time double")
     assert sorted((r["scale"], r["time"], r["rescued"]) for r in R.rescued(d, more, ["c"]).collect()) == [(0.8, 2.0, True), (1.0, 2.0, False), (1.0, 3.0, True)]
+
+
+def test_suppression_by_segments_matches_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(g, rng.choice([0.6, 1.0]), round(rng.choice([rng.uniform(0, 3), rng.uniform(0, 300)]), 2), rng.choice([0.5, rng.random()])) for g in ("a", "a", "b", None) for _ in range(150)]
+    df = spark.createDataFrame(rows, "g string, scale double, time double, score double")
+    for apart, most in ((0.25, 8), (0.25, 1000), (30.0, 8)):
+        got = {r["g"]: [(k["score"], k["scale"], k["time"]) for k in r["kept"]] for r in M.greedy_suppressed(df, ["g"], apart, most).collect()}
+        for g in ("a", "b", None):
+            kept = []
+            for s, c, t in sorted(((s, c, t) for x, c, t, s in rows if x == g), key=lambda v: (-v[0], v[1], v[2])):
+                if len(kept) < most and all(abs(t - k[2]) >= apart for k in kept):
+                    kept.append((s, c, t))
+            assert got[g] == kept
+
+
+def test_gaps_by_segments_match_brute_force(spark):
+    rng = random.Random(7)
+    rows = sorted({(g, rng.randrange(0, 200_000), rng.choice("xyz")) for g in ("a", None) for _ in range(150)}, key=str)
+    rows = [(*r, rng.choice([0.5, 0.9])) for r in rows]
+    df = spark.createDataFrame(rows, "g string, start_ms long, keyword string, confidence double")
+    want = []
+    for g in ("a", None):
+        run = []
+        for r in [*sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])), None]:
+            if run and (r is None or r[1] - run[-1][1] > 1000):
+                want.append(max(run, key=lambda x: (x[3], -x[1], [-ord(c) for c in x[2]])))
+                run = []
+            if r:
+                run.append(r)
+    got = [(r["g"], r["start_ms"], r["keyword"], r["confidence"]) for r in M.gap_suppressed(df, ["g"]).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_reports_keep_a_null_key(spark):
+    scored = spark.createDataFrame([(None, True, 0.9), (None, False, 0.3), ("k", True, 0.5), ("k", False, 0.7)], "key string, truth boolean, score double")
+    assert {r["key"]: r["auc"] for r in E.rank_auc(scored, ["key"]).collect()} == {None: 1.0, "k": 0.0}
+    assert {r["key"]: r["threshold"] for r in E.best_f1(scored, ["key"]).collect()} == {None: 0.9, "k": 0.5}
+    report = S.calibration(scored.withColumnRenamed("truth", "positive"), "key").collect()
+    assert {r["key"]: r["threshold"] for r in report} == {None: 0.3, "k": 0.7}

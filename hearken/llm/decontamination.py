@@ -26,6 +26,8 @@ from hearken.llm.shared import ascii_lower, fresh, small, stored
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 RAREST = 3
+#: Windows of one section of an item.
+SECTION = 64
 #: Rows of benchmark terms (a word and a count each) that may be broadcast; about 100 MB at most.
 MOST_BROADCAST = 1_000_000
 #: As much for rows with arrays of windows: an item's, or a document's candidates.
@@ -48,10 +50,16 @@ def forward_store(docs: DataFrame) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item, item_id, item_words, start, length): every run of ``window`` words, or a shorter item whole."""
-    items = stored(benchmark.select("item_id", words(F.col("text")).alias("item_words")).select(F.monotonically_increasing_id().alias("item"), "item_id", "item_words"), "items")
+    """(item, item_id, item_words, start, length): every run of ``window`` words, or a shorter item whole.
+    A long item is cut into sections of ``SECTION`` windows, each an item of its own with the words of its
+    windows alone, so rows are of one size whatever the item's."""
+    n = F.size("all")
+    sections = F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)), F.lit(SECTION))
+    cut = F.transform(sections, lambda at: F.slice("all", at + 1, SECTION + window - 1))
+    whole = benchmark.select("item_id", words(F.col("text")).alias("all")).filter(n > 0)
+    items = stored(whole.select("item_id", F.explode(cut).alias("item_words")).select(F.monotonically_increasing_id().alias("item"), "item_id", "item_words"), "items")
     n = F.size("item_words")
-    return items.filter(n > 0).select("item", "item_id", "item_words", F.explode(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))).alias("start"), F.least(n, F.lit(window)).alias("length"))
+    return items.select("item", "item_id", "item_words", F.explode(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))).alias("start"), F.least(n, F.lit(window)).alias("length"))
 
 
 def term_counts(forward: DataFrame, terms: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from hearken.llm import decontamination as D
 
@@ -58,6 +59,31 @@ def test_without_broadcasts_and_near_matches(spark):
     assert {r["doc_id"] for r in D.proximity_matches(docs, bench, slop=2).collect()} == {1, 2}
 
 
+def test_long_items_match_brute_force_in_linear_time(spark):
+    rng = random.Random(12)
+    body = [rng.choice(["the", "of", *(f"w{i}" for i in range(400))]) for _ in range(16_000)]
+    docs, took = [(k, " ".join(["x"] * k + body[a:b])) for k, (a, b) in enumerate([(0, 9), (0, 10), (55, 75), (60, 200), (990, 1010), (15_980, 16_000), (7000, 7300), (63, 73), (64, 74)])], {}
+    docs.append((99, " ".join(body[100:106] + ["y"] + body[106:112])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for n in (63 + 10, 64 + 10, 1000, 16_000):
+        item = " ".join(body[:n])
+        began = time.time()
+        rows = D.decontaminate(frame, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+        took[n] = time.time() - began
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in rows} == {i: fast(t, item) for i, t in docs}
+    assert took[16_000] < 20 * took[1000]
+
+
+def fast(text, item):
+    """``brute`` for one long item of item_id 1."""
+    v, w = words(item), words(text)
+    grams, hit = {tuple(v[s : s + 10]) for s in range(len(v) - 9)}, set()
+    for k in range(len(w) - 9):
+        if tuple(w[k : k + 10]) in grams:
+            hit |= set(range(k, k + 10))
+    return len(w), len(hit), ["1"] if hit else []
+
+
 def test_clashing_names(spark):
     passage = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(1, passage, "a", 1, 2, 3), (2, "clean", "b", 1, 2, 3)], "doc_id long, text string, _id string, _key int, row int, item int")

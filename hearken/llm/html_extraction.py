@@ -49,13 +49,18 @@ PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote b i em stro
 NEVER = frozenset("script style textarea title noscript iframe head nav footer aside form button select template svg canvas object embed menu dialog search noembed noframes xmp".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NEVER_NAMES = frozenset("ad ads adbox advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr notice notices newsletter subscribe signup sidebar sidebars nav navbar navigation menu breadcrumb breadcrumbs masthead footer comment comments reply replies disqus respond share sharing social related recommended popup modal overlay paywall login toolbar skip".split())
+#: What may stand beside a telling word in a compound name: where and in what form, not about what.
+GENERIC_NAMES = frozenset("area bar block bottom box btn button buttons container count form global group header inner inline item items left link links list main message outer page panel post posts primary right row secondary section site slot strip text thread title top unit widget wrap wrapper".split())
+#: Elements that names may speak for. Headings, paragraphs and the like are never dropped by name.
+NAMED = frozenset("div section ul ol dl table ins figure center details fieldset span p a".split())
+NAMED_INSIDE = frozenset("article div section ul ol dl table ins figure center details fieldset".split())
 KEPT_NAMES = frozenset("html body article main".split())
 
 
 class Node:
     __slots__ = ("tag", "attributes", "children", "inside")
 
-    def __init__(self, tag: str, attributes: str, inside: bool):
+    def __init__(self, tag: str, attributes: str, inside: int):
         self.tag, self.attributes, self.children, self.inside = tag, attributes, [], inside
 
 
@@ -104,7 +109,7 @@ class _Open:
 
 def parse(page: str) -> list[Node]:
     """The elements in page order, the first a root without a name. Children follow their parents."""
-    root = Node("", "", False)
+    root = Node("", "", 0)
     nodes, open_, at = [root], _Open(root), 0
     stack = open_.stack
     while at < len(page):
@@ -126,7 +131,7 @@ def parse(page: str) -> list[Node]:
         if tag in CLOSES:
             open_.make_room(CLOSES[tag])
         above = stack[-1]
-        node = Node(tag, m[3].rstrip("/").strip(), above.inside or tag in ("article", "main"))
+        node = Node(tag, m[3].rstrip("/").strip(), above.inside + (tag in ("article", "main")))
         above.children.append(node)
         nodes.append(node)
         if tag in RAW:
@@ -161,8 +166,17 @@ def never_main(node: Node) -> bool:
     a = _attributes(node)
     if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
         return True
-    names = set(re.split(r"[^a-z0-9]+", f"{a.get('class', '')} {a.get('id', '')}"))
-    return a.get("role") in NEVER_ROLES or bool(names & NEVER_NAMES)
+    if a.get("role") in NEVER_ROLES:
+        return True
+    # An article is dropped by name only inside another, as a comment on it may be.
+    return node.tag in (NAMED_INSIDE if node.inside > (node.tag == "article") else NAMED) and any(map(_telling, f"{a.get('class', '')} {a.get('id', '')}".split()))
+
+
+def _telling(name: str) -> bool:
+    """Whether a name says that its element is not main text: a telling word, with generic ones at most.
+    ``comment-list`` says so, ``related-work`` does not."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    return any(w in NEVER_NAMES for w in words) and all(w in NEVER_NAMES or w in GENERIC_NAMES for w in words)
 
 
 def _blocks(top: Node, drop) -> Iterator[str]:

@@ -32,6 +32,18 @@ def test_boilerplate_and_references():
     assert H.main_text("<div>" * 50000 + "deep") == "deep"
 
 
+def test_names_alone_do_not_delete_main_text():
+    """Telling words in the names of an article, or beside other words in its parts."""
+    body = "<h1>T</h1><p>One.</p>"
+    for attributes in ('class="post menu-recipes"', 'id="reply-to-critics"', 'class="comment"', 'id="ad"', 'class="social related"'):
+        assert H.main_text(f"<body><article {attributes}>{body}</article><footer>F</footer></body>") == "T\nOne."
+    for part in ('<h2 id="related-work">X</h2>', '<section id="social-policy"><p>X</p></section>', '<p class="notice">X</p>', '<div class="menu-recipes">X</div>', '<h2 class="comments">X</h2>', '<div id="banner-years"><p>X</p></div>', '<ul class="sponsor-states"><li>X</ul>'):
+        assert H.main_text(f"<article>{body}{part}</article>") == "T\nOne.\nX", part
+        assert H.main_text(f"<main>{body}{part}</main>") == "T\nOne.\nX", part
+    for part in ('<div class="ad">X</div>', '<section id="comments"><p>X</p></section>', '<ol class="comment-list"><li>X</ol>', '<article class="comment">X</article>', '<div class="big share-buttons">X</div>', '<div class="related-posts">X</div>', '<div role="search">X</div>', '<div hidden>X</div>', '<table class="newsletter-box"><tr><td>X</table>'):
+        assert H.main_text(f"<article>{body}{part}</article>") == "T\nOne.", part
+
+
 def test_site_templates_go(spark):
     rows = [(i, f"http://h{i % 2}.com/{i}", f"<body><div>Welcome to the site</div><div>Own text {i}</div><div>Bottom</div></body>", 1) for i in range(40)]
     rows += [(100, None, None, 1), (101, "http://lone.com", "<body><div>Welcome to the site</div></body>", 1)]

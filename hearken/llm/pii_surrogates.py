@@ -1,10 +1,11 @@
 """PII: every detected entity gets a surrogate of its own kind, the same wherever it stands.
 
 Detection is one pattern over the kinds below, leftmost and without overlaps. A name is found by its
-title, with all its parts: given names, initials, particles and family name. Once a text has a titled
-name, its family and given name are that person wherever they stand in the text, titled or not, and
-a shorter titled form is the person of the longer one. An entity is its kind and canonical form
-(letters in lower case, digits alone, a phone without its country code, a name without title), so
+title, with all its parts: given names, initials, particles and family name. Persons of a text are told
+apart by family name, given name and gender; a shorter titled form is the nearest person that fits, and
+once a text has a titled name, its family and given names are that person wherever they stand in the
+text, titled or not. An entity is its kind and canonical form
+(letters in lower case, digits alone, a phone without its country code, a name's gender and words), so
 mentions in other formats are the same entity. Its surrogate
 follows from a keyed hash of that form: digits for digits, letters of the same case for letters,
 separators, country codes and top-level domains kept, a valid check digit where the card had one;
@@ -19,13 +20,14 @@ an address in a third of all texts is no single task. Texts without entities are
 
 Null and empty texts stay as they are. Each input row gives one result row, also repeated ones, and
 an empty table none. Of two persons of a text with one given or family name, a bare mention is the
-one named first. Input columns n_entities and kinds are replaced by the results; other names do not
+one named last before it. Words beside numbers, as in dates, are no names. Input columns n_entities and kinds are replaced by the results; other names do not
 matter. Not covered: names that no title introduces in their text, and street addresses.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hearken.llm.shared import small, stored
@@ -36,8 +38,11 @@ ROUNDS = 40
 # Titles by gender, given names by gender and script, syllables by script.
 MALE = "Mr|Herr|Herrn|Señor|Sr|Monsieur|Sir|Господин|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Госпожа|Κυρία"
-#: Of either gender; such a name gets given names of the first.
+#: Of either gender: other mentions or the given name may say which.
 NEUTRAL = "Dr|Prof|Professor|Доктор"
+#: Names of months that may be persons' too, and what stands before a time.
+MONTHS = "april august january july june march may september october november december february"
+TIMES = "in|since|until|till|last|next|this|early|late|mid|every|each|during"
 PARTICLES = "von|van|der|den|de|del|della|da|di|du|la|le|ter|zu"
 NAMES = {
     ("latin", "m"): "Adam Bruno Carl David Erik Felix Georg Hugo Ivan Jonas Karl Leon Marco Nils Oscar Paul Robin Simon Tomas Victor",
@@ -90,12 +95,8 @@ def canonical(kind: Column, token: Column) -> Column:
     digits = _digits(token)
     # A phone without country code: what follows it, or ten digits where it has no separator.
     local = F.when(F.length(digits) == 11, F.expr("right(regexp_replace(token, '[^0-9]', ''), 10)")).otherwise(digits)
-    gender = F.when(token.rlike(rf"^(?:{FEMALE})(?!\p{{L}})"), "f").otherwise("m")
-    script = F.when(token.rlike(r"\p{IsCyrillic}"), "cyrillic").when(token.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    words = F.lower(_untitled(token))
-    name = F.concat_ws("/", script, gender, F.least(F.size(F.split(words, " ")), F.lit(2)).cast("string"), words)
     plain = F.upper(F.replace(token, F.lit(" "), F.lit("")))
-    return F.when(kind.isin("email", "ip6"), F.lower(token)).when(kind == "iban", plain).when(kind == "phone", local).when(kind == "name", name).when(kind == "ip", token).otherwise(digits)
+    return F.when(kind.isin("email", "ip6"), F.lower(token)).when(kind == "iban", plain).when(kind == "phone", local).when(kind == "ip", token).otherwise(digits)
 
 
 def _untitled(token: Column) -> Column:
@@ -215,17 +216,68 @@ def render(kind: Column, token: Column, made: Column, part: Column) -> Column:
     return F.when(kind.isin("email", "ip6"), cased).when(kind == "iban", spaced).when(kind == "ip", made).when(kind == "name", F.concat(title, shown)).otherwise(digits)
 
 
-def _persons(mention: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of titled mentions (_row, i, token): (_row, family, canonical), the fullest form of each family name
-    of a text, and (_row, word, person, part), the words that a bare mention may be."""
-    words = F.split(F.lower(_untitled(F.col("token"))), " ")
-    titled = mention.filter("kind = 'name'").select("_row", "i", "canonical", words.alias("ws"))
-    fullest = titled.groupBy("_row", F.element_at("ws", -1).alias("family")).agg(F.max_by(F.struct("canonical", "ws"), F.struct(F.size("ws"), -F.col("i"))).alias("p"), F.min("i").alias("i"))
-    fullest = stored(fullest.select("_row", "family", "i", "p.canonical", "p.ws"), "persons")
-    given = fullest.filter((F.size("ws") > 1) & ~F.element_at("ws", 1).endswith(".")).select("_row", F.element_at("ws", 1).alias("word"), "canonical", "i", F.lit(1).alias("order"))
-    known = fullest.select("_row", F.col("family").alias("word"), "canonical", "i", F.lit(0).alias("order")).unionByName(given)
-    first = known.groupBy("_row", "word").agg(F.min(F.struct("order", "i", "canonical")).alias("k"))
-    return fullest.select("_row", "family", F.col("canonical").alias("person")), first.select("_row", "word", F.col("k.canonical").alias("person"), F.when(F.col("k.order") == 0, "family").otherwise("given").alias("part"))
+def _nearest(value: Column, by: list[str]) -> Column:
+    """The last value that is not null in the rows of the group before this one by column i, else the first after."""
+    before = lambda order: F.last(value, ignorenulls=True).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    return F.coalesce(before(F.col("i").asc()), before(F.col("i").desc()))
+
+
+def _guessed(name: Column) -> Column:
+    """A gender where no title says one: that of a known given name, else one by the name's letters."""
+    known = {g: [n.lower() for (_, x), names in NAMES.items() if x == g for n in names.split()] for g in "fm"}
+    return F.when(name.isin(known["f"]), "f").when(name.isin(known["m"]), "m").otherwise(F.when(F.crc32(name) % 2 == 0, "f").otherwise("m"))
+
+
+def _persons(every: DataFrame) -> DataFrame:
+    """Of titled mentions (_row, i, kind, token): (_row, i, token, kind, ws, family, canonical, part), the person
+    of each. A person of a text is a family name, a given name and a gender, which a title or another mention
+    of the two names says. A mention without a given name, or with an initial, is the nearest earlier person
+    of its family name, else the first later one, whose gender and initial fit; else a person of its own."""
+    titles, bare = F.regexp_extract("token", rf"^(?:{TITLES}\x20)+", 0), _untitled(F.col("token"))
+    says = lambda names: titles.rlike(rf"(?:^|\x20)(?:{names})\.?\x20")
+    script = F.when(F.col("token").rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.col("token").rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    first = F.element_at("ws", 1)
+    found = every.filter("kind = 'name'").select("_row", "i", "token", "kind", script.alias("script"), F.split(F.lower(bare), " ").alias("ws"), F.when(says(FEMALE), "f").when(says(MALE), "m").alias("says"))
+    found = found.withColumn("family", F.element_at("ws", -1)).withColumn("given", F.when((F.size("ws") > 1) & ~first.isin(PARTICLES.split("|")), first))
+    full = F.col("given").isNotNull() & ~F.col("given").endswith(".")
+    of_name = F.when(full, F.coalesce("says", _nearest(F.col("says"), ["_row", "family", "given"]), _guessed(F.col("given"))))
+    found = found.withColumn("known", of_name)
+    there = F.when(F.col("known").isNotNull(), F.struct(F.col("known").alias("gender"), "given"))
+    near = {g: _nearest(F.when(F.col("known") == g, there), ["_row", "family"]) for g in "fm"}
+    near[""] = _nearest(there, ["_row", "family"])
+    found = found.withColumns({f"near_{g}": c for g, c in near.items()} | {"near_says": _nearest(F.when(F.col("known").isNull(), F.col("says")), ["_row", "family"])})
+    other = F.when(F.col("says") == "f", F.col("near_f")).when(F.col("says") == "m", F.col("near_m")).otherwise(F.col("near_"))
+    fits = other.isNotNull() & (F.col("given").isNull() | (F.substring("given", 1, 1) == F.substring(other["given"], 1, 1)))
+    own = F.struct(F.coalesce("says", "near_says", _guessed(F.col("family"))).alias("gender"), "given")
+    found = found.withColumn("p", F.when(F.col("known").isNotNull(), F.struct(F.col("known").alias("gender"), "given")).when(fits, other).otherwise(own))
+    # A person's canonical form is that of the mention with most names, the first of those.
+    fullest = F.max_by("ws", F.struct(F.size("ws"), -F.col("i"))).over(W.partitionBy("_row", "family", "p"))
+    size = F.when(F.col("p.given").isNull(), "1").otherwise("2")
+    person = F.concat_ws("/", "script", "p.gender", size, F.array_join(fullest, " "))
+    part = F.when(F.col("given").isNull(), "family").otherwise("whole")
+    return stored(found.select("_row", "i", "token", "kind", "ws", "family", person.alias("canonical"), part.alias("part")), "persons")
+
+
+def _bare(every: DataFrame, persons: DataFrame) -> DataFrame:
+    """Of words that stand without a title (_row, i, token, kind, canonical, dated, beside): (_row, i, token,
+    kind, canonical, part), a name's where a titled mention of the text has the word: the nearest earlier one,
+    else the first later one. A family name right after a given name is of that person. A word with a number
+    beside it, as a month's has, stays."""
+    names = F.filter("ws", lambda w: ~w.isin(PARTICLES.split("|")) & ~w.endswith("."))
+    parts = F.transform(names, lambda w: F.struct(w.alias("word"), F.when(w == F.col("family"), "family").otherwise("given").alias("part")))
+    known = persons.select("_row", "i", "family", "canonical", F.explode(parts).alias("n")).select("_row", "i", F.col("n.word").alias("word"), F.struct("canonical", "family", F.col("n.part").alias("part")).alias("person"))
+    words = every.filter("kind = 'word'")
+    asked = words.join(known.select("_row", "word").distinct(), (words["_row"] == known["_row"]) & (words["canonical"] == known["word"]), "left_semi")
+    both = known.withColumns({"token": F.lit(None).cast("string"), "dated": F.lit(False), "beside": F.lit(False)}).unionByName(asked.select("_row", "i", F.col("canonical").alias("word"), F.lit(None).cast(known.schema["person"].dataType).alias("person"), "token", "dated", "beside"))
+    met = both.withColumn("near", _nearest(F.col("person"), ["_row", "word"])).filter(F.col("token").isNotNull() & ~F.col("dated"))
+    # Given names hand their person on to the family name that follows.
+    in_text = W.partitionBy("_row").orderBy("i")
+    before = F.when((F.lag("i").over(in_text) == F.col("i") - 1) & F.col("beside"), F.lag("near").over(in_text))
+    met = met.withColumn("before", before)
+    person = F.when((F.col("before.part") == "given") & (F.col("before.family") == F.col("word")), F.struct(F.col("before.canonical").alias("canonical"), F.col("before.family").alias("family"), F.lit("family").alias("part"))).otherwise(F.col("near"))
+    named = met.withColumn("person", person).select("_row", "i", "token", F.lit("name").alias("kind"), F.col("person.canonical").alias("canonical"), F.col("person.part").alias("part"))
+    rest = words.join(named.select("_row", "i"), ["_row", "i"], "left_anti").select("_row", "i", "token", "kind", "canonical", F.lit("whole").alias("part"))
+    return rest.unionByName(named)
 
 
 def replace_pii(docs: DataFrame, key: str) -> DataFrame:
@@ -245,17 +297,17 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
         ),
         "withPii",
     )
-    every = cut.select("_row", F.posexplode("_cut.tokens").alias("i", "token"))
+    every = cut.select("_row", "_cut.gaps", F.posexplode("_cut.tokens").alias("i", "token"))
     bare = F.col("token").rlike(rf"^(?:{_WORD})$") & ~F.col("token").rlike(rf"^(?:{ANY})$")
     every = every.withColumn("kind", F.when(bare, "word").otherwise(kind_of(F.col("token"))))
-    every = stored(every.withColumn("canonical", F.when(F.col("kind") == "word", F.lower("token")).otherwise(canonical(F.col("kind"), F.col("token")))), "mentions")
-    persons, words = _persons(every)
-    family = F.element_at(F.split(F.lower(_untitled(F.col("token"))), " "), -1)
-    titled = every.filter("kind = 'name'").withColumn("family", family).join(persons, ["_row", "family"])
-    titled = titled.select("_row", "i", "token", "kind", F.col("person").alias("canonical"), F.when(F.size(F.split(_untitled(F.col("token")), " ")) == 1, "family").otherwise("whole").alias("part"))
-    again = every.filter("kind = 'word'").join(words, (every["_row"] == words["_row"]) & (every["canonical"] == words["word"]), "left")
-    again = again.select(every["_row"], "i", "token", F.when(F.col("person").isNull(), "word").otherwise("name").alias("kind"), F.coalesce("person", "canonical").alias("canonical"), F.coalesce("part", F.lit("whole")).alias("part"))
-    plain = every.filter("kind NOT IN ('name', 'word')").withColumn("part", F.lit("whole"))
+    left, right = F.get("gaps", F.col("i")), F.get("gaps", F.col("i") + 1)
+    dated = right.rlike(r"^\s*(?:,\s*)?\d") | left.rlike(r"\d(?:st|nd|rd|th|\.)?\s+(?:of\s+)?$") | (F.lower("token").isin(MONTHS.split()) & left.rlike(rf"(?i)(?<!\p{{L}})(?:{TIMES})\s+$"))
+    every = every.select("_row", "i", "token", "kind", (bare & dated).alias("dated"), (left == " ").alias("beside"))
+    every = stored(every.withColumn("canonical", F.when(F.col("kind") == "word", F.lower("token")).when(F.col("kind") != "name", canonical(F.col("kind"), F.col("token")))), "mentions")
+    persons = _persons(every)
+    titled = persons.select("_row", "i", "token", "kind", "canonical", "part")
+    again = _bare(every, persons)
+    plain = every.filter("kind NOT IN ('name', 'word')").select("_row", "i", "token", "kind", "canonical", F.lit("whole").alias("part"))
     mention = stored(plain.unionByName(titled).unionByName(again), "linked")
     table = mapping(stored(mention.filter("kind <> 'word'").select("kind", "canonical").distinct(), "entities"), key)
     shown = mention.filter("kind <> 'word'").join(small(table, MOST_BROADCAST), ["kind", "canonical"]).select("_row", "i", "kind", render(F.col("kind"), F.col("token"), F.col("surrogate"), F.col("part")).alias("new"))

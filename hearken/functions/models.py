@@ -14,13 +14,15 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hearken.functions import text as T
+
 WORDS = "array<struct<word:string,start:double,end:double,score:double>>"
 SLOTS = {"asr": WORDS, "asr_text": "string", "vad": "boolean", "tts": "binary", "voice": "binary", "embedder": "array<float>", "phones": "array<string>", "g2p": "array<string>", "demux": "struct<content:binary,duration:double>", "denoise": "binary", "matcher": "double"}
 
 
 def slot(kind: str, factory: str, failed=None) -> Callable[..., Column]:
     """A vectorized function of the slot's kind. A row that the model fails on gets ``failed``, as a
-    chunk whose speech gate fails must be kept."""
+    chunk whose speech gate fails must be kept; one that lacks an input does not go to the model."""
 
     def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         module, name = factory.split(":")
@@ -30,7 +32,7 @@ def slot(kind: str, factory: str, failed=None) -> Callable[..., Column]:
             # A single column comes as itself and not as a tuple of one.
             for row in zip(*(inputs if isinstance(inputs, tuple) else (inputs,)), strict=True):
                 try:
-                    out.append(model(*row))
+                    out.append(failed if any(v is None for v in row) else model(*row))
                 except (ValueError, OSError, RuntimeError):
                     out.append(failed)
             yield pd.Series(out, dtype=object)
@@ -66,3 +68,20 @@ def speech_gate(chunks, content: str, vad: Callable[..., Column]):
 def complete_words(words: Column) -> Column:
     """Without words that lack a field."""
     return F.filter(words, lambda w: w["word"].isNotNull() & w["start"].isNotNull() & w["end"].isNotNull() & w["score"].isNotNull())
+
+
+def recognized_phones(chunks, content: str, seconds: str, recognizer: Callable[..., Column], least: float = 0.05):
+    """chunks + phones of the ``phones`` slot's frames: without repeats of a frame and special tokens. A sound
+    shorter than ``least`` seconds, or of unknown length, has none and does not go to the model; nor has one
+    that the model fails on."""
+    none = F.array().cast("array<string>")
+    asked = F.when(F.col(seconds) >= least, F.col(content))
+    frames = F.when(asked.isNotNull(), recognizer(asked))
+    return chunks.withColumn("phones", F.coalesce(T.ctc_collapse(frames), none))
+
+
+def matched(chunks, content: str, keyword: str, matcher: Callable[..., Column]):
+    """chunks + score of the ``matcher`` slot for a sound and a keyword; null where it failed, and a score that
+    is not a number is null too, as it would stand above all others."""
+    score = matcher(content, keyword)
+    return chunks.withColumn("score", F.when(~F.isnan(score), score))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -97,31 +97,10 @@ def indel_ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
         yield pd.Series([200.0 * common_length(a, b) / (len(a) + len(b)) if a or b else 100.0 for a, b in zip(left, right, strict=True)])
 
 
-def infix_similarity(reference: Column, sequence: Column) -> Column:
-    """max(0, 1 - edits / |reference|) for the best substring of ``sequence``; arrays of tokens. Starting
-    anywhere costs nothing, nor does what follows the substring."""
-
-    def table(pair: Column) -> Column:
-        wanted, seq = pair["r"], pair["s"]
-        first = F.transform(F.concat(F.array(F.lit("")), seq), lambda _: F.lit(0))
-
-        def row(state: Column, x: Column) -> Column:
-            above = state["cells"]
-            cell = lambda done, j: F.least(F.element_at(above, j + 1) + 1, F.element_at(done, -1) + 1, F.element_at(above, j) + F.when(F.element_at(seq, j) == x, 0).otherwise(1))
-            cells = F.aggregate(F.sequence(F.lit(1), F.size(seq)), F.array(state["i"] + 1), lambda done, j: F.concat(done, F.array(cell(done, j))))
-            return F.struct((state["i"] + 1).alias("i"), cells.alias("cells"))
-
-        last = F.aggregate(wanted, F.struct(F.lit(0).alias("i"), first.alias("cells")), row)["cells"]
-        return F.greatest(F.lit(0.0), 1 - F.array_min(last) / F.size(wanted))
-
-    pair = F.struct(reference.alias("r"), sequence.alias("s"))
-    return F.when((F.size(reference) == 0) | (F.size(sequence) == 0), 0.0).otherwise(_bound(pair, table))
-
-
-def least_edits(reference: str, text: str) -> int:
-    """Edits between ``reference`` and the best substring of ``text``, a column of the table in the bits
-    of two numbers (Myers)."""
-    places: dict[str, int] = {}
+def least_edits(reference: Sequence, text: Sequence) -> int:
+    """Edits between ``reference`` and the best part of ``text``, of letters or of tokens: a column of the
+    table in the bits of two numbers (Myers)."""
+    places: dict = {}
     for i, c in enumerate(reference):
         places[c] = places.get(c, 0) | 1 << i
     every, last = (1 << len(reference)) - 1, 1 << max(len(reference) - 1, 0)
@@ -138,6 +117,27 @@ def least_edits(reference: str, text: str) -> int:
     return best
 
 
+def _likeness(reference: Sequence | None, sequence: Sequence | None) -> float | None:
+    """max(0, 1 - edits / |reference|) for the best part of ``sequence``; 0 where either is empty."""
+    if reference is None or sequence is None:
+        return None
+    return max(0.0, 1 - least_edits(reference, sequence) / len(reference)) if len(reference) and len(sequence) else 0.0
+
+
+@F.pandas_udf(DoubleType())
+def infix_similarity(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Of (reference, sequence), arrays of tokens; starting anywhere costs nothing, nor does what follows."""
+    for references, sequences in parts:
+        yield pd.Series([_likeness(a, b) for a, b in zip(references, sequences, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def best_infix_similarity(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Of (references, sequence): the best of several references; 0 where there is none."""
+    for references, sequences in parts:
+        yield pd.Series([max([_likeness(r, b) or 0.0 for r in a], default=0.0) if a is not None else 0.0 for a, b in zip(references, sequences, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def infix_in_text(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """``infix_similarity`` over the characters of two texts of any length; null for a null."""
@@ -145,8 +145,7 @@ def infix_in_text(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
         done: dict[tuple, float | None] = {}
         for pair in zip(references, texts, strict=True):
             if pair not in done:
-                a, b = pair
-                done[pair] = None if a is None or b is None else max(0.0, 1 - least_edits(a, b) / len(a)) if a and b else 0.0
+                done[pair] = _likeness(*pair)
         yield pd.Series([done[pair] for pair in zip(references, texts, strict=True)], dtype="float64")
 
 

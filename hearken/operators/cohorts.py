@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hearken.functions import vectors as V
-from hearken.operators import evaluation, scoring
+from hearken.operators import evaluation, scans, scoring
 from hearken.operators.sizes import small
 from hearken.operators.verification import hash_sampled
 
@@ -94,6 +94,22 @@ def voice_set(spark, voices: int, canonical: list[int], n_random: int = 13, n_bl
     return fixed.unionByName(others).unionByName(blends)
 
 
+def voices_for(rows: DataFrame, key: str, speakers: DataFrame, speaker: str, n_random: int = 13, n_blend: int = 10, seed: int = 0) -> DataFrame:
+    """(key, name, first, second, alpha): for each row ``n_random`` voices of the speakers of a table and
+    ``n_blend`` blends of two, drawn by hashes. A speaker's number is its place in order; the drawn numbers are
+    joined to the numbered speakers."""
+    count = speakers.select(speaker).distinct().count()
+    numbered = scans.numbered(speakers.select(speaker).distinct(), speaker)
+    pick = lambda part: F.floor(uniform(F.concat_ws("|", key, "name"), part, seed) * count).cast("long")
+    names = F.array(*[F.lit(f"{kind}{i}") for kind, n in (("random", n_random), ("blend", n_blend)) for i in range(n)])
+    drawn = rows.select(key).distinct().withColumn("name", F.explode(names))
+    blend = F.col("name").startswith("blend")
+    drawn = drawn.withColumns({"_1": pick("first"), "_2": F.when(blend, pick("second")), "alpha": F.when(blend, 0.3 + 0.4 * uniform(F.concat_ws("|", key, "name"), "alpha", seed))})
+    for place, new in (("_1", "first"), ("_2", "second")):
+        drawn = drawn.join(numbered.select(F.col("_place").alias(place), F.col(speaker).alias(new)), place, "left")
+    return drawn.select(key, "name", "first", "second", "alpha")
+
+
 def class_index(rows: DataFrame, label: str, id_: str) -> DataFrame:
     """(label, id, place): every row's place among its class, as rows and not as one list a class."""
     return rows.select(label, id_, (F.row_number().over(W.partitionBy(label).orderBy(id_)) - 1).alias("place"))

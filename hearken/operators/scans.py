@@ -72,3 +72,9 @@ def segments(rows: DataFrame, by: list[str], place: Column, reach: float, name:
     marked = joined(cells, after, [*by, "_cell"], "left")
     numbered = running_last(marked, by, "_cell", stretches("_cell", 1 << 12), F.when(F.col("_goes_on").isNull(), F.col("_cell")), name).drop("_goes_on")
     return joined(placed, numbered, [*by, "_cell"]).drop("_cell")
+
+
+def numbered(rows: DataFrame, order: str, name: str = "_place", n: int = RANGES) -> DataFrame:
+    """rows + their place in an order of different numbers, from 0: each block counts alone."""
+    one = rows.withColumns({"_one": F.lit(1), "_all": F.lit(0)})
+    return running_sums(one, ["_all"], order, ranges(rows, order, n), {name: "_one"}).drop("_one", "_all")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hearken.operators import scans
+from hearken.operators.sizes import small
 
 
 def sequence_key(uri: Column) -> Column:
@@ -49,6 +50,20 @@ def manifest(found: DataFrame, by: list[str], path: str, order: str) -> DataFram
     return found.groupBy(*by).agg(F.array_join(F.transform(listed, lambda s: s[path]), ",").alias("manifest"))
 
 
+def concat_list(found: DataFrame, by: list[str], path: str, order: str) -> DataFrame:
+    """by + value: the list file of a clip, a line for each path in order, as a concatenating program reads it;
+    back strokes become strokes, and a quote in a path is closed, escaped and opened again."""
+    quoted = F.replace(F.replace(path, F.lit("\\"), F.lit("/")), F.lit("'"), F.lit("'\\''"))
+    lines = found.withColumn("_line", F.concat(F.lit("file '"), quoted, F.lit("'\n")))
+    listed = F.array_sort(F.collect_list(F.struct(order, "_line")))
+    return lines.groupBy(*by).agg(F.array_join(F.transform(listed, lambda s: s["_line"]), "").alias("value"))
+
+
+def named(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among ``names``; a name that stands there twice counts once."""
+    return rows.join(small(names.select(key)), key, "left_semi")
+
+
 def retained(chunks: DataFrame, stream: str, keep: int = 7) -> DataFrame:
     """The chunks not older than ``keep`` before the stream's newest."""
     newest = chunks.groupBy(stream).agg(F.max("chunk_idx").alias("newest"))

@@ -11,7 +11,8 @@ from hearken.operators import selection
 
 
 def best_similarity(references: Column, phones: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(references, lambda r: T.infix_similarity(r, phones))), F.lit(0.0))
+    """The best similarity of several references to a sequence of phones."""
+    return T.best_infix_similarity(references, phones)
 
 
 def distinct_references(refs: DataFrame, key: str, order: str, most: int, least_phones: int = 3) -> DataFrame:

@@ -368,3 +368,31 @@ def similar_words(spark, sf_dir):
     """(token, wanted, r): words of the turns against all words of the benchmark, four fifths alike or more."""
     words = lambda t, name: read(spark, sf_dir, t).select(F.explode(T.token_set(F.col("text"))).alias(name)).distinct()
     return lookup.alike(words("conversations", "token"), words("benchmark", "wanted"), 80.0).withColumn("r", F.round("r", 6))
+
+
+@register(
+    "voices_of_labels",
+    f"""WITH s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings), c AS (SELECT count(*) AS n FROM s),
+d AS (SELECT label, k || i AS name, k = 'blend' AS blend FROM (SELECT DISTINCT label FROM embeddings), (SELECT 'random' AS k, unnest(range(13)) AS i UNION ALL SELECT 'blend', unnest(range(10)))),
+u AS (SELECT label, name, blend, CAST(floor({_u("label || '|' || name", "'first'", "'4'")} * n) AS BIGINT) AS a, CAST(floor({_u("label || '|' || name", "'second'", "'4'")} * n) AS BIGINT) AS b, 0.3 + 0.4 * {_u("label || '|' || name", "'alpha'", "'4'")} AS alpha FROM d, c)
+SELECT u.label, u.name, s.vec_id AS first, t.vec_id AS second, round(CASE WHEN blend THEN alpha END, 6) AS alpha FROM u JOIN s ON s.place = a LEFT JOIN s t ON blend AND t.place = b""",
+)
+def voices_of_labels(spark, sf_dir):
+    """Vectors as speakers; every label gets its own voices of them."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return C.voices_for(vectors.select("label"), "label", vectors, "vec_id", seed=4).withColumn("alpha", r6("alpha"))
+
+
+@register("named_events", "SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT user_id FROM events WHERE value > 250)")
+def named_events(spark, sf_dir):
+    """All events of the users who have one over 250."""
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return R.named(events, events.filter("value > 250").select("user_id"), "user_id").drop("value")
+
+
+@register("clip_list_files", "SELECT event_type, string_agg('file ''clips/' || event_type || '/it''\\''''s_' || event_id || '.mp4''' || chr(10), '' ORDER BY event_id) AS value FROM events WHERE value > 200 GROUP BY 1")
+def clip_list_files(spark, sf_dir):
+    """A list file for each event type, of paths with strokes and quotes to be mended."""
+    path = F.concat(F.lit("clips\\"), "event_type", F.lit("\\it's_"), "event_id", F.lit(".mp4"))
+    found = read(spark, sf_dir, "events").filter("value > 200").select("event_type", "event_id", path.alias("path"))
+    return R.concat_list(found, ["event_type"], "path", "event_id")

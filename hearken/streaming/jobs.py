@@ -87,12 +87,13 @@ def chunk_offsets(spark: SparkSession, path: str, default: float = 5.0) -> DataF
     return _finished(stateful, "append").drop("batch")
 
 
-def context(spark: SparkSession, path: str, least: float, reach: str) -> DataFrame:
+def context(spark: SparkSession, path: str, least: float, reach: str, late: str = "1 hour") -> DataFrame:
     """(user_id, hit, near): events over ``least`` and all of their stream within ``reach`` before and after.
-    A join of two streams, so a hit waits for what follows it; watermarks bound what is kept."""
+    A join of two streams, so a hit waits for what follows it. Either side is kept for ``reach`` and as long as
+    events may come ``late``."""
     events = _source(spark, path).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    hits = events.filter(F.col("value") > least).select(F.col("user_id").alias("stream"), F.col("event_id").alias("hit"), F.col("ts").alias("at")).withWatermark("at", "60 days")
-    chunks = events.select("user_id", F.col("event_id").alias("near"), "ts").withWatermark("ts", "60 days")
+    hits = events.filter(F.col("value") > least).select(F.col("user_id").alias("stream"), F.col("event_id").alias("hit"), F.col("ts").alias("at")).withWatermark("at", late)
+    chunks = events.select("user_id", F.col("event_id").alias("near"), "ts").withWatermark("ts", late)
     band = F.expr(f"user_id = stream AND ts >= at - INTERVAL {reach} AND ts <= at + INTERVAL {reach}")
     return _finished(hits.join(chunks, band), "append").select("user_id", "hit", "near")
 

@@ -4,7 +4,7 @@ import wave
 import numpy as np
 import pytest
 
-from hearken.sources import audio, playlist, sinks
+from hearken.sources import audio, detections, playlist, sinks
 
 SEGMENTS = [(3, "u3"), (1, "u1"), (2, "u2")]
 
@@ -72,3 +72,27 @@ def test_wav_round_trip_and_selected_keyword(spark, tmp_path):
     (tmp_path / "none.txt").write_text("\n")
     assert audio.selected_keyword(spark, str(tmp_path / "k.txt")) == "penalty"
     assert audio.selected_keyword(spark, str(tmp_path / "none.txt"), "goal") == "goal"
+
+
+def test_declared_documents(spark, tmp_path):
+    calibration = {"keyword": "k", "threshold": 2.5, "top_k": 50, "n_pos": 3, "calibrated_at": "2026-07-02T10:00:00", "new_field": 1}
+    (tmp_path / "k_calibration.json").write_text(json.dumps(calibration, indent=2))
+    row = detections.documents(spark, str(tmp_path / "*_calibration.json"), detections.CALIBRATION).first()
+    assert (row["keyword"], row["threshold"], row["top_k"], row["n_pos"], row["neg_p99"]) == ("k", 2.5, 50, 3, None) and len(row) == 16
+    (tmp_path / "thresholds.json").write_text('{"goal": 0.4, "penalty": 0.61, "none": null}')
+    assert sorted(map(tuple, detections.thresholds(spark, str(tmp_path / "thresholds.json")).collect())) == [("goal", 0.4), ("penalty", 0.61)]
+    manifest = {"sample_rate": 16000, "voices": 5, "eval_words": ["goal"], "bank": {"goal": ["a/1.wav"], "cat": ["b/1.wav", "b/2.wav"], "empty": []}}
+    (tmp_path / "manifest.json").write_text(json.dumps(manifest))
+    assert sorted(map(tuple, detections.bank(spark, str(tmp_path / "manifest.json")).collect())) == [("cat", "b/1.wav", False, 16000), ("cat", "b/2.wav", False, 16000), ("goal", "a/1.wav", True, 16000)]
+    (tmp_path / "truth.json").write_text('{"live_0.wav": [{"word": "goal", "start": 1.0, "end": 1.5}], "live_1.wav": []}')
+    assert list(map(tuple, detections.truth(spark, str(tmp_path / "truth.json")).collect())) == [("live_0.wav", "goal", 1.0, 1.5)]
+
+
+def test_anchor_and_cohort_tables(spark, tmp_path):
+    anchors = [("goal", [0.5, 0.25], [[1.0, 0.0], [0.0, 1.0]], 24000), ("cat", [1.0], [], 100)]
+    detections.write_table(spark.createDataFrame(anchors, "keyword string, centroid array<double>, positives array<array<double>>, window_samples int"), str(tmp_path / "a"), detections.ANCHORS)
+    found = detections.read_table(spark, str(tmp_path / "a"), detections.ANCHORS)
+    assert sorted(map(tuple, found.collect())) == sorted(anchors) and found.dtypes[0] == ("keyword", "string") and found.dtypes[1] == ("centroid", "array<float>")
+    cohorts = [("goal", 1, "stream", [0.5]), ("goal", 2, "tts", [0.25])]
+    detections.write_table(spark.createDataFrame(cohorts, detections.COHORTS), str(tmp_path / "c"), detections.COHORTS)
+    assert sorted(map(tuple, detections.read_table(spark, str(tmp_path / "c"), detections.COHORTS).collect())) == cohorts

@@ -53,3 +53,38 @@ def test_slots_of_two_inputs_and_defaults(spark):
     demux = models.slot("demux", "tests.standins:failing")
     assert {r["duration"] for r in models.durations_known(rows.withColumn("d", demux("text")), "d").collect()} == {5.0}
     assert sorted(r["id"] for r in models.by_length(rows, "n").collect()) == [1, 2]
+
+
+def test_phones_and_matchers(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"a a <pad> a | b b"), 1.0), (2, bytearray(b"a b"), 0.04), (3, None, 1.0), (4, bytearray(b"fail"), 1.0), (5, bytearray(b"c"), None)], "id int, content binary, seconds double")
+    phones = models.slot("phones", "tests.standins:stand_in_phones", failed=None)
+    got = {r["id"]: r["phones"] for r in models.recognized_phones(rows, "content", "seconds", phones).collect()}
+    assert got == {1: ["a", "a", "b"], 2: [], 3: [], 4: [], 5: []}
+    matcher = models.slot("matcher", "tests.standins:stand_in_matcher")
+    pairs = spark.createDataFrame([(1, bytearray(b"goal"), "goal"), (2, bytearray(b"nan"), "x"), (3, bytearray(b"gold"), "goal"), (4, bytearray(b"fail"), "x")], "id int, content binary, keyword string")
+    assert {r["id"]: r["score"] for r in models.matched(pairs, "content", "keyword", matcher).collect()} == {1: 1.0, 2: None, 3: 0.5, 4: None}
+
+
+def test_more_slots(spark):
+    """Text recognizer, voice conversion and denoiser: values of one or two columns to one."""
+    rows = spark.createDataFrame([(1, bytearray(b"say it"), bytearray(b"anna")), (2, bytearray(b""), bytearray(b"otto"))], "id int, content binary, reference binary")
+    text = models.slot("asr_text", "tests.standins:stand_in_text")
+    voice = models.slot("voice", "tests.standins:stand_in_conversion")
+    quiet = models.slot("denoise", "tests.standins:stand_in_denoiser")
+    got = {r["id"]: (r["t"], bytes(r["v"]), bytes(r["d"])) for r in rows.select("id", text("content").alias("t"), voice("content", "reference").alias("v"), quiet("content").alias("d")).collect()}
+    assert got == {1: ("say it", b"say it as anna", b"say_it"), 2: ("", b" as otto", b"")}
+    for kind in ("asr_text", "voice", "denoise"):
+        failed = models.slot(kind, "tests.standins:failing")
+        inputs = ["content", "reference"] if kind == "voice" else ["content"]
+        assert [r["x"] for r in rows.select(failed(*inputs).alias("x")).collect()] == [None, None] or kind == "voice"
+
+
+def test_best_of_several_references(spark):
+    df = spark.createDataFrame([(1, [list("abc"), list("xyz")], list("aabd")), (2, [], list("a")), (3, None, list("a")), (4, [list("a"), []], [])], "id int, refs array<array<string>>, phones array<string>")
+    got = {r["id"]: r["s"] for r in df.select("id", V.best_similarity(F.col("refs"), F.col("phones")).alias("s")).collect()}
+    assert got == {1: pytest.approx(2 / 3), 2: 0.0, 3: 0.0, 4: 0.0}
+
+
+def test_long_sequences_are_linear(spark):
+    refs = spark.createDataFrame([("k", i, ["p"] * 20 + [str(i)] + ["q"] * 2000) for i in range(4)], "key string, id int, phones array<string>")
+    assert V.leave_one_out(refs, "key", "id").first()["loo_mean"] == pytest.approx(1 - 1 / 2021)

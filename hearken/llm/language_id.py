@@ -181,7 +181,7 @@ def _sampled(labelled: DataFrame, most_texts: int) -> DataFrame:
     languages = counts.count()
     most = max(min(most_texts, MOST_OF_ALL // max(languages, 1)), LEAST_TEXTS)
     place = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5
-    near = labelled.join(small(counts, 100_000), "lang").filter(place * F.col("n") <= most + 6 * most**0.5 + 10).select("doc_id", "lang")
+    near = labelled.join(small(counts, 100_000), "lang").filter(place * F.col("n") <= most + 6 * most**0.5 + 10).select("doc_id", "lang").distinct()
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     return stored(near.withColumn("k", rank).filter(F.col("k") <= most).select("doc_id", "lang"), "languageSample")
 
@@ -194,7 +194,9 @@ def learn(docs: DataFrame, most_texts: int = MOST_TEXTS, steps: int = STEPS) ->
     # A window from anywhere in the text, at a place that the id determines.
     room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
     window = F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit("window")), room) + 1).cast("int"), F.lit(SAMPLE_CHARS))
-    rows = labelled.select("doc_id", "lang", window.alias("text")).join(small(picked, 2 * MOST_OF_ALL), ["doc_id", "lang"]).select("text", "lang").collect()
+    # An id that many rows have gives one of its texts.
+    some = labelled.select("doc_id", "lang", window.alias("text")).join(small(picked, 2 * MOST_OF_ALL), ["doc_id", "lang"])
+    rows = some.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("text", "lang").collect()
     rows = sorted({(r["text"], r["lang"]) for r in rows if any(map(str.isalpha, r["text"]))})
     languages = sorted({lang for _, lang in rows})
     network = Network.fresh(languages)

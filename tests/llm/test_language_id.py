@@ -79,3 +79,12 @@ def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, "text here", "en", "x", 1.0)] * 2, "doc_id long, text string, lang string, lang_pred string, score double")
     out = L.identify(docs, L.learn(docs, steps=2), docs.columns)
     assert sorted(out.columns) == sorted(docs.columns) and [r["lang_pred"] for r in out.collect()] == ["en", "en"]
+
+
+def test_an_id_that_repeats_is_one_row_of_the_sample(spark, monkeypatch):
+    rows = [(1, f"word{i} and more of it", "en") for i in range(3000)] + [(i, f"mot{i} encore", "fr") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = []
+    monkeypatch.setattr(L.Network, "train", lambda self, texts, labels, steps: taken.extend(zip([t.tobytes().decode() for t in texts], labels)))
+    L.learn(docs, most_texts=100)
+    assert len(taken) == 39 and sum(t.startswith("word") for t, _ in taken) == 1

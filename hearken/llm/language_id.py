@@ -181,7 +181,7 @@ def _sampled(labelled: DataFrame, most_texts: int) -> DataFrame:
     languages = counts.count()
     most = max(min(most_texts, MOST_OF_ALL // max(languages, 1)), LEAST_TEXTS)
     place = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5
-    near = labelled.join(small(counts, 100_000), "lang").filter(place * F.col("n") <= most + 6 * most**0.5 + 10).select("doc_id", "lang").distinct()
+    near = labelled.join(small(counts, 100_000), "lang").filter(place * F.col("n") <= most + 6 * most**0.5 + 10).select("doc_id", "lang")
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     return stored(near.withColumn("k", rank).filter(F.col("k") <= most).select("doc_id", "lang"), "languageSample")
 
@@ -190,7 +190,7 @@ def learn(docs: DataFrame, most_texts: int = MOST_TEXTS, steps: int = STEPS) ->
     """A network from ``text`` and ``lang`` of the rows given; leave out the rows to be held out. Every
     language of those rows can be predicted. The sample is bounded: see ``MOST_TEXTS``."""
     labelled = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
-    picked = _sampled(labelled.select("doc_id", "lang"), most_texts)
+    picked = _sampled(labelled.select("doc_id", "lang").distinct(), most_texts)
     # A window from anywhere in the text, at a place that the id determines.
     room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
     window = F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit("window")), room) + 1).cast("int"), F.lit(SAMPLE_CHARS))

@@ -159,7 +159,7 @@ def gap_suppressed(detections: DataFrame, by: list[str], gap_ms: int = 1000, ord
     inclusive; of equals the first. Without the keyword in ``by``, keywords suppress each other. Runs are
     found inside segments, which larger gaps cut off from each other, and so are the work of many tasks."""
     parts = [*by, "_segment"]
-    cut = scans.segments(detections, by, F.col("start_ms"), max(gap_ms, 1))
+    cut = scans.segments(written(detections, "detections"), by, F.col("start_ms"), max(gap_ms, 1))
     w = W.partitionBy(*parts).orderBy("start_ms", *order)
     apart = (F.col("start_ms") - F.lag("start_ms").over(w) > gap_ms).cast("int")
     runs = cut.withColumn("run", F.sum(F.coalesce(apart, F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
@@ -171,7 +171,7 @@ def greedy_suppressed(detections: DataFrame, by: list[str], apart: float = 0.25,
     """by + kept: from the best score down, detections at least ``apart`` from all kept before, at most
     ``most``. Detections of different segments do not suppress each other, so each segment's sorted array is
     folded alone, and a key keeps the first of what its segments keep."""
-    cut = scans.segments(detections.select(*by, "scale", "time", "score"), by, F.col("time"), apart * (1 + 1e-6))
+    cut = scans.segments(written(detections.select(*by, "scale", "time", "score"), "detections"), by, F.col("time"), apart * (1 + 1e-6))
     items = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), F.col("scale"), F.col("time"))))
     grouped = cut.groupBy(*by, "_segment").agg(items.alias("items"))
     kind = "array<struct<neg:double,scale:double,time:double>>"

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from hearken.operators.sizes import written
+
 #: Places of an index in one block, and blocks of an order without an index.
 STRETCH, RANGES = 1 << 16, 64
 
@@ -65,9 +67,10 @@ def running_last(rows: DataFrame, by: list[str], order: str, block: Column, valu
 def segments(rows: DataFrame, by: list[str], place: Column, reach: float, name: str = "_segment") -> DataFrame:
     """rows + a number of the segment: places of a key that lie ``reach`` or less apart are of one, and so are
     those that such steps join; others may be. Places fall into cells ``reach`` wide, and a segment is a
-    stretch of cells that are all there: its first cell names it."""
+    stretch of cells that are all there: its first cell names it. The cells are written once; ``rows`` are read
+    twice and should be cheap to read."""
     placed = rows.withColumn("_cell", F.floor(place / reach))
-    cells = placed.select(*by, "_cell").distinct()
+    cells = written(placed.select(*by, "_cell").distinct(), "cells")
     after = cells.select(*by, (F.col("_cell") + 1).alias("_cell"), F.lit(True).alias("_goes_on"))
     marked = joined(cells, after, [*by, "_cell"], "left")
     numbered = running_last(marked, by, "_cell", stretches("_cell", 1 << 12), F.when(F.col("_goes_on").isNull(), F.col("_cell")), name).drop("_goes_on")

@@ -34,7 +34,7 @@ def stand_in_voice():
 
 
 def failing():
-    def fail(content):
+    def fail(*inputs):
         raise RuntimeError("no model")
 
     return fail

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.shared import fresh, removed, small, stored
+from hearken.llm.shared import fresh, lean, removed, small, stored
 
 WORDS = 5
 PERCENT = 80
@@ -146,7 +146,7 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("row"))
-    return stored(read.mapInArrow(run, f"doc_id {kind}, text_key long, row long, n long, cls long, shingles binary, bits binary"), "described", batch=500)
+    return stored(read.mapInArrow(lean(run), f"doc_id {kind}, text_key long, row long, n long, cls long, shingles binary, bits binary"), "described", batch=500)
 
 
 def _often(firsts: DataFrame, percent: int, often: int, most: int) -> np.ndarray:
@@ -170,7 +170,7 @@ def _often(firsts: DataFrame, percent: int, often: int, most: int) -> np.ndarray
         if waiting:
             yield flush()
 
-    counts = firsts.select("shingles").mapInArrow(run, "shingle long, c int").groupBy("shingle").agg(F.sum("c").alias("c")).filter(F.col("c") > often)
+    counts = firsts.select("shingles").mapInArrow(lean(run), "shingle long, c int").groupBy("shingle").agg(F.sum("c").alias("c")).filter(F.col("c") > often)
     found = stored(counts, "often")
     if found.count() > most:
         least = found.agg(F.percentile_approx("c", 1 - most / found.count(), 10000)).first()[0]
@@ -201,7 +201,7 @@ def _postings(firsts: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
                     names=["shingle", "cls", "size"],
                 )
 
-    return firsts.select("cls", "shingles").mapInArrow(run, "shingle long, cls long, size long")
+    return firsts.select("cls", "shingles").mapInArrow(lean(run), "shingle long, cls long, size long")
 
 
 def _lists(postings: DataFrame, percent: int) -> DataFrame:

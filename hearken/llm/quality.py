@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hearken.llm import word_model
-from hearken.llm.shared import fresh, small, stored
+from hearken.llm.shared import fresh, lean, small, stored
 
 CLASSES = 64
 ORDER = 4
@@ -110,7 +110,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, c) over all documents."""
     read = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    return read.mapInArrow(_count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    return read.mapInArrow(lean(_count), "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
 def _shares(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -269,7 +269,7 @@ def _beside(texts: DataFrame, model: DataFrame, by: str, work, schema: str) -> D
                     scorers[lang] = _scorer(shared.value[lang]) if lang in shared.value else None
                 yield from work(table.filter(pc.equal(table[by], lang)), scorers[lang]).to_batches()
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(lean(run), schema)
 
 
 def measured(docs: DataFrame, model: DataFrame) -> DataFrame:

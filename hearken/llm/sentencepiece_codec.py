@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.shared import fresh, stored
+from hearken.llm.shared import fresh, lean, stored
 
 SPACE, LITERAL = "▁", "\ud800"
 GIANT = 1 << 16
@@ -383,7 +383,7 @@ def encode(docs: DataFrame, keep: list[str], model: str | None = None, scores: s
     read = docs.select(*keep, F.col("text").alias(source))
     kinds = "".join(f"`{k}` {read.schema[k].dataType.simpleString()}, " for k in keep)
     is_giant = F.coalesce(F.length(source) > giant, F.lit(False))
-    usual = read.filter(~is_giant).mapInArrow(whole, f"{kinds}ids array<int>{', round_trip boolean' * checked}")
+    usual = read.filter(~is_giant).mapInArrow(lean(whole), f"{kinds}ids array<int>{', round_trip boolean' * checked}")
     giants = stored(read.filter(is_giant).withColumn(row, F.monotonically_increasing_id()), "giants")
     if not giants.limit(1).count():
         return usual

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.shared import stored
+from hearken.llm.shared import lean, stored
 
 WORD = re.compile(r"\w+")
 #: Words and texts of a run at most, and bytes of text for each shard.
@@ -57,9 +57,13 @@ def shards_of(texts: DataFrame) -> int:
     return max(LEAST_SHARDS, -(-int(total) // SHARD_BYTES))
 
 
-def _hashed(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, text) of the different pairs of each text, by pair and then by text."""
-    hashes = pd.util.hash_array(np.array([w for ws in words for w in ws], dtype=object), categorize=False)
+def word_hashes(words: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(words, dtype=object), categorize=False)
+
+
+def _hashed(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, text) of the different pairs of each text, by pair and then by text, from the hashes of words."""
+    hashes = np.concatenate(words)
     text = np.repeat(np.arange(len(words), dtype=np.uint16), [len(ws) for ws in words])
     same = text[1:] == text[:-1]
     pair = (hashes[:-1][same] & np.uint64(0xFFFFFFFF)) << np.uint64(BITS) | hashes[1:][same] >> np.uint64(64 - BITS)
@@ -106,7 +110,7 @@ def shard_of(context: np.ndarray, shards: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
 
 
-def _rows(keys: list[int], words: list[list[str]], run: int, shards: int, texts: bool) -> list[dict]:
+def _rows(keys: list[int], words: list[np.ndarray], run: int, shards: int, texts: bool) -> list[dict]:
     """A run's rows, one a shard: contexts, how many pairs each has, second words, how many texts each
     pair has and, where ``texts``, which; then one row of the texts' keys."""
     pair, text = _hashed(words)
@@ -148,7 +152,7 @@ def packed(texts: DataFrame, shards: int, with_texts: bool) -> DataFrame:
                 if len(found) < 2:
                     continue
                 keys.append(key)
-                words.append(found)
+                words.append(word_hashes(found))
                 n += len(found)
                 if n > RUN or len(keys) >= MOST_TEXTS:
                     yield flush()
@@ -157,7 +161,7 @@ def packed(texts: DataFrame, shards: int, with_texts: bool) -> DataFrame:
         if words:
             yield flush()
 
-    return texts.select("key", "text").mapInArrow(run, ROW)
+    return texts.select("key", "text").mapInArrow(lean(run), ROW)
 
 
 def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +208,7 @@ def fit(texts: DataFrame, shards: int) -> dict[str, np.ndarray]:
         total = np.sum([np.frombuffer(s, "<i8") for s in table["sums"].to_pylist()], axis=0)
         return pa.table({"part": table["part"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-    sums = stored(packed(texts, shards, False).groupBy("shard").applyInArrow(count, "part int, group int, sums binary"), "wordSums", batch=500)
+    sums = stored(packed(texts, shards, False).groupBy("shard").applyInArrow(lean(count), "part int, group int, sums binary"), "wordSums", batch=500)
     sums = sums.groupBy("part", "group").applyInArrow(add, "part int, sums binary")
     found = {r["part"]: np.frombuffer(r["sums"], "<i8") for r in stored(sums.groupBy("part").applyInArrow(add, "part int, sums binary"), "wordCells").collect()}
     cells = np.concatenate([found.get(i, np.zeros(RANGE, np.int64)) for i in range(CELLS // RANGE)])
@@ -260,6 +264,6 @@ def score(texts: DataFrame) -> DataFrame:
         return pa.table({"key": pa.array(keys), "n": pa.array(n), "x": pa.array(x)})
 
     met = packed(texts, shards, True).withColumn("lot", F.when(F.col("shard") < 0, F.pmod(F.col("run"), F.lit(64)).cast("int")).otherwise(0))
-    sums = stored(met.groupBy("shard", "lot").applyInArrow(meet, "run long, keys binary, d binary, n binary, x binary"), "wordNats", batch=500)
+    sums = stored(met.groupBy("shard", "lot").applyInArrow(lean(meet), "run long, keys binary, d binary, n binary, x binary"), "wordNats", batch=500)
     scored = sums.groupBy("run").applyInArrow(add, "key long, n long, x double")
     return stored(scored.groupBy("key").agg((F.sum("x") / F.sum("n")).alias("word_nats")), "wordScores")

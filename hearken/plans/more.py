@@ -229,11 +229,12 @@ def voice_mixture(spark, sf_dir):
 @register(
     "voice_set",
     f"""SELECT 'canonical' || i AS name, [7, 11, 13][i + 1] AS first, CAST(NULL AS INT) AS second, CAST(NULL AS DOUBLE) AS alpha FROM range(3) t(i)
-UNION ALL SELECT 'random' || i, CAST(floor({_u('i', "'random'", "'2'")} * 40) AS INT), NULL, NULL FROM range(13) t(i)
-UNION ALL SELECT 'blend' || i, CAST(floor({_u('i', "'first'", "'2'")} * 40) AS INT), CAST(floor({_u('i', "'second'", "'2'")} * 40) AS INT), round(0.3 + 0.4 * {_u('i', "'alpha'", "'2'")}, 6) FROM range(10) t(i)""",
+UNION ALL SELECT 'random' || i, CAST(floor({_u('i', "'random'", "'2'")} * (SELECT count(*) FROM embeddings)) AS INT), NULL, NULL FROM range(13) t(i)
+UNION ALL SELECT 'blend' || i, CAST(floor({_u('i', "'first'", "'2'")} * (SELECT count(*) FROM embeddings)) AS INT), CAST(floor({_u('i', "'second'", "'2'")} * (SELECT count(*) FROM embeddings)) AS INT), round(0.3 + 0.4 * {_u('i', "'alpha'", "'2'")}, 6) FROM range(10) t(i)""",
 )
 def voice_set(spark, sf_dir):
-    return C.voice_set(spark, 40, [7, 11, 13], seed=2).withColumn("alpha", r6("alpha"))
+    """Vectors as voices: three of them as canonical ones, and others and blends drawn from all."""
+    return C.voice_set(spark, read(spark, sf_dir, "embeddings").count(), [7, 11, 13], seed=2).withColumn("alpha", r6("alpha"))
 
 
 @register("rms_change", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), r AS (SELECT vec_id, sqrt(list_inner_product(v, v) / len(v)) AS before, sqrt(list_sum(list_transform(v, lambda x: CASE WHEN abs(x) < 0.05 THEN 0.0 ELSE x * x END)) / len(v)) AS after FROM e) SELECT vec_id, round(before, 6) AS before, round(after, 6) AS after, round(100 * (after - before) / greatest(before, 1e-9), 4) AS percent FROM r")

@@ -123,8 +123,8 @@ def events_of(chunks: DataFrame, consumed: DataFrame | None = None) -> DataFrame
 
 
 def gone_chunks(events: DataFrame, keep: int = 7, after_ms: int = 3_600_000, delay: str = "10 minutes", idle_ms: int = 86_400_000) -> DataFrame:
-    """(stream, chunk_idx, reason) of the chunks that go, each once, of a stream of ``events_of``. A row that
-    is older than the watermark when it comes is not looked at."""
+    """(stream, chunk_idx, reason) of the chunks that go, of a stream of ``events_of``. A chunk that comes again
+    after it went goes again. A row that is older than the watermark when it comes is not looked at."""
     timed = events.withWatermark("at", delay).withColumn("at_ms", F.unix_millis("at"))
     return timed.groupBy("stream").transformWithStateInPandas(ChunkStore(keep, after_ms, idle_ms), GONE, "append", "eventTime")
 

@@ -41,9 +41,11 @@ def alike(tokens: DataFrame, words: DataFrame, least: float) -> DataFrame:
     of_words = wanted.join(F.broadcast(lengths), "b").withColumn("k", F.explode(each))
     of_words = of_words.select("wanted", "a", "b", "k", F.when(F.col("k") < 0, F.lit("")).otherwise(F.col("wanted").substr(first + 1, size)).alias("piece"))
 
-    shifts = F.when(F.col("k") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.greatest(first - F.col("d"), F.lit(0)), F.least(first + F.col("d"), a - size)))
-    of_tokens = have.join(F.broadcast(lengths), "a").withColumn("k", F.explode(each)).filter((F.col("k") < 0) | (F.greatest(first - F.col("d"), F.lit(0)) <= F.least(first + F.col("d"), a - size)))
-    of_tokens = of_tokens.withColumn("at", F.explode(shifts)).select("token", "a", "b", "k", F.when(F.col("k") < 0, F.lit("")).otherwise(F.col("token").substr(F.col("at") + 1, size)).alias("piece")).distinct()
+    low, high = F.greatest(first - F.col("d"), F.lit(0)), F.least(first + F.col("d"), a - size)
+    of_tokens = have.join(F.broadcast(lengths), "a").withColumn("k", F.explode(each)).filter((F.col("k") < 0) | (low <= high))
+    # Equal pieces of a token are one, found in its row and not by an exchange of all pieces.
+    pieces = F.when(F.col("k") < 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.transform(F.sequence(low, high), lambda at: F.col("token").substr(at + 1, size))))
+    of_tokens = of_tokens.select("token", "a", "b", "k", F.explode(pieces).alias("piece"))
 
     met = of_tokens.join(small(of_words), ["a", "b", "k", "piece"]).select("token", "wanted").distinct()
     return met.withColumn("r", T.indel_ratio(F.col("token"), F.col("wanted"))).filter(F.col("r") >= least)

@@ -88,9 +88,10 @@ def exact_matches(streams: DataFrame, keywords: DataFrame, lengths: list[int]) -
 
 
 def _verdict(fuzzy_ratio: float, phonetic: bool):
-    """(tokens, wanted, codes) to the kind of match and the mean ratio of the places."""
+    """(tokens, wanted, codes, place) to the kind of match and the mean ratio of the places. A window that an
+    earlier place than ``place`` has found as well is none here, so that each is judged once."""
 
-    def judged(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def judged(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         ratios: dict[tuple[str, str], float] = {}
         codes_of: dict[str, str] = {}
 
@@ -104,11 +105,16 @@ def _verdict(fuzzy_ratio: float, phonetic: bool):
                 codes_of[token] = T.metaphone(token)
             return codes_of[token]
 
-        for tokens, wanted, codes in parts:
+        def found(token: str, want: str, coded: str) -> bool:
+            return ratio(token, want) >= fuzzy_ratio or (phonetic and code(token) == coded)
+
+        for tokens, wanted, codes, places in parts:
             kinds, means = [], []
-            for have, want, coded in zip(tokens, wanted, codes, strict=True):
+            for have, want, coded, place in zip(tokens, wanted, codes, places, strict=True):
                 mean = sum(map(ratio, have, want)) / len(want)
-                if list(have) == list(want):
+                if any(map(found, have[:place], want, coded)):
+                    kind = None
+                elif list(have) == list(want):
                     kind = "exact"
                 elif phonetic and all(code(t) == c for t, c in zip(have, coded, strict=True)):
                     kind = "phonetic"
@@ -130,7 +136,8 @@ def cascade_matches(streams: DataFrame, keywords: DataFrame, fuzzy_ratio: float
     ``fuzzy_ratio`` is on the scale of 0 to 100 and holds for the mean over a keyword's words. Where the
     mean reaches it, so does one word at least; and where all codes are equal, so are one word's. So
     only windows that have such a word at its place are scored whole: distinct tokens meet the keywords'
-    words in joins on equal pieces or codes, and the few pairs are joined to the streams."""
+    words in joins on equal pieces or codes, and the few pairs are looked up in the streams' rows. Windows
+    stay in the task that reads their row: no word and no window crosses an exchange."""
     keys = [c for c in streams.columns if c != "ws"]
     wanted = keywords.select("keyword", "n", F.posexplode(F.arrays_zip("tokens", "codes")).alias("k", "t")).select("keyword", "n", "k", F.col("t.tokens").alias("wanted"), F.col("t.codes").alias("wanted_code"))
     ahead = keywords.agg(F.max("n")).first()[0] or 1
@@ -139,15 +146,21 @@ def cascade_matches(streams: DataFrame, keywords: DataFrame, fuzzy_ratio: float
     if phonetic:
         coded = tokens.select("token", T.metaphone_code("token").alias("wanted_code"))
         pairs = pairs.unionByName(coded.join(small(wanted.select("wanted", "wanted_code").distinct()), "wanted_code").select("token", "wanted")).distinct()
-    anchors = pairs.join(small(wanted.drop("wanted_code")), "wanted").select("token", "keyword", "n", "k")
+    anchors = written(pairs.join(small(wanted.drop("wanted_code")), "wanted").select("token", "keyword", "n", "k").distinct(), "anchors")
+    listed = [r["token"] for r in anchors.select("token").distinct().limit(LOOKED_UP + 1).collect()]
     # A word with its neighbours, as far as a keyword that has it at any place may reach.
     ws = F.col("ws")
+    if len(listed) <= LOOKED_UP:
+        places = F.filter(F.transform(ws, lambda w, i: F.when(w["token"].isin(listed), i)), lambda i: i.isNotNull())
+    else:
+        places = F.transform(ws, lambda w, i: i)
     from_ = lambda i: F.greatest(i - (ahead - 2), F.lit(1))
-    near = F.transform(ws, lambda w, i: F.struct(i.alias("pos"), w["token"].alias("token"), (i + 1 - from_(i)).alias("before"), F.slice(ws, from_(i), 2 * ahead - 1).alias("near")))
-    rows = streams.select(*keys, F.explode(near).alias("x")).select(*keys, "x.*")
-    met = rows.join(anchors, "token").filter((F.col("before") >= F.col("k")) & (F.col("before") - F.col("k") + F.col("n") <= F.size("near")))
-    windows = met.select(*keys, (F.col("pos") - F.col("k")).alias("pos"), "keyword", F.slice("near", F.col("before") - F.col("k") + 1, F.col("n")).alias("w")).dropDuplicates([*keys, "pos", "keyword"])
-    judged = windows.join(small(keywords.select("keyword", "tokens", "codes", "n")), "keyword").withColumn("v", _verdict(fuzzy_ratio, phonetic)(F.col("w.token"), "tokens", "codes")).filter("v.kind IS NOT NULL")
+    near = F.transform("_places", lambda i: F.struct(i.alias("pos"), F.get(ws, i)["token"].alias("token"), (i + 1 - from_(i)).alias("before"), F.slice(ws, from_(i), 2 * ahead - 1).alias("near")))
+    rows = streams.withColumn("_places", places).select(*keys, F.explode(near).alias("x")).select(*keys, "x.*")
+    met = rows.join(small(anchors), "token").filter((F.col("before") >= F.col("k")) & (F.col("before") - F.col("k") + F.col("n") <= F.size("near")))
+    windows = met.select(*keys, (F.col("pos") - F.col("k")).alias("pos"), "keyword", "k", F.slice("near", F.col("before") - F.col("k") + 1, F.col("n")).alias("w"))
+    once = keywords.select("keyword", "tokens", "codes", "n").dropDuplicates(["keyword"])
+    judged = windows.join(small(once), "keyword").withColumn("v", _verdict(fuzzy_ratio, phonetic)(F.col("w.token"), "tokens", "codes", "k")).filter("v.kind IS NOT NULL")
     weight = F.when(F.col("v.kind") == "exact", WEIGHTS["exact"]).when(F.col("v.kind") == "phonetic", WEIGHTS["phonetic"]).otherwise(F.col("v.ratio") / 100)
     score = F.aggregate("w", F.lit(0.0), lambda s, x: s + x["score"]) / F.col("n")
     found = judged.select(*keys, "pos", "keyword", F.col("v.kind").alias("match_type"), (score * weight).alias("confidence"), F.element_at("w", 1)["start_ms"].alias("start_ms"), F.element_at("w", -1)["end_ms"].alias("end_ms"), F.array_join(F.col("w.raw"), " ").alias("context"))

@@ -42,6 +42,15 @@ def test_cascade_takes_the_mean_over_words(spark):
         assert row[0]["confidence"] == pytest.approx(mean / 100)
 
 
+def test_cascade_keeps_words_and_windows_in_their_tasks(spark):
+    """Only distinct tokens cross an exchange, not the words with their neighbours and not the windows."""
+    words = [(w, w, 400 * i, 400 * i + 350, 1.0) for i, w in enumerate("the cat the cat food catch food".split())]
+    found = M.cascade_matches(spark.createDataFrame([(1, words)], WS), M.targets(spark, ["cat food", "the"]))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" not in plan and "hashpartitioning(token" not in plan and "hashpartitioning(keyword#" not in plan.split("BroadcastExchange")[0]
+    assert sorted((r["keyword"], r["pos"], r["match_type"]) for r in found.collect()) == [("cat food", 3, "exact"), ("cat food", 5, "fuzzy"), ("the", 0, "exact"), ("the", 2, "exact")]
+
+
 def test_cascade_matches_brute_force(spark):
     """All windows against all keywords of one to three words, over random word streams."""
     rng = random.Random(11)

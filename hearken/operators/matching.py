@@ -127,7 +127,8 @@ def _verdict(fuzzy_ratio: float, phonetic: bool):
                 codes_of.clear()
             yield pd.DataFrame({"kind": kinds, "ratio": means})
 
-    return F.pandas_udf(judged, "kind string, ratio double")
+    # As it counts as not deterministic, it is asked once for all that reads its result.
+    return F.pandas_udf(judged, "kind string, ratio double").asNondeterministic()
 
 
 def cascade_matches(streams: DataFrame, keywords: DataFrame, fuzzy_ratio: float = 85.0, least_confidence: float = 0.5, phonetic: bool = True) -> DataFrame:

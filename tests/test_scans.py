@@ -77,6 +77,19 @@ def test_words_alike_match_brute_force(spark, least):
     assert got == {(t, w) for t in tokens for w in words if t and w and ratio(t, w) >= least}
 
 
+def test_words_of_short_segments_meet_in_blocks(spark, monkeypatch):
+    """No row for each pair that shares two letters: blocks of tokens against blocks of words."""
+    monkeypatch.setattr(lookup, "TOKENS", 7)
+    monkeypatch.setattr(lookup, "WORDS", 5)
+    rng = random.Random(5)
+    make = lambda sizes: "".join(rng.choice("abc\U0001d49e") for _ in range(rng.choice(sizes)))
+    tokens, words = {make([1, 2, 5, 8, 62, 65]) for _ in range(80)}, {make([1, 3, 6, 8, 63, 64, 66]) for _ in range(60)}
+    found = lookup.alike(spark.createDataFrame([(t,) for t in tokens], "token string"), spark.createDataFrame([(w,) for w in words], "wanted string"), 60.0)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    ratio = lambda a, b: 200.0 * T.common_length(a, b) / (len(a) + len(b))
+    assert sorted(map(tuple, found.collect())) == sorted((t, w, ratio(t, w)) for t in tokens for w in words if ratio(t, w) >= 60.0)
+
+
 def test_many_words_are_joined_not_compared(spark):
     """A hundred thousand words and as many tokens: each token meets the words that share a piece."""
     base = spark.range(100_000).select(F.substring(F.md5(F.col("id").cast("string")), 1, 12).alias("wanted"))

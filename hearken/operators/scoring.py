@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -119,12 +121,103 @@ def resolved_thresholds(keys: DataFrame, explicit: DataFrame, calibrated: DataFr
     return joined.select(by, F.coalesce("e", "c", F.lit(default)).alias("threshold"), F.when(F.col("e").isNotNull(), "explicit").when(F.col("c").isNotNull(), "calibrated").otherwise("default").alias("provenance"))
 
 
+#: Queries and frames that one task multiplies, the queries of one product, and frames of which it looks at the best.
+QUERIES, FRAMES, ROWS, GROUP = 16384, 16384, 512, 64
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one size without gaps as rows."""
+    flat = np.concatenate([np.zeros(0), *[c.flatten().to_numpy(zero_copy_only=False) for c in vectors.chunks]])
+    return flat.astype(float).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+
+
+def _first_copies(matrix: np.ndarray, least: int) -> np.ndarray:
+    """Places, in order, of the first ``least`` rows of each vector: more of one are never among the nearest."""
+    kinds = np.unique(np.ascontiguousarray(matrix).view(f"V{matrix.shape[1] * 8}").ravel(), return_inverse=True)[1]
+    order = np.argsort(kinds, kind="stable")
+    kinds = kinds[order]
+    starts = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]]))
+    within = np.arange(len(kinds)) - np.repeat(starts, np.diff(np.append(starts, len(kinds))))
+    return np.sort(order[within < least])
+
+
+def _nearest_of_block(k: int):
+    """(query_id, frame_id, cosine) of the ``k`` nearest of a block of frames for each of a block of queries.
+    A matrix product finds those that may be among them, with room for its rounding; the product that counts
+    is summed from the first place to the last, as the expression does."""
+
+    def product(queries: pa.Table, frames: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        frames = frames.sort_by("frame_id")
+        f = _matrix(frames["f"])
+        if len(queries) and f.shape[1]:
+            q = _matrix(queries["q"])
+            ids = frames["frame_id"].to_pylist()
+            most = max(Counter(ids).values())
+            kept = _first_copies(f, k + most)
+            f, columns = f[kept], np.ascontiguousarray(f[kept].T)
+            at: dict = {}
+            for place, there in enumerate(kept.tolist()):
+                at.setdefault(ids[there], []).append(place)
+            longest = np.sqrt((f * f).sum(axis=1).max())
+            whole = len(f) // GROUP * GROUP
+            for start in range(0, len(q), ROWS):
+                some = q[start : start + ROWS]
+                scores = some @ columns
+                for i, name in enumerate(queries["query_id"].slice(start, ROWS).to_pylist()):
+                    scores[i, at.get(name, [])] = -np.inf
+                least = np.full(len(some), -np.inf)
+                if whole >= k * GROUP:
+                    tops = scores[:, :whole].reshape(len(some), -1, GROUP).max(axis=2)
+                    least = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k]
+                room = 1e-12 * longest * np.sqrt((some * some).sum(axis=1)) + 1e-300
+                of, place = np.nonzero((scores >= (least - room)[:, None]) & (scores > -np.inf))
+                exact = np.zeros(len(of))
+                for j in range(f.shape[1]):
+                    exact += some[of, j] * columns[j, place]
+                order = np.lexsort((place, -exact, of))
+                of, place, exact = of[order], place[order], exact[order]
+                first = np.searchsorted(of, of)
+                best = np.arange(len(of)) - first < k
+                found.append((of[best] + start, kept[place[best]], exact[best]))
+        of, place, cosine = map(np.concatenate, zip(*found, strict=True))
+        return pa.table({"query_id": queries["query_id"].take(pa.array(of)), "frame_id": frames["frame_id"].take(pa.array(place)), "cosine": cosine})
+
+    return product
+
+
+def _nearest_by_blocks(queries: DataFrame, frames: DataFrame, k: int, n_queries: int, n_frames: int) -> DataFrame:
+    """Candidates (query_id, frame_id, cosine): the ``k`` best of each block of frames."""
+    qs, fs = -(-n_queries // QUERIES), -(-n_frames // FRAMES)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("query_id", "q", block("query_id", qs).alias("_q"), each(fs).alias("_f"))
+    right = frames.select("frame_id", "f", block("frame_id", fs).alias("_f"), each(qs).alias("_q"))
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((queries, "query_id"), (frames, "frame_id")))
+    return left.groupBy("_q", "_f").cogroup(right.groupBy("_q", "_f")).applyInArrow(_nearest_of_block(k), f"{kinds}, cosine double")
+
+
 def nearest(queries: DataFrame, frames: DataFrame, k: int = 4) -> DataFrame:
-    """(query_id, frame_id, rank, cosine): the k nearest frames, exact: a bounded query set against all
-    frames, of which every task keeps its own k best before the shuffle."""
-    fq = queries.select("query_id", V.as_doubles(F.col("embedding")).alias("q"))
-    ff = frames.select("frame_id", V.as_doubles(F.col("embedding")).alias("f"))
-    scored = ff.join(small(fq), F.col("query_id") != F.col("frame_id")).select("query_id", "frame_id", V.dot(F.col("q"), F.col("f")).alias("cosine"))
+    """(query_id, frame_id, rank, cosine): the k nearest frames, exact: all queries against all frames, by
+    blocks whose products are matrices, of which only the k best of each query become rows. Vectors of
+    another size than most, with gaps or not finite, are held against all others one by one."""
+    fq = queries.filter("query_id IS NOT NULL").select("query_id", V.as_doubles(F.col("embedding")).alias("q"))
+    ff = frames.filter("frame_id IS NOT NULL").select("frame_id", V.as_doubles(F.col("embedding")).alias("f"))
+    size = ff.groupBy(F.size("f").alias("n")).agg(F.count("*").alias("rows")).filter("n > 0").orderBy(F.desc("rows"), "n").limit(1).collect()
+    usual = lambda v: F.coalesce((F.size(v) == (size[0]["n"] if size else 0)) & F.forall(v, lambda x: F.abs(x) < 1e150), F.lit(False))
+
+    def counts(rows: DataFrame, v: str) -> tuple[int, int]:
+        return tuple(rows.agg(F.count_if(usual(v)), F.count_if(~usual(v))).first())
+
+    (n_queries, odd_queries), (n_frames, odd_frames) = counts(fq, "q"), counts(ff, "f")
+    single = lambda f, q: f.join(small(q), F.col("query_id") != F.col("frame_id")).select("query_id", "frame_id", V.dot(F.col("q"), F.col("f")).alias("cosine"))
+    scored = single(ff.limit(0), fq.limit(0))
+    if n_queries and n_frames:
+        scored = scored.unionByName(_nearest_by_blocks(fq.filter(usual("q")), ff.filter(usual("f")), k, n_queries, n_frames))
+    if odd_queries:
+        scored = scored.unionByName(single(ff, fq.filter(~usual("q"))))
+    if odd_frames:
+        scored = scored.unionByName(single(ff.filter(~usual("f")), fq.filter(usual("q"))))
     best = W.partitionBy("query_id").orderBy(F.desc("cosine"), "frame_id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

@@ -177,3 +177,22 @@ def test_reports_keep_a_null_key(spark):
     assert {r["key"]: r["threshold"] for r in E.best_f1(scored, ["key"]).collect()} == {None: 0.9, "k": 0.5}
     report = S.calibration(scored.withColumnRenamed("truth", "positive"), "key").collect()
     assert {r["key"]: r["threshold"] for r in report} == {None: 0.3, "k": 0.7}
+
+
+def test_nearest_by_blocks_match_brute_force(spark, monkeypatch):
+    """Blocks smaller than the table, many copies, opposite and odd vectors: as the product of each pair says."""
+    for name, n in (("QUERIES", 9), ("FRAMES", 150), ("ROWS", 4), ("GROUP", 8)):
+        monkeypatch.setattr(S, name, n)
+    rng = random.Random(4)
+    vectors = [[rng.uniform(-1, 1) for _ in range(5)] for _ in range(150)]
+    rows = [(i, vectors[i % 3] if i % 4 == 0 else vectors[i % 150]) for i in range(400)]
+    rows += [(400, None), (401, [1.0]), (402, [0.0] * 5), (450, [float("nan")] * 5), (None, [1.0] * 5)]
+    table = spark.createDataFrame(rows, "frame_id long, embedding array<double>")
+    queries = table.filter("frame_id % 10 = 0").withColumnRenamed("frame_id", "query_id")
+    found = S.nearest(queries, table, 4)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    pairs = queries.select("query_id", F.col("embedding").alias("q")).join(table.select("frame_id", F.col("embedding").alias("f")), F.col("query_id") != F.col("frame_id"))
+    order = S.W.partitionBy("query_id").orderBy(F.desc("cosine"), "frame_id")
+    want = pairs.withColumn("cosine", S.V.dot(F.col("q"), F.col("f"))).withColumn("rank", F.row_number().over(order)).filter("rank <= 4")
+    shown = lambda df: sorted((r["query_id"], r["rank"], r["frame_id"], str(r["cosine"])) for r in df.collect())
+    assert shown(found) == shown(want)

@@ -199,7 +199,9 @@ def match_cascade(spark, sf_dir):
 @register("phonetic_match")
 def phonetic_match(spark, sf_dir):
     tokens = token_rows(spark, sf_dir).groupBy("token").agg(F.count("*").alias("n"))
-    coded = tokens.withColumn("code", T.metaphone_code("token"))
+    # As it counts as not deterministic, it is asked once for the join and the result.
+    code = F.pandas_udf(T.metaphone_code.func, "string").asNondeterministic()
+    coded = tokens.withColumn("code", code("token"))
     wanted = M.targets(spark, SINGLE).select("keyword", F.element_at("codes", 1).alias("code"))
     return coded.join(small(wanted), "code").select("keyword", "token", "code", "n")
 

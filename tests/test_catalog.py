@@ -46,6 +46,15 @@ def test_phonetic_matches_have_the_keyword_s_code(spark):
     assert got == {(k, t): n for k in catalog.SINGLE for t, n in tokens.items() if T.metaphone(t) == T.metaphone(k)}
 
 
+def test_phonetic_codes_are_of_distinct_tokens(spark):
+    """The code is asked once for a distinct token, not under the count for every word of every text."""
+    plan = catalog.QUERIES["phonetic_match"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    counted = min(i for i, line in enumerate(lines) if "Aggregate [token" in line)
+    assert not any("ArrowEvalPython" in line for line in lines[counted : counted + 5])
+    assert sum("ArrowEvalPython" in line for line in lines[:counted]) == 1
+
+
 def test_cascade_holds_the_fuzzy_matches(spark):
     """With codes, matches only change from fuzzy to phonetic or are added."""
     count = lambda name: {(r["keyword"], r["match_type"]): r["n"] for r in catalog.QUERIES[name](spark, SMALL).collect()}

@@ -44,8 +44,12 @@ BLOCK = 1024
 #: Rounds of one class a band against the others, before blocks.
 ROUNDS = 2
 #: Words whose hashes a worker keeps.
-MOST_WORDS = 200_000
+MOST_WORDS = 50_000
 MOST_BROADCAST = 1_000_000
+#: Rows with sets or bitmaps that a worker gets at once: a set may have many thousand shingles.
+WIDE = 200
+#: Shingles that a worker counts at once.
+COUNTED = 1 << 18
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -146,7 +150,7 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("row"))
-    return stored(read.mapInArrow(lean(run), f"doc_id {kind}, text_key long, row long, n long, cls long, shingles binary, bits binary"), "described", batch=500)
+    return stored(read.mapInArrow(lean(run), f"doc_id {kind}, text_key long, row long, n long, cls long, shingles binary, bits binary"), "described", batch=WIDE)
 
 
 def _often(firsts: DataFrame, percent: int, often: int, most: int) -> np.ndarray:
@@ -165,13 +169,13 @@ def _often(firsts: DataFrame, percent: int, often: int, most: int) -> np.ndarray
             for raw in batch.column("shingles"):
                 found = np.frombuffer(raw.as_buffer(), np.uint64)
                 waiting.append(found[: int(1.3 * prefix_lengths(len(found), percent)[0]) + 4])
-            if sum(map(len, waiting)) > 1 << 20:
+            if sum(map(len, waiting)) > COUNTED:
                 yield flush()
         if waiting:
             yield flush()
 
     counts = firsts.select("shingles").mapInArrow(lean(run), "shingle long, c int").groupBy("shingle").agg(F.sum("c").alias("c")).filter(F.col("c") > often)
-    found = stored(counts, "often")
+    found = stored(counts, "often", batch=WIDE)
     if found.count() > most:
         least = found.agg(F.percentile_approx("c", 1 - most / found.count(), 10000)).first()[0]
         found = found.filter(F.col("c") > least)
@@ -218,10 +222,10 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
     )
     several = several.filter("lo < hi").drop("lo", "hi")
     # Near copies share most of their prefix; their lists are the same for many shingles.
-    chosen = stored(several.groupBy("c", "members", "members2").agg(F.min("shingle").alias("shingle")).select("shingle", "c"), "chosen")
+    chosen = stored(several.groupBy("c", "members", "members2").agg(F.min("shingle").alias("shingle")).select("shingle", "c"), "chosen", batch=WIDE)
     n = F.shiftright("size", 1)
     band = F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    return stored(postings.join(small(chosen, MOST_BROADCAST), "shingle").select("shingle", "cls", n.alias("n"), (F.col("size") % 2 == 1).alias("short"), band.alias("band"), "c").distinct(), "lists")
+    return stored(postings.join(small(chosen, MOST_BROADCAST), "shingle").select("shingle", "cls", n.alias("n"), (F.col("size") % 2 == 1).alias("short"), band.alias("band"), "c").distinct(), "lists", batch=WIDE)
 
 
 def _pair(a: str, b: str) -> list:
@@ -250,7 +254,7 @@ def _linked(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
 
     bits = _needed(firsts, pairs, ["a", "b"], ["n", "bits"])
     joined = pairs.join(bits.withColumnRenamed("cls", "a"), "a").join(bits.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "b")
-    left = stored(joined.select("a", "b", "n", "bits", "n2", "bits2").mapInArrow(by_bits, "a long, b long"), "byBits")
+    left = stored(joined.select("a", "b", "n", "bits", "n2", "bits2").mapInArrow(by_bits, "a long, b long"), "byBits", batch=WIDE)
 
     sets = _needed(firsts, left, ["a", "b"], ["shingles"])
 

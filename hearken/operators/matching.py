@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -21,6 +23,10 @@ from hearken.operators.sizes import small, written
 #: Keywords up to which their grams are looked up in the expression, before the join.
 LOOKED_UP = 10_000
 WEIGHTS = {"exact": 1.0, "phonetic": 0.9}
+#: Bits of a run's key, of which the upper ones are its part, and of the table of recurring keys at most.
+KEY_BITS, PART_BITS, TABLE_BITS = 40, 8, 29
+#: Runs of words whose keys a task sorts at once.
+SORTED = 1 << 20
 
 
 def recognized(chunks: DataFrame, words: str = "words") -> DataFrame:
@@ -63,6 +69,97 @@ def ngrams(streams: DataFrame, n: int) -> DataFrame:
     return at.select(*keys, "g.pos", F.array_join(part["token"], " ").alias("gram"), F.array_join(part["raw"], " ").alias("context"))
 
 
+def _keys(words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, row and place of every run of ``n`` words, from the rows' hashes of words."""
+    offsets = words.offsets.to_numpy().astype(np.int64)
+    hashes = words.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
+    row = np.repeat(np.arange(len(words)), np.diff(offsets))
+    runs = max(len(hashes) - n + 1, 0)
+    whole = np.flatnonzero(row[:runs] == row[n - 1 :]) if runs else np.zeros(0, np.int64)
+    mixed = np.zeros(runs, np.uint64)
+    for i in range(n):
+        mixed = (mixed ^ hashes[i : runs + i]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed[whole] >> np.uint64(64 - KEY_BITS), row[whole], whole - (offsets[:-1] - offsets[0])[row[whole]]
+
+
+def _recurring(hashed: DataFrame, n: int, least: int) -> DataFrame:
+    """(part, keys): the keys of ``n`` words that occur ``least`` times, four bytes each within their part,
+    written. An exchange carries keys alone, each at most ``least`` times from a sorted lot."""
+    low = KEY_BITS - PART_BITS
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            keys = np.sort(np.concatenate(waiting))
+            waiting.clear()
+            enough = np.ones(len(keys), bool)
+            enough[least:] = keys[least:] != keys[:-least]
+            keys = keys[enough]
+            bounds = np.searchsorted(keys >> np.uint64(low), np.arange(1 << PART_BITS, dtype=np.uint64)).tolist() + [len(keys)]
+            some = [i for i in range(1 << PART_BITS) if bounds[i] < bounds[i + 1]]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([keys[bounds[i] : bounds[i + 1]].astype("<u4").tobytes() for i in some], pa.binary())], names=["part", "keys"])
+
+        for batch in batches:
+            waiting.append(_keys(batch.column(0), n)[0])
+            if sum(map(len, waiting)) >= SORTED:
+                yield flush()
+        if waiting:
+            yield flush()
+
+    def often(table: pa.Table) -> pa.Table:
+        keys = np.sort(np.concatenate([np.frombuffer(k.as_buffer(), "<u4") for k in table["keys"]]))
+        found = np.unique(keys[least - 1 :][keys[least - 1 :] == keys[: len(keys) - least + 1]])
+        return pa.table({"part": table["part"][:1], "keys": pa.array([found.tobytes()], pa.binary())})
+
+    schema = "part int, keys binary"
+    return written(hashed.mapInArrow(dealt, schema).groupBy("part").applyInArrow(often, schema), "recurring")
+
+
+def _table(recurring: DataFrame) -> tuple[np.ndarray, int]:
+    """A table of bits by key, eight for each of the keys or more until there are 2 ** TABLE_BITS."""
+    total = (recurring.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 4
+    bits = min(max((8 * total).bit_length(), PART_BITS + 3), TABLE_BITS)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for keys in batch.column("keys"):
+                block = np.zeros(1 << (bits - PART_BITS), bool)
+                block[np.frombuffer(keys.as_buffer(), "<u4") >> np.uint32(KEY_BITS - bits)] = True
+                found.append(np.packbits(block, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(found, pa.binary())], names=["part", "keys"])
+
+    table = np.zeros((1 << PART_BITS, 1 << (bits - PART_BITS - 3)), np.uint8)
+    for row in recurring.mapInArrow(blocks, "part int, keys binary").toLocalIterator():
+        table[row["part"]] = np.frombuffer(row["keys"], np.uint8)
+    return table.ravel(), bits
+
+
+def recurring_ngrams(streams: DataFrame, n: int, least: int) -> DataFrame:
+    """``ngrams`` without nearly all of those that occur fewer than ``least`` times; all others are whole, so
+    that a count of them is exact. Two passes: keys of runs are counted first, and the texts of runs are made
+    only where the key recurs. A rare run whose key shares a bit with a recurring one comes along."""
+    keys = [c for c in streams.columns if c != "ws"]
+    hashes = F.transform("ws", lambda w: F.xxhash64(w["token"]))
+    shared = streams.sparkSession.sparkContext.broadcast(_table(_recurring(streams.select(hashes.alias("h")), n, least)))
+
+    @F.arrow_udf("array<int>")
+    def places(words: pa.Array) -> pa.Array:
+        table, bits = shared.value
+        key, row, at = _keys(words, n)
+        bit = key >> np.uint64(KEY_BITS - bits)
+        found = table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[found], minlength=len(words)))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[found], pa.int32()))
+
+    placed = streams.withColumn("_at", places(hashes))
+    runs = F.transform("_at", lambda i: F.struct(i.alias("pos"), F.slice("ws", i + 1, n).alias("w")))
+    part = F.col("g.w")
+    return placed.select(*keys, F.explode(runs).alias("g")).select(*keys, "g.pos", F.array_join(part["token"], " ").alias("gram"), F.array_join(part["raw"], " ").alias("context"))
+
+
 def exact_matches(streams: DataFrame, keywords: DataFrame, lengths: list[int]) -> DataFrame:
     """Detections of exact matches, of all lengths in one pass: runs of words that begin like a keyword,
     joined to the keywords by their text. Confidence is the mean word score."""

@@ -112,7 +112,7 @@ def normalize_tokens(spark, sf_dir):
 
 @register("ngram_windows", f"WITH {WORDS}, g AS (SELECT token || ' ' || lead(token) OVER w || ' ' || lead(token, 2) OVER w AS gram, raw || ' ' || lead(raw) OVER w || ' ' || lead(raw, 2) OVER w AS context FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT gram, count(*) AS n, min(context) AS context FROM g WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) >= 3")
 def ngram_windows(spark, sf_dir):
-    grams = M.ngrams(streams(spark, sf_dir), 3)
+    grams = M.recurring_ngrams(streams(spark, sf_dir), 3, 3)
     return grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("context")).filter("n >= 3")
 
 

@@ -196,3 +196,20 @@ def test_nearest_by_blocks_match_brute_force(spark, monkeypatch):
     want = pairs.withColumn("cosine", S.V.dot(F.col("q"), F.col("f"))).withColumn("rank", F.row_number().over(order)).filter("rank <= 4")
     shown = lambda df: sorted((r["query_id"], r["rank"], r["frame_id"], str(r["cosine"])) for r in df.collect())
     assert shown(found) == shown(want)
+
+
+def test_recurring_ngrams_leave_rare_ones_out(spark):
+    """Runs that occur often enough are all there, in their rows and places, and hardly any other run is made."""
+    pick = random.Random(5)
+    texts = [" ".join([f"w{pick.randrange(10**6)}" for _ in range(60)] + (["Odd", "old,", "owl"] if i % 3 == 0 else []) + ["a"] * (i % 5)) for i in range(300)]
+    rows = [(i, [(w, w.lower().strip(","), 0, 0, 1.0) for w in t.split()]) for i, t in enumerate([*texts, "one two", ""])]
+    words = spark.createDataFrame(rows, WS)
+    shown = lambda df: {(r["doc_id"], r["pos"], r["gram"], r["context"]) for r in df.collect()}
+    every, got = shown(M.ngrams(words, 3)), shown(M.recurring_ngrams(words, 3, 3))
+    counts: dict[str, int] = {}
+    for _, _, gram, _ in every:
+        counts[gram] = counts.get(gram, 0) + 1
+    assert got <= every and {r for r in every if counts[r[2]] >= 3} <= got
+    assert {"odd old owl", "a a a"} <= {r[2] for r in got}
+    assert len({r[2] for r in got} - {g for g, c in counts.items() if c >= 3}) < len(counts) / 4
+    assert shown(M.recurring_ngrams(words.limit(0), 3, 3)) == set() == shown(M.recurring_ngrams(words.filter("doc_id = 300"), 3, 3))

@@ -12,8 +12,9 @@ Exact, with work that follows the candidates and not all pairs:
    with another class each; what links is merged to components, and only members of different
    components meet from then on. A small tile's members meet by a join. In a large one those outside
    the tile's main component are held against all members, which are dealt to blocks.
-4. A pair's bit counts bound its overlap from above; what passes is intersected exactly. A block of
-   a large tile returns links that merge components, fewer than its members, and not its pairs.
+4. A pair's bit counts bound its overlap from above, first those of a quarter of all hashes, which are
+   short and turn most pairs away, then those of all; what passes is intersected exactly. A block of a
+   large tile returns links that merge components, fewer than its members, and not its pairs.
 
 Null or empty texts have no shingles, n_shingles 0, and link with nothing; their component is their
 own id. Null ids take part, but a component's id is the smallest id that is not null. Repeated rows
@@ -50,6 +51,8 @@ MOST_BROADCAST = 1_000_000
 WIDE = 200
 #: Shingles that a worker counts at once.
 COUNTED = 1 << 18
+#: Parts of all hashes of which the first bitmap has one.
+QUARTER = 4
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -100,11 +103,13 @@ def prefix_lengths(n: int, percent: int = PERCENT) -> tuple[int, int]:
     return n + (-percent * n // 100) + 1, n - least_overlap(n, n, percent) + 1
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """One bit for each hash, at the hash modulo a power of two of twice the size at least."""
-    width = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+def bitmap(shingles: np.ndarray, part: int = 1) -> bytes:
+    """One bit for each hash, at the hash modulo a power of two of twice the size at least; or for those of
+    the lowest ``part``-th of all hashes, in a width that follows the whole size as well."""
+    width = max(64, (1 << (2 * len(shingles) - 1).bit_length()) // part)
     bits = np.zeros(width, bool)
-    bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = True
+    some = shingles if part == 1 else shingles[: np.searchsorted(shingles, np.uint64((1 << 64) // part))]
+    bits[(some & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -130,8 +135,9 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _described(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_key, row, n, cls, shingles, bits), one row a document row, stored: texts are read and
-    cut to shingles this once. cls is null for empty sets; shingles are eight bytes each, ascending."""
+    """(doc_id, text_key, row, n, cls, shingles, bits, few), one row a document row, stored: texts are read and
+    cut to shingles this once. cls is null for empty sets; shingles are eight bytes each, ascending; few is
+    the bitmap of the lowest quarter of all hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
@@ -144,13 +150,14 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
                     pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([s.tobytes() for s in sets], pa.binary()),
                     pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([bitmap(s, QUARTER) if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "text_key", "row", "n", "cls", "shingles", "bits"],
+                names=["doc_id", "text_key", "row", "n", "cls", "shingles", "bits", "few"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("row"))
-    return stored(read.mapInArrow(lean(run), f"doc_id {kind}, text_key long, row long, n long, cls long, shingles binary, bits binary"), "described", batch=WIDE)
+    return stored(read.mapInArrow(lean(run), f"doc_id {kind}, text_key long, row long, n long, cls long, shingles binary, bits binary, few binary"), "described", batch=WIDE)
 
 
 def _often(firsts: DataFrame, percent: int, often: int, most: int) -> np.ndarray:
@@ -211,18 +218,11 @@ def _postings(firsts: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
 def _lists(postings: DataFrame, percent: int) -> DataFrame:
     """(shingle, cls, n, short, band, c): postings of shingles that two classes or more share, one
     shingle for each different list of members. c counts the members."""
-    key = F.xxhash64("cls", "size")
-    # Sums that combine before the exchange, so that no task reads the whole list of a hot shingle.
-    several = postings.groupBy("shingle").agg(
-        F.count("*").alias("c"),
-        F.min("cls").alias("lo"),
-        F.max("cls").alias("hi"),
-        F.bit_xor(key).alias("members"),
-        F.sum(key % (1 << 40)).alias("members2"),
-    )
-    several = several.filter("lo < hi").drop("lo", "hi")
+    # Sums that combine before the exchange, so that no task reads the whole list of a hot shingle. A class has
+    # a shingle once, so the count is that of classes; most shingles are of one class, and their rows are short.
+    several = postings.groupBy("shingle").agg(F.bit_xor(F.xxhash64("cls", "size")).alias("members"), F.count("*").alias("c")).filter("c > 1")
     # Near copies share most of their prefix; their lists are the same for many shingles.
-    chosen = stored(several.groupBy("c", "members", "members2").agg(F.min("shingle").alias("shingle")).select("shingle", "c"), "chosen", batch=WIDE)
+    chosen = stored(several.groupBy("c", "members").agg(F.min("shingle").alias("shingle")).select("shingle", "c"), "chosen", batch=WIDE)
     n = F.shiftright("size", 1)
     band = F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     return stored(postings.join(small(chosen, MOST_BROADCAST), "shingle").select("shingle", "cls", n.alias("n"), (F.col("size") % 2 == 1).alias("short"), band.alias("band"), "c").distinct(), "lists", batch=WIDE)
@@ -244,18 +244,23 @@ def _needed(firsts: DataFrame, rows: DataFrame, by: list[str], columns: list[str
     return stored(firsts.join(small(wanted, MOST_BROADCAST), "cls").select("cls", *columns), "needed")
 
 
-def _linked(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link: by bit counts, then by exact intersection."""
+def _left(pairs: DataFrame, firsts: DataFrame, bits: str, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that may link by the bitmaps in the column ``bits``, stored."""
 
     def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bits", "n", "bits2", "n2")]
+            columns = [batch.column(c).to_pylist() for c in ("x", "n", "y", "n2")]
             yield batch.select(["a", "b"]).filter(pa.array([may_link(*row, percent) for row in zip(*columns, strict=True)], pa.bool_()))
 
-    bits = _needed(firsts, pairs, ["a", "b"], ["n", "bits"])
-    joined = pairs.join(bits.withColumnRenamed("cls", "a"), "a").join(bits.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "b")
-    left = stored(joined.select("a", "b", "n", "bits", "n2", "bits2").mapInArrow(by_bits, "a long, b long"), "byBits", batch=WIDE)
+    maps = _needed(firsts, pairs, ["a", "b"], ["n", bits])
+    joined = pairs.join(maps.select(F.col("cls").alias("a"), "n", F.col(bits).alias("x")), "a").join(maps.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col(bits).alias("y")), "b")
+    return stored(joined.select("a", "b", "n", "x", "n2", "y").mapInArrow(by_bits, "a long, b long"), "left", batch=WIDE)
+
+
+def _linked(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that link: by bit counts, then by exact intersection."""
 
+    left = _left(_left(pairs, firsts, "few", percent), firsts, "bits", percent)
     sets = _needed(firsts, left, ["a", "b"], ["shingles"])
 
     def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +374,7 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, often: i
     # Rows that only repeat a class stay out, by a table of those rows and not of all classes.
     several = small(stored(classes.filter("rows > 1").select("cls", "first"), "several"), MOST_BROADCAST)
     again = stored(sets.select("cls", "row").join(several, "cls").filter("row <> first").select("row"), "again")
-    firsts = sets.join(small(again, MOST_BROADCAST), "row", "left_anti").select("cls", "n", "shingles", "bits")
+    firsts = sets.join(small(again, MOST_BROADCAST), "row", "left_anti").select("cls", "n", "shingles", "bits", "few")
     late = _often(firsts, percent, often, most_often)
     lists = _lists(_postings(firsts, late, percent), percent)
 

@@ -128,3 +128,39 @@ def test_lists_of_members(spark):
     rows = spark.createDataFrame([(1, c, 20 + c % 2) for c in range(30)] + [(2, c, 20 + c % 2) for c in range(30)] + [(3, 5, 21), (4, 5, 21), (4, 6, 20)], "shingle long, cls long, size long")
     got = [tuple(r) for r in J._lists(rows, 80).select("shingle", "cls", "n", "short", "c").collect()]
     assert sorted(got) == sorted([(1, c, 10, c % 2 == 1, 30) for c in range(30)] + [(4, 5, 10, True, 2), (4, 6, 10, False, 2)])
+
+
+def test_quarter_of_the_hashes_bounds_the_overlap():
+    """Texts with a passage in common go by a bitmap of a quarter of the width; no pair that links goes."""
+    pick = random.Random(8)
+    hashes = lambda n: {pick.getrandbits(64) for _ in range(n)}
+    array = lambda s: J.np.array(sorted(s), J.np.uint64)
+    gone = 0
+    for size in (3, 40, 300, 2000):
+        for share in (0.05, 0.8, 0.95):
+            for _ in range(10):
+                x = hashes(size)
+                y = set(list(x)[: int(size * share) + 1]) | hashes(size - int(size * share) - 1)
+                a, b = array(x), array(y)
+                few, other = J.bitmap(a, J.QUARTER), J.bitmap(b, J.QUARTER)
+                may = J.may_link(few, len(a), other, len(b))
+                assert may or 100 * len(x & y) < 80 * len(x | y)
+                if size >= 300:
+                    assert len(few) * J.QUARTER == len(J.bitmap(a))
+                gone += share == 0.05 and size >= 300 and not may
+    assert gone == 20
+
+
+def test_sums_of_a_shingle_are_short(spark):
+    """An exchange carries a shingle, its count and one sum of its classes: most shingles are of one class."""
+    rows = spark.createDataFrame([(1, 7, 21), (1, 8, 20), (2, 7, 21), (3, 9, 20), (4, 7, 21), (4, 8, 20)], "shingle long, cls long, size long")
+    seen = []
+    keep = J.stored
+    J.stored = lambda df, name, **options: seen.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or keep(df, name, **options)
+    try:
+        got = [tuple(r) for r in J._lists(rows, 80).select("cls", "n", "short", "c").collect()]
+    finally:
+        J.stored = keep
+    assert sorted(got) == [(7, 10, True, 2), (8, 10, False, 2)]
+    plan = next(plan for name, plan in seen if name == "chosen")
+    assert "bit_xor" in plan and "max(cls" not in plan and "min(cls" not in plan

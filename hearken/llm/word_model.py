@@ -34,6 +34,8 @@ RUN, MOST_TEXTS = 800_000, 4096
 SHARD_BYTES, LEAST_SHARDS = 24 << 20, 8
 #: Ranges of contexts that a shard's task takes one after the other.
 LOTS = 16
+#: Rows that a worker gets at once: one may have a few hundred thousand bytes.
+GROUPED = 32
 #: Second words are known by this many bits, of which the upper ones are the cell.
 BITS, CELL_BITS = 24, 20
 CELLS = 1 << CELL_BITS
@@ -164,23 +166,39 @@ def packed(texts: DataFrame, shards: int, with_texts: bool) -> DataFrame:
     return texts.select("key", "text").mapInArrow(lean(run), ROW)
 
 
-def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """A row's pairs in order and how many texts each has."""
-    h = np.repeat(np.frombuffer(row["h"], "<u4"), np.frombuffer(row["hn"], "<u4"))
-    return h.astype(np.uint64) << np.uint64(BITS) | _wide(row["w"], BITS // 8), np.frombuffer(row["dn"], "<u2")
+def _buffers(table: pa.Table) -> list[dict]:
+    """The binary columns' values by row, where they lie, without a copy."""
+    columns: dict[str, list[pa.Buffer]] = {c: [] for c in EMPTY}
+    for batch in table.to_batches():
+        for c, values in columns.items():
+            _, offsets, data = batch.column(c).buffers()
+            ends = np.frombuffer(offsets, "<i4")[batch.column(c).offset :][: len(batch) + 1].tolist()
+            data = pa.py_buffer(b"") if data is None else data
+            values += [data.slice(a, b - a) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return [dict(zip(columns, values, strict=True)) for values in zip(*columns.values(), strict=True)]
 
 
 def _counted(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, slice, np.ndarray]]]]:
     """A shard's pairs and their counts, a range of contexts at a time, and for each row that has some of
-    them its number, which of its pairs these are, and their places."""
-    parts = [_pairs(r) for r in rows]
-    edges = np.array([(i << 32) // LOTS for i in range(LOTS)], np.uint64) << np.uint64(BITS)
-    bounds = [np.append(np.searchsorted(p, edges), len(p)) for p, _ in parts]
+    them its number, which of its pairs these are, and their places. Pairs are unfolded for one range."""
+    edges = np.array([(i << 32) // LOTS for i in range(LOTS)], np.uint32)
+    parts = []
+    for row in rows:
+        h, hn = np.frombuffer(row["h"], "<u4"), np.frombuffer(row["hn"], "<u4")
+        contexts = np.append(np.searchsorted(h, edges), len(h))
+        parts.append((h, hn, contexts, np.append(0, np.cumsum(hn, dtype=np.int64))[contexts]))
     for lot in range(LOTS):
-        some = [(i, slice(b[lot], b[lot + 1])) for i, b in enumerate(bounds) if b[lot] < b[lot + 1]]
+        some, pairs, times = [], [], []
+        for i, (row, (h, hn, contexts, bounds)) in enumerate(zip(rows, parts, strict=True)):
+            at, own = slice(contexts[lot], contexts[lot + 1]), slice(int(bounds[lot]), int(bounds[lot + 1]))
+            if own.start < own.stop:
+                width = BITS // 8
+                some.append((i, own))
+                pairs.append(np.repeat(h[at], hn[at]).astype(np.uint64) << np.uint64(BITS) | _wide(row["w"][own.start * width : own.stop * width], width))
+                times.append(np.frombuffer(row["dn"], "<u2")[own])
         if some:
-            pairs, place = np.unique(np.concatenate([parts[i][0][s] for i, s in some]), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([parts[i][1][s] for i, s in some]), len(pairs)).astype(np.int64)
+            pairs, place = np.unique(np.concatenate(pairs), return_inverse=True)
+            counts = np.bincount(place, np.concatenate(times), len(pairs)).astype(np.int64)
             at = np.split(place, np.cumsum([s.stop - s.start for _, s in some])[:-1])
             yield pairs, counts, [(i, s, x) for (i, s), x in zip(some, at, strict=True)]
 
@@ -197,7 +215,7 @@ def fit(texts: DataFrame, shards: int) -> dict[str, np.ndarray]:
 
     def count(table: pa.Table) -> pa.Table:
         cells, times = np.zeros(CELLS, np.int64), np.zeros(RANGE, np.int64)
-        for pairs, counts, _ in _counted(table.to_pylist()):
+        for pairs, counts, _ in _counted(_buffers(table)):
             cells += np.bincount((pairs & np.uint64((1 << BITS) - 1)).astype(np.int64) >> (BITS - CELL_BITS), minlength=CELLS)
             times[:6] += np.bincount(np.minimum(counts, 5), minlength=6)
         sums = [(-1, times), *[(i, cells[i * RANGE : (i + 1) * RANGE]) for i in range(CELLS // RANGE)]]
@@ -208,7 +226,7 @@ def fit(texts: DataFrame, shards: int) -> dict[str, np.ndarray]:
         total = np.sum([np.frombuffer(s, "<i8") for s in table["sums"].to_pylist()], axis=0)
         return pa.table({"part": table["part"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-    sums = stored(packed(texts, shards, False).groupBy("shard").applyInArrow(lean(count), "part int, group int, sums binary"), "wordSums", batch=500)
+    sums = stored(packed(texts, shards, False).groupBy("shard").applyInArrow(lean(count), "part int, group int, sums binary"), "wordSums", batch=GROUPED)
     sums = sums.groupBy("part", "group").applyInArrow(add, "part int, sums binary")
     found = {r["part"]: np.frombuffer(r["sums"], "<i8") for r in stored(sums.groupBy("part").applyInArrow(add, "part int, sums binary"), "wordCells").collect()}
     cells = np.concatenate([found.get(i, np.zeros(RANGE, np.int64)) for i in range(CELLS // RANGE)])
@@ -234,9 +252,10 @@ def score(texts: DataFrame) -> DataFrame:
     model = texts.sparkSession.sparkContext.broadcast(fit(texts, shards))
 
     def meet(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        if rows[0]["shard"] < 0:
-            return pa.table({"run": table["run"], "keys": table["keys"], "d": pa.array([b""] * len(rows), pa.binary()), "n": pa.array([b""] * len(rows), pa.binary()), "x": pa.array([b""] * len(rows), pa.binary())})
+        if table["shard"][0].as_py() < 0:
+            none = pa.array([b""] * len(table), pa.binary())
+            return pa.table({"run": table["run"], "keys": table["keys"], "d": none, "n": none, "x": none})
+        rows = _buffers(table)
         of_pair = [np.zeros(len(r["dn"]) // 2, np.float32) for r in rows]
         for pairs, counts, found in _counted(rows):
             nats = nats_of(pairs, counts, model.value["discounts"], model.value["cells"]).astype(np.float32)
@@ -264,6 +283,6 @@ def score(texts: DataFrame) -> DataFrame:
         return pa.table({"key": pa.array(keys), "n": pa.array(n), "x": pa.array(x)})
 
     met = packed(texts, shards, True).withColumn("lot", F.when(F.col("shard") < 0, F.pmod(F.col("run"), F.lit(64)).cast("int")).otherwise(0))
-    sums = stored(met.groupBy("shard", "lot").applyInArrow(lean(meet), "run long, keys binary, d binary, n binary, x binary"), "wordNats", batch=500)
+    sums = stored(met.groupBy("shard", "lot").applyInArrow(lean(meet), "run long, keys binary, d binary, n binary, x binary"), "wordNats", batch=GROUPED)
     scored = sums.groupBy("run").applyInArrow(add, "key long, n long, x double")
     return stored(scored.groupBy("key").agg((F.sum("x") / F.sum("n")).alias("word_nats")), "wordScores")

@@ -3,10 +3,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hearken.llm import quality
+from hearken.llm import quality, word_model
 from hearken.llm.queries import QUERIES
 from tests.llm.data import SMALL
 
@@ -160,3 +161,22 @@ def test_second_look_has_every_language(spark):
     switched = quality._second_look(docs, model, above).first()["switched"]
     # The stretch where the languages meet is in neither.
     assert nats[5000] > 4 * nats[800] and switched < nats[5000] / 2
+
+
+def test_pairs_of_a_shard_are_unfolded_a_range_at_a_time():
+    """Counts of all pairs are right, while no more than a range of them is unfolded, from buffers in place."""
+    pick = np.random.default_rng(4)
+    runs = [[pick.integers(0, 1 << 63, 20_000, dtype=np.int64).view(np.uint64)[pick.integers(0, 20_000, 30_000)] for _ in range(3)] for _ in range(4)]
+    want = {}
+    for words in runs:
+        for pair in word_model._hashed(words)[0].tolist():
+            want[pair] = want.get(pair, 0) + 1
+    table = pa.Table.from_pylist([r for i, words in enumerate(runs) for r in word_model._rows([1, 2, 3], words, i, 1, True) if r["shard"] == 0])
+    rows = word_model._buffers(table)
+    lo, hi = table["w"].chunk(0).buffers()[2].address, table["w"].chunk(0).buffers()[2].size
+    assert all(lo <= r["w"].address < lo + hi for r in rows)
+    got, most = {}, 0
+    for pairs, counts, found in word_model._counted(rows):
+        got |= dict(zip(pairs.tolist(), counts.tolist(), strict=True))
+        most = max(most, sum(len(x) for _, _, x in found))
+    assert got == want and most < len(want) / 8

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +50,13 @@ MOST_WORDS = 50_000
 MOST_BROADCAST = 1_000_000
 #: Rows with sets or bitmaps that a worker gets at once: a set may have many thousand shingles.
 WIDE = 200
-#: Shingles that a worker counts at once.
-COUNTED = 1 << 18
+#: Bits of a shingle's hash by which shingles are counted; shingles that a worker packs at once, and rows of
+#: documents at most that these span; shingles of a shard.
+KEY_BITS = 40
+IN_LOT = 1 << 19
+MOST_IN_LOT = 1 << 22
+IN_SHARD = 1 << 20
+_CUT = np.uint64(64 - KEY_BITS)
 #: Parts of all hashes of which the first bitmap has one.
 QUARTER = 4
 
@@ -160,8 +166,54 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
     return stored(read.mapInArrow(lean(run), f"doc_id {kind}, text_key long, row long, n long, cls long, shingles binary, bits binary, few binary"), "described", batch=WIDE)
 
 
-def _often(firsts: DataFrame, percent: int, often: int, most: int) -> np.ndarray:
-    """Sorted hashes of the shingles of more than ``often`` classes, among those near the prefixes. If
+def _planes(values: np.ndarray, wide: int) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes())
+
+
+def _values(raw: bytes, wide: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(wide, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :wide] = planes.T
+    return out.view("<u8").reshape(-1)
+
+
+def _packed(keys: np.ndarray, beside: np.ndarray, base: int, shards: int, known: bool) -> pa.RecordBatch:
+    """Ascending keys, by gaps, and a number beside each, in a row for each shard that has some; shards are
+    ranges of keys. Known ones all go to one further shard, any."""
+    of = (keys >> np.uint64(KEY_BITS - shards.bit_length() + 1)).astype(np.int64)
+    bounds = np.array([0, len(keys)]) if known else np.flatnonzero(np.diff(of, prepend=-1, append=-1))
+    spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([shards + (hash((base, int(keys[0]))) % shards) if known else int(of[i]) for i, _ in spans], pa.int32()),
+            pa.array([base] * len(spans), pa.int64()),
+            pa.array([_planes(np.diff(keys[i:j], prepend=np.uint64(0)), 5) for i, j in spans], pa.binary()),
+            pa.array([_planes(beside[i:j], 3) for i, j in spans], pa.binary()),
+        ],
+        names=["shard", "base", "keys", "beside"],
+    )
+
+
+_PACKED = "shard int, base long, keys binary, beside binary"
+
+
+def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all rows of a shard, what is beside them, and their row's base; keys ascend."""
+    keys = [np.cumsum(_values(x.as_buffer(), 5), dtype=np.uint64) for x in rows["keys"]]
+    beside = np.concatenate([_values(x.as_buffer(), 3).astype(np.int32) for x in rows["beside"]])
+    base = np.repeat(rows["base"].to_numpy(), [len(k) for k in keys])
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], beside[order], base[order]
+
+
+def _shards(shingles: int) -> int:
+    """A power of two of shards, of about ``IN_SHARD`` shingles each."""
+    return 1 << min(20, max(0, shingles // IN_SHARD).bit_length())
+
+
+def _often(firsts: DataFrame, percent: int, often: int, most: int, shards: int) -> np.ndarray:
+    """Sorted keys of the shingles of more than ``often`` classes, among those near the prefixes. If
     they number more than ``most``, those of the most classes: any choice gives the same links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,49 +222,86 @@ def _often(firsts: DataFrame, percent: int, often: int, most: int) -> np.ndarray
         def flush() -> pa.RecordBatch:
             found, counts = np.unique(np.concatenate(waiting), return_counts=True)
             waiting.clear()
-            return pa.RecordBatch.from_arrays([_signed(found), pa.array(counts.astype(np.int32))], names=["shingle", "c"])
+            return _packed(found, counts, 0, shards, False)
 
         for batch in batches:
             for raw in batch.column("shingles"):
                 found = np.frombuffer(raw.as_buffer(), np.uint64)
-                waiting.append(found[: int(1.3 * prefix_lengths(len(found), percent)[0]) + 4])
-            if sum(map(len, waiting)) > COUNTED:
+                waiting.append(found[: int(1.3 * prefix_lengths(len(found), percent)[0]) + 4] >> _CUT)
+            if sum(map(len, waiting)) > IN_LOT:
                 yield flush()
         if waiting:
             yield flush()
 
-    counts = firsts.select("shingles").mapInArrow(lean(run), "shingle long, c int").groupBy("shingle").agg(F.sum("c").alias("c")).filter(F.col("c") > often)
-    found = stored(counts, "often", batch=WIDE)
+    def add(rows: pa.Table) -> pa.Table:
+        keys, counts, _ = _unpacked(rows)
+        first = np.flatnonzero(np.diff(keys, prepend=keys[0] + np.uint64(1)))
+        total = np.add.reduceat(counts, first, dtype=np.int64)
+        return pa.table({"shingle": _signed(keys[first][total > often]), "c": pa.array(total[total > often])})
+
+    found = stored(firsts.select("shingles").mapInArrow(lean(run), _PACKED).groupBy("shard").applyInArrow(lean(add), "shingle long, c long"), "often", batch=WIDE)
     if found.count() > most:
         least = found.agg(F.percentile_approx("c", 1 - most / found.count(), 10000)).first()[0]
         found = found.filter(F.col("c") > least)
     return np.sort(found.select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
-def _postings(firsts: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
-    """(shingle, cls, size): prefix shingles of each class. size is 2 n + 1 where the shingle also lies
-    in the shorter prefix, which is enough against sets of the same size or larger, else 2 n."""
+def _postings(firsts: DataFrame, classes: DataFrame, often: np.ndarray, percent: int, shards: int) -> DataFrame:
+    """(shingle, cls, size), stored: prefix shingles that two classes or more have. size is 2 n + 1 where the
+    shingle also lies in the shorter prefix, which is enough against sets of the same size or larger, else 2 n.
+
+    Most shingles are of one class. So all go by the first bits of their hashes, packed, to shards, which put out
+    those that recur; two shingles of one key are one, which makes more candidates and no other links."""
     shared = firsts.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        base = size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, who = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            waiting.clear()
+            order = np.argsort(keys, kind="stable")
+            keys, who = keys[order], who[order]
+            # Of two shingles of a class with one key the earlier in its prefix stays.
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (who[1:] >> 1 != who[:-1] >> 1)])
+            keys, who = keys[new], who[new]
+            # A key of several classes here recurs for certain: two go to its shard, for others, the rest anywhere.
+            known = np.zeros(len(keys), bool)
+            known[2:] = (keys[2:] == keys[:-2])
+            yield _packed(keys[~known], who[~known], base, shards, False)
+            if known.any():
+                yield _packed(keys[known], who[known], base, shards, True)
+
         for batch in batches:
-            out: list[tuple[np.ndarray, int, np.ndarray]] = []
-            for cls, raw in zip(batch.column("cls").to_pylist(), batch.column("shingles"), strict=True):
-                found = np.frombuffer(raw.as_buffer(), np.uint64)
+            for row, raw in zip(batch.column("row").to_pylist(), batch.column("shingles"), strict=True):
+                if waiting and (size > IN_LOT or not 0 <= row - base < MOST_IN_LOT):
+                    yield from flush()
+                if not waiting:
+                    base, size = row, 0
+                found = np.frombuffer(raw.as_buffer(), np.uint64) >> _CUT
                 longer, shorter = prefix_lengths(len(found), percent)
                 if len(last):
                     at = np.minimum(np.searchsorted(last, found), len(last) - 1)
                     late = last[at] == found
                     found = np.concatenate([found[~late], found[late]])
-                out.append((found[:longer], cls, 2 * len(found) + (np.arange(longer) < shorter)))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(np.concatenate([o[0] for o in out])), pa.array(np.repeat(np.array([o[1] for o in out], np.int64), [len(o[0]) for o in out])), pa.array(np.concatenate([o[2] for o in out]).astype(np.int64))],
-                    names=["shingle", "cls", "size"],
-                )
+                waiting.append((found[:longer], 2 * (row - base) + (np.arange(longer) < shorter)))
+                size += longer
+        if waiting:
+            yield from flush()
+
+    def again(rows: pa.Table) -> pa.Table:
+        keys, who, base = _unpacked(rows)
+        if rows["shard"][0].as_py() < shards:
+            same = keys[1:] == keys[:-1]
+            kept = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            keys, who, base = keys[kept], who[kept], base[kept]
+        return pa.table({"shingle": _signed(keys), "row": pa.array(base + (who >> 1)), "short": pa.array(who & 1)})
 
-    return firsts.select("cls", "shingles").mapInArrow(lean(run), "shingle long, cls long, size long")
+    recurring = firsts.select("row", "shingles").mapInArrow(lean(run), _PACKED).groupBy("shard").applyInArrow(lean(again), "shingle long, row long, short int")
+    named = small(classes.select(F.col("first").alias("row"), "cls", "n"), MOST_BROADCAST)
+    return stored(recurring.join(named, "row").select("shingle", "cls", (2 * F.col("n") + F.col("short")).alias("size")), "postings", batch=WIDE)
 
 
 def _lists(postings: DataFrame, percent: int) -> DataFrame:
@@ -254,7 +343,9 @@ def _left(pairs: DataFrame, firsts: DataFrame, bits: str, percent: int) -> DataF
 
     maps = _needed(firsts, pairs, ["a", "b"], ["n", bits])
     joined = pairs.join(maps.select(F.col("cls").alias("a"), "n", F.col(bits).alias("x")), "a").join(maps.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col(bits).alias("y")), "b")
-    return stored(joined.select("a", "b", "n", "x", "n2", "y").mapInArrow(by_bits, "a long, b long"), "left", batch=WIDE)
+    left = stored(joined.select("a", "b", "n", "x", "n2", "y").mapInArrow(by_bits, "a long, b long"), "left", batch=WIDE)
+    removed(pairs.sparkSession, [maps._stored_at])
+    return left
 
 
 def _linked(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
@@ -270,7 +361,9 @@ def _linked(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     both = left.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(exactly, "a long, b long"), "linked", batch=100)
+    linked = stored(both.select("a", "b", "x", "y").mapInArrow(exactly, "a long, b long"), "linked", batch=100)
+    removed(pairs.sparkSession, [sets._stored_at])
+    return linked
 
 
 def overlap(x: bytes, y: bytes) -> tuple[int, int, int]:
@@ -326,14 +419,18 @@ def _within_large(large: DataFrame, firsts: DataFrame, percent: int) -> DataFram
     held = placed.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("asks", F.lit(False))
     asking = placed.filter("outside").drop("blocks").withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
     asking = asking.join(blocks, ["shingle", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    # Bands that nobody asks send nothing.
+    held = held.join(asking.select("shingle", "band").distinct(), ["shingle", "band"], "left_semi")
 
     def compare(rows: pa.Table) -> pa.Table:
         columns = [rows[c].to_numpy() for c in ("cls", "n", "short", "comp", "outside", "asks")]
         found = merging_links(*columns, *[[x.as_buffer() for x in rows[c]] for c in ("bits", "shingles")], percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    rows = held.unionByName(asking).drop("blocks").join(_needed(firsts, placed, ["cls"], ["bits", "shingles"]), "cls")
-    return stored(rows.groupBy("shingle", "band", "block").applyInArrow(compare, "a long, b long").distinct(), "merging", batch=500)
+    rows, sets = held.unionByName(asking).drop("blocks"), _needed(firsts, placed, ["cls"], ["bits", "shingles"])
+    merging = stored(rows.join(sets, "cls").groupBy("shingle", "band", "block").applyInArrow(compare, "a long, b long").distinct(), "merging", batch=500)
+    removed(firsts.sparkSession, [sets._stored_at, placed._stored_at])
+    return merging
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -370,13 +467,16 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, often: i
     described = _described(docs, words)
     rows_of = stored(described.select("doc_id", "text_key", "n", "cls"), "rows")
     sets = described.filter("cls IS NOT NULL")
-    classes = stored(sets.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("row").alias("first"), F.count("*").alias("rows")), "classes")
+    classes = stored(sets.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("row").alias("first"), F.first("n").alias("n"), F.count("*").alias("rows")), "classes")
     # Rows that only repeat a class stay out, by a table of those rows and not of all classes.
     several = small(stored(classes.filter("rows > 1").select("cls", "first"), "several"), MOST_BROADCAST)
     again = stored(sets.select("cls", "row").join(several, "cls").filter("row <> first").select("row"), "again")
-    firsts = sets.join(small(again, MOST_BROADCAST), "row", "left_anti").select("cls", "n", "shingles", "bits", "few")
-    late = _often(firsts, percent, often, most_often)
-    lists = _lists(_postings(firsts, late, percent), percent)
+    firsts = sets.join(small(again, MOST_BROADCAST), "row", "left_anti").select("row", "cls", "n", "shingles", "bits", "few")
+    shards = _shards((classes.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // 100)
+    late = _often(firsts, percent, often, most_often, shards)
+    postings = _postings(firsts, classes, late, percent, shards)
+    lists = _lists(postings, percent)
+    removed(docs.sparkSession, [postings._stored_at])
 
     def mixed(comp: DataFrame) -> DataFrame:
         """Tiles that still hold several components, with each member's."""

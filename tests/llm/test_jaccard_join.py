@@ -164,3 +164,27 @@ def test_sums_of_a_shingle_are_short(spark):
     assert sorted(got) == [(7, 10, True, 2), (8, 10, False, 2)]
     plan = next(plan for name, plan in seen if name == "chosen")
     assert "bit_xor" in plan and "max(cls" not in plan and "min(cls" not in plan
+
+
+def test_only_recurring_shingles_leave_their_shard(spark, monkeypatch):
+    """Shingles of one class, which are most, go packed to their shard and no further; frequent ones, in lots of
+    few rows too, all come out with their classes."""
+    monkeypatch.setattr(J, "IN_LOT", 40)
+    pick = random.Random(5)
+    often, pair = 1 << 30, (2 << 40) + 7
+    sets = {c: sorted({often, *([pair] if c in (3, 20) else []), *(pick.getrandbits(64) | 1 << 63 for _ in range(60))}) for c in range(1, 31)}
+    row = lambda c: (c % 2 << 33) + c
+    firsts = spark.createDataFrame([(row(c), c, len(s), bytearray(J.np.array(s, J.np.uint64).tobytes())) for c, s in sets.items()], "row long, cls long, n int, shingles binary")
+    classes = firsts.select("cls", "n", firsts["row"].alias("first"))
+    for shards in (1, 8):
+        got = sorted(tuple(r) for r in J._postings(firsts, classes, J.np.zeros(0, J.np.uint64), 80, shards).collect())
+        assert got == sorted([(often >> 24, c, 2 * len(s) + 1) for c, s in sets.items()] + [(pair >> 24, c, 2 * len(sets[c]) + 1) for c in (3, 20)])
+
+
+def test_packed_shingles():
+    pick = random.Random(6)
+    keys = J.np.unique(J.np.array([pick.getrandbits(40) for _ in range(50_000)], J.np.uint64))
+    beside = J.np.arange(len(keys))
+    got = [J._unpacked(J.pa.Table.from_batches([b])) for b in (J._packed(keys, beside, 9, n, False) for n in (1, 16))]
+    assert all((k == keys).all() and (b == beside).all() and (base == 9).all() for k, b, base in got)
+    assert sum(len(x.as_buffer()) for x in J._packed(keys, beside, 9, 16, False).column("keys")) < 4 * len(keys)

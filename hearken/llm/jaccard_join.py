@@ -207,6 +207,26 @@ def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[order], beside[order], base[order]
 
 
+def _each(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``_unpacked`` gives, of one packed row after the other: a shard is never unpacked whole."""
+    for i in range(len(rows)):
+        yield _unpacked(rows.slice(i, 1))
+
+
+def _sorted_keys(rows: pa.Table, bits: int = 0) -> np.ndarray:
+    """All keys of a shard, ascending, in one array sorted in place; with ``bits``, times that power of two and
+    with the number beside a key in its low bits."""
+    parts = [(keys << np.uint64(bits)) | (beside.astype(np.uint64) if bits else np.uint64(0)) for keys, beside, _ in _each(rows)]
+    out = np.empty(sum(map(len, parts)), np.uint64)
+    at = len(out)
+    while parts:
+        last = parts.pop()
+        out[at - len(last) : at] = last
+        at -= len(last)
+    out.sort()
+    return out
+
+
 def _shards(shingles: int) -> int:
     """A power of two of shards, of about ``IN_SHARD`` shingles each."""
     return 1 << min(20, max(0, shingles // IN_SHARD).bit_length())
@@ -234,10 +254,12 @@ def _often(firsts: DataFrame, percent: int, often: int, most: int, shards: int)
             yield flush()
 
     def add(rows: pa.Table) -> pa.Table:
-        keys, counts, _ = _unpacked(rows)
-        first = np.flatnonzero(np.diff(keys, prepend=keys[0] + np.uint64(1)))
+        both = _sorted_keys(rows, 64 - KEY_BITS)
+        counts = (both & np.uint64((1 << 64 - KEY_BITS) - 1)).astype(np.int32)
+        both >>= np.uint64(64 - KEY_BITS)
+        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
         total = np.add.reduceat(counts, first, dtype=np.int64)
-        return pa.table({"shingle": _signed(keys[first][total > often]), "c": pa.array(total[total > often])})
+        return pa.table({"shingle": _signed(both[first[total > often]]), "c": pa.array(total[total > often])})
 
     found = stored(firsts.select("shingles").mapInArrow(lean(run), _PACKED).groupBy("shard").applyInArrow(lean(add), "shingle long, c long"), "often", batch=WIDE)
     if found.count() > most:
@@ -292,12 +314,18 @@ def _postings(firsts: DataFrame, classes: DataFrame, often: np.ndarray, percent:
             yield from flush()
 
     def again(rows: pa.Table) -> pa.Table:
-        keys, who, base = _unpacked(rows)
+        several = None
         if rows["shard"][0].as_py() < shards:
-            same = keys[1:] == keys[:-1]
-            kept = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            keys, who, base = keys[kept], who[kept], base[kept]
-        return pa.table({"shingle": _signed(keys), "row": pa.array(base + (who >> 1)), "short": pa.array(who & 1)})
+            keys = _sorted_keys(rows)
+            several = np.unique(keys[1:][keys[1:] == keys[:-1]])
+            del keys
+        out = []
+        for keys, who, base in _each(rows):
+            if several is not None:
+                kept = several[np.minimum(np.searchsorted(several, keys), len(several) - 1)] == keys if len(several) else np.zeros(len(keys), bool)
+                keys, who, base = keys[kept], who[kept], base[kept]
+            out.append(pa.table({"shingle": _signed(keys), "row": pa.array(base + (who >> 1)), "short": pa.array(who & 1)}))
+        return pa.concat_tables(out)
 
     recurring = firsts.select("row", "shingles").mapInArrow(lean(run), _PACKED).groupBy("shard").applyInArrow(lean(again), "shingle long, row long, short int")
     named = small(classes.select(F.col("first").alias("row"), "cls", "n"), MOST_BROADCAST)

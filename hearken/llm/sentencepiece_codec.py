@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 from itertools import chain, pairwise
 from pathlib import Path
 
@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.shared import fresh, lean, stored
+from hearken.llm.shared import fresh, kept, lean, stored
 
 SPACE, LITERAL = "▁", "\ud800"
 GIANT = 1 << 16
@@ -343,13 +343,13 @@ def _lists(rows: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=nulls)
 
 
-@lru_cache(maxsize=2)
+@kept(2)
 def codec(path: str, scores: str) -> Codec:
     """One codec a process; the model file is installed on every machine, at the path given."""
     return Codec(Path(path).read_bytes(), scores)
 
 
-@lru_cache(maxsize=2)
+@kept(2)
 def decoder(path: str) -> Decoder:
     return Decoder(Path(path).read_bytes())
 

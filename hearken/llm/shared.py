@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,19 +35,22 @@ def shared_folder(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-#: Rows that a Python worker gets at once.
+#: Rows that a Python worker gets at once, and rows of Parquet that are unfolded at once.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+READ = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def stored(df: DataFrame, name: str, batch: int = 2000) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: a cut of the lineage that
     survives lost executors and that later passes read by column. Removed with the application.
-    Python workers get ``batch`` rows at once on the way, which should be few where rows are wide."""
+    Python workers get ``batch`` rows at once on the way, which should be few where rows are wide; such rows are
+    read few at once as well, as a column of thousands is one array of the heap."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    was = {k: spark.conf.get(k, v) for k, v in ((CLEANUP, "false"), (BATCH, "10000"))}
+    was = {k: spark.conf.get(k, v) for k, v in ((CLEANUP, "false"), (BATCH, "10000"), (READ, "4096"))}
     spark.conf.set(CLEANUP, "true")
     spark.conf.set(BATCH, str(batch))
+    spark.conf.set(READ, str(min(4096, max(256, batch))))
     try:
         df.write.parquet(path)
     finally:
@@ -80,10 +84,14 @@ def watched() -> Iterator[list[str]]:
 
 
 def removed(spark: SparkSession, paths: list[str]) -> None:
-    """Delete stored tables that nothing reads any more."""
+    """Delete stored tables that nothing reads any more. Broadcasts of the queries that wrote them stay on all
+    executors until the driver collects its garbage, so it does."""
     for path in paths:
         hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    if paths:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     paths.clear()
 
 
@@ -102,12 +110,36 @@ def _give_back() -> None:
         trim(0)
 
 
+_kept: list[tuple[str, Callable]] = []
+
+
+def kept(most: int) -> Callable:
+    """As ``lru_cache``: a worker's next tasks find what this one has made, but only tasks of the same module;
+    the first ``lean`` task of another one lets it go."""
+
+    def with_cache(make: Callable) -> Callable:
+        found = lru_cache(maxsize=most)(make)
+        _kept.append((make.__module__, found))
+        return found
+
+    return with_cache
+
+
+def _let_go(module: str) -> None:
+    others = [found for of, found in _kept if of != module and found.cache_info().currsize]
+    for found in others:
+        found.cache_clear()
+    if others:
+        _give_back()
+
+
 def lean(work: Callable) -> Callable:
-    """The same work of a task, over batches or on one group. After it the Python worker, which stays for other
-    tasks, gives memory back that is free in it."""
+    """The same work of a task, over batches or on one group. Before it the Python worker, which stays for other
+    tasks, lets go what other modules have ``kept`` in it; after it, it gives memory back that is free in it."""
     if inspect.isgeneratorfunction(work):
 
         def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _let_go(work.__module__)
             try:
                 yield from work(batches)
             finally:
@@ -116,6 +148,7 @@ def lean(work: Callable) -> Callable:
         return over_batches
 
     def on_group(table: pa.Table) -> pa.Table:
+        _let_go(work.__module__)
         try:
             return work(table)
         finally:

@@ -13,7 +13,6 @@ long text is encoded whole; files end between documents, so such a text makes a
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import uuid
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from hearken.llm import simple8b
-from hearken.llm.shared import deleted_on_exit, shared_folder, small, stored
+from hearken.llm.shared import deleted_on_exit, kept, shared_folder, small, stored
 from hearken.llm.word_arrays import lots
 
 #: Ids of a file, bytes of text that are encoded at once, and words of which the ids are kept.
@@ -128,7 +127,7 @@ class Encoder:
         return ids, np.bincount(text, size, len(texts)).astype(np.int64)
 
 
-@functools.lru_cache(maxsize=1)
+@kept(1)
 def encoder(path: str) -> Encoder:
     """One a worker: the words that it has learned serve the next tasks too."""
     return Encoder(path)

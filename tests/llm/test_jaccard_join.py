@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import pytest
 
@@ -188,3 +189,37 @@ def test_packed_shingles():
     got = [J._unpacked(J.pa.Table.from_batches([b])) for b in (J._packed(keys, beside, 9, n, False) for n in (1, 16))]
     assert all((k == keys).all() and (b == beside).all() and (base == 9).all() for k, b, base in got)
     assert sum(len(x.as_buffer()) for x in J._packed(keys, beside, 9, 16, False).column("keys")) < 4 * len(keys)
+
+
+def test_a_shard_is_not_unpacked_whole():
+    pick = random.Random(7)
+    parts = []
+    for base in range(8):
+        keys = J.np.unique(J.np.array([pick.getrandbits(40) for _ in range(60_000)], J.np.uint64))
+        parts.append(J._packed(keys, J.np.arange(len(keys)) % 1000, base, 1, False))
+    rows = J.pa.Table.from_batches(parts)
+
+    def most(work):
+        tracemalloc.start()
+        out = work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, peak
+
+    (keys, beside, _), whole = most(lambda: J._unpacked(rows))
+    both, own = most(lambda: J._sorted_keys(rows, 24))
+    assert (both >> J.np.uint64(24) == keys).all() and sorted(both.tolist()) == sorted((keys << J.np.uint64(24) | beside.astype(J.np.uint64)).tolist())
+    assert own < 20 * len(keys) < 0.6 * whole
+
+
+def test_workers_let_go_what_other_modules_keep():
+    from hearken.llm import sentencepiece_codec, shared
+
+    def work(batches):
+        yield from batches
+
+    sentencepiece_codec.decoder(sentencepiece_codec.public_model())
+    work.__module__ = sentencepiece_codec.__name__
+    assert list(shared.lean(work)([1])) == [1] and sentencepiece_codec.decoder.cache_info().currsize
+    work.__module__ = J.__name__
+    assert list(shared.lean(work)([1])) == [1] and not sentencepiece_codec.decoder.cache_info().currsize

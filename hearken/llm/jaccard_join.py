@@ -43,6 +43,8 @@ MOST_OFTEN = 2_000_000
 #: Members from which on a tile is compared in blocks, and members of a block.
 LARGE = 64
 BLOCK = 1024
+#: Candidates a row of a block up to which they are put out as pairs.
+MOST_PAIRS = 4
 #: Rounds of one class a band against the others, before blocks.
 ROUNDS = 2
 #: Words whose hashes a worker keeps.
@@ -379,7 +381,11 @@ def _left(pairs: DataFrame, firsts: DataFrame, bits: str, percent: int) -> DataF
 def _linked(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that link: by bit counts, then by exact intersection."""
 
-    left = _left(_left(pairs, firsts, "few", percent), firsts, "bits", percent)
+    return _intersecting(_left(_left(pairs, firsts, "few", percent), firsts, "bits", percent), firsts, percent)
+
+
+def _intersecting(left: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) in ``left`` that link, by exact intersection, stored."""
     sets = _needed(firsts, left, ["a", "b"], ["shingles"])
 
     def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +396,7 @@ def _linked(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
 
     both = left.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     linked = stored(both.select("a", "b", "x", "y").mapInArrow(exactly, "a long, b long"), "linked", batch=100)
-    removed(pairs.sparkSession, [sets._stored_at])
+    removed(left.sparkSession, [sets._stored_at])
     return linked
 
 
@@ -402,18 +408,17 @@ def overlap(x: bytes, y: bytes) -> tuple[int, int, int]:
     return len(x), len(y), int((both[1:] == both[:-1]).sum())
 
 
-def merging_links(cls: np.ndarray, n: np.ndarray, short: np.ndarray, comp: np.ndarray, outside: np.ndarray, asks: np.ndarray, bits: list, sets: list, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links of a block that merge components: rows that ask against rows that do not. A pair of two
-    classes outside the main component is looked at from the smaller class alone."""
+def candidates(cls: np.ndarray, n: np.ndarray, short: np.ndarray, comp: np.ndarray, outside: np.ndarray, asks: np.ndarray, bits: list, percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each row of a block that asks, the rows that do not ask, are of another component and may link with it
+    by the bit counts, and their most possible overlaps. A pair of two classes outside the main component is
+    looked at from the smaller class alone. ``comp`` may change between rows."""
     there = np.flatnonzero(~asks)
     maps = [np.frombuffer(bits[i], np.uint8) for i in there]
     widths = np.array([len(m) for m in maps], np.int64)
     folded: dict[int, np.ndarray] = {}
-    label = comp.copy()
-    out: list[tuple[int, int]] = []
     for x in np.flatnonzero(asks):
         of, nx = n[there], n[x]
-        near = (label[there] != label[x]) & (100 * np.minimum(of, nx) >= percent * np.maximum(of, nx)) & np.where(of >= nx, short[x], short[there]) & (~outside[there] | (cls[there] > cls[x]))
+        near = (comp[there] != comp[x]) & (100 * np.minimum(of, nx) >= percent * np.maximum(of, nx)) & np.where(of >= nx, short[x], short[there]) & (~outside[there] | (cls[there] > cls[x]))
         at = np.flatnonzero(near)
         if not len(at):
             continue
@@ -428,7 +433,16 @@ def merging_links(cls: np.ndarray, n: np.ndarray, short: np.ndarray, comp: np.nd
             a, b = _fold(own, width).view(np.uint64), folded[width][at[some]]
             most[some] = np.minimum(nx - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), of[at[some]] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
         passed = most >= -(-percent * (nx + of[at]) // (100 + percent))
-        for i in there[at[passed][np.argsort(-most[passed], kind="stable")]]:
+        if passed.any():
+            yield x, there[at[passed]], most[passed]
+
+
+def merging_links(cls: np.ndarray, n: np.ndarray, short: np.ndarray, comp: np.ndarray, outside: np.ndarray, asks: np.ndarray, bits: list, sets: list, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links of a block that merge components: rows that ask against rows that do not."""
+    label = comp.copy()
+    out: list[tuple[int, int]] = []
+    for x, found, most in candidates(cls, n, short, label, outside, asks, bits, percent):
+        for i in found[np.argsort(-most, kind="stable")]:
             if label[i] == label[x]:
                 continue
             a, b, both = overlap(sets[x], sets[i])
@@ -438,27 +452,75 @@ def merging_links(cls: np.ndarray, n: np.ndarray, short: np.ndarray, comp: np.nd
     return out
 
 
+def met(rows: pa.Table, bits: str, most: float, percent: int = PERCENT) -> pa.Table:
+    """Of a block, by the bitmaps in the column ``bits``: the candidates, a row each with ``other``, if they
+    number at most ``most`` times the rows; else those rows that are in a candidate, without ``other``."""
+    columns = [rows[c].to_numpy() for c in _OF_ROW]
+    kept = np.zeros(len(rows), bool)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for x, found, _ in candidates(*columns, [b.as_buffer() for b in rows[bits]], percent):
+        kept[x] = kept[found] = True
+        size += len(found)
+        if size <= most * len(rows):
+            pairs.append((np.full(len(found), x), found))
+    rows = rows.drop_columns([bits])
+    if size > most * len(rows):
+        return rows.filter(pa.array(kept)).append_column("other", pa.nulls(int(kept.sum()), pa.int64()))
+    one, other = (np.concatenate(c) if pairs else np.zeros(0, np.int64) for c in (zip(*pairs, strict=True) if pairs else ((), ())))
+    return rows.take(pa.array(one)).append_column("other", rows["cls"].take(pa.array(other)))
+
+
+_OF_ROW = ("cls", "n", "short", "comp", "outside", "asks")
+
+
+def _met(rows: DataFrame, firsts: DataFrame, bits: str, most: float, percent: int) -> DataFrame:
+    """``met`` of each block of ``rows``, stored; ``rows`` go."""
+    maps, at = _needed(firsts, rows, ["cls"], [bits]), rows._stored_at
+    rows = rows.drop("other")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    columns = [*rows.columns, bits]
+    of_block = lean(lambda table: met(table.select(columns), bits, most, percent))
+    found = stored(rows.join(maps, "cls").groupBy("shingle", "band", "block").applyInArrow(of_block, f"{fields}, other long"), "met", batch=WIDE)
+    removed(firsts.sparkSession, [at, maps._stored_at])
+    return found
+
+
 def _within_large(large: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
-    """(a, b), links between different components within large tiles: enough to merge all that link."""
+    """(a, b), links between different components within large tiles: enough to merge all that link.
+
+    A class may be in many tiles, so its set should not go to each. Rows of a block meet with the short bitmaps,
+    those left with the whole ones, and what then may link is pairs, each once, that are intersected like others.
+    Only blocks with more than ``MOST_PAIRS`` candidates a row get the sets of those rows."""
     counts = large.groupBy("shingle", "comp").agg(F.count("*").alias("k"))
-    main = counts.groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    blocks = large.groupBy("shingle", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = stored(large.join(main, "shingle").join(blocks, ["shingle", "band"]).withColumn("outside", F.col("comp") != F.col("main")).drop("main", "c"), "placed")
+    main = stored(counts.groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("main")), "main")
+    blocks = stored(large.groupBy("shingle", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    tiles = small(blocks, MOST_BROADCAST)
+    placed = stored(large.join(small(main, MOST_BROADCAST), "shingle").join(tiles, ["shingle", "band"]).withColumn("outside", F.col("comp") != F.col("main")).drop("main", "c"), "placed")
     held = placed.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("asks", F.lit(False))
     asking = placed.filter("outside").drop("blocks").withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
-    asking = asking.join(blocks, ["shingle", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
     # Bands that nobody asks send nothing.
-    held = held.join(asking.select("shingle", "band").distinct(), ["shingle", "band"], "left_semi")
+    asked = stored(asking.select("shingle", "band").distinct(), "asked")
+    asking = asking.join(tiles, ["shingle", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    held = held.join(small(asked, MOST_BROADCAST), ["shingle", "band"], "left_semi")
+    rows = stored(held.unionByName(asking).drop("blocks"), "meeting")
+    # By the short bitmaps no pair is put out, as most candidates go by the whole ones.
+    found = _met(_met(rows, firsts, "few", -1, percent), firsts, "bits", MOST_PAIRS, percent)
+    links = _intersecting(stored(found.filter("other IS NOT NULL").select(*_pair("cls", "other")).distinct(), "pairs"), firsts, percent)
 
     def compare(rows: pa.Table) -> pa.Table:
-        columns = [rows[c].to_numpy() for c in ("cls", "n", "short", "comp", "outside", "asks")]
-        found = merging_links(*columns, *[[x.as_buffer() for x in rows[c]] for c in ("bits", "shingles")], percent)
+        found = merging_links(*[rows[c].to_numpy() for c in _OF_ROW], *[[x.as_buffer() for x in rows[c]] for c in ("bits", "shingles")], percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    rows, sets = held.unionByName(asking).drop("blocks"), _needed(firsts, placed, ["cls"], ["bits", "shingles"])
-    merging = stored(rows.join(sets, "cls").groupBy("shingle", "band", "block").applyInArrow(compare, "a long, b long").distinct(), "merging", batch=500)
-    removed(firsts.sparkSession, [sets._stored_at, placed._stored_at])
-    return merging
+    # Rows of a class one after the other: its set is packed with the copies beside it.
+    dense = found.filter("other IS NULL").drop("other").sortWithinPartitions("cls")
+    if dense.limit(1).count():
+        sets = _needed(firsts, dense, ["cls"], ["bits", "shingles"])
+        merging = stored(dense.join(sets, "cls").groupBy("shingle", "band", "block").applyInArrow(lean(compare), "a long, b long").distinct(), "merging", batch=WIDE)
+        removed(firsts.sparkSession, [sets._stored_at])
+        links = links.unionByName(merging)
+    removed(firsts.sparkSession, [placed._stored_at, found._stored_at])
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -191,6 +191,27 @@ def test_packed_shingles():
     assert sum(len(x.as_buffer()) for x in J._packed(keys, beside, 9, 16, False).column("keys")) < 4 * len(keys)
 
 
+def test_sets_do_not_go_to_every_tile_of_a_class(spark, monkeypatch):
+    """Classes in many large tiles: their sets go to the pairs that may link, each once, and to no block; blocks of
+    very many candidates, which do get sets, give the same components."""
+    pick = random.Random(12)
+    sets = {}
+    for g in range(4):
+        own = [pick.getrandbits(64) for _ in range(190)]
+        sets |= {10 * g + k: J.np.array(sorted([*own, *(pick.getrandbits(64) for _ in range(5))]), J.np.uint64) for k in range(3)}
+    firsts = spark.createDataFrame([(c, len(x), bytearray(x.tobytes()), bytearray(J.bitmap(x)), bytearray(J.bitmap(x, J.QUARTER))) for c, x in sets.items()], "cls long, n long, shingles binary, bits binary, few binary")
+    large = J.stored(spark.createDataFrame([(t, c, len(x), True, 23, 12, c) for t in range(5) for c, x in sets.items()], "shingle long, cls long, n long, short boolean, band int, c long, comp long"), "test")
+    asked = []
+    needed = J._needed
+    monkeypatch.setattr(J, "_needed", lambda firsts, rows, by, columns: asked.append((*by, *columns)) or needed(firsts, rows, by, columns))
+    for most, seen in ((4, ("a", "b", "shingles")), (0, ("cls", "bits", "shingles"))):
+        monkeypatch.setattr(J, "MOST_PAIRS", most)
+        asked.clear()
+        got = {tuple(r) for r in J._within_large(large, firsts, 80).collect()}
+        assert all(a // 10 == b // 10 for a, b in got) and all(len({*got} & {(x, x + 1), (x, x + 2), (x + 1, x + 2)}) >= 2 for x in (0, 10, 20, 30))
+        assert seen in asked and (most == 0) == (("cls", "bits", "shingles") in asked)
+
+
 def test_a_shard_is_not_unpacked_whole():
     pick = random.Random(7)
     parts = []
